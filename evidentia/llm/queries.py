@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import language_id
+from evidentia.llm import language_id, near_dedup
 from evidentia.llm.common import read_table
 
 
@@ -12,8 +12,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), near_dedup.NearDedupParams(shingle_words=2))
+
+
 QUERIES = {
     "op3_language_id": op3_language_id,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
