@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import language_id, near_dedup
+from evidentia.llm import fertility, language_id, license_scan, near_dedup
 from evidentia.llm.common import read_table
 
 
@@ -16,7 +16,17 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), near_dedup.NearDedupParams(shingle_words=2))
 
 
+def op1_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(read_table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("matches")
+
+
 QUERIES = {
+    "op1_token_fertility": op1_token_fertility,
+    "op8_license_scan": op8_license_scan,
     "op3_language_id": op3_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
