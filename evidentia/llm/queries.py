@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import fertility, language_id, license_scan, near_dedup
+from evidentia.llm import fertility, fingerprint, language_id, license_scan, near_dedup
 from evidentia.llm.common import read_table
 
 
@@ -20,12 +20,17 @@ def op1_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("matches")
 
 
 QUERIES = {
     "op1_token_fertility": op1_token_fertility,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op8_license_scan": op8_license_scan,
     "op3_language_id": op3_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
