@@ -28,7 +28,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Probability of any one letter given the fallback piece.
 FALLBACK = 1e-4
 #: Characters of text, about, whose distinct words are scored together.
-BATCH_CHARS = 32_000_000
+BATCH_CHARS = 8_000_000
 #: Positions after which the running probabilities of long words are scaled.
 RESCALE = 16
 
