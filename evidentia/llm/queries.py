@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidentia.llm import fertility, fingerprint, language_id, license_scan, near_dedup
+from evidentia.llm import fertility, fingerprint, language_id, license_scan, mixing, near_dedup, substring_dedup
 from evidentia.llm.common import read_table
 
 
@@ -20,6 +21,20 @@ def op1_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(read_table(spark, sf_dir, "documents"))
 
 
+#: documents have no domain; their sources are spread over three by a hash.
+DOMAIN = "case when substr(md5(coalesce(source, '')), 1, 1) < '6' then 'web' when substr(md5(coalesce(source, '')), 1, 1) < 'b' then 'forum' else 'reference' end"
+MIX_WEIGHTS = {"domain": {"web": 5, "forum": 2, "reference": 3}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("domain", F.expr(DOMAIN))
+    return mixing.mix(docs, mixing.MixParams(weights=MIX_WEIGHTS))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -30,8 +45,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_fertility": op1_token_fertility,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op8_license_scan": op8_license_scan,
+    "op2_source_mixture": op2_source_mixture,
     "op3_language_id": op3_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
