@@ -5,23 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidentia.llm import language_id
-from evidentia.llm.common import materialize, read_table
+from evidentia.llm import language_id, mixing, near_dedup, queries, sentencepiece_scan, substring_dedup
+from evidentia.llm.common import is_held_out, materialize, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Posterior probability below which the language counts as unknown.
+LEAST_SCORE = 0.5
+#: 80 % of the tokens, each document once at most.
+MIX = mixing.MixParams(weights=queries.MIX_WEIGHTS, budget_percent=80, max_epochs=1)
+
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model names: those without a letter go."""
-    model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    return language_id.predict(docs, model).where("lang_pred != 'und'").drop("lang_pred", "score")
+    """Documents whose language the model names; those without a letter, or of doubtful language, go."""
+    model = language_id.fit(docs.where(~is_held_out()))
+    scored = language_id.predict(docs, model)
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word runs are alike by 0.8 or more."""
+    return near_dedup.keep_one(docs)
+
+
+def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the runs of sentences that an earlier one has."""
+    return substring_dedup.remove_repeated_spans(docs).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the token budgets of domains, languages and sources choose."""
+    return mixing.select_mixture(docs.withColumn("domain", F.expr(queries.DOMAIN)), MIX).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and token ids of each document."""
+    return sentencepiece_scan.encode(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("language ID", keep_identified),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeated_spans),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
 ]
 
+#: Language models, MinHash and Viterbi can't be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -18,8 +18,10 @@ from itertools import chain, count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.llm.common import is_held_out, materialize
 from evidentia.llm.vocab import SPACE, TOKENIZER_DIR, PieceTable, model_bytes, piece_table
@@ -198,16 +200,18 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     alike. Columns of docs named lang_pred or score are replaced.
     """
     base = docs.drop("lang_pred", "score")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema)}, lang_pred string, score double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            chars = pdf["text"].str.len().fillna(0).cumsum() // BATCH_CHARS
-            for _, part in pdf.groupby(chars.to_numpy(), sort=False):
-                names, scores = score_texts(model, part["text"].tolist())
-                yield part.assign(lang_pred=names, score=scores)
-
-    return base.mapInPandas(run, schema)
+    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            place = np.cumsum([len(t or "") for t in texts]) // BATCH_CHARS
+            for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(place)) + 1):
+                names, scores = score_texts(model, texts[at[0] : at[-1] + 1] if len(at) else [])
+                part = b.slice(at[0] if len(at) else 0, len(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+
+    return base.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, max_docs_per_language: int = 1500) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import fertility, fingerprint, language_id, license_scan, mixing, near_dedup, substring_dedup
+from evidentia.llm import fertility, fingerprint, language_id, license_scan, mixing, near_dedup, sentencepiece_scan, substring_dedup
 from evidentia.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.MixParams(weights=MIX_WEIGHTS))
 
 
+def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(read_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
 
@@ -45,6 +49,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_fertility": op1_token_fertility,
+    "op4_sentencepiece_scan": op4_sentencepiece_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op8_license_scan": op8_license_scan,
