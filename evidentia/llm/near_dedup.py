@@ -7,9 +7,9 @@ gives all coordinates of the signature: coordinate k is the smallest permuted va
 Documents with equal sets are one class; a class stands for all its copies from there on. Classes that agree in a whole band
 of coordinates are candidates. A link is confirmed on the full sets. Groups are the connected components of the links.
 
-A band's bucket isn't compared pair by pair. First each class is compared with the smallest class of each of its buckets, and
-components are formed. Only where a bucket still holds several components, classes of different components are compared;
-pairs within one component can't change it.
+A band's bucket isn't compared pair by pair, for pairs within one component change nothing. First each class is compared with
+the smallest class of each of its buckets, and components are formed. Where a bucket still holds several, its largest is the
+main one, and the classes outside it are compared with the bucket's members, in blocks of which only links come out.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import materialize, small
 
+#: Classes of a bucket that one task compares with as many others, about.
+PART = 256
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,6 +161,50 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
+def _compare(p: NearDedupParams):
+    """Links between the classes that ask (role x) and those of a part of their bucket (role y), for one pair of parts."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (pdf[pdf["role"] == r] for r in "xy")
+        none = pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        if x.empty or y.empty:
+            return none
+        sets = [np.asarray(v) for v in [*x["hashes"], *y["hashes"]]]
+        sizes = np.array([len(v) for v in sets])
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        held = np.zeros((len(sets), column.max() + 1), np.float32)
+        held[np.repeat(np.arange(len(sets)), sizes), column] = 1
+        n, m = sizes[: len(x), None], sizes[None, len(x) :]
+        shared = np.rint(held[: len(x)] @ held[len(x) :].T).astype(np.int64)
+        linked = (p.den * shared >= p.num * (n + m - shared)) & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :])
+        i, j = np.nonzero(linked)
+        u, v = x["rep"].to_numpy()[i], y["rep"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}) if len(i) else none
+
+    return run
+
+
+def further_links(members: DataFrame, found: DataFrame, sets: DataFrame, p: NearDedupParams) -> DataFrame:
+    """Links between different components within a bucket.
+
+    Each class outside the bucket's main component is compared with all of the bucket: a pair of different components has one
+    such class. Both sides are dealt into parts of about PART by a hash; a task compares one part with another by a product of
+    matrices and returns the links only. Where a bucket has two classes, the star has compared them.
+    """
+    labels = found.withColumnRenamed("node", "rep")
+    labelled = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    kinds = labelled.groupBy("band", "h", "component").count()
+    mixed = kinds.groupBy("band", "h").agg(F.count("*").alias("kinds"), F.sum("count").alias("size"), F.max(F.struct("count", "component")).alias("most")).where("kinds > 1 and size > 2")
+    mixed = mixed.select("band", "h", F.col("most.component").alias("main"), F.ceil(F.col("size") / F.lit(PART)).alias("of_y"), F.ceil((F.col("size") - F.col("most.count")) / F.lit(PART)).alias("of_x"))
+    rest = materialize(labelled.join(mixed, ["band", "h"]).withColumn("u", F.xxhash64("rep")), "mixed")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    key = ["band", "h", "i", "j"]
+    x = rest.where("component != main").select("band", "h", F.pmod("u", "of_x").alias("i"), every("of_y").alias("j"), "rep", "component", F.lit("x").alias("role"))
+    y = rest.select("band", "h", every("of_x").alias("i"), F.pmod("u", "of_y").alias("j"), "rep", "component", F.lit("y").alias("role"))
+    both = x.unionByName(y).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    return both.groupBy(key).applyInPandas(_compare(p), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -169,28 +215,18 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     p = params
     signed = materialize(signatures(docs, p), "signatures")
     # a class by its smallest document
-    classes = materialize(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("rep", "n", F.posexplode("bands").alias("band", "h"))
-    stars = banded.groupBy("band", "h").agg(F.min(F.struct("rep", "n")).alias("star"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(banded.join(stars.select("band", "h", "star"), ["band", "h"]).select("band", "h", "rep", "n", F.col("star.rep").alias("star"), F.col("star.n").alias("star_n")), "members")
-    fits = lambda x, y: p.den * F.least(x, y) >= p.num * F.greatest(x, y)  # noqa: E731  sizes that can reach the threshold
-    pairs = materialize(members.where("rep != star").where(fits("n", "star_n")).select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    classes = materialize(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "h"))
+    stars = banded.groupBy("band", "h").agg(F.min("rep").alias("star"), F.count("*").alias("size")).where("size > 1")
+    members = materialize(banded.join(stars.select("band", "h", "star"), ["band", "h"]), "members")
+    pairs = materialize(members.where("rep != star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     met = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "met")
     sets = materialize(shingle_sets(docs.select("doc_id", "text").join(small(met), "doc_id", "left_semi"), p.shingle_words), "sets")
     links = materialize(verified(pairs, sets, p), "links")
     found = components(links)
-
-    # buckets that hold several components still
-    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("band", "h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("band", "h")
-    rest = materialize(labelled.join(mixed, ["band", "h"], "left_semi").select("band", "h", "rep", "n", "component"), "mixed")
-    x, y = (rest.select("band", "h", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "component")]) for k in "xy")
-    cross = x.join(y, ["band", "h"]).where("component_x != component_y and rep_x < rep_y").where(fits("n_x", "n_y")).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
-    cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
-    more = materialize(verified(cross, sets, p), "links")
+    more = materialize(further_links(members.drop("star"), found, sets, p), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-
     of_class = classes.select("set_key", F.col("rep").alias("node")).join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
