@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import fertility, fingerprint, language_id, license_scan, mixing, near_dedup, sentencepiece_scan, substring_dedup
+from evidentia.llm import fertility, fingerprint, html_extract, language_id, license_scan, mixing, near_dedup, pu_quality, sentencepiece_scan, substring_dedup
 from evidentia.llm.common import read_table
 
 
@@ -13,6 +13,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), near_dedup.NearDedupParams(shingle_words=2))
 
@@ -43,6 +47,10 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("matches")
 
@@ -52,9 +60,11 @@ QUERIES = {
     "op4_sentencepiece_scan": op4_sentencepiece_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_html_extraction": op7_html_extraction,
     "op8_license_scan": op8_license_scan,
     "op2_source_mixture": op2_source_mixture,
     "op3_language_id": op3_language_id,
+    "op9_pu_quality": op9_pu_quality,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
