@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from evidentia.plans import answers, corpus, retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **corpus.QUERIES, **answers.QUERIES}
+ORACLE_SQL: dict[str, str] = {**retrieval.ORACLE_SQL, **corpus.ORACLE_SQL, **answers.ORACLE_SQL}
