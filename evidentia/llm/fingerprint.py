@@ -1,8 +1,8 @@
 """Document fingerprints by one-permutation MinHash.
 
 The runs of a text's words are hashed once. The low bits of a hash choose one of `bins` bins, the others are its value; a bin
-keeps its smallest value. An empty bin takes the value of a bin that isn't empty, each equally likely and chosen by a hash of
-the two bins' numbers, so that two texts choose alike (optimal densification). Of each bin the lowest four bits are kept,
+keeps its smallest value. An empty bin tries others in an order of its own, given by hashes of its number, and takes the value
+of the first that isn't empty: each is equally likely, and two texts choose alike (optimal densification). Of each bin the lowest four bits are kept,
 sixteen bins in a long. The share of equal bins, less what equal bits come by chance, estimates the Jaccard likeness.
 
 All of it is expressions on arrays within a row.
@@ -18,6 +18,8 @@ from evidentia.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS = 4
+#: Bins that an empty bin tries by hashes, before all are ranked for it.
+PROBES = 8
 _PER_LONG = 64 // BITS
 #: Rows that a range of doc_ids should hold, and most ranges.
 RANGE_ROWS, MOST_RANGES = 5000, 1000
@@ -52,13 +54,18 @@ def _densified(smallest: Column, bins: int) -> Column:
     def fill(kept: Column) -> Column:
         numbers = F.transform(kept, lambda k: F.shiftrightunsigned(k, 56))
 
-        def of_bin(own: Column, b: Column) -> Column:
-            # the smallest hash of (empty bin, other bin) wins; its low byte is the other bin's place
+        def of_bin(own: Column, places: Column, b: Column) -> Column:
+            # places: of each bin its place among those that aren't empty, from 1, or 0
+            chosen = F.when(F.get(places, b.cast("int")) > 0, F.get(places, b.cast("int")))
+            for i in range(PROBES):
+                at = F.get(places, F.xxhash64(b, F.lit(i)).bitwiseAND(F.lit(bins - 1).cast("long")).cast("int"))
+                chosen = chosen.when(at > 0, at)
+            # none of the probes hit: the smallest hash of (empty bin, other bin) wins; its low byte is the other bin's place
             rank = F.array_min(F.transform(own, lambda n, i: F.xxhash64(b, n).bitwiseAND(F.lit(~255).cast("long")).bitwiseOR(i.cast("long"))))
-            at = F.array_position(own, b)
-            return F.get(kept, F.when(at > 0, at - 1).otherwise(rank.bitwiseAND(F.lit(255).cast("long"))).cast("int")).bitwiseAND(mask)
+            return F.get(kept, (chosen.otherwise(rank.bitwiseAND(F.lit(255).cast("long")) + 1) - 1).cast("int")).bitwiseAND(mask)
 
-        return _let(numbers, lambda own: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda b: of_bin(own, b)))
+        every = F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))
+        return _let(numbers, lambda own: _let(F.transform(every, lambda b: F.array_position(own, b)), lambda places: F.transform(every, lambda b: of_bin(own, places, b))))
 
     return _let(smallest, lambda kept: F.when(F.size(kept) > 0, fill(kept)).otherwise(F.array().cast("array<bigint>")))
 
