@@ -15,14 +15,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Posterior probability below which the language counts as unknown.
 LEAST_SCORE = 0.5
 #: 80 % of the tokens, each document once at most.
-MIX = mixing.MixParams(weights=queries.MIX_WEIGHTS, budget_percent=80, max_epochs=1)
+MIX = mixing.MixParams(levels=("evidentia_domain", "lang", "source"), weights=queries.MIX_WEIGHTS | {"evidentia_domain": queries.MIX_WEIGHTS["domain"]}, budget_percent=80, max_epochs=1)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model names; those without a letter, or of doubtful language, go."""
     model = language_id.fit(docs.where(~is_held_out()))
-    scored = language_id.predict(docs, model)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    scored = language_id.predict(docs, model, ("evidentia_lang", "evidentia_score"))
+    return scored.where((F.col("evidentia_lang") != "und") & (F.col("evidentia_score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,8 @@ def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the token budgets of domains, languages and sources choose."""
-    return mixing.select_mixture(docs.withColumn("domain", F.expr(queries.DOMAIN)), MIX).select(docs.columns)
+    named = docs.withColumn("evidentia_domain", F.expr(queries.DOMAIN))
+    return mixing.select_mixture(named, MIX).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +53,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def is_held_out(doc_id: str = "doc_id"):
     """crc32 of the id's text leaves 2 modulo 4."""
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+#: Bytes of text, about, that a Python task works on at a time.
+SLICE_BYTES = 2_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each part holds about that many bytes of the column, or one row."""
+    for b in batches:
+        ends = np.frombuffer(b.column(column).buffers()[1], np.int32 if b.column(column).type == pa.string() else np.int64)[b.column(column).offset :][1 : b.num_rows + 1]
+        place = (ends - (ends[0] if len(ends) else 0)) // most
+        at = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), b.num_rows]
+        for i, j in zip(at, at[1:], strict=False):
+            if j > i:
+                yield b.slice(i, j - i)

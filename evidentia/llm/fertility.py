@@ -14,11 +14,11 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import materialize, small
+from evidentia.llm.common import materialize, slices, small
 from evidentia.llm.vocab import TOKENIZER_DIR, model_bytes
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -109,18 +109,20 @@ def measure(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """doc_id, lang_or_script and all figures of each whole text; a null text counts as one without words."""
     model = model_bytes(tokenizer_dir)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(model)
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
+        for b in slices(batches):
+            texts = [t or "" for t in b.column("text").to_pylist()]
             words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
             base = np.array([base_figures(t, w) for t, w in zip(texts, words, strict=True)], np.int64).reshape(-1, 4)
-            token = pd.DataFrame(encoder.batch(words), columns=FIGURES, dtype=float)
-            bands = [lang if isinstance(lang, str) else dominant_script(t) for lang, t in zip(pdf["lang"], texts, strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "band": bands, "n_words": [len(w) for w in words]} | dict(zip(("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), base.T, strict=True)) | {c: token[c] for c in FIGURES})
+            token = list(zip(*encoder.batch(words), strict=True)) or [()] * 3
+            bands = [lang if lang else dominant_script(t) for lang, t in zip(b.column("lang").to_pylist(), texts, strict=True)]
+            out = {"doc_id": b.column("doc_id"), "band": pa.array(bands, pa.string()), "n_words": pa.array([len(w) for w in words], pa.int64())}
+            out |= {c: pa.array(base[:, k]) for k, c in enumerate(("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
+            yield pa.RecordBatch.from_pydict(out | {c: pa.array(v, pa.float64()) for c, v in zip(FIGURES, token, strict=True)})
 
     schema = "doc_id long, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, byte_share double, entropy double"
-    return docs.select("doc_id", "text", "lang").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, schema)
 
 
 def bands(measured: DataFrame, params: FertilityParams = FertilityParams()) -> DataFrame:

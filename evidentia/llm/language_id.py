@@ -23,14 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import is_held_out, materialize
+from evidentia.llm.common import is_held_out, materialize, slices
 from evidentia.llm.vocab import SPACE, TOKENIZER_DIR, PieceTable, model_bytes, piece_table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Probability of any one letter given the fallback piece.
 FALLBACK = 1e-4
-#: Characters of text, about, whose distinct words are scored together.
-BATCH_CHARS = 8_000_000
 #: Positions after which the running probabilities of long words are scaled.
 RESCALE = 16
 
@@ -193,23 +191,19 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     return names, scores
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of docs, then lang_pred and score.
+def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, then the language and its score, under these names.
 
     A null text or one without a letter gets `und` and 0. Ties go to the language that sorts first. Repeated rows are scored
-    alike. Columns of docs named lang_pred or score are replaced.
+    alike. Columns of docs with those names are replaced.
     """
-    base = docs.drop("lang_pred", "score")
-    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    base = docs.drop(*names)
+    schema = T.StructType([*base.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            place = np.cumsum([len(t or "") for t in texts]) // BATCH_CHARS
-            for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(place)) + 1):
-                names, scores = score_texts(model, texts[at[0] : at[-1] + 1] if len(at) else [])
-                part = b.slice(at[0] if len(at) else 0, len(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+        for b in slices(batches):
+            found, scores = score_texts(model, b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *names])
 
     return base.mapInArrow(run, schema)
 

@@ -20,11 +20,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import materialize, small
+from evidentia.llm.common import materialize, slices, small
 
 #: Classes of a bucket that one task compares with as many others, about.
 PART = 256
@@ -103,11 +104,11 @@ def band_hashes(sig: np.ndarray, p: NearDedupParams) -> np.ndarray:
 def signatures(docs: DataFrame, p: NearDedupParams) -> DataFrame:
     """doc_id, n_shingles, set_key (null for an empty set), bands."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
             shingle, bands = Shingler(p.shingle_words), {}
             n, keys, out = [], [], []
-            for text in pdf["text"]:
+            for text in b.column("text").to_pylist():
                 s = shingle(text)
                 key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 if key and key not in bands:
@@ -115,20 +116,20 @@ def signatures(docs: DataFrame, p: NearDedupParams) -> DataFrame:
                 n.append(len(s))
                 keys.append(key)
                 out.append(bands.get(key))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "set_key": keys, "bands": out})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "set_key": pa.array(keys, pa.binary()), "bands": pa.array(out, pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """doc_id and the sorted hashes of its set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
             shingle = Shingler(size)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "hashes": [shingle(t).view(np.int64) for t in pdf["text"]]})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "hashes": pa.array([shingle(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, hashes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: NearDedupParams) -> DataFrame:
@@ -210,12 +211,13 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
 
     component_id is the smallest doc_id that links reach, itself included; kept marks that document. A null or empty text, or
     one without words, has 0 shingles and is its own component. Rows with equal sets are linked. Other columns are ignored.
-    doc_id must not repeat; an empty table gives an empty result.
+    doc_id must not repeat. A row without doc_id is linked with nothing: it has the component of its copies, if any, and isn't
+    kept. An empty table gives an empty result.
     """
     p = params
     signed = materialize(signatures(docs, p), "signatures")
     # a class by its smallest document
-    classes = materialize(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.posexplode("bands").alias("band", "h"))
     stars = banded.groupBy("band", "h").agg(F.min("rep").alias("star"), F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(stars.select("band", "h", "star"), ["band", "h"]), "members")
@@ -230,10 +232,10 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     of_class = classes.select("set_key", F.col("rep").alias("node")).join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(docs: DataFrame, params: NearDedupParams = NearDedupParams()) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group, the document with the smallest doc_id stays."""
+    """The rows of docs without near-duplicates: of each group, the document with the smallest doc_id stays. Rows without doc_id stay."""
     gone = materialize(near_duplicates(docs, params).where("not kept").select("doc_id"), "gone")
     return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import is_held_out
+from evidentia.llm.common import is_held_out, slices
 
 _SYMBOL = re.compile(r"[#*$%&|<>=_~^{}\[\]\\/@+]")
 _SENTENCE = re.compile(r"[.!?]+(?:\s|$)")
@@ -63,7 +63,7 @@ def measure(docs: DataFrame) -> DataFrame:
     """doc_id and x, the features of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "x": pa.array(x, pa.list_(pa.float64()))})
 
@@ -158,7 +158,7 @@ def score(docs: DataFrame, network: Network, threshold: float = 0.7) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([features(t) for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(network.score(x), pa.float64())})
 

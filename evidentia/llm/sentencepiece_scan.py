@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import materialize
+from evidentia.llm.common import materialize, slices
 from evidentia.llm.vocab import SPACE, TOKENIZER_DIR, model_bytes
 
 CHUNK = 1 << 15
@@ -38,7 +38,7 @@ BLOCK = 64
 IMPOSSIBLE = -(1 << 60)
 _UNITS = re.compile(r" *[^ ]+| +")
 #: Distinct units that a task keeps.
-KEPT_UNITS = 200_000
+KEPT_UNITS = 100_000
 
 
 class Encoder:
@@ -283,7 +283,7 @@ def encode(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, chunk: int = CHU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model)
-        for b in batches:
+        for b in slices(batches):
             strings = b.column("text").to_pylist()
             ids = [None if t is None else np.array(e.encode(t), np.int32) for t in strings]
             ok = [t is None or t == "" or e.decode(x) == t for t, x in zip(strings, ids, strict=True)]
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, chunk: int = CHU
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())), "restored": pa.array(ok, pa.bool_())})
 
     out = "doc_id long, n_tokens long, ids array<int>, restored boolean"
-    is_giant = F.coalesce(F.char_length("text") > chunk, F.lit(False))
+    is_giant = F.coalesce((F.char_length("text") > chunk) & F.col("doc_id").isNotNull(), F.lit(False))
     direct = texts.where(~is_giant).mapInArrow(run, out)
 
     chunks = materialize(_chunks(texts.where(is_giant), chunk, longest), "chunks")

@@ -1,7 +1,7 @@
 """Repeated passages: runs of consecutive sentences that occur more than once in the corpus.
 
 Each text is cut into sentences; nothing is lost, white space stays with the sentence before it. At every sentence begins a
-run: the shortest one of at least `sentences` sentences and `words` words. Runs are hashed over their lower-cased words and
+run, and at every one a run ends: the shortest one of at least `sentences` sentences and `words` words. Runs are hashed over their lower-cased words and
 joined globally. The first occurrence of a run is that in the smallest doc_id, and there the earliest; all sentences that any
 other occurrence covers are removed.
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import materialize
+from evidentia.llm.common import materialize, slices
 
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 _WORDS = re.compile(r"\S+\s*")
@@ -82,30 +82,33 @@ def split_sentences(text: str, p: SpanParams) -> list[str]:
     return out
 
 
-def run_hashes(sentences: list[str], p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and end (exclusive) of the run that begins at each sentence; runs that the text's end cuts off are absent."""
+def run_hashes(sentences: list[str], p: SpanParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end (exclusive) of each run, by start and end."""
     split = [s.encode("utf-8", "surrogatepass").lower().split() for s in sentences]
     n = len(split)
-    n_words = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
+    words = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
     h = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(x)) for x in split), np.uint64, n)
-    ends = np.maximum(np.arange(n) + p.sentences, np.searchsorted(n_words, n_words[:n] + p.words))
-    ends = ends[ends <= n]
+    every = np.arange(n)
+    onward = np.maximum(every + p.sentences, np.searchsorted(words, words[:n] + p.words))
+    back = np.minimum(every + 1 - p.sentences, np.searchsorted(words, words[1:] - p.words, side="right") - 1)
+    starts, ends = np.concatenate([every[onward <= n], back[back >= 0]]), np.concatenate([onward[onward <= n], every[back >= 0] + 1])
+    _, first = np.unique(starts * (n + 1) + ends, return_index=True)
+    starts, ends = starts[first], ends[first]
     if not len(ends):
-        return np.zeros(0, np.int64), ends
+        return np.zeros(0, np.int64), starts, ends
     grow = np.cumprod(np.full(n, _BASE, np.uint64))
     shrink = np.cumprod(np.full(n, _INVERSE, np.uint64))
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * grow, dtype=np.uint64)])
-    run = (prefix[ends] - prefix[: len(ends)]) * shrink[: len(ends)]
-    x = run ^ (ends - np.arange(len(ends))).astype(np.uint64)
+    x = ((prefix[ends] - prefix[starts]) * shrink[starts]) ^ (ends - starts).astype(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(31))).view(np.int64), ends
+    return (x ^ (x >> np.uint64(31))).view(np.int64), starts, ends
 
 
 def spans(docs: DataFrame, p: SpanParams) -> DataFrame:
-    """doc_id, at, h: the earliest occurrence of each run within each document."""
+    """doc_id, at, h: the earliest occurrence of each run within each document; at is its place among the runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ats, hashes = [], []
             for text in b.column("text").to_pylist():
                 h = run_hashes(split_sentences(text, p), p)[0] if text else np.zeros(0, np.int64)
@@ -118,19 +121,19 @@ def spans(docs: DataFrame, p: SpanParams) -> DataFrame:
     return runs.select("doc_id", F.explode(F.arrays_zip("ats", "hs")).alias("s")).select("doc_id", F.col("s.ats").alias("at"), F.col("s.hs").alias("h"))
 
 
-def cut(text: str | None, starts: list[int] | None, p: SpanParams) -> tuple[str | None, int, int]:
-    """The text without the runs at the given sentences and without runs that stood earlier in it; sentences, removed ones."""
+def cut(text: str | None, runs: list[int] | None, p: SpanParams) -> tuple[str | None, int, int]:
+    """The text without the given runs and without runs that stood earlier in it; sentences, removed ones."""
     if not text:
         return text, 0, 0
     sentences = split_sentences(text, p)
-    h, ends = run_hashes(sentences, p)
+    h, starts, ends = run_hashes(sentences, p)
     gone = np.zeros(len(sentences) + 1, np.int64)
     _, first = np.unique(h, return_index=True)
     drop = np.ones(len(h), bool)
     drop[first] = False
-    drop[list(starts or ())] = True
+    drop[list(runs or ())] = True
     at = np.flatnonzero(drop)
-    np.add.at(gone, at, 1)
+    np.add.at(gone, starts[at], 1)
     np.add.at(gone, ends[at], -1)
     covered = np.cumsum(gone)[:-1] > 0
     if not covered.any():
@@ -143,20 +146,20 @@ def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) ->
 
     n_chars, where there is one, follows the text. A null text stays null and an empty one empty, with 0 sentences; a text all
     of whose sentences are repeated becomes empty. Repeated rows are repeats like others: the one with the smallest doc_id
-    keeps its text. doc_id must not be null or repeat. Columns of docs named n_sentences or n_removed are replaced.
+    keeps its text. doc_id must not repeat; a row without one loses only what it repeats itself. Columns of docs named n_sentences or n_removed are replaced.
     """
     p = params
     docs = docs.drop(*COUNTED)
     found = materialize(spans(docs, p), "spans")
     # a run occurs once in a document at most here, so two documents make it a repeated one
     repeated = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("h", "first")
-    later = found.join(repeated, "h").where("doc_id != first").groupBy(F.col("doc_id").alias("cut_doc")).agg(F.collect_list("at").alias(CUTS))
-    marked = docs.join(materialize(later, "cuts"), F.col("doc_id") == F.col("cut_doc"), "left").drop("cut_doc")
+    later = found.join(repeated, "h").where("doc_id != first").groupBy(F.col("doc_id").alias("evidentia_doc")).agg(F.collect_list("at").alias(CUTS))
+    marked = docs.join(materialize(later, "cuts"), F.col("doc_id") == F.col("evidentia_doc"), "left").drop("evidentia_doc")
     names, counts = docs.columns, "n_chars" in docs.columns
     fields = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTED]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             done = [cut(t, s, p) for t, s in zip(b.column("text").to_pylist(), b.column(CUTS).to_pylist(), strict=True)]
             cols = {c: b.column(c) for c in names}
             cols["text"] = pa.array([x[0] for x in done], pa.string())

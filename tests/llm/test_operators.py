@@ -1,0 +1,365 @@
+"""Each operator against a plain Python version, on small tables with nulls, empty and long texts, ties, copies and odd columns."""
+
+import hashlib
+import itertools
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evidentia.llm import fertility, fingerprint, html_extract, language_id, license_scan, mixing, near_dedup, pu_quality, sentencepiece_scan, substring_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, h string, count string, component string"
+
+
+def _prose(r, n, words="the and of reading water stone light under over house river long small people time year work place hand eye".split()):
+    return " ".join(r.choice(words) + r.choice(["", "", "", ".", ","]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(7)
+    base = [_prose(r, n) for n in (60, 60, 120, 300, 5, 1)]
+    near = base[2].replace("stone", "brick", 1)
+    german = " ".join(r.choice("der die und nicht straße über schön häuser fließen".split()) for _ in range(80))
+    texts = [None, "", "   \n ", *base, base[0], base[0], near, german, "Released under the MIT License.", "### $$$ !!! " * 40, "漢字かな " * 30, "a" * 3000, _prose(r, 9000), "line one here is long enough to count as a sentence.\n" * 4]
+    return [(i, t, None if i % 5 == 0 else ("de" if t == german else "en"), None if i % 7 == 0 else f"s{i % 3}", len(t or ""), "x", "y", "z", "c", "q") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def got(df, key="doc_id"):
+    out = {r[key]: r for r in df.collect()}
+    assert len(out) == df.count()
+    return out
+
+
+def test_fertility(docs, empty, rows):
+    found = got(fertility.judge(docs))
+    assert len(found) == len(rows)
+    for i, text, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        threes = list(zip(words, words[1:], words[2:]))
+        n = Counter(threes)
+        inside = {i + k for i, t in enumerate(threes) if n[t] > 1 for k in range(3)}
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = found[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside))
+        assert r.base_failed == (len(words) < 50 or 100 * len(inside) > 50 * len(words))
+        assert not (r.base_failed and r.kept)
+    assert fertility.judge(empty).count() == 0
+
+
+def test_fertility_rejects_what_lies_outside_its_band(spark):
+    r = random.Random(3)
+    normal = [(i, _prose(r, 200), "en") for i in range(60)]
+    odd = (99, " ".join("".join(r.choice("qxzjvkw") for _ in range(9)) for _ in range(200)), "en")
+    found = got(fertility.judge(spark.createDataFrame([*normal, odd], "doc_id long, text string, lang string")))
+    assert not found[99].kept and all(found[i].kept for i in range(60))
+
+
+def test_mixing_matches_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(["w"] * r.randint(0, 30)), r.choice(["a", "a", "b"]), r.choice(["en", "de", None]), f"s{r.choice([0, 0, 0, 1, 2])}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string, source string")
+    p = mixing.MixParams(weights={"domain": {"a": 1, "b": 3}, "lang": {"en": 2}, "source": {"s2": 0}}, budget_percent=80, max_epochs=2)
+    tokens = {i: len(t.split()) for i, t, *_ in rows}
+    path = {i: (d, l or "", s) for i, _, d, l, s in rows}
+    weight = lambda level, v: p.weights.get(p.levels[level], {}).get(v, 1)
+    supply = Counter()
+    for i, leaf in path.items():
+        supply[leaf] += tokens[i]
+    able = {leaf: s * p.max_epochs if all(weight(k, v) for k, v in enumerate(leaf)) else 0 for leaf, s in supply.items()}
+
+    def share(prefix, budget):
+        if len(prefix) == 3:
+            return {prefix: int(budget)}
+        kids = sorted({leaf[: len(prefix) + 1] for leaf in able if leaf[: len(prefix)] == prefix})
+        cap = {k: sum(v for leaf, v in able.items() if leaf[: len(k)] == k) for k in kids}
+        left, open_, given = budget, [k for k in kids if cap[k] > 0], {}
+        while open_:
+            rate = left / sum(weight(len(prefix), k[-1]) for k in open_)
+            full = [k for k in open_ if cap[k] <= rate * weight(len(prefix), k[-1])]
+            if not full:
+                given |= {k: rate * weight(len(prefix), k[-1]) for k in open_}
+                break
+            for k in full:
+                given[k] = cap[k]
+                left -= cap[k]
+            open_ = [k for k in open_ if k not in full]
+        out = {}
+        for k in given:
+            out |= share(k, given[k])
+        return out
+
+    budgets = share((), min(sum(able.values()), sum(supply.values()) * 80 // 100))
+    expected = {}
+    for leaf, s in supply.items():
+        b = budgets.get(leaf, 0)
+        epochs, rest = divmod(b, s) if s else (0, 0)
+        order = sorted((int(hashlib.md5(f"{p.seed}:{epochs + 1}:{i}".encode()).hexdigest()[:8], 16), i) for i in path if path[i] == leaf)
+        total, more = 0, True
+        for _, i in order:
+            total += tokens[i]
+            more = more and total <= rest and rest > 0
+            expected[i] = epochs + more
+    found = {i: r.n_copies for i, r in got(mixing.mix(docs, p)).items()}
+    assert found == expected
+    assert mixing.select_mixture(docs, p).count() == sum(expected.values())
+    assert mixing.mix(docs.limit(0), p).count() == 0
+
+
+def test_mixing_handles_odd_rows(docs, empty):
+    p = mixing.MixParams(levels=("lang", "source"))
+    assert mixing.mix(docs, p).count() == docs.count()
+    assert mixing.select_mixture(docs, p).columns == docs.columns
+    assert mixing.select_mixture(empty, p).count() == 0
+
+
+def test_language_id(docs, empty, rows, spark):
+    found = got(language_id.identify(docs))
+    assert set(found) == {r[0] for r in rows}
+    assert [found[i].lang_pred for i in (0, 1, 2)] == ["und"] * 3 and all(found[i].score == 0 for i in (0, 1, 2))
+    assert all(0 <= r.score <= 1 for r in found.values())
+    assert found[12].lang_pred == "de" and found[6].lang_pred == "en"
+    assert language_id.identify(empty).count() == 0
+    model = language_id.fit(docs)
+    kept = language_id.predict(docs, model, ("l", "s"))
+    assert kept.columns == [*docs.columns, "l", "s"] and kept.count() == docs.count()
+
+
+def test_language_forward_sums_all_segmentations():
+    table = language_id.piece_table(language_id.model_bytes())
+    r = np.random.default_rng(0)
+    probs = r.random((len(table.pieces) + 2, 2)) * 0.01
+    probs[-1] = 0
+    words = ["in", "water", "ée", "一x", "q" * 40]
+
+    def brute(word, j):
+        t = "▁" + word
+        best = [1.0] + [0.0] * len(t)
+        for e in range(1, len(t) + 1):
+            for s in range(max(0, e - table.longest), e):
+                i = table.by_text.get(t[s:e], -2 if e - s == 1 else None)
+                if i is not None:
+                    best[e] += best[s] * probs[i, j]
+        return np.log(best[-1])
+
+    found = language_id.word_log_probs(table, probs, words)
+    assert np.allclose(found, [[brute(w, j) for j in range(2)] for w in words])
+
+
+def test_sentencepiece_is_exact_whatever_the_chunks(spark, docs, empty, rows):
+    e = sentencepiece_scan.encoder(sentencepiece_scan.model_bytes())
+
+    def whole(t):
+        if not t:
+            return []
+        t = " " + t
+        _, back = e.viterbi(t, {0: 0}, len(t), len(t))
+        return e.trace(t, back, len(t))[0]
+
+    r = random.Random(2)
+    odd = ["".join(r.choice(a) for _ in range(r.randint(1, 200))) for a in ("ab ", "aaa", "é\n▁ 漢😀 ", "er in  on ") for _ in range(3)]
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    short = docs.where("length(text) < 4000 or text is null").select("doc_id", "text").unionByName(more)
+    texts = {r[0]: r[1] for r in short.collect()}
+    for chunk in (23, 1000):
+        found = got(sentencepiece_scan.encode(short, chunk=chunk))
+        assert {i: list(x.ids or []) for i, x in found.items()} == {i: whole(t) for i, t in texts.items()}
+        assert all(x.restored for x in found.values())
+    back = got(sentencepiece_scan.decode(sentencepiece_scan.encode(docs)))
+    assert {i: x.text for i, x in back.items()} == {r[0]: r[1] for r in rows}
+    assert sentencepiece_scan.encode(empty).count() == 0
+
+
+def test_substring_dedup(docs, empty, rows):
+    p = substring_dedup.SpanParams()
+    found = got(substring_dedup.remove_repeated_spans(docs))
+    seen = set()
+    for i, text, *_ in rows:
+        s = substring_dedup.split_sentences(text or "", p)
+        assert "".join(s) == (text or "")
+        n = [len(x.split()) for x in s]
+        gone, enough = set(), lambda a, b, n=n: b - a >= p.sentences and sum(n[a:b]) >= p.words
+        onward = {(a, next((b for b in range(a, len(s) + 1) if enough(a, b)), None)) for a in range(len(s))}
+        back = {(next((a for a in range(b, -1, -1) if enough(a, b)), None), b) for b in range(1, len(s) + 1)}
+        for a, b in sorted(x for x in onward | back if None not in x):
+            k = tuple(b" ".join(x.encode().lower().split()) for x in s[a:b])
+            if k in seen:
+                gone |= set(range(a, b))
+            seen.add(k)
+        expected = None if text is None else "".join(x for k, x in enumerate(s) if k not in gone)
+        assert found[i].text == expected, i
+        assert found[i].n_removed == len(gone) and found[i].n_chars == len(expected or "")
+    assert found[9].text == "" and found[10].text == ""
+    assert substring_dedup.remove_repeated_spans(empty).count() == 0
+
+
+def test_passages_are_found_anywhere(spark):
+    r = random.Random(11)
+    long_words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    passage = " ".join(long_words[:70])  # without a full stop
+    a, b = " ".join(long_words[100:160]), " ".join(long_words[200:280])
+    docs = spark.createDataFrame([(1, f"{a}. {passage}. {b}"), (2, f"{b[::-1]} {passage} {a[::-1]}")], "doc_id long, text string")
+    found = got(substring_dedup.remove_repeated_spans(docs))
+    assert found[1].n_removed == 0
+    left = set(found[2].text.split()) & set(passage.split())
+    assert len(left) < 35
+
+
+def test_near_duplicates_match_brute_force(docs, empty, spark, rows):
+    def brute(texts, size, num):
+        sets = {}
+        for i, t in texts.items():
+            w = (t or "").encode().lower().split()
+            sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+        top = {i: i for i in sets}
+
+        def root(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a, b in itertools.combinations(sets, 2):
+            n = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * n >= num * (len(sets[a]) + len(sets[b]) - n):
+                x, y = root(a), root(b)
+                top[max(x, y)] = min(x, y)
+        return {i: root(i) for i in sets}, {i: len(s) for i, s in sets.items()}
+
+    r = random.Random(1)
+    base = [f"w{r.randint(0, 999)}" for _ in range(80)]
+    loose = {}
+    for i in range(60):  # a large group of loose copies, with links that don't all go to the first
+        w = list(base)
+        for k in r.sample(range(80), r.choice([0, 1, 2, 3, 4, 5])):
+            w[k] = f"n{r.randint(0, 99999)}"
+        loose[5000 + i] = " ".join(w)
+    for size in (2, 5):
+        texts = {r[0]: r[1] for r in rows} | loose
+        df = docs.select("doc_id", "text", "score", "h").unionByName(spark.createDataFrame(list(loose.items()), "doc_id long, text string").select("*", F.lit("x").alias("score"), F.lit("x").alias("h")))
+        found = got(near_dedup.near_duplicates(df, near_dedup.NearDedupParams(shingle_words=size)))
+        components, sizes = brute(texts, size, 80)
+        assert {i: x.component_id for i, x in found.items()} == components
+        assert {i: x.n_shingles for i, x in found.items()} == sizes
+        assert all(x.kept == (i == components[i]) for i, x in found.items())
+    assert near_dedup.keep_one(docs).columns == docs.columns
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_a_row_without_id(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
+    assert near_dedup.keep_one(df).count() == 3
+    assert sentencepiece_scan.encode(df, chunk=3).count() == 3
+    assert substring_dedup.remove_repeated_spans(df).count() == 3
+
+
+def test_fingerprints(docs, empty, rows):
+    found = got(fingerprint.edited_fingerprints(docs))
+    order = sorted(rows, key=lambda r: -r[0])
+    for k, (i, text, *_) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        n = len(text) // 3
+        edited = text[: len(text) - n] + after[:n]
+        assert found[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and found[i].n_chars == len(text)
+        assert 0 <= found[i].near_edited <= 1 and 0 <= found[i].near_next <= 1
+    assert found[3].fingerprint == found[9].fingerprint == found[10].fingerprint and found[3].fingerprint != found[4].fingerprint
+    assert found[0].fingerprint == "" and found[0].near_edited == 1
+    assert fingerprint.edited_fingerprints(empty).count() == 0
+
+
+def test_fingerprint_likeness_is_near_the_truth(spark):
+    r = random.Random(4)
+    rows, truth = [], {}
+    for i in range(40):
+        a = [f"w{r.randint(0, 9999)}" for _ in range(300)]
+        b = a[: 300 - 7 * i] + [f"v{r.randint(0, 9999)}" for _ in range(7 * i)]
+        s = [{tuple(x[k : k + 5]) for k in range(296)} for x in (a, b)]
+        truth[i] = len(s[0] & s[1]) / len(s[0] | s[1])
+        rows.append((i, " ".join(a), " ".join(b)))
+    df = spark.createDataFrame(rows, "i int, a string, b string").select("i", fingerprint.fingerprint(F.col("a")).alias("a"), fingerprint.fingerprint(F.col("b")).alias("b"))
+    error = [truth[x.i] - x.n for x in df.select("i", fingerprint.likeness(F.col("a"), F.col("b")).alias("n")).collect()]
+    assert abs(np.mean(error)) < 0.02 and np.max(np.abs(error)) < 0.13
+
+
+def test_licences(docs, empty, spark, rows):
+    found = got(license_scan.scan(docs))
+    for i, text, *_ in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        places = [(k, label) for phrase, label in license_scan.BASE_PHRASES for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        r = found[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    texts = ["Under the MIT-License; CC-BY-NC, cc by nc", "This work is licensed under the GNU General Public License, version 3.", "The license of the general version is public.", "İ K under the mit license"]
+    more = got(license_scan.scan(docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))))
+    assert more[900].base_labels == "cc-by-nc,mit" and more[900].n_base == 3
+    assert more[901].labels == "gpl-3" and more[901].base_labels == ""
+    assert more[902].labels == "" and more[903].first_word == 2
+    assert license_scan.scan(empty).count() == 0
+
+
+def test_quality(spark, empty, docs):
+    r = random.Random(9)
+    good = [(i, _prose(r, 120), 1) for i in range(300)]
+    bad = [(1000 + i, " ".join(r.choice(["###", "$$$", "!!!", "BUY"]) for _ in range(120)), 0) for i in range(100)]
+    rows = good + bad
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if i % 2], "doc_id long, quality int, toxic int")
+    found = got(pu_quality.classify(d, labels, pu_quality.PuParams(rounds=300)))
+    assert np.mean([found[i].predicted == q for i, _, q in rows]) > 0.95
+    assert all(0 <= x.score <= 1 for x in found.values())
+    network = pu_quality.fit(d, labels.where("quality = 1").select("doc_id"), pu_quality.PuParams(rounds=100))
+    assert pu_quality.score(docs, network).count() == docs.count()
+    assert pu_quality.classify(empty, labels, pu_quality.PuParams(rounds=10)).count() == 0
+
+
+def test_prior_is_the_share_of_positives():
+    r = np.random.default_rng(0)
+    p, n = r.normal(2, 1, 5000), r.normal(-2, 1, 5000)
+    u = np.concatenate([p[:3500] + 0.0, n[:1500]])
+    assert abs(pu_quality.estimate_prior(r.normal(2, 1, 5000), u) - 0.7) < 0.05
+
+
+PAGE = """<html><head><title>t</title><script>var x="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav>
+<div class="cookie-notice">We use cookies</div><article><h1>A &amp; B</h1><p>First   paragraph with <b>bold</b> and <a href="#">a link</a> in it.<p>Second one, unclosed.<br>
+<ul><li>Item one of the list<li>Item two of the list</ul><aside class="sidebar">Read also</aside></article><div id="comments"><div class="comment"><p>Nice post, thanks.</p></div></div>
+<form class="newsletter"><p>Subscribe now</p></form><footer>&copy; 2024</footer></body></html>"""
+
+
+def test_pages(spark):
+    r = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, "u", "<p"), (5, "u", PAGE), (6, None, "<div>" * 5000 + "x"), (7, "u", "<article><p>Cut off here")]
+    pages = spark.createDataFrame(r, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    found = got(html_extract.extract(pages), "page_id")
+    assert found[1].text.split("\n") == ["A & B", "First paragraph with bold and a link in it.", "Second one, unclosed.", "Item one of the list", "Item two of the list"]
+    assert found[5].text == found[1].text and found[1].n_chars == len(found[1].text)
+    assert [found[i].text for i in (2, 3, 4)] == ["", "", ""]
+    assert found[7].text == "Cut off here"
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_tree_messages_match_enumeration():
+    r = random.Random(0)
+    parents = [-1, 0, 0, 1, 1, 2]
+    theta = [(r.gauss(0, 1), r.gauss(0, 1)) for _ in parents]
+    edge = tuple(r.gauss(0, 1) for _ in range(4))
+    weight = {y: np.exp(sum(theta[k][v] for k, v in enumerate(y)) + sum(edge[2 * y[parents[k]] + y[k]] for k in range(1, 6))) for y in itertools.product((0, 1), repeat=6)}
+    z = sum(weight.values())
+    prob, pairs, log_z = html_extract.marginals(parents, theta, edge)
+    assert np.isclose(log_z, np.log(z))
+    for k in range(6):
+        assert np.isclose(prob[k], sum(w for y, w in weight.items() if y[k]) / z)
+        if k:
+            assert np.isclose(pairs[k][1], sum(w for y, w in weight.items() if not y[parents[k]] and y[k]) / z)
