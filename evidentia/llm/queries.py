@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import fertility, fingerprint, html_extract, language_id, license_scan, mixing, near_dedup, pu_quality, sentencepiece_scan, substring_dedup
 from evidentia.llm.common import read_table
+from evidentia.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +68,3 @@ QUERIES = {
     "op9_pu_quality": op9_pu_quality,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
