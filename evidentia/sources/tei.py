@@ -102,9 +102,13 @@ def treatise_sections(work: ET.Element) -> Iterator[dict]:
         if _name(e) == "milestone":
             note(e)
         if _name(e) == "p":
-            first = next((x for x in e if not (e.text or "").strip()), None)
-            if first is not None and _name(first) == "milestone":
-                note(first)
+            if not (e.text or "").strip():
+                for x in e:  # milestones before the first word
+                    if _name(x) != "milestone":
+                        break
+                    note(x)
+                    if (x.tail or "").strip():
+                        break
             start = place()
             text = re.sub(r"\s+", " ", text_of(e)).strip()
             end = place()
