@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from evidentia.functions.profile import SAMPLE
 from evidentia.functions.text import NORMALIZE_SQL, TOKENS_SQL
 from evidentia.operators import answers, citations, claims, search
 from evidentia.plans.adapter import EVERY, questions, table, texts, vectors
-from evidentia.plans.retrieval import LOOSE, _scored, _staged_sql
+from evidentia.plans.retrieval import LOOSE, _profile_sql, _scored, _staged_sql
 
 
 def query_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def json_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each question cites the works of its first two chunks, the second with a page; chunks have a page range."""
-    selected = _selected(spark, sf_dir)
+    selected = _selected(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # read twice; max_chunks rows a question
     page = F.col("chunk_id") % 300
     chunks = selected.select("query_id", "chunk_id", "collection", "work_title", "author", "text", F.lit("page").alias("system"), page.cast("string").alias("value"), (page + 3).cast("string").alias("range_end"))
     asked = texts(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("question"))
@@ -126,7 +127,22 @@ _flat = r"trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))"
 _JUDGED = f"""j AS (SELECT doc_id, lang, list_concat({_said('answer lacks: ', 'quality = 1', "['the', 'De']", f"NOT contains({_flat}, lower(x))")}, {_said('answer has: ', 'quality = 0', "['###', '!!']", f"contains({_flat}, x)")},
 {_said('not retrieved: ', 'toxic = 0', "[upper(lang)]", "NOT list_contains([source, lang], lower(x))")}, {_said('retrieved: ', 'toxic = 1', "['src1', 'FR']", "list_contains([source, lang], lower(x))")},
 CASE WHEN quality = 1 AND n_chars <= 2000 THEN ['level interpretive'] ELSE [] END, CASE WHEN doc_id % 3 < 1 THEN ['too few citations'] ELSE [] END, CASE WHEN n_chars % 4 > 2 THEN ['too many ungrounded citations'] ELSE [] END) AS f FROM documents LEFT JOIN labels USING (doc_id))"""
+_both = lambda k: f"len(list_intersect(qp.{k}, kp.{k}))"
+_MATCHED = f"""{_staged_sql(LOOSE)},
+{_profile_sql("qp", "SELECT doc_id AS id, " + NORMALIZE_SQL.format(x="text") + f" AS n FROM documents WHERE doc_id % {EVERY} = 0")},
+{_profile_sql("kp", "SELECT doc_id AS id, " + NORMALIZE_SQL.format(x="concat_ws(' ', source, lang, text)") + " AS n FROM documents")},
+k AS (SELECT query_id, chunk_id, position, source FROM selected JOIN documents ON doc_id = chunk_id),
+x AS (SELECT c.query_id, c.query_id || '-' || c.position AS citation_id, c.position, k.chunk_id, CASE WHEN c.source = k.source THEN 100 WHEN contains(k.source, c.source) THEN 85 WHEN contains(c.source, k.source) THEN 75 ELSE 0 END AS title,
+  CASE WHEN c.position = 2 THEN c.chunk_id % 300 + 1 BETWEEN k.chunk_id % 300 AND k.chunk_id % 300 + 3 END AS inside,
+  least({_both('tokens')} * 4, 28) + {_both('topics')} * 14 + {_both('traditions')} * 11 + {_both('periods')} * 8 - CASE WHEN len(qp.topics) > 0 AND len(kp.topics) > 0 AND {_both('topics')} = 0 THEN 8 ELSE 0 END AS support
+  FROM k c JOIN k USING (query_id) JOIN qp ON qp.id = query_id JOIN kp ON kp.id = k.chunk_id WHERE c.position <= 2),
+m AS (SELECT *, title + support + CASE WHEN inside THEN 150 ELSE 0 END AS score FROM x WHERE title > 0 AND coalesce(inside, support >= 10)),
+g AS (SELECT *, row_number() OVER b AS r, lead(score) OVER b AS next, count(*) OVER (PARTITION BY citation_id) AS n FROM m WHERE score > 0 WINDOW b AS (PARTITION BY citation_id ORDER BY score DESC, chunk_id)),
+d AS (SELECT query_id, position, citation_id, chunk_id, CASE WHEN inside IS NULL THEN n = 1 ELSE coalesce(next < score, true) END AS grounded FROM g WHERE r = 1)"""
 ORACLE_SQL = {
+    "citation_match": f"WITH {_MATCHED} SELECT citation_id, chunk_id, score::BIGINT AS score FROM m WHERE score > 0",
+    "citation_disambiguate": f"WITH {_MATCHED} SELECT citation_id, chunk_id, grounded FROM d",
+    "unsupported_claims": f"WITH {_MATCHED} SELECT query_id, (position - 1)::INTEGER AS claim_pos FROM k WHERE position <= 2 AND (query_id, position) NOT IN (SELECT query_id, position FROM d WHERE grounded)",
     "query_mode": f"""SELECT conv_id, turn, CASE WHEN {" OR ".join(f"contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '{p}')" for p in answers.EXEGETICAL)} THEN 'default'
 WHEN {" OR ".join(f"starts_with(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '{p}')" for p in answers.ORIENTATION_PREFIXES)} THEN 'orientation'
 WHEN len(list_intersect({_tokens}, [{_words(answers.ORIENTATION_MARKERS)}])) > 0 THEN 'orientation' WHEN len(list_intersect({_tokens}, [{_words(SAMPLE.general)}])) > 0 AND NOT ({_named}) THEN 'orientation' ELSE 'default' END AS mode FROM conversations WHERE role = 'user'""",
