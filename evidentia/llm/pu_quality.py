@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import is_held_out, slices
+from evidentia.llm.common import is_held_out, slices, small
 
 _SYMBOL = re.compile(r"[#*$%&|<>=_~^{}\[\]\\/@+]")
 _SENTENCE = re.compile(r"[.!?]+(?:\s|$)")
@@ -32,8 +32,8 @@ FEATURES = ("log_words", "word_chars", "symbols", "digits", "upper", "exclaims",
 class PuParams:
     """max_positives and max_unlabelled bound the rows that are fitted on, in expectation; a hash of doc_id chooses them."""
 
-    max_positives: int = 20_000
-    max_unlabelled: int = 40_000
+    max_positives: int = 10_000
+    max_unlabelled: int = 20_000
     hidden: int = 16
     rounds: int = 1200
     rate: float = 0.01
@@ -135,8 +135,8 @@ def fit(docs: DataFrame, positives: DataFrame, params: PuParams = PuParams()) ->
     p = params
     n_docs, n_pos = docs.count(), positives.count()
     chosen = lambda n, most, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) < int(min(1.0, most / max(1, n)) * 1_000_003)
-    trusted = docs.select("doc_id", "text").join(positives.select("doc_id").distinct().where(chosen(n_pos, p.max_positives, "p")), "doc_id", "left_semi")
-    read = lambda df: np.array([r["x"] for r in measure(df).select("x").toLocalIterator()], float).reshape(-1, len(FEATURES))
+    trusted = docs.select("doc_id", "text").join(positives.select("doc_id").distinct().where(chosen(n_pos, p.max_positives, "p")).transform(small), "doc_id", "left_semi")
+    read = lambda df: np.array(measure(df).select("x").toArrow().column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     xp, xu = read(trusted), read(docs.select("doc_id", "text").where(chosen(n_docs, p.max_unlabelled, "u")))
     d = len(FEATURES)
     if len(xp) < 2 or len(xu) < 2:
