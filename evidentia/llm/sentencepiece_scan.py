@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import materialize, slices
-from evidentia.llm.vocab import SPACE, TOKENIZER_DIR, model_bytes
+from evidentia.llm.vocab import SPACE, TOKENIZER_DIR, PieceTable, model_bytes
 
 CHUNK = 1 << 15
 #: Chunks, or blocks of chunks, that one task multiplies at a time.
@@ -38,7 +38,9 @@ BLOCK = 64
 IMPOSSIBLE = -(1 << 60)
 _UNITS = re.compile(r" *[^ ]+| +")
 #: Distinct units that a task keeps.
-KEPT_UNITS = 100_000
+KEPT_UNITS = 200_000
+#: Signs of a unit up to which it is encoded along with others, and kept.
+LONG_UNIT = 64
 
 
 class Encoder:
@@ -51,13 +53,16 @@ class Encoder:
         self.id = {t: i for i, t in texts.items()}
         self.unknown = min(self.score.values()) - 10 * 65536
         self.longest = max(map(len, self.id))
+        self.begins = {t[:k] for t in self.id for k in range(1, len(t) + 1)}
         self.bytes = [b""] * len(pieces)
         for i, t in texts.items():
             self.bytes[i] = t.encode()
         for i, b in byte_ids.items():
             self.bytes[i] = bytes([b])
         self.byte_id = {b: i for i, b in byte_ids.items()}
-        self.units: dict[str, tuple[int, list[int]]] = {}
+        self.units: dict[str, tuple[int, list[int], bool]] = {}
+        scores = [self.score[texts[i]] if i in texts else IMPOSSIBLE for i in range(len(pieces))]
+        self.score_of, self.table = np.array(scores, np.int64), PieceTable(pieces, scores, sorted(byte_ids))
 
     def viterbi(self, t: str, entries: dict[int, int], starts_below: int, end: int) -> tuple[dict[int, int], dict[int, int]]:
         """Best score of each reachable position up to end, and where the piece that ends there starts (-1: an entry).
@@ -65,20 +70,23 @@ class Encoder:
         Pieces start at or after the first entry and before starts_below.
         """
         best, back = dict(entries), dict.fromkeys(entries, -1)
-        first, score, longest = min(entries), self.score, self.longest
-        for p in range(first + 1, end + 1):
-            most = best.get(p)
-            for q in range(max(first, p - longest), min(p, starts_below)):
-                if (v := best.get(q)) is None:
-                    continue
-                s = score.get(t[q:p])
-                if s is None:
-                    if p - q > 1:
-                        continue
+        score, begins, longest = self.score.get, self.begins, self.longest
+        for q in range(min(entries), min(starts_below, end)):
+            v = best.get(q)
+            if v is None:
+                continue
+            for p in range(q + 1, min(q + longest, end) + 1):
+                piece = t[q:p]
+                s = score(piece)
+                if s is None and p == q + 1:
                     s = self.unknown
-                if most is None or v + s > most:
-                    most = best[p] = v + s
-                    back[p] = q
+                if s is not None:
+                    known = best.get(p)
+                    if known is None or v + s > known:
+                        best[p] = v + s
+                        back[p] = q
+                if piece not in begins:
+                    break
         return best, back
 
     def ids_of(self, t: str, q: int, p: int) -> list[int]:
@@ -93,17 +101,66 @@ class Encoder:
             p = q
         return [i for q, e in reversed(spans) for i in self.ids_of(t, q, e)], p
 
-    def unit(self, u: str) -> tuple[int, list[int]]:
+    def unit(self, u: str) -> tuple[int, list[int], bool]:
+        """Score and ids of a unit, and whether they give it back."""
         found = self.units.get(u)
         if found is None:
             best, back = self.viterbi(u, {0: 0}, len(u), len(u))
-            found = best[len(u)], self.trace(u, back, len(u))[0]
+            ids = self.trace(u, back, len(u))[0]
+            found = best[len(u)], ids, self.raw(ids) == u.encode()
             if len(self.units) >= KEPT_UNITS:
                 self.units.clear()
-            if len(u) <= 64:
+            if len(u) <= LONG_UNIT:
                 self.units[u] = found
         return found
 
+    def prepare(self, units: set[str]) -> None:
+        """Encode those units that aren't kept yet, all of one length at a time."""
+        new = [u for u in units if u not in self.units and len(u) <= LONG_UNIT]
+        if len(self.units) + len(new) > KEPT_UNITS:
+            self.units.clear()
+            new = [u for u in units if len(u) <= LONG_UNIT]
+        by_length: dict[int, list[str]] = {}
+        for u in new:
+            by_length.setdefault(len(u), []).append(u)
+        for n, group in by_length.items():
+            codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(group), n)
+            # the vocabulary writes a space as a mark; the mark itself in a text is no piece
+            codes = np.where(codes == ord(SPACE), np.uint32(0xFFFFFFF0), np.where(codes == 32, np.uint32(ord(SPACE)), codes))
+            best = np.full((n + 1, len(group)), IMPOSSIBLE, np.int64)
+            best[0] = 0
+            start, piece = np.zeros((n + 1, len(group)), np.int32), np.full((n + 1, len(group)), -1, np.int32)
+            for q in range(n):
+                for k, ids in self.table.spans(codes, q):
+                    value = best[q] + np.where(ids >= 0, self.score_of[ids], self.unknown if k == 1 else IMPOSSIBLE)
+                    better = value > best[q + k]
+                    best[q + k][better] = value[better]
+                    start[q + k][better] = q
+                    piece[q + k][better] = ids[better]
+            ids_of: list[list[int]] = [[] for _ in group]
+            at, live = np.full(len(group), n), np.arange(len(group))
+            while len(live):
+                end = at[live]
+                begin, got = start[end, live], piece[end, live]
+                for i, b, e, x in zip(live.tolist(), begin.tolist(), end.tolist(), got.tolist(), strict=True):
+                    if x >= 0:
+                        ids_of[i].append(x)
+                    else:
+                        ids_of[i] += [self.byte_id[c] for c in group[i][b:e].encode()[::-1]]
+                at[live] = begin
+                live = live[begin > 0]
+            for u, ids, total in zip(group, ids_of, best[n].tolist(), strict=True):
+                ids.reverse()
+                self.units[u] = total, ids, self.raw(ids) == u.encode()
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray | None, bool]]:
+        """Ids of each text, and whether they give it back."""
+        split = [_UNITS.findall(" " + t) if t else [] for t in texts]
+        self.prepare(set(chain.from_iterable(split)))
+        for t, units in zip(texts, split, strict=True):
+            found = list(map(self.unit, units))
+            yield (None if t is None else np.fromiter(chain.from_iterable(f[1] for f in found), np.int32)), all(f[2] for f in found)
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.unit(u)[1] for u in _UNITS.findall(" " + text))) if text else []
 
@@ -284,9 +341,7 @@ def encode(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, chunk: int = CHU
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model)
         for b in slices(batches):
-            strings = b.column("text").to_pylist()
-            ids = [None if t is None else np.array(e.encode(t), np.int32) for t in strings]
-            ok = [t is None or t == "" or e.decode(x) == t for t, x in zip(strings, ids, strict=True)]
+            ids, ok = zip(*e.encode_all(b.column("text").to_pylist()), strict=True)
             n = [0 if x is None else len(x) for x in ids]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())), "restored": pa.array(ok, pa.bool_())})
 
