@@ -1,17 +1,20 @@
 """Repeated passages: runs of consecutive sentences that occur more than once in the corpus.
 
-Each text is cut into sentences; nothing is lost, white space stays with the sentence before it. At every sentence begins a
-run, and at every one a run ends: the shortest one of at least `sentences` sentences and `words` words. Runs are hashed over their lower-cased words and
-joined globally. The first occurrence of a run is that in the smallest doc_id, and there the earliest; all sentences that any
-other occurrence covers are removed.
+Each text is cut into sentences; nothing is lost, white space stays with the sentence before it. Sentences end at full stops and
+line ends and, whatever their length, after each word whose hash is the least of some `window` consecutive words. So no
+sentence is longer than `window` words, and two texts that share a passage are cut alike in it but for fewer than `window`
+words at its borders, whatever stands around it.
 
-A sentence longer than `longest` words is cut further, after words that a hash chooses, so that text without full stops has
-sentences too, and the same ones wherever it stands.
+At every sentence begins a run, and at every one a run ends: the shortest one of at least `sentences` sentences and `words`
+words. Runs of the same sentences, lower-cased, are alike. The first occurrence of a run is that in the smallest doc_id, and there
+the earliest; all sentences that any other occurrence covers are removed.
+
+Runs are found in two steps. Anchors, six-word strings whose hash is the least of those in `words` consecutive words, stand in
+every run, and in all occurrences of it alike. Only runs with an anchor that several documents have are joined globally.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,121 +27,207 @@ from pyspark.sql import types as T
 
 from evidentia.llm.common import materialize, slices
 
-_END = re.compile(r"[.!?]+\s+|\n\s*")
-_WORDS = re.compile(r"\S+\s*")
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CUTS, COUNTED = "evidentia_cuts", ("n_sentences", "n_removed")
+#: Words of an anchor.
+_ANCHOR = 6
+CUTS, COUNTED, MARKS = "evidentia_cuts", ("n_sentences", "n_removed"), "evidentia_marks"
 
 
 @dataclass(frozen=True)
 class SpanParams:
-    sentences: int = 3
+    sentences: int = 1
     words: int = 15
-    longest: int = 25
-    cut_every: int = 8
+    window: int = 4
+
+
+class _Hashes(dict):
+    """Hash of each word; those of half a million words are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    words = data.lower().split()
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def least(h: np.ndarray, window: int) -> np.ndarray:
+    """Places that are the least of some window of consecutive ones, the last of equal ones."""
+    n = len(h) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    low, at = h[:n].copy(), np.zeros(n, np.int64)
+    for k in range(1, window):
+        here = h[k : k + n]
+        less = here <= low
+        low[less] = here[less]
+        at[less] = k
+    found = np.zeros(len(h), bool)
+    found[at + np.arange(n)] = True
+    return np.flatnonzero(found)
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, factor, np.uint64))])
+
+
+def _string_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the strings of words from starts to ends."""
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h))[:-1], dtype=np.uint64)])
+    x = ((prefix[ends] - prefix[starts]) * _powers(_INVERSE, len(h))[starts]) ^ (ends - starts).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def sentence_ends(data: bytes, h: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
+    """For each sentence, the number of words up to its end, and where it ends in the bytes."""
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer(data, np.uint8)
+    space = np.concatenate([[True], _SPACE[codes], [True]])
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    begin, end = turns[::2], turns[1::2]
+    lines = np.concatenate([[0], np.cumsum(codes == 10)])
+    after = np.append(begin[1:], len(data))
+    last = _STOP[codes[end - 1]] | (lines[after] > lines[end])
+    last[least(h, p.window)] = True
+    last[-1] = True
+    at = np.flatnonzero(last)
+    return at + 1, after[at]
 
 
 def split_sentences(text: str, p: SpanParams) -> list[str]:
-    """Sentences that joined give the text. Parts without a word stay with the sentence before, or the first one."""
-    parts, last = [], 0
-    for m in _END.finditer(text):
-        parts.append(text[last : m.end()])
-        last = m.end()
-    if last < len(text):
-        parts.append(text[last:])
-    out: list[str] = []
-    lead = ""
-    for part in parts:
-        n = len(part.split())
-        if not n:
-            if out:
-                out[-1] += part
-            else:
-                lead += part
-            continue
-        if n > p.longest:
-            pieces, size = [], 0
-            words = _WORDS.findall(part)
-            head = part[: len(part) - sum(map(len, words))]
-            for k, w in enumerate(words):
-                size += len(w)
-                if xxhash.xxh3_64_intdigest(w.strip().lower().encode("utf-8", "surrogatepass")) % p.cut_every == 0 or k == len(words) - 1:
-                    pieces.append(size)
-                    size = 0
-            at, body = 0, part[len(head) :]
-            cut = []
-            for size in pieces:
-                cut.append(body[at : at + size])
-                at += size
-            cut[0] = head + cut[0]
-        else:
-            cut = [part]
-        cut[0] = lead + cut[0]
-        lead = ""
-        out += cut
-    if lead:
-        out.append(lead)
-    return out
-
-
-def run_hashes(sentences: list[str], p: SpanParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end (exclusive) of each run, by start and end."""
-    split = [s.encode("utf-8", "surrogatepass").lower().split() for s in sentences]
-    n = len(split)
-    words = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(x)) for x in split), np.uint64, n)
+    """Sentences that joined give the text. A text without a word is one."""
+    data = text.encode("utf-8", "surrogatepass")
+    ends = sentence_ends(data, word_hashes(data), p)[1].tolist() or [len(data)] * bool(data)
+    return [data[i:j].decode("utf-8", "surrogatepass") for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def run_bounds(ends: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (exclusive) of each run in sentences, by start and end; ends counts the words up to each sentence's end."""
+    n = len(ends)
+    words = np.concatenate([[0], ends]).astype(np.int64)
     every = np.arange(n)
     onward = np.maximum(every + p.sentences, np.searchsorted(words, words[:n] + p.words))
     back = np.minimum(every + 1 - p.sentences, np.searchsorted(words, words[1:] - p.words, side="right") - 1)
-    starts, ends = np.concatenate([every[onward <= n], back[back >= 0]]), np.concatenate([onward[onward <= n], every[back >= 0] + 1])
-    _, first = np.unique(starts * (n + 1) + ends, return_index=True)
-    starts, ends = starts[first], ends[first]
-    if not len(ends):
-        return np.zeros(0, np.int64), starts, ends
-    grow = np.cumprod(np.full(n, _BASE, np.uint64))
-    shrink = np.cumprod(np.full(n, _INVERSE, np.uint64))
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * grow, dtype=np.uint64)])
-    x = ((prefix[ends] - prefix[starts]) * shrink[starts]) ^ (ends - starts).astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(31))).view(np.int64), starts, ends
+    starts, stops = np.concatenate([every[onward <= n], back[back >= 0]]), np.concatenate([onward[onward <= n], every[back >= 0] + 1])
+    key = np.unique(starts * (n + 1) + stops)
+    return key // (n + 1), key % (n + 1)
+
+
+def run_hashes(h: np.ndarray, ends: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end (exclusive) of each run, by start and end."""
+    starts, stops = run_bounds(ends, p)
+    words = np.concatenate([[0], ends]).astype(np.int64)
+    h = h.copy()
+    h[words[1:] - 1] ^= np.uint64(_INVERSE)  # so that the hash tells where sentences end
+    return _string_hashes(h, words[starts], words[stops]), starts, stops
+
+
+def anchors(h: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hash and first word of each anchor, and how many words it has: each `words` consecutive words hold one."""
+    size = min(_ANCHOR, p.words)
+    every = np.arange(max(len(h) - size + 1, 0))
+    x = _string_hashes(h, every, every + size)
+    at = least(x, p.words - size + 1)
+    return x[at], at, size
+
+
+def _firsts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kept, first = np.unique(h, return_index=True)
+    return first.astype(np.int32), kept
+
+
+def _exploded(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.explode(F.arrays_zip("ats", "hs")).alias("s")).select("doc_id", F.col("s.ats").alias("at"), F.col("s.hs").alias("h"))
+
+
+def _rows(ids: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"doc_id": ids, "ats": pa.array([a for a, _ in found], pa.list_(pa.int32())), "hs": pa.array([h for _, h in found], pa.list_(pa.int64()))})
+
+
+_FOUND = "doc_id long, ats array<int>, hs array<long>"
+
+
+def anchor_rows(docs: DataFrame, p: SpanParams) -> DataFrame:
+    """doc_id, at, h: the earliest occurrence of each anchor within each document; at is its place among the anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield _rows(b.column("doc_id"), [_firsts(anchors(word_hashes((t or "").encode("utf-8", "surrogatepass")), p)[0]) for t in b.column("text").to_pylist()])
+
+    return _exploded(docs.select("doc_id", "text").mapInArrow(run, _FOUND))
+
+
+def marked_runs(text: str, marks: list[int], p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
+    """Place among the runs and hash of those runs, each at its earliest, that hold an anchor equal to a marked one."""
+    data = text.encode("utf-8", "surrogatepass")
+    h = word_hashes(data)
+    ends = sentence_ends(data, h, p)[0]
+    hashes, starts, stops = run_hashes(h, ends, p)
+    x, at, size = anchors(h, p)
+    at = np.append(at[np.isin(x, x[marks])], len(h))
+    words = np.concatenate([[0], ends]).astype(np.int64)
+    holds = at[np.searchsorted(at, words[starts])] + size <= words[stops]
+    first, kept = _firsts(hashes)
+    # all occurrences of a run hold the same anchors
+    return first[holds[first]], kept[holds[first]]
 
 
 def spans(docs: DataFrame, p: SpanParams) -> DataFrame:
-    """doc_id, at, h: the earliest occurrence of each run within each document; at is its place among the runs."""
+    """doc_id, at, h: the earliest occurrence within each document of each run that several documents may have; at is its place
+    among the runs."""
+    found = materialize(anchor_rows(docs.where("doc_id is not null"), p), "anchors")
+    # an anchor occurs once in a document at most here, so two documents make it a repeated one
+    repeated = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("h")
+    marks = found.join(repeated, "h").groupBy(F.col("doc_id").alias("evidentia_doc")).agg(F.collect_list("at").alias(MARKS))
+    marked = docs.select("doc_id", "text").join(materialize(marks, "marks"), F.col("doc_id") == F.col("evidentia_doc")).drop("evidentia_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ats, hashes = [], []
-            for text in b.column("text").to_pylist():
-                h = run_hashes(split_sentences(text, p), p)[0] if text else np.zeros(0, np.int64)
-                _, first = np.unique(h, return_index=True)
-                ats.append(first.astype(np.int32))
-                hashes.append(h[first])
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "ats": pa.array(ats, pa.list_(pa.int32())), "hs": pa.array(hashes, pa.list_(pa.int64()))})
+            yield _rows(b.column("doc_id"), [marked_runs(t, m, p) for t, m in zip(b.column("text").to_pylist(), b.column(MARKS).to_pylist(), strict=True)])
 
-    runs = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ats array<int>, hs array<long>")
-    return runs.select("doc_id", F.explode(F.arrays_zip("ats", "hs")).alias("s")).select("doc_id", F.col("s.ats").alias("at"), F.col("s.hs").alias("h"))
+    return _exploded(marked.mapInArrow(run, _FOUND))
 
 
 def cut(text: str | None, runs: list[int] | None, p: SpanParams) -> tuple[str | None, int, int]:
     """The text without the given runs and without runs that stood earlier in it; sentences, removed ones."""
     if not text:
         return text, 0, 0
-    sentences = split_sentences(text, p)
-    h, starts, ends = run_hashes(sentences, p)
-    gone = np.zeros(len(sentences) + 1, np.int64)
+    data = text.encode("utf-8", "surrogatepass")
+    words = word_hashes(data)
+    ends, places = sentence_ends(data, words, p)
+    if not len(ends):
+        return text, 1, 0
+    h, starts, stops = run_hashes(words, ends, p)
+    gone = np.zeros(len(ends) + 1, np.int64)
     _, first = np.unique(h, return_index=True)
     drop = np.ones(len(h), bool)
     drop[first] = False
     drop[list(runs or ())] = True
     at = np.flatnonzero(drop)
     np.add.at(gone, starts[at], 1)
-    np.add.at(gone, ends[at], -1)
+    np.add.at(gone, stops[at], -1)
     covered = np.cumsum(gone)[:-1] > 0
     if not covered.any():
-        return text, len(sentences), 0
-    return "".join(s for s, c in zip(sentences, covered, strict=True) if not c), len(sentences), int(covered.sum())
+        return text, len(ends), 0
+    bounds = np.concatenate([[0], places])
+    turns = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]]).astype(np.int8)))
+    left = b"".join(data[bounds[i] : bounds[j]] for i, j in zip(turns[::2], turns[1::2], strict=True))
+    return left.decode("utf-8", "surrogatepass"), len(ends), int(covered.sum())
 
 
 def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:

@@ -219,6 +219,26 @@ def test_passages_are_found_anywhere(spark):
     assert len(left) < 35
 
 
+def test_passages_of_51_words_go_almost_entirely(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7)))
+    stop = lambda k, every: "." if every and k % every == every - 1 else ""
+    rows, passages = [], {}
+    for i in range(120):
+        every, n = (0, 5, 12, 22)[i % 4], 51 + i % 10
+        passages[i] = [word() + stop(k, every) for k in range(n)]
+        for d in (2 * i, 2 * i + 1):
+            host = [[word() + stop(k, r.choice((0, 9, 17))) for k in range(r.randint(5, 60))] + [word()] for _ in range(2)]
+            rows.append((d, " ".join([*host[0], *passages[i], *host[1]])))
+    found = got(substring_dedup.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    texts = dict(rows)
+    for i, passage in passages.items():
+        assert found[2 * i].text == texts[2 * i]
+        left = set(found[2 * i + 1].text.split())
+        assert len(left & set(passage)) <= 7, i
+        assert {w for w in texts[2 * i + 1].split() if w not in set(passage)} <= left
+
+
 def test_near_duplicates_match_brute_force(docs, empty, spark, rows):
     def brute(texts, size, num):
         sets = {}
