@@ -2,8 +2,9 @@
 
 Three figures of a whole text: characters per token (of its words), the share of tokens that are single bytes for want of a
 piece, and the entropy of its tokens relative to what as many tokens could have. A document fails where a figure lies outside
-the band of its language, or of its dominant script where no language is given. Bands come from all documents: quartiles,
-widened by a multiple of their distance.
+the band of its language, or of its dominant script where no language is given. Bands come from all documents: each figure has
+a lower and an upper limit of its own, multiples of half the distance between its quartiles, from its median. The deviation
+of characters per token counts times the square root of the words, up to a number, as short texts vary more.
 """
 
 from __future__ import annotations
@@ -31,13 +32,17 @@ FIGURES = ("chars_per_token", "byte_share", "entropy")
 
 @dataclass(frozen=True)
 class FertilityParams:
-    """min_words, max_repeat_percent: base rules. width: band = quartiles -/+ width * (their distance, floor_share of the
-    median at least). min_docs: a language with fewer documents has no band of its own."""
+    """min_words, max_repeat_percent: base rules. lower, upper: limits of each of FIGURES in halves of the
+    distance between quartiles, chosen on labelled rows that aren't held out. floor_share: the least such half as a share of
+    the median. steady_words: from so many words on, characters per token vary no less. min_docs: a language with fewer documents
+    has no band of its own."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    width: float = 4.0
-    floor_share: float = 0.02
+    lower: tuple[float | None, ...] = (4.0, None, 4.0)
+    upper: tuple[float | None, ...] = (5.0, 4.0, 5.0)
+    floor_share: float = 0.005
+    steady_words: int = 400
     min_docs: int = 20
 
 
@@ -125,12 +130,23 @@ def measure(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, schema)
 
 
+def _deviation(c: str, p: FertilityParams):
+    d = F.col(c) - F.col(f"mid_{c}")
+    return d * F.sqrt(F.least(F.col("n_words"), F.lit(p.steady_words)) / p.steady_words) if c == "chars_per_token" else d
+
+
 def bands(measured: DataFrame, params: FertilityParams = FertilityParams()) -> DataFrame:
-    """Per language or script: lo_ and hi_ of each figure, over all documents that pass the base rules."""
-    q = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 2000)
-    grouped = measured.where("not base_failed").groupBy("band").agg(F.count("*").alias("n_docs"), *[q(c).alias(c) for c in FIGURES]).where(F.col("n_docs") >= params.min_docs)
-    reach = {c: F.greatest(F.col(c)[2] - F.col(c)[0], params.floor_share * F.col(c)[1], F.lit(0.005)) * params.width for c in FIGURES}
-    return grouped.select("band", *[(F.col(c)[0] - reach[c]).alias(f"lo_{c}") for c in FIGURES], *[(F.col(c)[2] + reach[c]).alias(f"hi_{c}") for c in FIGURES])
+    """Per language or script, over all documents that pass the base rules: mid_ of each figure, and lo_ and hi_ of its deviation."""
+    p = params
+    sound = measured.where("not base_failed")
+    middle = sound.groupBy("band").agg(F.count("*").alias("n_docs"), *[F.percentile_approx(c, 0.5, 2000).alias(f"mid_{c}") for c in FIGURES]).where(F.col("n_docs") >= p.min_docs).drop("n_docs")
+    middle = materialize(middle, "medians")
+    mids = [f"mid_{c}" for c in FIGURES]
+    spread = sound.join(small(middle), "band").groupBy("band", *mids).agg(*[F.percentile_approx(_deviation(c, p), [0.25, 0.75], 2000).alias(c) for c in FIGURES])
+    reach = lambda c: F.greatest((F.col(c)[1] - F.col(c)[0]) / 2, p.floor_share * F.col(f"mid_{c}"), F.lit(0.005))
+    lo = [(-low * reach(c)).alias(f"lo_{c}") for c, low in zip(FIGURES, p.lower, strict=True) if low is not None]
+    hi = [(high * reach(c)).alias(f"hi_{c}") for c, high in zip(FIGURES, p.upper, strict=True) if high is not None]
+    return spread.select("band", *mids, *lo, *hi)
 
 
 def judge(docs: DataFrame, params: FertilityParams = FertilityParams(), tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
@@ -145,7 +161,10 @@ def judge(docs: DataFrame, params: FertilityParams = FertilityParams(), tokenize
     measured = materialize(measure(docs, tokenizer_dir).withColumn("base_failed", failed), "fertility")
     limits = materialize(bands(measured, p), "bands")
     ok = F.lit(True)
-    for c in FIGURES:
-        ok = ok & (F.col(c) <= F.col(f"hi_{c}")) & (F.lit(True) if c == "byte_share" else F.col(c) >= F.col(f"lo_{c}"))
+    for c, low, high in zip(FIGURES, p.lower, p.upper, strict=True):
+        if low is not None:
+            ok = ok & (_deviation(c, p) >= F.col(f"lo_{c}"))
+        if high is not None:
+            ok = ok & (_deviation(c, p) <= F.col(f"hi_{c}"))
     out = measured.join(small(limits), "band", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(True)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *FIGURES, "band")

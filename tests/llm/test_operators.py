@@ -69,6 +69,16 @@ def test_fertility_rejects_what_lies_outside_its_band(spark):
     assert not found[99].kept and all(found[i].kept for i in range(60))
 
 
+def test_fertility_rejects_symbols_among_sound_texts(spark):
+    r = random.Random(13)
+    noise = lambda t: " ".join(x for w in t.split() for x in (w, *(["".join(r.choice("#*$%&|<>") for _ in range(r.randint(1, 3)))] if r.random() < 0.5 else [])))
+    rows = [(i, _prose(r, r.choice((80, 200, 600))), "en") for i in range(200)]
+    rows += [(1000 + i, noise(_prose(r, 200)), "en") for i in range(20)]
+    found = got(fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert sum(found[1000 + i].kept for i in range(20)) <= 2
+    assert sum(found[i].kept for i in range(200)) >= 190
+
+
 def test_mixing_matches_brute_force(spark):
     r = random.Random(5)
     rows = [(i, " ".join(["w"] * r.randint(0, 30)), r.choice(["a", "a", "b"]), r.choice(["en", "de", None]), f"s{r.choice([0, 0, 0, 1, 2])}") for i in range(600)]
