@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from evidentia.llm.common import slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/!][^<>]*\Z", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>|<(script|style|noscript|template|textarea|select|iframe|svg|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/!][^<>]*\Z", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -380,6 +380,15 @@ def test_pages(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_keep_text_after_empty_and_custom_elements():
+    for tag in ('<svg class="i"/>', "<svg/>", '<svg a="x>y" />', "<svg-icon>", "<select-box>", "<title-bar x>"):
+        text = " ".join(t for _, t in html_extract.parse(f"<p>a{tag}b</p><p>rest</p>")[1])
+        assert "a" in text.split()[0] and "b" in text and "rest" in text, tag
+    for page in ("<p>a<svg><path d='x'/></svg>b</p>", "<p>a<svg class='i'><title>no</title><g/></svg>b</p>", "<p>a<script >no</script>b</p>"):
+        text = " ".join(t for _, t in html_extract.parse(page)[1])
+        assert "no" not in text and text.replace(" ", "") == "ab", page
+
+
 def test_tree_messages_match_enumeration():
     r = random.Random(0)
     parents = [-1, 0, 0, 1, 1, 2]
