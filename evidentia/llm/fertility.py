@@ -33,7 +33,8 @@ FIGURES = ("chars_per_token", "byte_share", "entropy")
 @dataclass(frozen=True)
 class FertilityParams:
     """min_words, max_repeat_percent: base rules. lower, upper: limits of each of FIGURES in halves of the
-    distance between quartiles, chosen on labelled rows that aren't held out. floor_share: the least such half as a share of
+    distance between quartiles, tried on labelled rows that aren't held out, and wide enough
+    for small tables of sound texts. floor_share: the least such half as a share of
     the median. steady_words: from so many words on, characters per token vary no less. min_docs: a language with fewer documents
     has no band of its own."""
 
