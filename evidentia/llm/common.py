@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +20,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir.
-
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
-    """
+    """The folder that all executors share: the session's spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="evidentia-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return found.rstrip("/")
 
 
@@ -51,12 +47,37 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def is_held_out(doc_id: str = "doc_id"):
-    """crc32 of the id's text leaves 2 modulo 4."""
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    """crc32 of the id's text leaves 2 modulo 4; a row without an id isn't held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+#: Bytes of text, about, that a Python task works on at a time, and that Spark sends it at a time.
+SLICE_BYTES, BATCH_BYTES = 2_000_000, 2_000_000
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864"
 
 
-#: Bytes of text, about, that a Python task works on at a time.
-SLICE_BYTES = 2_000_000
+def _give_back() -> None:
+    """Return freed memory to the system; Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in batches of about BATCH_BYTES, unless the session sets another size of its own."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT).rstrip("b") == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -68,3 +89,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for i, j in zip(at, at[1:], strict=False):
             if j > i:
                 yield b.slice(i, j - i)
+
+
+def join_by_key(left: DataFrame, right: DataFrame, key: str, copies: str, how: str = "left") -> DataFrame:
+    """left with right's columns; right has each key once, and in `copies` how many rows of left have it (dropped here).
+
+    Keys with more than a hundred-thousandth of left's rows are at most a hundred thousand; they are broadcast, so that rows of
+    a frequent key stay where they are. Rows without a key meet nothing and aren't shuffled. Only the others go to a shuffle.
+    left and right should be materialized, as they are read several times.
+    """
+    most = left.count() // 100_000 + 1_000
+    added = [c for c in right.columns if c not in (key, copies)]
+    hot = right.where(F.col(copies) > most).select(key, *added, F.lit(True).alias("evidentia_hot"))
+    met = left.join(F.broadcast(hot), key, "left")
+    done = met.where("evidentia_hot").drop("evidentia_hot")
+    rest = met.where(F.col("evidentia_hot").isNull() & F.col(key).isNotNull()).drop("evidentia_hot", *added)
+    out = done.unionByName(rest.join(right.where(F.col(copies) <= most).drop(copies), key, how))
+    if how == "left":
+        out = out.unionByName(met.where(F.col(key).isNull()).drop("evidentia_hot"))
+    return out

@@ -19,16 +19,18 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import materialize, slices, small
+from evidentia.llm.common import join_by_key, map_batches, materialize, slices, small
 
-#: Classes of a bucket that one task compares with as many others, about.
-PART = 256
+#: Classes of a bucket, and word runs in their sets, that one task compares with as many others, about.
+PART, PART_RUNS = 512, 500_000
+#: Word runs (columns) that a task multiplies at a time.
+_COLUMNS = 8192
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,7 +120,7 @@ def signatures(docs: DataFrame, p: NearDedupParams) -> DataFrame:
                 out.append(bands.get(key))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "set_key": pa.array(keys, pa.binary()), "bands": pa.array(out, pa.list_(pa.int64()))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -129,7 +131,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             shingle = Shingler(size)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "hashes": pa.array([shingle(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, hashes array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: NearDedupParams) -> DataFrame:
@@ -162,25 +164,49 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x (rows) with each of y (columns).
+
+    Only members that both sides have are counted, as products of 0/1 matrices over so many of them at a time.
+    """
+    owner = lambda sets: np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    of_x, of_y, in_x, in_y = np.concatenate(x), np.concatenate(y), owner(x), owner(y)
+    both = np.intersect1d(of_x, of_y)
+    out = np.zeros((len(x), len(y)), np.int64)
+    sides = []
+    for values, rows in ((of_x, in_x), (of_y, in_y)):
+        column = np.searchsorted(both, values)
+        known = np.flatnonzero(column < len(both))
+        known = known[both[column[known]] == values[known]]
+        order = known[np.argsort(column[known], kind="stable")]
+        sides.append((column[order], rows[order]))
+    for start in range(0, len(both), _COLUMNS):
+        parts = []
+        for (column, rows), n in zip(sides, (len(x), len(y)), strict=True):
+            i, j = np.searchsorted(column, [start, start + _COLUMNS])
+            held = np.zeros((n, min(_COLUMNS, len(both) - start)), np.float32)
+            held[rows[i:j], column[i:j] - start] = 1
+            parts.append(held)
+        out += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
 def _compare(p: NearDedupParams):
     """Links between the classes that ask (role x) and those of a part of their bucket (role y), for one pair of parts."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = (pdf[pdf["role"] == r] for r in "xy")
-        none = pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        if x.empty or y.empty:
-            return none
-        sets = [np.asarray(v) for v in [*x["hashes"], *y["hashes"]]]
-        sizes = np.array([len(v) for v in sets])
-        _, column = np.unique(np.concatenate(sets), return_inverse=True)
-        held = np.zeros((len(sets), column.max() + 1), np.float32)
-        held[np.repeat(np.arange(len(sets)), sizes), column] = 1
-        n, m = sizes[: len(x), None], sizes[None, len(x) :]
-        shared = np.rint(held[: len(x)] @ held[len(x) :].T).astype(np.int64)
-        linked = (p.den * shared >= p.num * (n + m - shared)) & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :])
-        i, j = np.nonzero(linked)
-        u, v = x["rep"].to_numpy()[i], y["rep"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}) if len(i) else none
+    def run(table: pa.Table) -> pa.Table:
+        of = lambda role: table.filter(pc.equal(table.column("role"), role))
+        x, y = of("x"), of("y")
+        u = v = np.zeros(0, np.int64)
+        if x.num_rows and y.num_rows:
+            sets = [[s.values.to_numpy() for s in side.column("hashes")] for side in (x, y)]
+            n, m = (np.array([len(s) for s in side]) for side in sets)
+            shared = shared_counts(*sets)
+            linked = p.den * shared >= p.num * (n[:, None] + m[None, :] - shared)
+            linked &= x.column("component").to_numpy()[:, None] != y.column("component").to_numpy()[None, :]
+            i, j = np.nonzero(linked)
+            u, v = x.column("rep").to_numpy()[i], y.column("rep").to_numpy()[j]
+        return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v)})
 
     return run
 
@@ -189,21 +215,23 @@ def further_links(members: DataFrame, found: DataFrame, sets: DataFrame, p: Near
     """Links between different components within a bucket.
 
     Each class outside the bucket's main component is compared with all of the bucket: a pair of different components has one
-    such class. Both sides are dealt into parts of about PART by a hash; a task compares one part with another by a product of
-    matrices and returns the links only. Where a bucket has two classes, the star has compared them.
+    such class. Both sides are dealt by a hash into parts of about PART classes or PART_RUNS word runs, whichever is less; a
+    task compares one part with another and returns the links only. Where a bucket has two classes, the star has compared them.
     """
+    members = members.join(sets.select(F.col("doc_id").alias("rep"), F.size("hashes").alias("n")), "rep")
     labels = found.withColumnRenamed("node", "rep")
     labelled = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    kinds = labelled.groupBy("band", "h", "component").count()
-    mixed = kinds.groupBy("band", "h").agg(F.count("*").alias("kinds"), F.sum("count").alias("size"), F.max(F.struct("count", "component")).alias("most")).where("kinds > 1 and size > 2")
-    mixed = mixed.select("band", "h", F.col("most.component").alias("main"), F.ceil(F.col("size") / F.lit(PART)).alias("of_y"), F.ceil((F.col("size") - F.col("most.count")) / F.lit(PART)).alias("of_x"))
-    rest = materialize(labelled.join(mixed, ["band", "h"]).withColumn("u", F.xxhash64("rep")), "mixed")
+    kinds = labelled.groupBy("band", "h", "component").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    mixed = kinds.groupBy("band", "h").agg(F.count("*").alias("kinds"), F.sum("count").alias("size"), F.sum("n").alias("n"), F.max(F.struct("count", "component", "n")).alias("most")).where("kinds > 1 and size > 2")
+    parts = lambda count, n: F.greatest(F.ceil(count / F.lit(PART)), F.ceil(n / F.lit(PART_RUNS)))
+    mixed = mixed.select("band", "h", F.col("most.component").alias("main"), parts(F.col("size"), F.col("n")).alias("of_y"), parts(F.col("size") - F.col("most.count"), F.col("n") - F.col("most.n")).alias("of_x"))
+    rest = materialize(labelled.drop("n").join(mixed, ["band", "h"]).withColumn("u", F.xxhash64("rep")), "mixed")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     key = ["band", "h", "i", "j"]
     x = rest.where("component != main").select("band", "h", F.pmod("u", "of_x").alias("i"), every("of_y").alias("j"), "rep", "component", F.lit("x").alias("role"))
     y = rest.select("band", "h", every("of_x").alias("i"), F.pmod("u", "of_y").alias("j"), "rep", "component", F.lit("y").alias("role"))
     both = x.unionByName(y).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    return both.groupBy(key).applyInPandas(_compare(p), "a long, b long").distinct()
+    return both.groupBy(key).applyInArrow(_compare(p), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()) -> DataFrame:
@@ -217,7 +245,7 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     p = params
     signed = materialize(signatures(docs, p), "signatures")
     # a class by its smallest document
-    classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.posexplode("bands").alias("band", "h"))
     stars = banded.groupBy("band", "h").agg(F.min("rep").alias("star"), F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(stars.select("band", "h", "star"), ["band", "h"]), "members")
@@ -229,8 +257,8 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     more = materialize(further_links(members.drop("star"), found, sets, p), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    of_class = classes.select("set_key", F.col("rep").alias("node")).join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    of_class = materialize(classes.select("set_key", "copies", F.col("rep").alias("node")).join(found, "node", "left").select("set_key", "copies", F.coalesce("component", "node").alias("component_id")), "of-class")
+    out = join_by_key(signed.select("doc_id", "n_shingles", "set_key"), of_class, "set_key", "copies")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
