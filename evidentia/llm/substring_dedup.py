@@ -7,7 +7,8 @@ words at its borders, whatever stands around it.
 
 At every sentence begins a run, and at every one a run ends: the shortest one of at least `sentences` sentences and `words`
 words. Runs of the same sentences, lower-cased, are alike. The first occurrence of a run is that in the smallest doc_id, and there
-the earliest; all sentences that any other occurrence covers are removed.
+the earliest; all sentences that any other occurrence covers are removed, but for those in the same document that overlap the
+first one (a word that goes on and on is no repeated passage until it fills two runs).
 
 Runs are found in two steps. Anchors, six-word strings whose hash is the least of those in `words` consecutive words, stand in
 every run, and in all occurrences of it alike. Only runs with an anchor that several documents have are joined globally.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import materialize, slices
+from evidentia.llm.common import join_by_key, map_batches, materialize, slices
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,16 +41,18 @@ CUTS, COUNTED, MARKS = "evidentia_cuts", ("n_sentences", "n_removed"), "evidenti
 
 @dataclass(frozen=True)
 class SpanParams:
+    """A run has at least so many sentences and words. A passage of 51 words anywhere in a text has 36 or more in whole sentences."""
+
     sentences: int = 1
-    words: int = 15
+    words: int = 30
     window: int = 4
 
 
 class _Hashes(dict):
-    """Hash of each word; those of half a million words are kept."""
+    """Hash of each word; those of some words are kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -168,8 +171,9 @@ def anchor_rows(docs: DataFrame, p: SpanParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield _rows(b.column("doc_id"), [_firsts(anchors(word_hashes((t or "").encode("utf-8", "surrogatepass")), p)[0]) for t in b.column("text").to_pylist()])
+        _HASHES.clear()
 
-    return _exploded(docs.select("doc_id", "text").mapInArrow(run, _FOUND))
+    return _exploded(map_batches(docs.select("doc_id", "text"), run, _FOUND))
 
 
 def marked_runs(text: str, marks: list[int], p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
@@ -192,19 +196,20 @@ def spans(docs: DataFrame, p: SpanParams) -> DataFrame:
     among the runs."""
     found = materialize(anchor_rows(docs.where("doc_id is not null"), p), "anchors")
     # an anchor occurs once in a document at most here, so two documents make it a repeated one
-    repeated = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("h")
-    marks = found.join(repeated, "h").groupBy(F.col("doc_id").alias("evidentia_doc")).agg(F.collect_list("at").alias(MARKS))
+    repeated = materialize(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first != last").select("h", "n"), "repeated")
+    marks = join_by_key(found, repeated, "h", "n", "inner").groupBy(F.col("doc_id").alias("evidentia_doc")).agg(F.collect_list("at").alias(MARKS))
     marked = docs.select("doc_id", "text").join(materialize(marks, "marks"), F.col("doc_id") == F.col("evidentia_doc")).drop("evidentia_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield _rows(b.column("doc_id"), [marked_runs(t, m, p) for t, m in zip(b.column("text").to_pylist(), b.column(MARKS).to_pylist(), strict=True)])
+        _HASHES.clear()
 
-    return _exploded(marked.mapInArrow(run, _FOUND))
+    return _exploded(map_batches(marked, run, _FOUND))
 
 
 def cut(text: str | None, runs: list[int] | None, p: SpanParams) -> tuple[str | None, int, int]:
-    """The text without the given runs and without runs that stood earlier in it; sentences, removed ones."""
+    """The text without the given runs, wherever they stand, and without runs that stood wholly before in it; sentences, removed ones."""
     if not text:
         return text, 0, 0
     data = text.encode("utf-8", "surrogatepass")
@@ -214,11 +219,10 @@ def cut(text: str | None, runs: list[int] | None, p: SpanParams) -> tuple[str |
         return text, 1, 0
     h, starts, stops = run_hashes(words, ends, p)
     gone = np.zeros(len(ends) + 1, np.int64)
-    _, first = np.unique(h, return_index=True)
-    drop = np.ones(len(h), bool)
-    drop[first] = False
-    drop[list(runs or ())] = True
-    at = np.flatnonzero(drop)
+    _, first, of = np.unique(h, return_index=True, return_inverse=True)
+    earlier = np.zeros(len(first), bool)
+    earlier[of[list(runs or ())]] = True
+    at = np.flatnonzero(earlier[of] | (starts >= stops[first[of]]))
     np.add.at(gone, starts[at], 1)
     np.add.at(gone, stops[at], -1)
     covered = np.cumsum(gone)[:-1] > 0
@@ -233,7 +237,7 @@ def cut(text: str | None, runs: list[int] | None, p: SpanParams) -> tuple[str |
 def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
     """The rows of docs with repeated spans cut from text, and n_sentences, n_removed (long).
 
-    n_chars, where there is one, follows the text. A null text stays null and an empty one empty, with 0 sentences; a text all
+    n_chars, where there is one, is that of the new text where something was removed, else as it was. A null text stays null and an empty one empty, with 0 sentences; a text all
     of whose sentences are repeated becomes empty. Repeated rows are repeats like others: the one with the smallest doc_id
     keeps its text. doc_id must not repeat; a row without one loses only what it repeats itself. Columns of docs named n_sentences or n_removed are replaced.
     """
@@ -241,8 +245,8 @@ def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) ->
     docs = docs.drop(*COUNTED)
     found = materialize(spans(docs, p), "spans")
     # a run occurs once in a document at most here, so two documents make it a repeated one
-    repeated = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("h", "first")
-    later = found.join(repeated, "h").where("doc_id != first").groupBy(F.col("doc_id").alias("evidentia_doc")).agg(F.collect_list("at").alias(CUTS))
+    repeated = materialize(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first != last").select("h", "first", "n"), "repeated")
+    later = join_by_key(found, repeated, "h", "n", "inner").where("doc_id != first").groupBy(F.col("doc_id").alias("evidentia_doc")).agg(F.collect_list("at").alias(CUTS))
     marked = docs.join(materialize(later, "cuts"), F.col("doc_id") == F.col("evidentia_doc"), "left").drop("evidentia_doc")
     names, counts = docs.columns, "n_chars" in docs.columns
     fields = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTED]])
@@ -258,5 +262,6 @@ def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) ->
             for k, c in enumerate(COUNTED, 1):
                 cols[c] = pa.array([x[k] for x in done], pa.int64())
             yield pa.RecordBatch.from_pydict(cols)
+        _HASHES.clear()
 
-    return marked.mapInArrow(run, fields)
+    return map_batches(marked, run, fields)
