@@ -1,19 +1,23 @@
 """Quality scores by positive-unlabelled learning.
 
-Trusted positives and unlabelled text train a small network on figures of the text's form. The risk is the non-negative unbiased
-one: with class prior pi, pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)). The prior is estimated from the same two samples: a first
-classifier tells positives from unlabelled text; where it is surest of unlabelled text, positives are rare, and elsewhere the
-ratio of the two densities is at most 1 / pi, so the smallest ratio over sets of high scores bounds pi.
+Trusted positives and unlabelled text train a logistic model on figures of the text's form, bent at one deviation to either side.
+The risk is the non-negative unbiased one: with class prior pi, pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)). With logistic loss
+and a model linear in its weights it is convex where the second part is above zero; Newton steps stay there.
 
-Whole texts are measured in Arrow batches. The network is fitted on bounded samples on the driver.
+The prior is estimated from the same rows: a first classifier, fitted on a half of them, tells positives from unlabelled text. On
+the other half, the share of unlabelled rows above a threshold is at least pi times that of positives; the threshold with the
+smallest upper confidence bound of their ratio gives the estimate.
+
+All rows take part: whole texts are measured once, and each step is a Spark job that sums gradient and curvature over the measures.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import is_held_out, slices, small
+from evidentia.llm.common import is_held_out, map_batches, materialize, slices
 
 _SYMBOL = re.compile(r"[#*$%&|<>=_~^{}\[\]\\/@+]")
 _SENTENCE = re.compile(r"[.!?]+(?:\s|$)")
@@ -30,15 +34,12 @@ FEATURES = ("log_words", "word_chars", "symbols", "digits", "upper", "exclaims",
 
 @dataclass(frozen=True)
 class PuParams:
-    """max_positives and max_unlabelled bound the rows that are fitted on, in expectation; a hash of doc_id chooses them."""
+    """rounds: most Newton steps. penalty: of squared weights, and shrinkage / rows of them besides. confidence: that a ratio of shares is below its bound."""
 
-    max_positives: int = 10_000
-    max_unlabelled: int = 20_000
-    hidden: int = 16
-    rounds: int = 1200
-    rate: float = 0.01
-    decay: float = 1e-4
-    seed: int = 5
+    rounds: int = 15
+    penalty: float = 1e-4
+    shrinkage: float = 5.0
+    confidence: float = 0.9
 
 
 def features(text: str | None) -> list[float]:
@@ -67,107 +68,167 @@ def measure(docs: DataFrame) -> DataFrame:
             x = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "x": pa.array(x, pa.list_(pa.float64()))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, x array<double>")
+
+
+def bent(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """A one, each standardised figure, and how far it is above and below one deviation."""
+    z = np.clip((x - mean) / scale, -8, 8)
+    return np.concatenate([np.ones((len(z), 1)), z, np.maximum(0, z - 1), np.maximum(0, -z - 1)], axis=1)
 
 
 @dataclass(frozen=True)
-class Network:
+class PuModel:
     mean: np.ndarray
     scale: np.ndarray
-    layers: tuple[np.ndarray, ...]
+    weights: np.ndarray
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of a positive."""
-        w1, b1, w2, b2 = self.layers
-        z = np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ w1 + b1) @ w2 + b2
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def _train(xp: np.ndarray, xu: np.ndarray, prior: float | None, p: PuParams) -> tuple[np.ndarray, ...]:
-    """With a prior the non-negative risk, without one plain logistic loss of positives against unlabelled rows."""
-    rng = np.random.default_rng(p.seed)
-    d = xp.shape[1]
-    w = [rng.normal(0, 1 / np.sqrt(d), (d, p.hidden)), np.zeros(p.hidden), rng.normal(0, 1 / np.sqrt(p.hidden), p.hidden), np.zeros(())]
-    m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    for t in range(1, p.rounds + 1):
-        ip, iu = rng.integers(0, len(xp), min(1024, len(xp))), rng.integers(0, len(xu), min(2048, len(xu)))
-        x = np.concatenate([xp[ip], xu[iu]])
-        h = np.tanh(x @ w[0] + w[1])
-        z = np.clip(h @ w[2] + w[3], -30, 30)
-        g = 1 / (1 + np.exp(-z))
-        np_, nu = len(ip), len(iu)
-        dz = np.zeros_like(z)
-        if prior is None:
-            dz[:np_], dz[np_:] = (g[:np_] - 1) / np_, g[np_:] / nu
-        else:
-            # logistic loss: l(+) = log(1 + e^-z), l(-) = log(1 + e^z)
-            minus = np.logaddexp(0, z)
-            negative = minus[np_:].mean() - prior * minus[:np_].mean()
-            if negative >= 0:
-                dz[:np_], dz[np_:] = prior * (g[:np_] - 1) / np_ - prior * g[:np_] / np_, g[np_:] / nu
-            else:  # the estimate of the negatives' risk went below zero: step back from it
-                dz[:np_], dz[np_:] = prior * g[:np_] / np_, -g[np_:] / nu
-        dh = np.outer(dz, w[2]) * (1 - h * h)
-        grads = [x.T @ dh, dh.sum(axis=0), h.T @ dz, dz.sum()]
-        for k, q in enumerate(grads):
-            q = q + p.decay * w[k]
-            m[k] = 0.9 * m[k] + 0.1 * q
-            v[k] = 0.999 * v[k] + 0.001 * q * q
-            w[k] = w[k] - p.rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    return tuple(w)
-
-
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Largest share of positives that the unlabelled scores allow, from scores of the two samples.
-
-    For each threshold, the share of unlabelled rows above it is at least the prior times that of positives. The smallest
-    ratio is the estimate, over thresholds that half of the positives pass, where both shares are well known.
+        return 1 / (1 + np.exp(-np.clip(bent(x, self.mean, self.scale) @ self.weights, -30, 30)))
+
+
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Features and whether trusted as positive, of each row."""
+    return b.column("x").flatten().to_numpy().reshape(-1, len(FEATURES)), b.column("positive").to_numpy(zero_copy_only=False)
+
+
+def total(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of part(features, positive) over all rows: an array of a fixed size, summed within tasks, then by Spark, entry by entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for b in batches:
+            if b.num_rows:
+                v = part(*_arrays(b))
+                out = v if out is None else out + v
+        if out is not None:
+            yield pa.RecordBatch.from_pydict({"v": pa.array([out], pa.list_(pa.float64()))})
+
+    sums = map_batches(rows.select("x", "positive"), run, "v array<double>").select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
+    return np.array([r["v"] for r in sums.orderBy("k").collect()])  # as many numbers as the model has squared weights
+
+
+def risk_terms(phi: np.ndarray, positive: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over rows: how many are unlabelled and positive, losses of unlabelled rows as negatives, of positives as positives and as
+    negatives, then the gradients of the first two losses, the sum of positive rows, and both curvatures.
+
+    Every row is unlabelled; trusted ones are positives besides.
     """
-    cuts = np.quantile(positive, np.linspace(0, 0.5, 51))
-    up = np.array([(unlabelled >= c).mean() for c in cuts])
-    pp = np.array([(positive >= c).mean() for c in cuts])
-    return float(np.clip((up / pp).min(), 0.05, 0.98))
-
-
-def fit(docs: DataFrame, positives: DataFrame, params: PuParams = PuParams()) -> Network:
-    """docs: unlabelled (doc_id, text); positives: their trusted doc_ids. A corpus without either gives an even score."""
-    p = params
-    n_docs, n_pos = docs.count(), positives.count()
-    chosen = lambda n, most, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) < int(min(1.0, most / max(1, n)) * 1_000_003)
-    trusted = docs.select("doc_id", "text").join(positives.select("doc_id").distinct().where(chosen(n_pos, p.max_positives, "p")).transform(small), "doc_id", "left_semi")
-    read = lambda df: np.array(measure(df).select("x").toArrow().column("x").to_pylist(), float).reshape(-1, len(FEATURES))
-    xp, xu = read(trusted), read(docs.select("doc_id", "text").where(chosen(n_docs, p.max_unlabelled, "u")))
-    d = len(FEATURES)
-    if len(xp) < 2 or len(xu) < 2:
-        return Network(np.zeros(d), np.ones(d), (np.zeros((d, 1)), np.zeros(1), np.zeros(1), np.zeros(())), 0.5)
-    mean, scale = xu.mean(axis=0), xu.std(axis=0) + 1e-6
-    norm = lambda x: np.clip((x - mean) / scale, -8, 8)
-    zp, zu = norm(xp), norm(xu)
-    half_p, half_u = np.arange(len(zp)) % 2 == 0, np.arange(len(zu)) % 2 == 0
-    first = Network(np.zeros(d), np.ones(d), _train(zp[half_p], zu[half_u], None, p), 0.5)
-    prior = estimate_prior(first.score(zp[~half_p]), first.score(zu[~half_u]))
-    return Network(mean, scale, _train(zp, zu, prior, p), prior)
-
-
-def score(docs: DataFrame, network: Network, threshold: float = 0.7) -> DataFrame:
-    """Per row of docs: doc_id, score, predicted (1 from the threshold on).
+    z = np.clip(phi @ w, -30, 30)
+    g = 1 / (1 + np.exp(-z))
+    minus, plus = np.logaddexp(0, z), np.logaddexp(0, -z)
+    p = positive.astype(float)
+    curve = g * (1 - g)
+    parts = [len(z), p.sum(), minus.sum(), (p * plus).sum(), (p * minus).sum(), phi.T @ g, phi.T @ (p * (g - 1)), phi.T @ p, (phi.T * curve) @ phi, (phi.T * (curve * p)) @ phi]
+    return np.concatenate([np.ravel(x) for x in parts])
+
+
+def _risk(s: np.ndarray, d: int, prior: float | None) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The risk, its part of negatives, gradient and curvature. Without a prior: of telling positives from unlabelled rows."""
+    n_u, n_p, minus_u, plus_p, minus_p = s[:5]
+    g_u, g_p, sum_p = s[5 : 5 + 3 * d].reshape(3, d)
+    h_u, h_p = s[5 + 3 * d :].reshape(2, d, d)
+    if prior is None:
+        return minus_u / n_u + plus_p / n_p, 1.0, g_u / n_u + g_p / n_p, h_u / n_u + h_p / n_p
+    negative = minus_u / n_u - prior * minus_p / n_p
+    # l(+) - l(-) of a positive is -z
+    return prior * plus_p / n_p + max(0.0, negative), negative, g_u / n_u - prior * sum_p / n_p, h_u / n_u
+
+
+def minimise(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, prior: float | None, p: PuParams) -> np.ndarray:
+    """Weights of the least risk, by Newton steps; a step that doesn't lower it, or makes the negatives' risk negative, is halved."""
+    d = 1 + 3 * len(FEATURES)
+
+    def at(w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        sums = total(rows, lambda x, y: risk_terms(bent(x, mean, scale), y, w))
+        ridge = np.full(d, p.penalty + p.shrinkage / sums[0])
+        ridge[0] = 1e-8
+        value, negative, g, h = _risk(sums, d, prior)
+        return value + (ridge * w * w).sum() / 2, negative, g + ridge * w, h + np.diag(ridge)
+
+    w = np.zeros(d)
+    value, _, g, h = at(w)
+    for _ in range(p.rounds):
+        step, share = np.linalg.solve(h, g), 1.0
+        while share > 0.1:
+            here = at(w - share * step)
+            if here[1] >= 0 and here[0] < value:
+                break
+            share /= 2
+        else:
+            break
+        gain = value - here[0]
+        w, (value, _, g, h) = w - share * step, here
+        if gain < 1e-5 * value:
+            break
+    return w
 
-    A null text counts as empty, and empty texts get a score like others. Equal texts have equal scores; other columns are
-    ignored; an empty table gives an empty result.
+
+#: Steps of a log odds, from -30 to 30, at which shares of rows are compared.
+_STEPS = 1200
+
+
+def estimate_prior(unlabelled: np.ndarray, positive: np.ndarray, confidence: float = 0.9) -> float:
+    """Share of positives in unlabelled rows, from counts of both per step of the first classifier's score, lowest first.
+
+    At a threshold that a share q of positives and a share u of unlabelled rows pass, the prior is at most u / q but for chance;
+    the threshold is that of the least bound (u + e) / q, where e is how far shares of so many rows stray.
     """
+    up, pp = (np.cumsum(x[::-1]) / max(1, x.sum()) for x in (unlabelled, positive))
+    e = sum(math.sqrt(math.log(4 / (1 - confidence)) / (2 * max(1, x.sum()))) for x in (unlabelled, positive))
+    some = pp > 0
+    at = np.flatnonzero(some)[np.argmin((up[some] + e) / pp[some])] if some.any() else 0
+    return float(np.clip(up[at] / pp[at], 0.01, 0.99)) if some.any() else 0.5
+
+
+def fit(rows: DataFrame, params: PuParams = PuParams()) -> PuModel:
+    """rows: x and positive, see `with_positives`. Without a positive or with fewer than two rows every score is even."""
+    p, d = params, len(FEATURES)
+    first = total(rows, lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(axis=0), (x * x).sum(axis=0)]))
+    if len(first) < 2 or first[0] < 2 or first[1] < 1:
+        return PuModel(np.zeros(d), np.ones(d), np.zeros(1 + 3 * d), 0.5)
+    mean = first[2 : 2 + d] / first[0]
+    scale = np.sqrt(np.maximum(0, first[2 + d :] / first[0] - mean * mean)) + 1e-6
+    half = F.pmod(F.xxhash64("x", F.lit("half")), F.lit(2)) == 0
+    apart = PuModel(mean, scale, minimise(rows.where(half), mean, scale, None, p), 0.5)
+
+    def counts(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        z = np.clip(bent(x, mean, scale) @ apart.weights, -30, 30)
+        step = np.minimum(((z + 30) * (_STEPS / 60)).astype(np.int64), _STEPS - 1)
+        return np.concatenate([np.bincount(step, minlength=_STEPS), np.bincount(step[positive], minlength=_STEPS)]).astype(float)
+
+    seen = total(rows.where(~half), counts)
+    prior = estimate_prior(seen[:_STEPS], seen[_STEPS:], p.confidence) if len(seen) and seen[_STEPS:].any() else 0.5
+    return PuModel(mean, scale, minimise(rows, mean, scale, prior, p), prior)
+
+
+def with_positives(measured: DataFrame, positives: DataFrame) -> DataFrame:
+    """measured (doc_id, x) with whether its doc_id is among the positives; only figures are shuffled, no texts."""
+    known = positives.select("doc_id").distinct().withColumn("positive", F.lit(True))
+    return measured.join(known, "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+
+
+def score(measured: DataFrame, model: PuModel, threshold: float = 0.7) -> DataFrame:
+    """Per row of measured (doc_id, x): doc_id, score, predicted (1 from the threshold on)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            x = np.array([features(t) for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(network.score(x), pa.float64())})
+        for b in batches:
+            x = b.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(model.score(x), pa.float64())})
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    out = map_batches(measured.select("doc_id", "x"), run, "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, params: PuParams = PuParams()) -> DataFrame:
-    """doc_id, held_out, score, predicted; learned from rows that aren't held out, positives being labels with quality 1."""
-    known = docs.where(~is_held_out())
-    network = fit(known, labels.where("quality = 1").where(~is_held_out()).select("doc_id"), params)
-    return score(docs, network).select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
+    """doc_id, held_out, score, predicted; learned from rows that aren't held out, positives being labels with quality 1.
+
+    A null text counts as empty, and empty texts get a score like others. Equal texts have equal scores; other columns are
+    ignored; an empty table gives an empty result. A row without doc_id is unlabelled text and not held out.
+    """
+    measured = materialize(measure(docs), "measures")
+    positives = labels.where("quality = 1").where(~is_held_out())
+    model = fit(materialize(with_positives(measured.where(~is_held_out()), positives), "pu-rows"), params)
+    return score(measured, model).select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
