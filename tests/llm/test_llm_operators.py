@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -10,6 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plain import plain_components, plain_copies, plain_fingerprint, plain_ids, plain_sentences, plain_spans
+
 from evidentia.llm import fertility, fingerprint, html_extract, language_id, license_scan, mixing, near_dedup, pu_quality, sentencepiece_scan, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, h string, count string, component string"
@@ -86,44 +89,7 @@ def test_mixing_matches_brute_force(spark):
     p = mixing.MixParams(weights={"domain": {"a": 1, "b": 3}, "lang": {"en": 2}, "source": {"s2": 0}}, budget_percent=80, max_epochs=2)
     tokens = {i: len(t.split()) for i, t, *_ in rows}
     path = {i: (d, l or "", s) for i, _, d, l, s in rows}
-    weight = lambda level, v: p.weights.get(p.levels[level], {}).get(v, 1)
-    supply = Counter()
-    for i, leaf in path.items():
-        supply[leaf] += tokens[i]
-    able = {leaf: s * p.max_epochs if all(weight(k, v) for k, v in enumerate(leaf)) else 0 for leaf, s in supply.items()}
-
-    def share(prefix, budget):
-        if len(prefix) == 3:
-            return {prefix: int(budget)}
-        kids = sorted({leaf[: len(prefix) + 1] for leaf in able if leaf[: len(prefix)] == prefix})
-        cap = {k: sum(v for leaf, v in able.items() if leaf[: len(k)] == k) for k in kids}
-        left, open_, given = budget, [k for k in kids if cap[k] > 0], {}
-        while open_:
-            rate = left / sum(weight(len(prefix), k[-1]) for k in open_)
-            full = [k for k in open_ if cap[k] <= rate * weight(len(prefix), k[-1])]
-            if not full:
-                given |= {k: rate * weight(len(prefix), k[-1]) for k in open_}
-                break
-            for k in full:
-                given[k] = cap[k]
-                left -= cap[k]
-            open_ = [k for k in open_ if k not in full]
-        out = {}
-        for k in given:
-            out |= share(k, given[k])
-        return out
-
-    budgets = share((), min(sum(able.values()), sum(supply.values()) * 80 // 100))
-    expected = {}
-    for leaf, s in supply.items():
-        b = budgets.get(leaf, 0)
-        epochs, rest = divmod(b, s) if s else (0, 0)
-        order = sorted((int(hashlib.md5(f"{p.seed}:{epochs + 1}:{i}".encode()).hexdigest()[:8], 16), i) for i in path if path[i] == leaf)
-        total, more = 0, True
-        for _, i in order:
-            total += tokens[i]
-            more = more and total <= rest and rest > 0
-            expected[i] = epochs + more
+    expected = plain_copies(tokens, path, p)
     found = {i: r.n_copies for i, r in got(mixing.mix(docs, p)).items()}
     assert found == expected
     assert mixing.select_mixture(docs, p).count() == sum(expected.values())
@@ -171,15 +137,6 @@ def test_language_forward_sums_all_segmentations():
 
 
 def test_sentencepiece_is_exact_whatever_the_chunks(spark, docs, empty, rows):
-    e = sentencepiece_scan.encoder(sentencepiece_scan.model_bytes())
-
-    def whole(t):
-        if not t:
-            return []
-        t = " " + t
-        _, back = e.viterbi(t, {0: 0}, len(t), len(t))
-        return e.trace(t, back, len(t))[0]
-
     r = random.Random(2)
     odd = ["".join(r.choice(a) for _ in range(r.randint(1, 200))) for a in ("ab ", "aaa", "é\n▁ 漢😀 ", "er in  on ") for _ in range(3)]
     more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
@@ -187,7 +144,7 @@ def test_sentencepiece_is_exact_whatever_the_chunks(spark, docs, empty, rows):
     texts = {r[0]: r[1] for r in short.collect()}
     for chunk in (23, 1000):
         found = got(sentencepiece_scan.encode(short, chunk=chunk))
-        assert {i: list(x.ids or []) for i, x in found.items()} == {i: whole(t) for i, t in texts.items()}
+        assert {i: list(x.ids or []) for i, x in found.items()} == {i: plain_ids(t) for i, t in texts.items()}
         assert all(x.restored for x in found.values())
     back = got(sentencepiece_scan.decode(sentencepiece_scan.encode(docs)))
     assert {i: x.text for i, x in back.items()} == {r[0]: r[1] for r in rows}
@@ -197,22 +154,11 @@ def test_sentencepiece_is_exact_whatever_the_chunks(spark, docs, empty, rows):
 def test_substring_dedup(docs, empty, rows):
     p = substring_dedup.SpanParams()
     found = got(substring_dedup.remove_repeated_spans(docs))
-    seen = set()
     for i, text, *_ in rows:
         s = substring_dedup.split_sentences(text or "", p)
-        assert "".join(s) == (text or "")
-        n = [len(x.split()) for x in s]
-        gone, enough = set(), lambda a, b, n=n: b - a >= p.sentences and sum(n[a:b]) >= p.words
-        onward = {(a, next((b for b in range(a, len(s) + 1) if enough(a, b)), None)) for a in range(len(s))}
-        back = {(next((a for a in range(b, -1, -1) if enough(a, b)), None), b) for b in range(1, len(s) + 1)}
-        for a, b in sorted(x for x in onward | back if None not in x):
-            k = tuple(b" ".join(x.encode().lower().split()) for x in s[a:b])
-            if k in seen:
-                gone |= set(range(a, b))
-            seen.add(k)
-        expected = None if text is None else "".join(x for k, x in enumerate(s) if k not in gone)
-        assert found[i].text == expected, i
-        assert found[i].n_removed == len(gone) and found[i].n_chars == len(expected or "")
+        assert s == plain_sentences(text or "", p.window) and "".join(s) == (text or "")
+    for i, (text, n, removed) in plain_spans([r[:2] for r in rows], p).items():
+        assert (found[i].text, found[i].n_sentences, found[i].n_removed, found[i].n_chars) == (text, n, removed, len(text or "")), i
     assert found[9].text == "" and found[10].text == ""
     assert substring_dedup.remove_repeated_spans(empty).count() == 0
 
@@ -226,7 +172,13 @@ def test_passages_are_found_anywhere(spark):
     found = got(substring_dedup.remove_repeated_spans(docs))
     assert found[1].n_removed == 0
     left = set(found[2].text.split()) & set(passage.split())
-    assert len(left) < 35
+    assert len(left) < 10
+
+
+def test_a_word_that_goes_on_is_left_alone(spark):
+    docs = spark.createDataFrame([(1, "at " * 45), (2, "on " * 200), (3, "at " * 45)], "doc_id long, text string")
+    found = got(substring_dedup.remove_repeated_spans(docs))
+    assert found[1].n_removed == 0 and len(found[2].text) < 200 and found[3].text == ""
 
 
 def test_passages_of_51_words_go_almost_entirely(spark):
@@ -250,25 +202,6 @@ def test_passages_of_51_words_go_almost_entirely(spark):
 
 
 def test_near_duplicates_match_brute_force(docs, empty, spark, rows):
-    def brute(texts, size, num):
-        sets = {}
-        for i, t in texts.items():
-            w = (t or "").encode().lower().split()
-            sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
-        top = {i: i for i in sets}
-
-        def root(x):
-            while top[x] != x:
-                x = top[x]
-            return x
-
-        for a, b in itertools.combinations(sets, 2):
-            n = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * n >= num * (len(sets[a]) + len(sets[b]) - n):
-                x, y = root(a), root(b)
-                top[max(x, y)] = min(x, y)
-        return {i: root(i) for i in sets}, {i: len(s) for i, s in sets.items()}
-
     r = random.Random(1)
     base = [f"w{r.randint(0, 999)}" for _ in range(80)]
     loose = {}
@@ -281,7 +214,7 @@ def test_near_duplicates_match_brute_force(docs, empty, spark, rows):
         texts = {r[0]: r[1] for r in rows} | loose
         df = docs.select("doc_id", "text", "score", "h").unionByName(spark.createDataFrame(list(loose.items()), "doc_id long, text string").select("*", F.lit("x").alias("score"), F.lit("x").alias("h")))
         found = got(near_dedup.near_duplicates(df, near_dedup.NearDedupParams(shingle_words=size)))
-        components, sizes = brute(texts, size, 80)
+        components, sizes = plain_components(texts, size, 80)
         assert {i: x.component_id for i, x in found.items()} == components
         assert {i: x.n_shingles for i, x in found.items()} == sizes
         assert all(x.kept == (i == components[i]) for i, x in found.items())
@@ -298,13 +231,23 @@ def test_a_row_without_id(spark):
 
 def test_fingerprints(docs, empty, rows):
     found = got(fingerprint.edited_fingerprints(docs))
+    hexed = lambda bits: "".join(f"{x:x}" for x in bits)
+
+    def alike(a, b):
+        if len(a) != len(b) or not a:
+            return float(len(a) == len(b))
+        share = sum(x == y for x, y in zip(a, b)) / len(a)
+        return max(0.0, (share - 1 / 16) / (1 - 1 / 16))
+
     order = sorted(rows, key=lambda r: -r[0])
     for k, (i, text, *_) in enumerate(order):
         text, after = text or "", order[(k + 1) % len(order)][1] or ""
         n = len(text) // 3
         edited = text[: len(text) - n] + after[:n]
         assert found[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and found[i].n_chars == len(text)
-        assert 0 <= found[i].near_edited <= 1 and 0 <= found[i].near_next <= 1
+        own, changed, following = map(plain_fingerprint, (text, edited, after))
+        assert (found[i].fingerprint, found[i].edited_fingerprint) == (hexed(own), hexed(changed)), i
+        assert abs(found[i].near_edited - alike(own, changed)) < 1e-9 and abs(found[i].near_next - alike(own, following)) < 1e-9
     assert found[3].fingerprint == found[9].fingerprint == found[10].fingerprint and found[3].fingerprint != found[4].fingerprint
     assert found[0].fingerprint == "" and found[0].near_edited == 1
     assert fingerprint.edited_fingerprints(empty).count() == 0
@@ -341,6 +284,16 @@ def test_licences(docs, empty, spark, rows):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_whole_licence_texts(docs, spark):
+    bsd = "\n * ".join(x.notice for x in license_scan.TEMPLATES if x.label.startswith("bsd") and len(x.notice) > 60)
+    isc, mit = next(x.notice for x in license_scan.TEMPLATES if x.label == "isc"), [x.notice for x in license_scan.TEMPLATES if x.label == "mit"][1]
+    changed = isc.replace("copy, modify,", "copy and change,").replace("with or without fee", "for a fee")
+    texts = [f"Copyright A\n{bsd}. Then code.", f"/* {isc} */ int x; /* {mit} */", changed, mit.replace("sublicense", "lend").replace("merge", "join"), " ".join(reversed(isc.split()))]
+    found = got(license_scan.scan(docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))))
+    assert [found[900 + i].labels for i in range(5)] == ["bsd,bsd-3", "isc,mit", "", "mit", ""]
+    assert 0.6 <= found[903].score < 1
+
+
 def test_quality(spark, empty, docs):
     r = random.Random(9)
     good = [(i, _prose(r, 120), 1) for i in range(300)]
@@ -348,19 +301,44 @@ def test_quality(spark, empty, docs):
     rows = good + bad
     d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if i % 2], "doc_id long, quality int, toxic int")
-    found = got(pu_quality.classify(d, labels, pu_quality.PuParams(rounds=300)))
+    found = got(pu_quality.classify(d, labels))
     assert np.mean([found[i].predicted == q for i, _, q in rows]) > 0.95
     assert all(0 <= x.score <= 1 for x in found.values())
-    network = pu_quality.fit(d, labels.where("quality = 1").select("doc_id"), pu_quality.PuParams(rounds=100))
-    assert pu_quality.score(docs, network).count() == docs.count()
-    assert pu_quality.classify(empty, labels, pu_quality.PuParams(rounds=10)).count() == 0
+    more = d.unionByName(docs.select((F.col("doc_id") + 5000).alias("doc_id"), "text")).unionByName(spark.createDataFrame([(None, good[0][1]), (None, None)], "doc_id long, text string"))
+    odd = [r for r in pu_quality.classify(more.withColumn("score", F.lit("clash")), labels).collect()]
+    assert len(odd) == more.count() and all(0 <= x.score <= 1 and x.held_out in (True, False) for x in odd)
+    assert len({x.score for x in odd if x.doc_id in (5003, 5009, 5010)}) == 1  # copies
+    assert pu_quality.classify(empty, labels).count() == 0
+    assert {x.score for x in pu_quality.classify(d, labels.limit(0)).collect()} == {0.5}
+
+
+def test_pu_risk_matches_a_plain_version():
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(50, 19)), r.random(50) < 0.4
+    phi = pu_quality.bent(x, np.zeros(19), np.ones(19))
+    for prior in (None, 0.2, 0.6):
+
+        def plain(w):
+            z = [sum(a * b for a, b in zip(row, w)) for row in phi]
+            loss = lambda t: math.log1p(math.exp(-t))
+            u, plus, minus = (sum(v) / len(v) for v in ([loss(-t) for t in z], [loss(t) for t, k in zip(z, y) if k], [loss(-t) for t, k in zip(z, y) if k]))
+            return u + plus if prior is None else prior * plus + max(0, u - prior * minus)
+
+        w = r.normal(0, 0.1, phi.shape[1])
+        value, negative, gradient, curvature = pu_quality._risk(pu_quality.risk_terms(phi, y, w), phi.shape[1], prior)
+        assert abs(value - plain(w)) < 1e-9 and negative > 0
+        for k in (0, 3, 25, 57):
+            e = np.zeros(len(w))
+            e[k] = 1e-4
+            assert abs((plain(w + e) - plain(w - e)) / 2e-4 - gradient[k]) < 1e-5
+            assert abs((plain(w + e) + plain(w - e) - 2 * plain(w)) / 1e-8 - curvature[k, k]) < 1e-3
 
 
 def test_prior_is_the_share_of_positives():
     r = np.random.default_rng(0)
-    p, n = r.normal(2, 1, 5000), r.normal(-2, 1, 5000)
-    u = np.concatenate([p[:3500] + 0.0, n[:1500]])
-    assert abs(pu_quality.estimate_prior(r.normal(2, 1, 5000), u) - 0.7) < 0.05
+    counts = lambda x: np.histogram(x, np.linspace(-30, 30, pu_quality._STEPS + 1))[0].astype(float)
+    u = np.concatenate([r.normal(2, 1, 14000), r.normal(-2, 1, 6000)])
+    assert abs(pu_quality.estimate_prior(counts(u), counts(r.normal(2, 1, 20000))) - 0.7) < 0.03
 
 
 PAGE = """<html><head><title>t</title><script>var x="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav>
