@@ -41,6 +41,31 @@ def key(system: Column, value: Column) -> Column:
     )
 
 
+#: Kinds of location that have a form of their own; any other is compared as it is written.
+SYSTEMS = ("stephanus", "bekker", "section", "page", "chapter", "")
+
+
+def range_form(system: Column, value: Column, range_end: Column) -> Column:
+    """Struct of start, end (normal forms; one value is both) and their keys. Made once per row, by a lambda, so that a plan that
+    uses it often holds its expressions once."""
+    one = F.struct(system.alias("system"), value.alias("value"), range_end.alias("range_end"))
+    ends = F.transform(F.array(one), lambda x: F.struct(x["system"].alias("system"), normalize(x["system"], x["value"]).alias("start"), normalize(x["system"], x["range_end"]).alias("other")))
+    ends = F.transform(ends, lambda x: F.struct(x["system"].alias("system"), x["start"].alias("start"), F.coalesce(x["other"], x["start"]).alias("end")))
+    return F.transform(ends, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), key(x["system"], x["start"]).alias("start_key"), key(x["system"], x["end"]).alias("end_key")))[0]
+
+
+def cited_forms(raw: Column) -> Column:
+    """Array of structs, one per kind of SYSTEMS: raw, start, end and their keys, as the kind reads the cited location."""
+    read = F.transform(F.array(*map(F.lit, SYSTEMS)), lambda s: F.struct(s.alias("system"), normalize(s, raw).alias("raw")))
+    cut = F.transform(read, lambda x: F.struct(x["system"].alias("system"), x["raw"].alias("raw"), bounds(x["raw"]).alias("b")))
+    return F.transform(cut, lambda x: F.struct(x["system"].alias("system"), x["raw"].alias("raw"), x["b"][0].alias("start"), x["b"][1].alias("end"), key(x["system"], x["b"][0]).alias("start_key"), key(x["system"], x["b"][1]).alias("end_key")))
+
+
+def of_system(forms: Column, system: Column) -> Column:
+    """The form that the kind reads."""
+    return F.coalesce(F.get(F.filter(forms, lambda f: f["system"] == system), F.lit(0)), F.element_at(forms, -1))
+
+
 def within(start: Column, end: Column, value: Column, a: Column, b: Column, v: Column) -> Column:
     """Whether value, with key v, lies between start and end, with keys a and b; where a key is missing, whether it equals one of them."""
     return F.when(a.isNull() | b.isNull() | v.isNull(), (value == start) | (value == end)).otherwise((a <= v) & (v <= b))

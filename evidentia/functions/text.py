@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and the letters without.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-# Frequent words of four letters or more that say nothing about a text's subject.
-STOPWORDS = ("about", "also", "been", "does", "from", "have", "into", "more", "only", "over", "some", "such", "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "through", "under", "very", "were", "what", "when", "where", "which", "while", "with", "would", "your")
+# Frequent words that say nothing about a text's subject.
+STOPWORDS = (
+    "about", "after", "again", "also", "among", "and", "any", "are", "because", "been", "being", "between", "both", "does", "each", "from", "have", "into", "more", "most", "much", "only", "over", "same", "such",
+    "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "through", "under", "what", "when", "where", "which", "while", "with", "would",
+)
+
+
+def _plain(c: str) -> str:
+    """A character's compatibility decomposition without combining marks, folded."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+
+
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
+    """Characters with a plain one, the plain ones, marks that go, and letters that become several ASCII letters.
+
+    Made by rule for the basic plane; Hangul syllables, which only fall into their parts, stay.
+    """
+    every = [chr(c) for c in range(0x80, 0x10000) if not (0xD800 <= c < 0xE000 or 0xAC00 <= c < 0xD7A4)]
+    changed = [(c, _plain(c)) for c in every if _plain(c) != c]
+    one = [(c, p) for c, p in changed if len(p) == 1]
+    return "".join(c for c, _ in one), "".join(p for _, p in one), "".join(c for c, p in changed if not p and unicodedata.combining(c)), tuple((c, p) for c, p in changed if len(p) > 1 and p.isascii() and c.isalpha() and c.islower())
 
 
 def strip_marks(x: Column) -> Column:
-    """Lower case, without the marks of Latin letters; sharp s becomes ss."""
-    return F.replace(F.translate(F.lower(x), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
+    """Compatibility characters as plain ones, without marks, folded: sharp s becomes ss, a ligature its letters."""
+    one, plain, gone, several = _folds()
+    x = F.translate(F.lower(x), one + gone, plain)
+    for c, p in several:
+        x = F.replace(x, F.lit(c), F.lit(p))
+    return x
 
 
 def normalize(x: Column) -> Column:
-    """Words, hyphens and underscores in lower case, one space between."""
-    return F.trim(F.regexp_replace(F.regexp_replace(strip_marks(x), r"[^a-z0-9_\s-]", " "), r"\s+", " "))
+    """Words, hyphens and underscores, folded, one space between."""
+    return F.trim(F.regexp_replace(F.regexp_replace(strip_marks(x), r"[^\p{L}\p{N}_\s-]", " "), r"\s+", " "))
 
 
-NORMALIZE_SQL = r"trim(regexp_replace(regexp_replace(replace(strip_accents(lower({x})), 'ß', 'ss'), '[^a-z0-9_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+NORMALIZE_SQL = r"trim(regexp_replace(regexp_replace(replace(strip_accents(lower({x})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def significant_tokens(normalized: Column) -> Column:
@@ -36,7 +60,7 @@ TOKENS_SQL = r"list_distinct(list_filter(regexp_extract_all({x}, '[a-zA-Z][a-zA-
 
 def contains_phrase(normalized: Column, phrase: str) -> Column:
     """The phrase between signs that aren't word signs."""
-    return F.concat(F.lit(" "), normalized, F.lit(" ")).rlike(rf"[^a-z0-9_]{phrase}[^a-z0-9_]")
+    return F.concat(F.lit(" "), normalized, F.lit(" ")).rlike(rf"[^\p{{L}}\p{{N}}_]{phrase}[^\p{{L}}\p{{N}}_]")
 
 
 def word_count(x: Column) -> Column:

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions import location
-from evidentia.functions.profile import SAMPLE, Vocabulary, with_profile
+from evidentia.functions.profile import KINDS, SAMPLE, Vocabulary, off_topic, with_profile
 from evidentia.functions.text import strip_marks
 
-EXCERPT = 200
-
 
 def normalize_name(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(strip_marks(x), r"[^a-z0-9_\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(strip_marks(x), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
 def normalize_title(x: Column) -> Column:
@@ -46,45 +44,58 @@ def title_score(e: Column, a: Column) -> Column:
     return F.when(empty, 0).when(e == a, 100).when(F.contains(a, e), 85).when(F.contains(e, a), 75).when((F.size(words) >= 2) & (F.size(F.array_except(words, F.split(a, " "))) == 0), 70).otherwise(0)
 
 
-def with_location_score(pairs: DataFrame, name: str) -> DataFrame:
-    """pairs (location, system, value, range_end) with a score: 150 contained, 125 overlapping (10 more if its start is contained,
-    else 5 if its end is), null if neither or the chunk has no location. Steps are columns, so that each is computed once."""
-    system = F.col("system")
-    step = pairs.withColumn("l_start", location.normalize(system, F.col("value"))).withColumn("l_end", F.coalesce(location.normalize(system, F.col("range_end")), "l_start"))
-    step = step.withColumn("l_raw", location.normalize(system, F.col("location"))).withColumn("l_b", location.bounds(F.col("l_raw")))
-    step = step.withColumn("l_b0", F.col("l_b")[0]).withColumn("l_b1", F.col("l_b")[1])
-    for k in ("l_start", "l_end", "l_b0", "l_b1"):
-        step = step.withColumn(f"{k}_key", location.key(system, F.col(k)))
-    within = lambda k: location.within(*[F.col(c) for c in ("l_start", "l_end", k, "l_start_key", "l_end_key", f"{k}_key")])
-    step = step.withColumn("l_has0", within("l_b0")).withColumn("l_has1", within("l_b1"))
-    inside = (F.col("l_raw") == F.col("l_start")) | ((F.col("l_b0") == F.col("l_b1")) & F.col("l_has0")) | ((F.col("l_b0") == F.col("l_start")) & (F.col("l_b1") == F.col("l_end")))
-    meets = location.meet(*[F.col(c) for c in ("l_start", "l_end", "l_b0", "l_b1", "l_start_key", "l_end_key", "l_b0_key", "l_b1_key")])
-    bonus = F.when(F.col("l_has0"), 10).when(F.col("l_has1"), 5).otherwise(0)
-    score = F.when(F.coalesce(inside, F.lit(False)), 150).when(F.coalesce(meets, F.lit(False)), 125 + bonus)
-    return step.withColumn(name, score).drop(*[c for c in step.columns if c.startswith("l_")])
+def location_score(at: Column, cited: Column) -> Column:
+    """Of a chunk's range (range_form) and a citation's (one of cited_forms): 150 contained, 125 overlapping (10 more if its start is
+    contained, else 5 if its end is), null if neither or the chunk has no location."""
+    inside = lambda k: location.within(at["start"], at["end"], cited[k], at["start_key"], at["end_key"], cited[f"{k}_key"])
+    equal = (cited["raw"] == at["start"]) | ((cited["start"] == cited["end"]) & inside("start")) | ((cited["start"] == at["start"]) & (cited["end"] == at["end"]))
+    meets = location.meet(at["start"], at["end"], cited["start"], cited["end"], at["start_key"], at["end_key"], cited["start_key"], cited["end_key"])
+    bonus = F.when(inside("start"), 10).when(inside("end"), 5).otherwise(0)
+    return F.when(F.coalesce(equal, F.lit(False)), 150).when(F.coalesce(meets, F.lit(False)), 125 + bonus)
+
+
+#: Columns of a chunk whose phrase in a claim supports it, and how much.
+METADATA = {"author": 7, "section_title": 9, "speaker": 12, "interlocutor": 8}
 
 
 def support_score(v: Vocabulary = SAMPLE) -> Column:
-    """How well a chunk (k_ profile columns) supports a claim (c_) of a question (q_)."""
+    """How well a chunk (k_ profile and name columns) supports a claim (c_) of a question (q_)."""
     both = lambda p, kind: F.size(F.array_intersect(f"{p}{kind}", f"k_{kind}"))
     score = F.least(both("c_", "tokens") * 4, F.lit(28)) + both("c_", "topics") * 10 + both("c_", "traditions") * 8 + both("c_", "periods") * 6
     score = score + both("q_", "topics") * 4 + both("q_", "traditions") * 3 + both("q_", "periods") * 2
-    return score - F.when((F.size("c_topics") > 0) & (F.size("k_topics") > 0) & (both("c_", "topics") == 0), 8).otherwise(0)
+    general = F.arrays_overlap(F.col("q_topics"), F.array(*map(F.lit, v.general_topics)).cast("array<string>")) & (F.size("q_traditions") == 0)
+    first = next(iter(v.penalties), "")
+    score = score - F.when((F.col("k_collection") == first) & off_topic("q_", "k_", general, v), 10).otherwise(0)
+    score = score + F.when(F.size("c_names") == 0, 0).when(F.arrays_overlap("c_names", "k_names"), 8).otherwise(-6)
+    score = score - F.when((F.size("c_topics") > 0) & (F.size("k_topics") > 0) & (both("c_", "topics") == 0), 8).otherwise(0)
+    for name, weight in METADATA.items():
+        said = (F.col(f"k_said_{name}") != "") & F.contains(F.col("c_said"), F.col(f"k_said_{name}"))
+        score = score + F.when(F.coalesce(said, F.lit(False)), weight).otherwise(0)
+    return score
 
 
 def match(citations: DataFrame, chunks: DataFrame, v: Vocabulary = SAMPLE) -> DataFrame:
     """Pairs with a positive score: citation_id, chunk_id, score.
 
     citations: query_id, citation_id, claim, question, work, author, collection, location. chunks: query_id, chunk_id,
-    collection, work_title, author, text, system, value, range_end. A pair meets within a question only; profiles are made once
-    per citation and per chunk. A claim with little support vetoes the pair.
+    collection, work_title, author, text, system, value, range_end, and section_title, speaker, interlocutor, context_type,
+    tradition, period, topic_list where there are any. A pair meets within a question only; profiles, names and locations are
+    made once per citation and per chunk. A claim with little support vetoes the pair; a citation without a claim has no support
+    to show. A null question has an empty profile.
     """
     cited = with_profile(with_profile(citations, ["claim"], "c_", v), ["question"], "q_", v)
-    cited = cited.withColumn("c_title", normalize_title(F.col("work"))).withColumn("c_name", normalize_name(F.col("author"))).withColumn("claimed", F.coalesce(F.col("claim"), F.lit("")) != "").drop("claim", "question")
-    kept = with_profile(chunks, ["work_title", "author", "text"], "k_", v).withColumn("k_title", normalize_title(F.col("work_title"))).withColumn("k_name", normalize_name(F.col("author")))
-    kept = kept.select("query_id", "chunk_id", F.col("collection").alias("k_collection"), "k_title", "k_name", "system", "value", "range_end", "k_tokens", "k_topics", "k_traditions", "k_periods")
+    cited = cited.withColumn("c_title", normalize_title(F.col("work"))).withColumn("c_name", normalize_name(F.col("author"))).withColumn("claimed", F.coalesce(F.col("claim"), F.lit("")) != "")
+    cited = cited.withColumn("c_said", normalize_name(F.col("claim"))).withColumn("forms", location.cited_forms(F.col("location"))).drop("claim", "question")
+    for name in ("section_title", "speaker", "interlocutor", "context_type"):
+        if name not in chunks.columns:
+            chunks = chunks.withColumn(name, F.lit(None).cast("string"))
+    kept = with_profile(chunks, ["work_title", "author", "section_title", "text"], "k_", v, ("speaker", "interlocutor", "context_type"))
+    kept = kept.withColumn("k_title", normalize_title(F.col("work_title"))).withColumn("k_name", normalize_name(F.col("author"))).withColumn("place", location.range_form(F.col("system"), F.col("value"), F.col("range_end")))
+    said = [normalize_name(F.col(name)).alias(f"k_said_{name}") for name in METADATA]
+    kept = kept.select("query_id", "chunk_id", F.col("collection").alias("k_collection"), "k_title", "k_name", "system", "place", *[f"k_{x}" for x in ("tokens", *KINDS)], *said)
     pairs = cited.join(kept, "query_id").withColumn("title", title_score(F.col("c_title"), F.col("k_title"))).withColumn("person", name_score(F.col("c_name"), F.col("k_name")))
-    pairs = with_location_score(pairs, "at").withColumn("support", F.when(F.col("claimed"), support_score(v)).otherwise(0))
+    pairs = pairs.withColumn("cited", location.of_system(F.col("forms"), F.col("system"))).withColumn("at", location_score(F.col("place"), F.col("cited")))
+    pairs = pairs.withColumn("support", F.when(F.col("claimed"), support_score(v)).otherwise(0))
     has = lambda c: F.col(c).isNotNull()
     veto = (
         (has("collection") & (F.col("collection") != F.col("k_collection"))) | (has("author") & (F.col("person") == 0)) | (~has("collection") & (F.col("title") == 0)) | (has("location") & F.col("at").isNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.profile import Vocabulary
+from evidentia.functions.profile import Vocabulary, off_topic
 from evidentia.plans.registry import Policy
 
 
@@ -28,7 +28,7 @@ def discipline_multiplier(q: str, c: str, collection: Column, vocabulary: Vocabu
     both = lambda k: F.size(F.array_intersect(f"{q}{k}", f"{c}{k}"))
     some = lambda k: (F.size(f"{q}{k}") > 0) & (F.size(f"{c}{k}") > 0)
     general = F.arrays_overlap(F.col(f"{q}tokens"), F.array(*map(F.lit, vocabulary.general)))
-    aside = F.array_contains(f"{c}traditions", "ancient") & ~(F.array_contains(f"{q}traditions", "ancient") | F.array_contains(f"{q}periods", "ancient")) & (((F.size(f"{q}topics") > 0) & (both("topics") == 0)) | general)
+    aside = off_topic(q, c, general, vocabulary)
     m = F.lit(1.0) + F.least(both("tokens") * 0.02, F.lit(0.12)) + both("topics") * 0.06 + both("traditions") * 0.04 + both("periods") * 0.03
     for name, penalty in vocabulary.penalties.items():
         m = m - F.when((collection == name) & aside, F.lit(penalty)).otherwise(0.0)
@@ -36,6 +36,13 @@ def discipline_multiplier(q: str, c: str, collection: Column, vocabulary: Vocabu
     return F.greatest(F.lit(0.7), F.least(m, F.lit(1.45)))
 
 
+def rerank(candidates: DataFrame, vocabulary: Vocabulary, policy: Policy = Policy()) -> DataFrame:
+    """candidates (similarity, tier, collection, mode, profile columns q_ and k_) with score: similarity times the boosts of trust tier, of
+    discipline, and of the collection in the question's mode."""
+    boost = tier_boost(F.col("tier"), policy) * discipline_multiplier("q_", "k_", F.col("collection"), vocabulary) * collection_boost(F.col("collection"), F.col("mode"), policy)
+    return candidates.withColumn("score", F.col("similarity") * boost)
+
+
 def tier_rerank(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """candidates (with tier, similarity) and score."""
     return candidates.withColumn("score", F.col("similarity") * tier_boost(F.col("tier"), policy))
