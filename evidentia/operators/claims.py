@@ -10,79 +10,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_COLLECTIONS = "encyclopedia_a|encyclopedia_b"
-#: Forms of a citation, tried in order: work or author, collection, location after a comma.
+#: Names of collections that a citation may give; callers may pass others.
+COLLECTIONS = ("encyclopedia_a", "encyclopedia_b")
 _CITATION = T.StructType([T.StructField(n, T.StringType()) for n in ("work", "location", "author", "collection")])
 SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("answer", T.StringType()), T.StructField("form", T.StringType()), T.StructField("claims", T.ArrayType(T.StructType([T.StructField("claim", T.StringType()), T.StructField("citations", T.ArrayType(_CITATION))])))])
-_END = ".?!"
-_CLOSING = "\"')]”’"
-_LOCATION = re.compile(r"^(?:§|sec|pp?\.|ch|book\s+[ivxlcdm]+|\d).*$", re.I)
+#: Signs that end a sentence, and those that may follow before the next one begins.
+_UNIT = re.compile(r"[^.?!]*[.?!][\s\"')\]}»”’]*|[^.?!]+")
+_AFTER = re.compile(r"[\s\"')\]}»”’]*")
+#: How a location begins, the words before its number, and its form.
+_LOCATION_START = re.compile(r"(?:§|section\s+|sec\.?\s+|p(?:age)?\.?\s+|chapter\s+|chap\.?\s+|\d)", re.I)
+_LOCATION_WORD = re.compile(r"(?:(?:section|sec\.?|chapter|chap\.?)\s+)?(?:p(?:age)?\.?\s*)?")
+_LOCATION_FORM = re.compile(r"[\da-z.]+(?:\s*-\s*[\da-z.]+)?")
 
 
-def parse_citation(part: str) -> dict | None:
-    """`author, work, collection, location` with any of author, collection, location left out."""
-    fields = [x.strip() for x in part.split(",") if x.strip()]
-    if not fields:
-        return None
+def clean(text: str) -> str:
+    """One space between words, none before punctuation."""
+    return re.sub(r"\s+([,.;:?!])", r"\1", " ".join(text.split()))
+
+
+def is_location(value: str) -> bool:
+    if not _LOCATION_START.match(value):
+        return False
+    flat = " ".join(value.lower().replace("\u2013", "-").split()).lstrip("§").strip()
+    return bool(_LOCATION_FORM.fullmatch(flat[_LOCATION_WORD.match(flat).end() :].strip()))
+
+
+def parse_citation(part: str, collections: tuple[str, ...] = COLLECTIONS) -> dict:
+    """One citation: `author, work, collection location`, `author, collection location`, `collection location`, else a work with or
+    without a location after it. The comma between collection and location may be missing."""
+    part, names = clean(part), "|".join(map(re.escape, collections))
     out = dict.fromkeys(("work", "location", "author", "collection"))
-    at = next((i for i, x in enumerate(fields) if re.fullmatch(_COLLECTIONS, x, re.I)), None)
-    if at is not None:
-        before, after = fields[:at], fields[at + 1 :]
-        out["collection"] = fields[at].lower()
-        out["location"] = ", ".join(after) or None
-        if len(before) >= 2:
-            out["author"], out["work"] = before[0], ", ".join(before[1:])
-        elif before:
-            out["work"] = before[0]
-        else:
-            out["work"] = fields[at].upper()
+    named = re.search(rf"(?:^|(?<=.),\s*)({names})\s*,?\s*(.+)$", part, re.I) if names else None
+    if named:
+        before = part[: named.start()].strip()
+        out["collection"], out["location"] = named[1].lower(), named[2].strip()
+        author, _, work = before.partition(",")
+        out["author"] = author.strip() or None
+        out["work"] = work.strip() or named[1].upper()
         return out
-    if len(fields) > 1 and _LOCATION.match(fields[-1]):
-        out["location"] = fields.pop()
-    else:
-        found = re.match(r"^(.*\S)\s+(\d+[a-e]?\d*(?:\s*[-–]\s*\d+[a-e]?\d*)?)$", fields[-1])
-        if found:
-            fields[-1], out["location"] = found[1], found[2]
-    out["work"] = ", ".join(fields)
-    return out
+    words = part.split()
+    for k in range(1, len(words)):
+        work, place = " ".join(words[:k]).strip(" ,"), " ".join(words[k:])
+        if work and is_location(place):
+            return out | {"work": work, "location": place}
+    return out | {"work": part}
 
 
-def parse_group(group: str) -> list[dict]:
+def parse_group(group: str, collections: tuple[str, ...] = COLLECTIONS) -> list[dict]:
     """Distinct citations of one pair of brackets, parts between semicolons, first ones kept."""
-    found = [c for c in map(parse_citation, group.split(";")) if c]
+    found = [parse_citation(x, collections) for x in group.split(";") if x.strip()]
     return [c for i, c in enumerate(found) if c not in found[:i]]
 
 
-def parse_brackets(raw: str) -> tuple[str, list[dict]]:
-    """The answer without citations, and sentences with those that follow them; none at all where nothing is cited."""
-    pieces, at = [], 0
+def parse_brackets(raw: str, collections: tuple[str, ...] = COLLECTIONS) -> tuple[str, list[dict]]:
+    """The answer without citations, its paragraphs unwrapped, and sentences with the citations in them or right after them.
+
+    Where something is cited, sentences of four words or more count as claims even without a citation; else there is none. An
+    opening bracket that isn't closed is text.
+    """
+    pieces: list[str | list[dict]] = []
+    at = 0
     while (i := raw.find("[", at)) >= 0 and (j := raw.find("]", i)) >= 0:
-        pieces += [raw[at:i], parse_group(raw[i + 1 : j])]
+        pieces += [raw[at:i], parse_group(raw[i + 1 : j], collections)]
         at = j + 1
     pieces.append(raw[at:])
-    claims: list[dict] = []
-    sentence, cited, ended = "", [], False
+    found: list[dict] = []
+    sentence: list[str] = []
+    cited: list[dict] = []
+    ended = False
 
     def close() -> None:
-        nonlocal sentence, cited, ended
-        text = re.sub(r"\s+([.,;:?!])", r"\1", " ".join(sentence.split()))
-        if text and (cited or len(re.findall(r"\w+", text)) >= 4):
-            claims.append({"claim": text, "citations": cited})
-        sentence, cited, ended = "", [], False
+        nonlocal sentence, cited
+        text = clean("".join(sentence)).strip(" ;,:")
+        if text:
+            found.append({"claim": text, "citations": cited})
+        sentence, cited = [], []
 
     for piece in pieces:
         if isinstance(piece, list):
-            cited = cited + [c for c in piece if c not in cited]
+            cited = cited + piece
             continue
-        for ch in piece:
-            if ended and not (ch.isspace() or ch in _CLOSING or ch in _END):
+        if ended:
+            rest = _AFTER.match(piece).end()
+            sentence.append(piece[:rest])
+            piece = piece[rest:]
+            if piece:
+                close()
+                ended = False
+        for m in _UNIT.finditer(piece):
+            sentence.append(m[0])
+            ended = any(x in m[0] for x in ".?!")
+            if ended and m.end() < len(piece):
                 close()
-            sentence += ch
-            ended = ended and (ch.isspace() or ch in _CLOSING) or ch in _END
+                ended = False
     close()
-    answer = "".join(p for p in pieces if isinstance(p, str))
-    answer = "\n".join(re.sub(r"\s+([.,;:?!])", r"\1", " ".join(x.split())) for x in answer.split("\n")).strip()
-    return answer, claims if any(c["citations"] for c in claims) else []
+    paragraphs = re.split(r"\n\s*\n", "".join(p for p in pieces if isinstance(p, str)))
+    answer = "\n\n".join(x for x in map(clean, paragraphs) if x)
+    if not any(c["citations"] for c in found):
+        return answer, []
+    return answer, [c for c in found if c["citations"] or len(re.findall(r"\w+", c["claim"])) >= 4]
 
 
 def parse_envelope(raw: str) -> tuple[str, list[dict]] | None:
@@ -92,7 +118,7 @@ def parse_envelope(raw: str) -> tuple[str, list[dict]] | None:
     while at >= 0:
         try:
             value, _ = decoder.raw_decode(raw, at)
-        except ValueError:
+        except (ValueError, RecursionError):  # too deeply nested is no envelope either
             at = raw.find("{", at + 1)
             continue
         break
