@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +10,11 @@ from pyspark.sql.window import Window
 
 from evidentia.plans.registry import HIGH_TRUST, TIERS, Policy
 
-#: Question vectors that a task holds at a time (4096 of 3072 numbers are 100 MB).
-BLOCK = 4096
+#: Question vectors, and chunk vectors, that a task holds at a time (65,536 of 768 four-byte numbers are 200 MB), and how many are
+#: multiplied at a time.
+BLOCK, TILE = 65_536, 1024
+#: Rows of a part of few chunks, so that all cores have some.
+LEAST_PART = 1024
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -21,60 +22,73 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms, out=np.full_like(m, np.nan), where=norms > 0)
 
 
-def _matrix(column) -> np.ndarray:
-    values = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
-    return np.array(values, np.float64).reshape(len(values), -1)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column without nulls, all of one length, from its flat buffer."""
+    values = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False) if column.num_chunks else np.zeros(0)
+    return values.astype(np.float64).reshape(len(column), -1)
+
+
+def _best(k: dict[str, int], by: str):
+    """The nearest chunks of one part for the questions of one block."""
+
+    def run(questions: pa.Table, chunks: pa.Table) -> pa.Table:
+        found = []
+        if questions.num_rows and chunks.num_rows:
+            ids, chunk, kind = questions.column("query_id").to_numpy(), chunks.column("chunk_id").to_numpy(), np.array(chunks.column(by).to_pylist())
+            asked, held = _unit(_matrix(questions.column("embedding"))), _unit(_matrix(chunks.column("embedding")))
+            for name, n in k.items():
+                at = np.flatnonzero(kind == name)
+                at = at[np.argsort(chunk[at], kind="stable")]
+                for q in range(0, len(ids) if len(at) else 0, TILE):
+                    value, place = np.zeros((len(ids[q : q + TILE]), 0)), np.zeros((len(ids[q : q + TILE]), 0), np.int64)
+                    for c in range(0, len(at), TILE):
+                        here = at[c : c + TILE]
+                        sim = asked[q : q + TILE] @ held[here].T
+                        sim[np.isnan(sim)] = -np.inf
+                        value, place = np.concatenate([value, sim], axis=1), np.concatenate([place, np.broadcast_to(here, sim.shape)], axis=1)
+                        top = np.argsort(-value, axis=1, kind="stable")[:, :n]
+                        value, place = np.take_along_axis(value, top, axis=1), np.take_along_axis(place, top, axis=1)
+                    i, j = np.nonzero(np.isfinite(value))
+                    found.append((ids[q + i], chunk[place[i, j]], np.full(len(i), name, object), value[i, j]))
+        cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], [], []]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "chunk_id": pa.array(cols[1], pa.int64()), by: pa.array(cols[2], pa.string()), "similarity": pa.array(cols[3], pa.float64())})
+
+    return run
 
 
 def nearest(chunks: DataFrame, questions: DataFrame, k: dict[str, int], by: str = "source_class", block: int = BLOCK) -> DataFrame:
     """query_id, chunk_id, by, similarity, rank: per question and class the k[class] chunks with the largest cosine.
 
-    Each task multiplies a block of questions with an Arrow batch of chunks and passes on its own best only; a window then
-    ranks what is left. Equal similarities go by chunk_id. Null and zero vectors match nothing; a class absent from k is left
-    out. More questions than a block are searched block after block, each held by a bounded array.
+    Questions are dealt by a hash into blocks and chunks into parts, of about `block` rows at most; a task multiplies a block
+    with a part tile by tile and passes on the best only, which a window ranks. Neither side passes through the driver. Equal
+    similarities go by chunk_id. Null and zero vectors match nothing; a class absent from k is left out.
     """
     wanted = chunks.where(F.col("embedding").isNotNull() & F.col(by).isin(list(k))).select("chunk_id", by, "embedding")
-    n_blocks = max(1, -(-questions.count() // block))
-    parts = []
-    for b in range(n_blocks):
-        mine = questions.where(F.col("embedding").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)).select("query_id", "embedding").toArrow()
-        ids, vectors = mine.column("query_id").to_numpy(), _unit(_matrix(mine.column("embedding")))
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, vectors=vectors) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                sim = vectors @ _unit(_matrix(batch.column("embedding"))).T
-                sim[np.isnan(sim)] = -np.inf
-                chunk, kind = batch.column("chunk_id").to_numpy(), np.array(batch.column(by).to_pylist())
-                for name, n in k.items():
-                    at = np.flatnonzero(kind == name)
-                    at = at[np.argsort(chunk[at], kind="stable")]
-                    if not len(at):
-                        continue
-                    top = np.argsort(-sim[:, at], axis=1, kind="stable")[:, :n]
-                    value = np.take_along_axis(sim[:, at], top, axis=1)
-                    q, j = np.nonzero(np.isfinite(value))
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[q], pa.int64()), "chunk_id": pa.array(chunk[at[top[q, j]]], pa.int64()), by: pa.array([name] * len(q), pa.string()), "similarity": pa.array(value[q, j])})
-
-        parts.append(wanted.mapInArrow(best, f"query_id long, chunk_id long, {by} string, similarity double"))
-    found = parts[0]
-    for other in parts[1:]:
-        found = found.unionByName(other)
+    asked = questions.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    n, cores = wanted.count(), wanted.sparkSession.sparkContext.defaultParallelism
+    parts, blocks = max(1, -(-n // block), min(cores, n // LEAST_PART)), max(1, -(-asked.count() // block))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    dealt = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    left = asked.withColumn("block", dealt("query_id", blocks)).withColumn("part", every(parts)).groupBy("block", "part")
+    right = wanted.withColumn("part", dealt("chunk_id", parts)).withColumn("block", every(blocks)).groupBy("block", "part")
+    found = left.cogroup(right).applyInArrow(_best(k, by), f"query_id long, chunk_id long, {by} string, similarity double")
     most = F.create_map(*[x for name, n in k.items() for x in (F.lit(name), F.lit(n))])
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", by).orderBy(F.desc("similarity"), "chunk_id")))
     return ranked.where(F.col("rank") <= most[F.col(by)])
 
 
-def staged(chunks: DataFrame, questions: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def staged(chunks: DataFrame, questions: DataFrame, policy: Policy = Policy(), source_filter: tuple[str, ...] = (), collections: tuple[str, ...] | None = None) -> DataFrame:
     """Candidates of the executed stages: query_id, chunk_id, source_class, similarity, rank, stage, above, returned.
 
-    A stage isn't executed if the ones before it gave max_chunks results of high trust above the threshold and covered all
-    quotas. above marks similarities from the threshold on; returned counts rows of executed stages, whether above or not.
+    source_filter leaves only stages of these classes, collections only chunks of these collections (None: all). A stage isn't
+    executed if the ones before it gave max_chunks results of high trust above the threshold and covered all quotas. above marks
+    similarities from the threshold on; returned counts rows of executed stages, whether above or not.
     """
-    order = {name: i for i, (name, _) in enumerate(policy.stages, 1)}
-    stage = F.create_map(*[x for name, i in order.items() for x in (F.lit(name), F.lit(i))])
-    found = nearest(chunks, questions, dict(policy.stages)).withColumn("stage", stage[F.col("source_class")]).withColumn("above", F.col("similarity") >= policy.threshold)
+    stages = [(name, i, k) for i, (name, k) in enumerate(policy.stages, 1) if not source_filter or name in source_filter]
+    if collections is not None:
+        chunks = chunks.where(F.col("collection").isin(*collections))
+    stage = F.create_map(*[x for name, i, _ in stages or [("", 0, 0)] for x in (F.lit(name), F.lit(i))])
+    found = nearest(chunks, questions, {name: k for name, _, k in stages} or {"": 0}).withColumn("stage", stage[F.col("source_class")]).withColumn("above", F.col("similarity") >= policy.threshold)
     trusted = [name for name, tier in TIERS.items() if tier <= HIGH_TRUST]
     so_far = Window.partitionBy("query_id").orderBy("stage").rangeBetween(Window.unboundedPreceding, -1)
     high = F.coalesce(F.sum((F.col("above") & F.col("source_class").isin(trusted)).cast("int")).over(so_far), F.lit(0))
