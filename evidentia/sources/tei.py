@@ -17,58 +17,97 @@ def _name(e: ET.Element) -> str:
     return e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
 
 
-def _squeeze(x: str) -> str:
-    return re.sub(r"\s*\n\s*\n\s*", "\n\n", re.sub(r"[ \t]+", " ", x)).strip()
-
-
 def find_work(root: ET.Element, text_id: str | None) -> ET.Element | None:
-    """The text with this n, or whose head says so, of several in one file; without an id the first one. Namespaces don't matter."""
-    works = [e for e in root.iter() if _name(e) == "text" and not any(_name(x) == "text" for x in e.iter() if x is not e)]
+    """The text with this n, or whose head says so, of several in one file; without an id the first one. Only texts that hold no
+    other text count; namespaces don't matter."""
+    parent = {x: e for e in root.iter() for x in e}
+    works, outer = [e for e in root.iter() if _name(e) == "text"], set()
+    for e in works:
+        up = parent.get(e)
+        while up is not None and _name(up) != "text":
+            up = parent.get(up)
+        outer.add(up)
+    works = [e for e in works if e not in outer]
     if text_id is None:
         return works[0] if works else None
     for e in works:
-        heads = [h for h in e.iter() if _name(h) == "head"]
-        if (e.get("n") or "").casefold() == text_id.casefold() or (heads and "".join(heads[0].itertext()).strip().casefold() == text_id.casefold()):
+        head = next((h for h in e.iter() if _name(h) == "head"), None)
+        if (e.get("n") or "").casefold() == text_id.casefold() or (head is not None and "".join(head.itertext()).strip().casefold() == text_id.casefold()):
             return e
     return None
 
 
-def dialogue_sections(work: ET.Element) -> Iterator[dict]:
-    """A section from each milestone of unit section to the next; speeches begin with `Name: `; notes are skipped."""
-    out: list[dict] = []
-    now = {"location": None, "parts": [], "speakers": []}
-
-    def begin(location: str | None) -> None:
-        nonlocal now
-        if _squeeze("".join(now["parts"])):
-            out.append(now)
-        now = {"location": location, "parts": [], "speakers": []}
-
-    def walk(e: ET.Element) -> None:
-        kind = _name(e)
-        if kind in ("note", "speaker", "label"):
+#: Elements whose text is not part of a section.
+_ASIDE = frozenset(("note", "bibl", "castList", "speaker", "label", "head"))
+
+
+class _Section:
+    """Text of one section: paragraphs, and the speaker who is named before the next text."""
+
+    def __init__(self, location: str | None, speaker: str | None):
+        self.location, self.next, self.speakers, self.parts = location, speaker, [], []
+
+    def paragraph(self) -> None:
+        if self.parts and self.parts[-1] != "\n\n":
+            self.parts.append("\n\n")
+
+    def add(self, text: str | None) -> None:
+        text = " ".join((text or "").split())
+        if not text:
             return
-        if kind == "milestone" and e.get("unit") == "section":
-            begin(e.get("n"))
-        if kind == "said" or kind == "sp":
-            who = next(("".join(x.itertext()).strip().rstrip(".:") for x in e if _name(x) in ("speaker", "label")), (e.get("who") or "").lstrip("#"))
-            if who:
-                now["parts"].append(f"\n\n{who}: ")
-                now["speakers"].append(who)
-        if kind == "p":
-            spoken = "".join(now["parts"][-3:]).rstrip()
-            now["parts"].append("" if spoken.endswith(":") else "\n\n")
-        now["parts"].append(re.sub(r"\s+", " ", e.text or ""))
-        for x in e:
-            walk(x)
-            now["parts"].append(re.sub(r"\s+", " ", x.tail or ""))
+        if self.next is not None:
+            self.parts.append(f"{self.next}: ")
+            self.speakers += [self.next] * (self.next not in self.speakers)
+            self.next = None
+        if self.parts and not self.parts[-1].endswith((" ", "\n", "“", '"', "‘", "(")):
+            self.parts.append(" ")
+        self.parts.append(text)
 
-    body = next((x for x in work.iter() if _name(x) == "body"), work)
-    walk(body)
-    begin(None)
-    for s in out:
-        names = list(dict.fromkeys(s["speakers"]))
-        yield {"title": None, "location": s["location"], "range_end": None, "speaker": names[0] if len(names) == 1 else None, "text": _squeeze("".join(s["parts"]))}
+    def row(self) -> dict:
+        paragraphs = [" ".join(x.split()) for x in "".join(self.parts).split("\n\n")]
+        return {"title": self.location, "location": self.location, "range_end": None, "speaker": self.speakers[0] if len(self.speakers) == 1 else None, "text": "\n\n".join(x for x in paragraphs if x)}
+
+
+def dialogue_sections(work: ET.Element) -> Iterator[dict]:
+    """A section from each milestone of unit section to the next, titled by it; text before the first one has none.
+
+    A speech begins with `Name: `, again in the next section where it goes on over a milestone. Notes, heads and lists of the
+    cast are left out. The section's speaker is given if there is one only.
+    """
+    now, speaker = _Section(None, None), None
+    # what is left to do: enter an element, add the text after it, or give the word back to an earlier speaker
+    todo: list[tuple] = [("enter", next((x for x in work.iter() if _name(x) == "body"), work))]
+    while todo:
+        kind, e = todo.pop()
+        if kind == "tail":
+            now.add(e.tail)
+            continue
+        if kind == "back":
+            speaker = e
+            continue
+        name = _name(e)
+        if name in _ASIDE or not name:
+            continue
+        if name == "milestone":
+            if e.get("unit") == "section":
+                if now.parts:
+                    yield now.row()
+                now = _Section(e.get("n"), speaker)
+            continue
+        if name in ("said", "sp"):
+            who = next((" ".join("".join(x.itertext()).split()).rstrip(".:") for x in e if _name(x) in ("speaker", "label")), (e.get("who") or "").lstrip("#"))
+            todo.append(("back", speaker))
+            speaker = who or speaker
+            if speaker:
+                now.paragraph()
+                now.next = speaker
+        elif name == "p":
+            now.paragraph()
+        now.add(e.text if name != "sp" else None)
+        for x in reversed(e):
+            todo += [("tail", x), ("enter", x)]
+    if now.parts:
+        yield now.row()
 
 
 def treatise_sections(work: ET.Element) -> Iterator[dict]:
@@ -128,7 +167,8 @@ def parse(raw: str, mode: str, text_id: str | None = None) -> list[dict]:
 
 
 def sections(docs: DataFrame, mode: str) -> DataFrame:
-    """docs (document_id, raw, text_id) to sections; a document that isn't well-formed XML has none."""
+    """docs (document_id, raw, text_id) to sections; a document that isn't well-formed XML, or is nested beyond
+    what a parser takes, has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,7 +176,7 @@ def sections(docs: DataFrame, mode: str) -> DataFrame:
             for r in b.to_pylist():
                 try:
                     found = parse(r["raw"] or "", mode, r.get("text_id"))
-                except ET.ParseError:
+                except (ET.ParseError, RecursionError):
                     found = []
                 rows += [{"document_id": r["document_id"], "section_index": i, **s} for i, s in enumerate(found)]
             kinds = [("document_id", pa.int64()), ("section_index", pa.int32()), *((n, pa.string()) for n in ("title", "location", "range_end", "speaker", "text"))]
