@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.profile import SAMPLE, Vocabulary, labels
-from evidentia.functions.text import normalize, significant_tokens
+from evidentia.functions.profile import SAMPLE, Vocabulary, labels, labels_sql
+from evidentia.functions.text import NORMALIZE_SQL, TOKENS_SQL, normalize, significant_tokens
 
-# Phrases by which a question is about a passage, or asks for an overview; callers may pass others.
-EXEGETICAL = ("in the passage", "according to", "line by line", "what does he mean")
-ORIENTATION_PREFIXES = ("what is", "who is", "give me an overview", "introduce", "can you", "how do")
-ORIENTATION_MARKERS = ("overview", "introduction", "summary", "explain", "beginner")
+# Phrases by which a question is about a passage, how a question for an overview begins, and words of such a question.
+EXEGETICAL = (
+    "according to", "what does", "how does", "why does", "where does", "mean by", "argue in", "claim in", "say in", "describe in", "in the meno", "in the republic", "in the apology", "in the phaedo",
+    "in the symposium", "in the meditations", "in the enquiry", "in book ", "in chapter ", "in section ", "this passage",
+)
+ORIENTATION_PREFIXES = ("what is ", "what are ", "who is ", "who are ", "define ", "give an overview of ", "provide an overview of ", "introduce ", "summarize ", "compare ")
+ORIENTATION_MARKERS = ("overview", "introduction", "intro", "summary", "survey", "background", "compare", "comparison", "difference", "differences", "define", "definition", "general")
 
 
 def question_mode(question: Column, v: Vocabulary = SAMPLE) -> Column:
@@ -20,9 +23,7 @@ def question_mode(question: Column, v: Vocabulary = SAMPLE) -> Column:
     norm = normalize(question)
     tokens = significant_tokens(norm)
     any_of = lambda test, xs: F.exists(F.array(*map(F.lit, xs)), test)
-    named = F.lit(False)
-    for name in v.philosophers:
-        named = named | F.concat(F.lit(" "), norm, F.lit(" ")).rlike(rf"[^a-z0-9_]{name}[^a-z0-9_]")
+    named = F.size(labels(norm, "names", v)) > 0
     return (
         F.when(any_of(lambda p: F.contains(flat, p), EXEGETICAL), "default")
         .when(any_of(lambda p: F.startswith(flat, p), ORIENTATION_PREFIXES), "orientation")
@@ -32,6 +33,14 @@ def question_mode(question: Column, v: Vocabulary = SAMPLE) -> Column:
     )
 
 
+def mode_sql(x: str, v: Vocabulary = SAMPLE) -> str:
+    """question_mode in SQL."""
+    norm, flat = NORMALIZE_SQL.format(x=x), rf"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
+    tokens, words = TOKENS_SQL.format(x=norm), lambda xs: ", ".join(f"'{w}'" for w in xs)
+    return f"""CASE WHEN {" OR ".join(f"contains({flat}, '{p}')" for p in EXEGETICAL)} THEN 'default' WHEN {" OR ".join(f"starts_with({flat}, '{p}')" for p in ORIENTATION_PREFIXES)} THEN 'orientation'
+WHEN len(list_intersect({tokens}, [{words(ORIENTATION_MARKERS)}])) > 0 THEN 'orientation' WHEN len(list_intersect({tokens}, [{words(v.general)}])) > 0 AND len({labels_sql(norm, "names", v)}) = 0 THEN 'orientation' ELSE 'default' END"""
+
+
 def prompt_context(selected: DataFrame) -> DataFrame:
     """selected (query_id, position, tier, collection, work_title, author, text) to query_id, context: blocks by trust, then position."""
     head = F.concat(F.lit("["), F.when(F.col("tier") == 1, "PRIMARY").when(F.col("tier") == 2, "REFERENCE").otherwise("SECONDARY"), F.lit("] "), F.concat_ws(", ", "author", "work_title", "collection"))
@@ -62,26 +71,62 @@ def same(a: Column, b: Column) -> Column:
     return flat(a) == flat(b)
 
 
+def _flat(x: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", " "))
+
+
+def _meets(want: Column, citation: Column) -> Column:
+    """Whether a citation is as an expectation (work, author, collection, location, source_class) says; null fields ask for nothing."""
+    equal = lambda k: want[k].isNull() | F.coalesce(_flat(citation[k]) == _flat(want[k]), F.lit(False))
+    place = lambda x: F.regexp_replace(_flat(x), "[\u2013\u2014\u2212]", "-")
+    return equal("work") & (want["author"].isNull() | F.contains(_flat(citation["author"]), _flat(want["author"]))) & equal("collection") & (want["location"].isNull() | (place(citation["location"]) == place(want["location"]))) & (want["source_class"].isNull() | F.coalesce(citation["source_class"] == want["source_class"], F.lit(False)))
+
+
+def _said(want: Column) -> Column:
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), want[k]) for k in ("work", "author", "collection", "location", "source_class")])
+
+
+CITATION = "struct<work:string,author:string,collection:string,location:string,source_class:string>"
+
+
 def judge(cases: DataFrame) -> DataFrame:
     """cases with failures (array of messages) and passed.
 
-    Needs answer, must_contain, must_not_contain, works, required_works, forbidden_works (arrays), level, allowed_levels,
-    n_citations, min_citations, n_ungrounded, max_ungrounded. A missing list asks for nothing.
+    Looks at answer, works, collections, citations (arrays of strings and of CITATION), level, n_citations, n_ungrounded,
+    n_unsupported, and expects must_contain, must_not_contain, required_works, any_works, forbidden_works,
+    required_collections, forbidden_collections (arrays of strings), required_citations, any_citations (of CITATION),
+    allowed_levels, min_citations, max_ungrounded, max_unsupported. A missing column or a null list asks for nothing.
     """
-    flat = lambda x: F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", " "))
-    answer, works = flat(F.col("answer")), F.transform("works", flat)
-    said = lambda c, label, bad: F.transform(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), bad), lambda x: F.concat(F.lit(label), x))
+    strings, structs = "array<string>", f"array<{CITATION}>"
+    has = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)) if c in cases.columns else F.array().cast(kind)
+    answer, works, collections, citations = _flat(F.col("answer")), F.transform(has("works", strings), _flat), F.transform(has("collections", strings), _flat), has("citations", structs)
+    said = lambda c, label, bad: F.transform(F.filter(has(c, strings), bad), lambda x: F.concat(F.lit(label), x))
     lists = [
-        said("must_contain", "answer lacks: ", lambda x: ~F.contains(answer, flat(x))), said("must_not_contain", "answer has: ", lambda x: F.contains(answer, flat(x))),
-        said("required_works", "not retrieved: ", lambda x: ~F.array_contains(works, flat(x))), said("forbidden_works", "retrieved: ", lambda x: F.array_contains(works, flat(x))),
+        said("must_contain", "answer lacks: ", lambda x: ~F.contains(answer, _flat(x))), said("must_not_contain", "answer has: ", lambda x: F.contains(answer, _flat(x))),
+        said("required_works", "not retrieved: ", lambda x: ~F.array_contains(works, _flat(x))), said("forbidden_works", "retrieved: ", lambda x: F.array_contains(works, _flat(x))),
+        said("required_collections", "collection not retrieved: ", lambda x: ~F.array_contains(collections, _flat(x))), said("forbidden_collections", "collection retrieved: ", lambda x: F.array_contains(collections, _flat(x))),
+        F.transform(F.filter(has("required_citations", structs), lambda w: ~F.exists(citations, lambda c: _meets(w, c))), lambda w: F.concat(F.lit("not cited: "), _said(w))),
     ]
+    some, one = has("any_works", strings), has("any_citations", structs)
+    most = lambda count, bound, label: [F.when(F.col(count) > F.col(bound), label)] if bound in cases.columns else []
     single = F.array_compact(F.array(
-        F.when((F.size("allowed_levels") > 0) & ~F.array_contains("allowed_levels", F.col("level")), F.concat(F.lit("level "), "level")),
-        F.when(F.col("n_citations") < F.col("min_citations"), "too few citations"), F.when(F.col("n_ungrounded") > F.col("max_ungrounded"), "too many ungrounded citations"),
+        F.when((F.size(some) > 0) & ~F.exists(some, lambda x: F.array_contains(works, _flat(x))), F.concat(F.lit("none retrieved of: "), F.array_join(some, ", "))),
+        F.when((F.size(one) > 0) & ~F.exists(one, lambda w: F.exists(citations, lambda c: _meets(w, c))), F.concat(F.lit("none cited of: "), F.array_join(F.transform(one, _said), "; "))),
+        F.when((F.size(has("allowed_levels", strings)) > 0) & ~F.array_contains(has("allowed_levels", strings), F.col("level")), F.concat(F.lit("level "), "level")),
+        F.when(F.col("n_citations") < F.col("min_citations"), "too few citations"), *most("n_ungrounded", "max_ungrounded", "too many ungrounded citations"), *most("n_unsupported", "max_unsupported", "too many unsupported claims"),
     ))
     out = cases.withColumn("failures", F.concat(*lists, single))
     return out.withColumn("passed", F.size("failures") == 0)
 
 
+def with_tags(cases: DataFrame, ids: list[str] | None = None, tags: list[str] | None = None, key: str = "id") -> DataFrame:
+    """The cases of these ids that have one of these tags; None asks for nothing."""
+    if ids is not None:
+        cases = cases.where(F.col(key).isin(*ids))
+    if tags is not None:
+        cases = cases.where(F.arrays_overlap(F.col("tags"), F.array(*map(F.lit, tags)).cast("array<string>")))
+    return cases
+
+
 def summary(judged: DataFrame, by: str) -> DataFrame:
     return judged.groupBy(by).agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.round(F.avg(F.col("passed").cast("int")), 6).alias("pass_rate"))

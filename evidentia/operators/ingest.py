@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from evidentia.operators.chunking import ChunkConfig, chunk
+from evidentia.operators.skew import join_by_key
 
 
 def with_hash(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -14,11 +16,23 @@ def with_hash(docs: DataFrame, text: str = "text") -> DataFrame:
 def dedup_in_batch(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     """Per row: status new or duplicate, and first_id: the first row with the same content.
 
-    The first of each hash comes from an aggregate that combines before the shuffle, so a much copied text is no hot spot.
+    The first of each hash comes from an aggregate that combines before the shuffle; rows of a much copied content stay where
+    they are (see skew). A null text is new.
     """
     hashed = with_hash(docs)
-    firsts = hashed.groupBy("raw_hash").agg(F.min(order).alias("first_id"))
-    return hashed.join(firsts, "raw_hash").withColumn("status", F.when(F.col(order) == F.col("first_id"), "new").otherwise("duplicate"))
+    firsts = hashed.where("raw_hash is not null").groupBy("raw_hash").agg(F.min(order).alias("first_id"), F.count("*").alias("n"))
+    out = join_by_key(hashed, firsts, "raw_hash", "n", docs.count()).withColumn("first_id", F.coalesce("first_id", order))
+    return out.withColumn("status", F.when(F.col(order) == F.col("first_id"), "new").otherwise("duplicate"))
+
+
+def ingest(docs: DataFrame, stored: DataFrame, parse, most: int = 512, least: int = 50) -> DataFrame:
+    """The whole way of new documents: what isn't stored yet and isn't a copy within the batch is parsed and cut into chunks.
+
+    docs: doc_id, text. stored: raw_hash. parse: documents (document_id, raw) to sections (document_id, section_index, text).
+    Chunks of the kept documents: document_id, chunk_index, section_index, text, token_count.
+    """
+    fresh = dedup_in_batch(docs).where("status = 'new'").join(stored.select("raw_hash").distinct(), "raw_hash", "left_anti")
+    return chunk(parse(fresh.select(F.col("doc_id").alias("document_id"), F.col("text").alias("raw"))), ChunkConfig(most, least))
 
 
 def pending(manifest: DataFrame, stored: DataFrame, key: str = "entry_id") -> DataFrame:
@@ -51,6 +65,6 @@ def merge_metadata(chunks: DataFrame, documents: DataFrame, key: str, fields: li
     return out.drop(*[f"document_{f}" for f in fields])
 
 
-def latest(docs: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    return docs.withColumn("evidentia_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("evidentia_rank = 1").drop("evidentia_rank")
+def store(chunks: DataFrame, path: str) -> None:
+    """Append chunks to a Parquet table, one folder per source class, so that filters on it read only theirs."""
+    chunks.write.mode("append").partitionBy("source_class").parquet(path)
