@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.profile import SAMPLE
-from evidentia.functions.text import NORMALIZE_SQL, TOKENS_SQL
+from evidentia.functions.text import NORMALIZE_SQL
 from evidentia.operators import answers, citations, claims, search
+from evidentia.operators.guard import leaks, resolve_allowed
+from evidentia.operators.lineage import written
 from evidentia.plans.adapter import EVERY, questions, table, texts, vectors
-from evidentia.plans.retrieval import LOOSE, _profile_sql, _scored, _staged_sql
+from evidentia.plans.registry import COLLECTIONS
+from evidentia.plans.retrieval import _KP, _QP, LOOSE, _ancients, _profile_sql, _scored, _some, _staged_sql, ranked, ranked_sql
 
 
 def query_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,45 +37,94 @@ def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.size("messages").alias("n_messages"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.length(F.element_at("messages", -1)["content"]).alias("n_chars"))
 
 
-_CLEAN = r"[^a-zA-Z ]"
+#: Citations of the documents by turns: all forms of the grammar, and two of which one repeats.
+_FORMS = (
+    ("Ann Lee, {w}, ENCYCLOPEDIA_A, §{n}.1", ("{w}", "§{n}.1", "Ann Lee", "encyclopedia_a")),
+    ("Ann Lee, encyclopedia_b {n}.2", ("ENCYCLOPEDIA_B", "{n}.2", "Ann Lee", "encyclopedia_b")),
+    ("encyclopedia_a, section {n}", ("ENCYCLOPEDIA_A", "section {n}", "-", "encyclopedia_a")),
+    ("{w}, {n}b-{n}c", ("{w}", "{n}b-{n}c", "-", "-")),
+    ("The {w} p. {n}", ("The {w}", "p. {n}", "-", "-")),
+    ("Of {w} and others", ("Of {w} and others", "-", "-", "-")),
+)
 
 
-def _sentences() -> tuple:
-    """Two sentences from a document's whole text: letters and single spaces."""
-    words = F.trim(F.regexp_replace(F.regexp_replace("text", _CLEAN, " "), " +", " "))
-    return F.concat(F.lit("First "), words), F.concat(F.lit("Then we see "), "source", F.lit(" again"))
+def _turn(parts: list[str]):
+    """One of the texts by doc_id, with {w} the source and {n} a number."""
+    out = F.lit(None).cast("string")
+    for i, x in enumerate(parts):
+        said = F.replace(F.replace(F.lit(x), F.lit("{w}"), F.col("source")), F.lit("{n}"), (F.col("doc_id") % 300).cast("string"))
+        out = F.when(F.col("doc_id") % len(parts) == i, said).otherwise(out)
+    return out
+
+
+def _turn_sql(parts: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN doc_id % {len(parts)} = {i} THEN replace(replace('{x}', '{{w}}', source), '{{n}}', (doc_id % 300)::VARCHAR)" for i, x in enumerate(parts)) + " END"
+
+
+def _bracketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as answers: the first sentence with a citation inside, the last one with a repeated one after it."""
+    text = F.translate("text", "[]", "()")
+    cite = F.concat(F.lit(" ["), _turn([a for a, _ in _FORMS]), F.lit("]"))
+    twice = F.concat(F.lit(" ["), _turn([a for a, _ in _FORMS]), F.lit("; "), _turn([a for a, _ in _FORMS]), F.lit(" ;]"))
+    raw = F.concat(F.lit("So it is"), cite, F.lit(". "), F.regexp_replace(text, "\n", "\n\n"), twice)
+    return claims.parse_outputs(table(spark, sf_dir, "documents").where("text is not null and source is not null").select(F.col("doc_id").alias("query_id"), raw.alias("raw_output")))
 
 
 def bracket_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = _sentences()
-    raw = F.concat(first, F.lit(" ["), "source", F.lit(", "), F.col("doc_id") % 500, F.lit("; "), "lang", F.lit("]. "), second, F.lit("."))
-    parsed = claims.parse_outputs(table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("query_id"), raw.alias("raw_output")))
-    return _flat_claims(parsed)
+    return _flat_claims(_bracketed(spark, sf_dir))
+
+
+def bracket_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers without citations, paragraph by paragraph."""
+    return _bracketed(spark, sf_dir).select("query_id", "answer")
 
 
 def _flat_claims(parsed: DataFrame) -> DataFrame:
     rows = parsed.select("query_id", "form", F.posexplode("claims").alias("claim_pos", "c"))
-    return rows.select("query_id", "form", "claim_pos", "c.claim", F.array_join(F.transform("c.citations", lambda x: F.concat_ws("|", x["work"], F.coalesce(x["location"], F.lit("-")))), ";").alias("cited"))
+    fields = ("work", "location", "author", "collection")
+    return rows.select("query_id", "form", "claim_pos", "c.claim", F.array_join(F.transform("c.citations", lambda x: F.concat_ws("|", *[F.coalesce(x[k], F.lit("-")) for k in fields])), ";").alias("cited"))
 
 
 def json_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = _sentences()
-    cite = F.struct(F.col("source").alias("work"), (F.col("doc_id") % 500).cast("string").alias("location"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("collection"))
+    """Envelopes with the whole text as answer and claim; the work is left out where there is a collection."""
+    named = F.col("doc_id") % 2 == 0
+    null = F.lit(None).cast("string")
+    cite = F.struct(F.when(named, "").otherwise(F.col("source")).alias("work"), (F.col("doc_id") % 500).cast("string").alias("location"), F.col("lang").alias("author"), F.when(named, "encyclopedia_b").otherwise(null).alias("collection"))
     none = F.array().cast("array<struct<work:string,location:string,author:string,collection:string>>")
-    body = F.to_json(F.struct(first.alias("answer"), F.array(F.struct(first.alias("claim"), F.array(cite).alias("citations")), F.struct(second.alias("claim"), none.alias("citations"))).alias("claims")))
+    body = F.to_json(F.struct(F.col("text").alias("answer"), F.array(F.struct(F.col("text").alias("claim"), F.array(cite).alias("citations")), F.struct(F.concat(F.lit(" Seen in "), "source").alias("claim"), none.alias("citations"))).alias("claims")))
     raw = F.concat(F.lit("Here it is: {not json} "), body, F.lit(" done"))
     return _flat_claims(claims.parse_outputs(table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("query_id"), raw.alias("raw_output"))))
 
 
+def _place(system, value, end):
+    return [F.lit(system).alias("system"), value.alias("value"), (F.lit(None).cast("string") if end is None else end).alias("range_end")]
+
+
 def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Each question cites the works of its first two chunks, the second with a page; chunks have a page range."""
-    selected = _selected(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # read twice; max_chunks rows a question
-    page = F.col("chunk_id") % 300
-    chunks = selected.select("query_id", "chunk_id", "collection", "work_title", "author", "text", F.lit("page").alias("system"), page.cast("string").alias("value"), (page + 3).cast("string").alias("range_end"))
+    """Each question cites the works of its first two chunks, the second with a location; chunks have a range of the kind that goes
+    with the question's number. Claims are the question's text, if it has any."""
+    selected = written(_selected(spark, sf_dir))  # max_chunks rows a question
+    n, kind = F.col("chunk_id"), (F.col("query_id") / EVERY).cast("long") % 5
+    text = lambda x: x.cast("string")
+    ranges = [
+        ("page", text(n % 300), text(n % 300 + 3), F.concat(F.lit("p. "), n % 300 + 1)), ("section", F.concat(n % 9, F.lit("."), n % 5), None, F.concat(F.lit("§"), n % 9, F.lit("."), n % 5)),
+        ("stephanus", F.concat(n % 300, F.lit("b")), F.concat(n % 300 + 1, F.lit("c")), F.concat(n % 300, F.lit("C"))), ("bekker", F.concat(n % 1400, F.lit("a"), n % 40), F.concat(n % 1400, F.lit("b")), F.concat(n % 1400, F.lit("a"), n % 40 + 1)),
+        ("chapter", text(n % 4), None, F.concat(F.lit("chapters "), n % 4, F.lit("\u2013"), n % 4 + 2)),
+    ]
+
+    def turn(at: int):
+        out = F.lit(None).cast("string")
+        for i, r in enumerate(ranges):
+            value = F.lit(r[at]) if at == 0 else r[at]
+            out = out if value is None else F.when(kind == i, value).otherwise(out)
+        return out
+
+    spoken = F.when(F.col("author") == "en", "The").when(F.col("author") == "de", "Und").when(F.col("author") == "fr", "Les")
+    chunks = selected.select("query_id", "chunk_id", "collection", "work_title", "author", "text", F.col("work_title").alias("section_title"), spoken.alias("speaker"), F.col("author").alias("interlocutor"), turn(0).alias("system"), turn(1).alias("value"), turn(2).alias("range_end"))
     asked = texts(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("question"))
-    cited = selected.where("position <= 2").join(asked, "query_id").select(
+    cited = selected.where("position <= 2").join(asked, "query_id", "left").select(
         "query_id", F.concat_ws("-", "query_id", "position").alias("citation_id"), (F.col("position") - 1).alias("claim_pos"), F.col("question").alias("claim"), "question", F.col("work_title").alias("work"),
-        F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("collection"), F.when(F.col("position") == 2, (page + 1).cast("string")).alias("location"),
+        F.when(F.col("position") == 1, F.upper("author")).alias("author"), F.when((F.col("position") == 2) & (kind % 2 == 0), F.col("collection")).alias("collection"), F.when(F.col("position") == 2, turn(3)).alias("location"),
     )
     return cited, chunks
 
@@ -93,6 +144,31 @@ def unsupported_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.unsupported(rows, found).select("query_id", "claim_pos")
 
 
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From questions to answers: search within the allowed collections, rerank, select, grade, parse what a model wrote, ground its
+    citations, count what is unsupported. The model's output is an envelope of two claims about the first two chunks."""
+    allowed = resolve_allowed([c.name for c in COLLECTIONS if c.exposure == "public"], [], "public", False)
+    scored = ranked(spark, sf_dir, LOOSE, collections=tuple(allowed)).select("query_id", "chunk_id", "source_class", "collection", "stage", "rank", "tier", "score")
+    selected = written(search.quota_select(scored, LOOSE).join(texts(spark, sf_dir), "chunk_id", "left"))
+    null = F.lit(None).cast("string")
+    cite = lambda place: F.array(F.struct(F.col("work_title").alias("work"), place.alias("location"), null.alias("author"), F.col("collection").alias("collection")))
+    claim = F.struct(F.coalesce(F.left("text", F.lit(100)), F.lit("none")).alias("claim"), cite(F.when(F.col("position") == 1, F.concat(F.lit("p. "), F.col("chunk_id") % 300))).alias("citations"))
+    wrote = selected.where("position <= 2 and work_title is not null").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", claim.alias("c")))).alias("all"))  # two rows at most
+    outputs = wrote.select("query_id", F.to_json(F.struct(F.lit("It is so.").alias("answer"), F.transform("all", lambda x: x["c"]).alias("claims"))).alias("raw_output"))
+    parsed = written(claims.parse_outputs(outputs))
+    flat = parsed.select("query_id", F.posexplode("claims").alias("claim_pos", "c")).select("query_id", "claim_pos", "c.claim", F.size("c.citations").alias("n_citations"), F.posexplode_outer("c.citations").alias("at", "x"))
+    asked = texts(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("question"))
+    cited = flat.where("x is not null").join(asked, "query_id", "left").select("query_id", F.concat_ws("-", "query_id", "claim_pos", "at").alias("citation_id"), "claim_pos", "claim", "question", "x.work", "x.author", "x.collection", "x.location")
+    chunks = selected.select("query_id", "chunk_id", "collection", "work_title", "author", "text", *_place("page", (F.col("chunk_id") % 300).cast("string"), None))
+    found = written(citations.disambiguate(citations.match(cited, chunks)).join(cited.select("citation_id", "claim_pos"), "citation_id"))
+    bare = answers.unsupported(flat.select("query_id", "claim_pos", "claim", "n_citations").distinct(), found)
+    graded = search.grounding(questions(spark, sf_dir), selected, LOOSE)
+    counts = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
+    out = graded.join(parsed.select("query_id", "answer"), "query_id", "left").join(counts(found.where("grounded"), "n_grounded"), "query_id", "left").join(counts(cited, "n_citations"), "query_id", "left").join(counts(bare, "n_unsupported"), "query_id", "left")
+    leaked = counts(leaks(selected, allowed), "n_leaks")
+    return out.join(leaked, "query_id", "left").select("query_id", "level", "n_selected", "answer", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_citations", "n_grounded", "n_unsupported", "n_leaks")])
+
+
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case per document: benchmark texts must or mustn't be in it by its labels; its source and language are its works."""
     labels = table(spark, sf_dir, "labels")
@@ -110,48 +186,101 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.judge(_cases(spark, sf_dir)).select("doc_id", "passed", F.array_join("failures", "; ").alias("failures"))
 
 
+def eval_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of one tag, which expect citations in full and one of several."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    null = F.lit(None).cast("string")
+    one = lambda work, author, place: F.struct(work.alias("work"), author.alias("author"), null.alias("collection"), place.alias("location"), null.alias("source_class"))
+    n = F.col("doc_id")
+    cases = docs.select(
+        "doc_id", F.array(F.when(F.col("quality") == 1, "good").otherwise("rest"), F.col("lang")).alias("tags"), F.col("text").alias("answer"), F.array("source").alias("works"),
+        F.array(one(F.upper("source"), F.concat(F.lit("Dr. "), "lang"), F.concat(n % 7, F.lit("\u2013"), n % 5)), one(F.col("lang"), null, null)).alias("citations"),
+        F.array(one(F.col("source"), F.col("lang"), F.concat(n % 6, F.lit("-"), n % 5))).alias("required_citations"), F.array(one(F.lit("en"), null, null), one(F.lit("de"), null, null)).alias("any_citations"),
+        F.array(F.lit("src1"), F.lit("src2")).alias("any_works"), F.lit(2).alias("n_citations"), F.lit(2).alias("min_citations"), (n % 3).alias("n_unsupported"), F.lit(1).alias("max_unsupported"), F.lit("direct").alias("level"),
+    )
+    return answers.judge(answers.with_tags(cases, tags=["good"])).select("doc_id", "passed", F.array_join("failures", "; ").alias("failures"))
+
+
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.summary(answers.judge(_cases(spark, sf_dir)), "lang")
 
 
-QUERIES = {f.__name__: f for f in (query_mode, prompt_context, prompt_messages, bracket_claims, json_claims, citation_match, citation_disambiguate, unsupported_claims, eval_cases, eval_summary)}
+QUERIES = {f.__name__: f for f in (query_mode, prompt_context, prompt_messages, bracket_claims, bracket_answers, json_claims, citation_match, citation_disambiguate, unsupported_claims, answered_questions, eval_cases, eval_citations, eval_summary)}
 
-_words = lambda xs: ", ".join(f"'{x}'" for x in xs)
-_norm = NORMALIZE_SQL.format(x="text")
-_named = " OR ".join(f"regexp_matches(' ' || {_norm} || ' ', '[^a-z0-9_]{x}[^a-z0-9_]')" for x in SAMPLE.philosophers)
-_tokens = TOKENS_SQL.format(x=_norm)
-_first = "'First ' || trim(regexp_replace(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g'), ' +', ' ', 'g'))"
-_second = "'Then we see ' || source || ' again'"
 _said = lambda label, cond, xs, bad: f"CASE WHEN {cond} THEN list_transform(list_filter({xs}, lambda x: {bad}), lambda x: '{label}' || x) ELSE [] END"
 _flat = r"trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))"
 _JUDGED = f"""j AS (SELECT doc_id, lang, list_concat({_said('answer lacks: ', 'quality = 1', "['the', 'De']", f"NOT contains({_flat}, lower(x))")}, {_said('answer has: ', 'quality = 0', "['###', '!!']", f"contains({_flat}, x)")},
 {_said('not retrieved: ', 'toxic = 0', "[upper(lang)]", "NOT list_contains([source, lang], lower(x))")}, {_said('retrieved: ', 'toxic = 1', "['src1', 'FR']", "list_contains([source, lang], lower(x))")},
 CASE WHEN quality = 1 AND n_chars <= 2000 THEN ['level interpretive'] ELSE [] END, CASE WHEN doc_id % 3 < 1 THEN ['too few citations'] ELSE [] END, CASE WHEN n_chars % 4 > 2 THEN ['too many ungrounded citations'] ELSE [] END) AS f FROM documents LEFT JOIN labels USING (doc_id))"""
 _both = lambda k: f"len(list_intersect(qp.{k}, kp.{k}))"
-_MATCHED = f"""{_staged_sql(LOOSE)},
-{_profile_sql("qp", "SELECT doc_id AS id, " + NORMALIZE_SQL.format(x="text") + f" AS n FROM documents WHERE doc_id % {EVERY} = 0")},
-{_profile_sql("kp", "SELECT doc_id AS id, " + NORMALIZE_SQL.format(x="concat_ws(' ', source, lang, text)") + " AS n FROM documents")},
-k AS (SELECT query_id, chunk_id, position, source FROM selected JOIN documents ON doc_id = chunk_id),
-x AS (SELECT c.query_id, c.query_id || '-' || c.position AS citation_id, c.position, k.chunk_id, CASE WHEN c.source = k.source THEN 100 WHEN contains(k.source, c.source) THEN 85 WHEN contains(c.source, k.source) THEN 75 ELSE 0 END AS title,
-  CASE WHEN c.position = 2 THEN c.chunk_id % 300 + 1 BETWEEN k.chunk_id % 300 AND k.chunk_id % 300 + 3 END AS inside,
-  least({_both('tokens')} * 4, 28) + {_both('topics')} * 14 + {_both('traditions')} * 11 + {_both('periods')} * 8 - CASE WHEN len(qp.topics) > 0 AND len(kp.topics) > 0 AND {_both('topics')} = 0 THEN 8 ELSE 0 END AS support
-  FROM k c JOIN k USING (query_id) JOIN qp ON qp.id = query_id JOIN kp ON kp.id = k.chunk_id WHERE c.position <= 2),
-m AS (SELECT *, title + support + CASE WHEN inside THEN 150 ELSE 0 END AS score FROM x WHERE title > 0 AND coalesce(inside, support >= 10)),
+_name = lambda x: rf"trim(regexp_replace(regexp_replace(replace(strip_accents(lower({x})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_general = f"{_some('qp.topics', SAMPLE.general_topics)} AND len(qp.traditions) = 0"
+_off = f"list_contains(kp.traditions, 'ancient') AND NOT {_ancients} AND ((len(qp.topics) > 0 AND {_both('topics')} = 0) OR ({_general}))"
+_metadata = lambda said, pairs: " + ".join(f"CASE WHEN {_name(f'coalesce({x}, $$$$)')} <> '' AND contains({_name(said)}, {_name(x)}) THEN {w} ELSE 0 END" for x, w in pairs)
+_kin = lambda c, q: f"least({c('tokens')} * 4, 28) + {c('topics')} * 10 + {c('traditions')} * 8 + {c('periods')} * 6 + {q('topics')} * 4 + {q('traditions')} * 3 + {q('periods')} * 2"
+_claimed = lambda p, c, text, pairs: f"""{_kin(c, _both)} - CASE WHEN k.collection = 'dialogues' AND {_off} THEN 10 ELSE 0 END + CASE WHEN len({p}.names) = 0 THEN 0 WHEN {c('names')} > 0 THEN 8 ELSE -6 END
+  - CASE WHEN len({p}.topics) > 0 AND len(kp.topics) > 0 AND {c('topics')} = 0 THEN 8 ELSE 0 END + {_metadata(text, pairs)}"""
+_SPEAKER = "CASE k.lang WHEN 'en' THEN 'The' WHEN 'de' THEN 'Und' WHEN 'fr' THEN 'Les' END"
+# tokens of a chunk's speaker and interlocutor are too short to count
+_MATCHED = f"""{_QP}, {_KP}, {_staged_sql(LOOSE)},
+k AS (SELECT query_id, chunk_id, position, collection, source, lang, query_id // {EVERY} % 5 AS kind FROM selected JOIN documents ON doc_id = chunk_id),
+p AS (SELECT c.query_id, c.query_id || '-' || c.position AS citation_id, c.position, k.chunk_id, c.kind, d.text IS NOT NULL AND d.text <> '' AS claimed, c.chunk_id AS a, k.chunk_id AS b,
+  CASE WHEN c.position = 2 AND c.kind % 2 = 0 THEN c.collection END AS wants, k.collection AS has, CASE WHEN c.position = 1 THEN CASE WHEN c.lang = k.lang THEN 90 ELSE 0 END END AS person,
+  CASE WHEN c.source = k.source THEN 100 WHEN contains(k.source, c.source) THEN 85 WHEN contains(c.source, k.source) THEN 75 ELSE 0 END AS title,
+  {_claimed("qp", _both, "d.text", [("k.lang", 7), ("k.source", 9), (_SPEAKER, 12), ("k.lang", 8)])} AS said
+  FROM k c JOIN k USING (query_id) JOIN qp ON qp.id = query_id JOIN kp ON kp.id = k.chunk_id LEFT JOIN documents d ON d.doc_id = query_id WHERE c.position <= 2),
+x AS (SELECT *, CASE WHEN claimed THEN said ELSE 0 END AS support, CASE WHEN position = 2 THEN CASE kind
+  WHEN 0 THEN CASE WHEN a % 300 + 1 BETWEEN b % 300 AND b % 300 + 3 THEN 150 ELSE 0 END
+  WHEN 1 THEN CASE WHEN a % 9 = b % 9 AND a % 5 = b % 5 THEN 150 ELSE 0 END
+  WHEN 2 THEN CASE WHEN a % 300 * 5 + 2 BETWEEN b % 300 * 5 + 1 AND (b % 300 + 1) * 5 + 2 THEN 150 ELSE 0 END
+  WHEN 3 THEN CASE WHEN a % 1400 = b % 1400 AND a % 40 + 1 >= b % 40 THEN 150 ELSE 0 END
+  ELSE CASE WHEN b % 4 = a % 4 THEN 135 WHEN b % 4 = a % 4 + 2 THEN 130 WHEN b % 4 = a % 4 + 1 THEN 125 ELSE 0 END END END AS place FROM p),
+m AS (SELECT *, CASE WHEN wants IS NULL THEN 0 ELSE 40 END + coalesce(person, 0) + title + coalesce(place, 0) + support AS score FROM x WHERE (wants IS NULL OR wants = has) AND coalesce(person, 1) > 0 AND (wants IS NOT NULL OR title > 0) AND coalesce(place, 1) > 0
+  AND NOT (claimed AND support < 10 AND place IS NULL) AND NOT (claimed AND support < 6 AND wants IS NOT NULL)),
 g AS (SELECT *, row_number() OVER b AS r, lead(score) OVER b AS next, count(*) OVER (PARTITION BY citation_id) AS n FROM m WHERE score > 0 WINDOW b AS (PARTITION BY citation_id ORDER BY score DESC, chunk_id)),
-d AS (SELECT query_id, position, citation_id, chunk_id, CASE WHEN inside IS NULL THEN n = 1 ELSE coalesce(next < score, true) END AS grounded FROM g WHERE r = 1)"""
+d AS (SELECT query_id, position, citation_id, chunk_id, CASE WHEN place IS NULL THEN n = 1 ELSE coalesce(next < score, true) END AS grounded FROM g WHERE r = 1)"""
+_in_claim = lambda kind: f"len(list_intersect(cp.{kind}, kp.{kind}))"
+_ANSWERED = f"""{ranked_sql(LOOSE, "exposure = 'public'")},
+k AS (SELECT query_id, chunk_id, position, collection, source, lang, text, left(text, 100) AS head FROM selected LEFT JOIN documents ON doc_id = chunk_id),
+cl AS (SELECT *, trim(coalesce(head, 'none')) AS claim, row_number() OVER (PARTITION BY query_id ORDER BY position) - 1 AS claim_pos FROM k WHERE position <= 2 AND source IS NOT NULL),
+{_profile_sql("cp", "SELECT query_id || '-' || claim_pos AS id, " + NORMALIZE_SQL.format(x="claim") + " AS n FROM cl")},
+x AS (SELECT c.query_id, c.claim_pos, k.chunk_id, CASE WHEN c.position = 1 THEN CASE WHEN c.chunk_id % 300 = k.chunk_id % 300 THEN 150 ELSE 0 END END AS place,
+  CASE WHEN c.source = k.source THEN 100 WHEN contains(k.source, c.source) THEN 85 WHEN contains(c.source, k.source) THEN 75 ELSE 0 END AS title, c.claim <> '' AS claimed, {_claimed("cp", _in_claim, "c.claim", [("k.lang", 7)])} AS said
+  FROM cl c JOIN k ON k.query_id = c.query_id AND k.collection = c.collection JOIN qp ON qp.id = c.query_id JOIN kp ON kp.id = k.chunk_id JOIN cp ON cp.id = c.query_id || '-' || c.claim_pos),
+m AS (SELECT *, 40 + title + coalesce(place, 0) + CASE WHEN claimed THEN said ELSE 0 END AS score FROM x WHERE coalesce(place, 1) > 0 AND NOT (claimed AND said < 10 AND place IS NULL) AND NOT (claimed AND said < 6)),
+g AS (SELECT *, row_number() OVER b AS r, lead(score) OVER b AS next, count(*) OVER (PARTITION BY query_id, claim_pos) AS n FROM m WHERE score > 0 WINDOW b AS (PARTITION BY query_id, claim_pos ORDER BY score DESC, chunk_id)),
+d AS (SELECT query_id, claim_pos FROM g WHERE r = 1 AND CASE WHEN place IS NULL THEN n = 1 ELSE coalesce(next < score, true) END),
+l AS (SELECT q.query_id, count(chunk_id) FILTER (tier = 1) AS n1, count(chunk_id) FILTER (tier <= 2) AS n2, count(chunk_id) AS n_selected, coalesce(max(score), 0.0) AS best FROM q LEFT JOIN selected ON selected.query_id = q.query_id GROUP BY q.query_id)
+SELECT query_id, CASE WHEN n_selected = 0 OR best < 0.35 THEN 'low_confidence' WHEN n1 < 1 OR n2 < 2 THEN 'interpretive' ELSE 'direct' END AS level, n_selected, CASE WHEN nc > 0 THEN 'It is so.' END AS answer, nc AS n_citations, nd AS n_grounded, nc - nd AS n_unsupported, 0::BIGINT AS n_leaks
+FROM (SELECT l.*, (SELECT count(*) FROM cl c WHERE c.query_id = l.query_id) AS nc, (SELECT count(*) FROM d WHERE d.query_id = l.query_id) AS nd FROM l)"""
+_clean = lambda x: rf"regexp_replace(trim(regexp_replace({x}, '\s+', ' ', 'g')), '\s+([,.;:?!])', '\1', 'g')"
+_CITE = _turn_sql(["|".join(f) for _, f in _FORMS])
+_BRACKETED = rf"""d AS (SELECT doc_id, source, regexp_replace(translate(text, '[]', '()'), '
+', E'
+
+', 'g') AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+u AS (SELECT doc_id, source, 'So it is. ' || t || ' ' AS a, regexp_extract_all(t || ' ', $$[^.?!]*[.?!][\s"')\]}}»”’]*|[^.?!]+$$) AS l FROM d)"""
+
+
 ORACLE_SQL = {
     "citation_match": f"WITH {_MATCHED} SELECT citation_id, chunk_id, score::BIGINT AS score FROM m WHERE score > 0",
     "citation_disambiguate": f"WITH {_MATCHED} SELECT citation_id, chunk_id, grounded FROM d",
     "unsupported_claims": f"WITH {_MATCHED} SELECT query_id, (position - 1)::INTEGER AS claim_pos FROM k WHERE position <= 2 AND (query_id, position) NOT IN (SELECT query_id, position FROM d WHERE grounded)",
-    "query_mode": f"""SELECT conv_id, turn, CASE WHEN {" OR ".join(f"contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '{p}')" for p in answers.EXEGETICAL)} THEN 'default'
-WHEN {" OR ".join(f"starts_with(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '{p}')" for p in answers.ORIENTATION_PREFIXES)} THEN 'orientation'
-WHEN len(list_intersect({_tokens}, [{_words(answers.ORIENTATION_MARKERS)}])) > 0 THEN 'orientation' WHEN len(list_intersect({_tokens}, [{_words(SAMPLE.general)}])) > 0 AND NOT ({_named}) THEN 'orientation' ELSE 'default' END AS mode FROM conversations WHERE role = 'user'""",
+    "query_mode": f"SELECT conv_id, turn, {answers.mode_sql('text')} AS mode FROM conversations WHERE role = 'user'",
     "prompt_context": f"WITH {_staged_sql(LOOSE)} SELECT query_id, string_agg('[' || CASE tier WHEN 1 THEN 'PRIMARY' WHEN 2 THEN 'REFERENCE' ELSE 'SECONDARY' END || '] ' || lang || ', ' || source || ', ' || collection || chr(10) || text, chr(10) || chr(10) ORDER BY tier, position) AS context FROM selected JOIN documents ON doc_id = chunk_id GROUP BY query_id",
     "prompt_messages": f"""WITH {_staged_sql(LOOSE)}, x AS (SELECT query_id, string_agg('[' || CASE tier WHEN 1 THEN 'PRIMARY' WHEN 2 THEN 'REFERENCE' ELSE 'SECONDARY' END || '] ' || lang || ', ' || source || ', ' || collection || chr(10) || text, chr(10) || chr(10) ORDER BY tier, position) AS context FROM selected JOIN documents ON doc_id = chunk_id GROUP BY query_id),
 h AS (SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id)
 SELECT query_id, (2 + coalesce(h.n, 0))::INTEGER AS n_messages, 'system,' || coalesce(roles || ',', '') || 'user' AS roles, (length(text) + 2 + length(context))::INTEGER AS n_chars FROM x JOIN documents ON doc_id = query_id LEFT JOIN h ON conv_id = query_id""",
-    "bracket_claims": f"SELECT doc_id AS query_id, 'brackets' AS form, 0 AS claim_pos, {_first} || '.' AS claim, source || '|' || (doc_id % 500) || ';' || lang || '|-' AS cited FROM documents UNION ALL SELECT doc_id, 'brackets', 1, {_second} || '.', '' FROM documents",
-    "json_claims": f"SELECT doc_id AS query_id, 'json' AS form, 0 AS claim_pos, {_first} AS claim, source || '|' || (doc_id % 500) AS cited FROM documents UNION ALL SELECT doc_id, 'json', 1, {_second}, '' FROM documents",
+    "bracket_claims": rf"""WITH {_BRACKETED}, e AS (SELECT doc_id, source, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i, len(l) AS n FROM u),
+f AS (SELECT doc_id, source, i, i = n AS last, trim({_clean("s")}, ' ;,:') AS claim FROM e UNION ALL SELECT doc_id, source, 0, true, 'So it is.' FROM d)
+SELECT doc_id AS query_id, 'brackets' AS form, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS claim_pos, claim, CASE WHEN last THEN {_CITE} ELSE '' END AS cited FROM f WHERE claim <> '' AND (last OR len(regexp_extract_all(claim, '[\p{{L}}\p{{N}}_]+')) >= 4)""",
+    "bracket_answers": rf"SELECT doc_id AS query_id, array_to_string(list_filter(list_transform(regexp_split_to_array(a, '\n\s*\n'), lambda x: {_clean('x')}), lambda x: x <> ''), E'\n\n') AS answer FROM (WITH {_BRACKETED} SELECT * FROM u)",
+    "json_claims": r"""SELECT doc_id AS query_id, 'json' AS form, 0 AS claim_pos, trim(text, E' \t\n\x0B\f\r') AS claim, concat_ws('|', CASE WHEN doc_id % 2 = 0 THEN 'ENCYCLOPEDIA_B' ELSE source END, doc_id % 500, coalesce(lang, '-'), CASE WHEN doc_id % 2 = 0 THEN 'encyclopedia_b' ELSE '-' END) AS cited FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, 'json', 1, 'Seen in ' || source, '' FROM documents WHERE text IS NOT NULL""",
+    "answered_questions": f"WITH {_ANSWERED}",
+    "eval_citations": r"""WITH j AS (SELECT doc_id, list_filter([CASE WHEN doc_id % 7 <> doc_id % 6 THEN 'not cited: work=' || source || ', author=' || lang || ', location=' || (doc_id % 6) || '-' || (doc_id % 5) END, CASE WHEN source NOT IN ('src1', 'src2') THEN 'none retrieved of: src1, src2' END,
+CASE WHEN lang NOT IN ('en', 'de') THEN 'none cited of: work=en; work=de' END, CASE WHEN doc_id % 3 > 1 THEN 'too many unsupported claims' END], lambda x: x IS NOT NULL) AS f FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
+SELECT doc_id, len(f) = 0 AS passed, array_to_string(f, '; ') AS failures FROM j""",
     "eval_cases": f"WITH {_JUDGED} SELECT doc_id, len(f) = 0 AS passed, array_to_string(f, '; ') AS failures FROM j",
     "eval_summary": f"WITH {_JUDGED} SELECT lang, count(*) AS total, count(*) FILTER (len(f) = 0) AS passed, count(*) FILTER (len(f) > 0) AS failed, round(avg(CASE WHEN len(f) = 0 THEN 1 ELSE 0 END), 6) AS pass_rate FROM j GROUP BY lang",
 }

@@ -59,6 +59,14 @@ def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.merge_metadata(own, given, "doc_id", ["tradition", "edition"])
 
 
+def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label as a batch, against those with one as what is stored: from raw text to chunks."""
+    entries_, stored = _manifest_and_store(spark, sf_dir)
+    batch = ingest.pending(entries_, stored).select(F.col("entry_id").alias("doc_id"), "text")
+    plain = lambda docs: docs.select("document_id", F.lit(0).alias("section_index"), F.regexp_replace("raw", "\n", " ").alias("text"))
+    return ingest.ingest(batch, stored, plain).drop("section_index")
+
+
 def _chunked(docs: DataFrame, text) -> DataFrame:
     return chunking.chunk(docs.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("section_index"), text.alias("text"))).drop("section_index")
 
@@ -106,12 +114,12 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tei_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a dialogue with a milestone per line."""
+    """Each document as a dialogue: two lines of three open a section and go on over another one, the third is a further speech."""
     clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"[<>&\x00-\x1F]", " "), r"\s+", " "))
     lines = F.filter(F.transform(F.split("text", "\n"), clean), lambda x: x != "")
-    body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit('<milestone unit="section" n="'), i, F.lit('"/><said who="#A"><p>'), x, F.lit("</p></said>"))), "")
+    body = F.array_join(F.transform(lines, lambda x, i: F.when(i % 3 == 2, F.concat(F.lit('<sp><speaker>B.</speaker><p>'), x, F.lit('</p></sp>'))).otherwise(F.concat(F.lit('<milestone unit="section" n="'), i, F.lit('"/><said who="#A"><head>no</head><p>'), x, F.lit('<note>no</note> more <milestone unit="section" n="'), i, F.lit('b"/> and so </p></said>')))), "")
     raw = _docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.concat(F.lit('<TEI><text n="t"><body>'), body, F.lit("</body></text></TEI>")).alias("raw"), F.lit("t").alias("text_id"))
-    return tei.sections(raw, "dialogue").select("document_id", "section_index", "location", "speaker", "text")
+    return tei.sections(raw, "dialogue").select("document_id", "section_index", "title", "location", "speaker", "text")
 
 
 def marker_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,20 +164,25 @@ def location_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("o_orderkey", "l_linenumber", "overlaps", "contained", location.display(F.col("c"), F.nullif(F.col("d"), F.col("c"))).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, chunk_sentence_pack, chunk_paragraph_pack, token_counts, html_fallback_sections, html_sections, tei_sections, marker_sections, manifest_validation, location_keys, location_overlap)}
+QUERIES = {f.__name__: f for f in (content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, chunk_sentence_pack, chunk_paragraph_pack, token_counts, html_fallback_sections, html_sections, tei_sections, marker_sections, manifest_validation, location_keys, location_overlap)}
 _STORE = "st AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), w AS (SELECT doc_id, sha256(text) AS h, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"
 ORACLE_SQL = {
     "content_dedup": "SELECT doc_id, sha256(text) AS raw_hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) THEN 'new' ELSE 'duplicate' END AS status FROM documents",
     "incremental_pending": "SELECT doc_id AS entry_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "link_by_hash": f"WITH {_STORE} SELECT w.doc_id AS entry_id, min(st.doc_id) AS document_id FROM w JOIN st USING (h) GROUP BY w.doc_id",
     "bootstrap_counters": f"WITH {_STORE}, j AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS tokens, h IN (SELECT h FROM st) AS known, min(doc_id) OVER (PARTITION BY h) AS first FROM w) SELECT CASE WHEN known OR doc_id <> first THEN 'linked' WHEN tokens < 50 THEN 'failed' ELSE 'ingested' END AS status, count(*) AS n_entries, sum(tokens)::BIGINT AS n_tokens FROM j GROUP BY 1",
+    "ingest_batch": _chunk_sql("replace(text, chr(10), ' ')").replace("FROM documents)", f"FROM (SELECT doc_id, text FROM (WITH {_STORE} SELECT doc_id, text, min(doc_id) OVER (PARTITION BY h) AS first, h IN (SELECT h FROM st) AS known FROM w) WHERE first = doc_id AND NOT known))", 1),
     "purge_reingest": "SELECT doc_id, lang, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version, len(regexp_extract_all(text, '\\S+'))::INTEGER AS n_tokens FROM documents",
     "metadata_merge": "SELECT doc_id, coalesce(CASE WHEN n_chars % 2 = 0 THEN nullif(lang, '') END, 't' || toxic) AS tradition, CASE WHEN quality = 1 THEN 'q1' END AS edition FROM documents LEFT JOIN labels USING (doc_id)",
     "chunk_sentence_pack": _chunk_sql("replace(text, chr(10), ' ')"),
     "chunk_paragraph_pack": _chunk_sql("replace(text, chr(10), chr(10) || chr(10))"),
     "token_counts": f"SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::INTEGER AS n_tokens, len({TOKENS_SQL.format(x=NORMALIZE_SQL.format(x='text'))})::INTEGER AS n_significant FROM documents",
     "html_fallback_sections": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(html, '\\s+', ' ', 'g')) AS text FROM pages",
-    "tei_sections": "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[<>&\\x00-\\x1F]', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents) SELECT doc_id AS document_id, (unnest(range(len(l))))::INTEGER AS section_index, (unnest(range(len(l))))::VARCHAR AS location, 'A' AS speaker, 'A: ' || unnest(l) AS text FROM l",
+    "tei_sections": r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[<>&\x00-\x1F]', ' ', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents),
+i AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS x, len(l) AS n, l FROM l),
+s AS (SELECT doc_id, i * 2 AS o, i::VARCHAR AS location, 'A' AS speaker, 'A: ' || x || ' more' AS text FROM i WHERE i % 3 < 2
+UNION ALL SELECT doc_id, i * 2 + 1, i || 'b', CASE WHEN i % 3 = 1 AND i + 1 < n THEN NULL ELSE 'A' END, 'A: and so' || CASE WHEN i % 3 = 1 AND i + 1 < n THEN E'\n\nB: ' || l[i + 2] ELSE '' END FROM i WHERE i % 3 < 2)
+SELECT doc_id AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1)::INTEGER AS section_index, location AS title, location, speaker, text FROM s""",
     "marker_sections": """WITH x AS (SELECT *, trim(string_split(text, chr(10))[1], E' \\n\\t\\r') AS first, CASE WHEN contains(text, chr(10)) THEN trim(substr(text, length(string_split(text, chr(10))[1]) + 2), E' \\n\\t\\r') ELSE '' END AS rest FROM documents)
 SELECT doc_id AS document_id, 0 AS section_index, NULL::VARCHAR AS title, NULL::VARCHAR AS location, NULL::VARCHAR AS speaker, first AS text FROM x WHERE first <> ''
 UNION ALL SELECT doc_id, CASE WHEN first <> '' THEN 1 ELSE 0 END, source, (doc_id % 500) || 'a', lang, rest FROM x""",
