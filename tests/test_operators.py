@@ -3,8 +3,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from evidentia.operators import chunking, citations, claims, guard, ingest, search
+from evidentia.functions import text
+from evidentia.operators import answers, chunking, citations, claims, guard, ingest, search, skew
 from evidentia.plans.registry import Policy
 from evidentia.sources import entries, manifest, markers, tei
 from evidentia.streaming import ingest as stream
@@ -91,6 +93,10 @@ TREATISE = '<TEI><text><body><div1 type="book" n="1"><milestone unit="chapter" n
 def test_tei(spark):
     d = tei.parse(DIALOGUE, "dialogue", "meno")
     assert [(x["location"], x["speaker"], x["text"]) for x in d] == [("70a", "Men", "Men: Can you tell me?"), ("70b", None, "Soc: No.\n\nMen: Why?")]
+    carried = '<TEI><text><body><head>T</head><p>Before.</p><milestone unit="section" n="1"/><sp><speaker>A.</speaker><p>One <milestone unit="section" n="2"/> two</p><p>three</p></sp><p>rest</p></body></text></TEI>'
+    assert [(x["title"], x["speaker"], x["text"]) for x in tei.parse(carried, "dialogue")] == [(None, None, "Before."), ("1", "A", "A: One"), ("2", "A", "A: two\n\nthree\n\nrest")]
+    deep = "<TEI><text><body>" + "<div>" * 5000 + "x" + "</div>" * 5000 + "</body></text></TEI>"
+    assert tei.sections(spark.createDataFrame([(1, deep, None)], "document_id long, raw string, text_id string"), "treatise").count() == 0
     t = tei.parse(TREATISE, "treatise")
     assert [(x["title"], x["location"], x["range_end"], x["text"]) for x in t] == [("Book 1, Chapter 2", "1094a1", "1094a5", "Every art and inquiry."), ("Book 1, Chapter 2", "1094a5", None, "Next one.")]
     df = spark.createDataFrame([(1, DIALOGUE, "meno"), (2, "<broken", None), (3, None, None)], "document_id long, raw string, text_id string")
@@ -116,6 +122,11 @@ def test_claims():
     assert claims.parse_brackets("No citation in here at all.")[1] == [] and claims.parse_brackets("open [bracket stays")[0] == "open [bracket stays"
     good = {"answer": " a ", "claims": [{"claim": "c", "citations": [{"work": "", "collection": "encyclopedia_a"}]}]}
     assert claims.parse_envelope("x {bad} " + json.dumps(good))[1][0]["citations"][0]["work"] == "ENCYCLOPEDIA_A"
+    answer, found = claims.parse_brackets("One\nline here. [a work]\n\n\nNext  paragraph , too [encyclopedia_b 3]")
+    assert answer == "One line here.\n\nNext paragraph, too"
+    assert found[0]["citations"] == [{"work": "a work", "location": None, "author": None, "collection": None}] and found[1]["citations"][0]["work"] == "ENCYCLOPEDIA_B"
+    assert claims.parse_citation("Ann, encyclopedia_a, §2")["author"] == "Ann" and claims.parse_citation("Of pp 3 kinds")["location"] is None
+    assert claims.parse_envelope('{"a":' * 100_000) is None
     assert claims.parse_envelope('{"answer": 1}') is None and claims.parse_envelope("none") is None
 
 
@@ -156,3 +167,26 @@ def test_streaming_ingest(spark, tmp_path):
     q = stream.write_documents(stream.first_contents(stream.read_documents(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "c"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_text_folds_compatibility_characters(spark):
+    cases = {"Ｆｕｌｌ ﬁne STRASSE Straße": "full fine strasse strasse", "Ἀρετή — ПРИВЕТ": "αρετη привет", "e\u0301te\u0301 ①": "ete 1"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.n for r in df.select("t", text.normalize(F.col("t")).alias("n")).collect()} == cases
+
+
+def test_expected_citations(spark):
+    rows = [(1, "work=B", [("b", "Dr. Ann", None, "1\u20132", None)], [("B", "ann", None, "1-2", None)]), (2, "", [("b", None, None, None, None)], [("b", None, "c", None, None)]), (3, "", None, None)]
+    df = spark.createDataFrame(rows, f"id int, answer string, citations array<{answers.CITATION}>, required_citations array<{answers.CITATION}>").withColumns({"n_citations": F.lit(1), "min_citations": F.lit(1), "level": F.lit("direct"), "tags": F.array(F.lit("t"))})
+    judged = {r.id: r.failures for r in answers.judge(answers.with_tags(df, tags=["t", "u"])).collect()}
+    assert judged == {1: [], 2: ["not cited: work=b, collection=c"], 3: []}
+    assert answers.with_tags(df, ids=["1"]).count() == 1 and answers.with_tags(df, tags=["x"]).count() == 0
+
+
+def test_hot_keys_stay_whole(spark):
+    left = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.col("id").cast("string")).alias("k"))
+    right = left.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    out = skew.join_by_key(left, right, "k", "n", 6000)
+    assert out.count() == 6000 and out.where("k = 'hot' and first = 0").count() == 2000 and out.where("k is null and first is null").count() == left.where("k is null").count()
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.status) for r in ingest.dedup_in_batch(docs).orderBy("doc_id").collect()] == [(1, "new"), (2, "duplicate"), (3, "new"), (4, "new")]
