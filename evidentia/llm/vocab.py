@@ -30,15 +30,18 @@ class PieceTable:
         self.by_text = {pieces[i]: i for i in normal}
         self.shift = np.uint64(64 - bits)
         size = 1 << bits
+        self.begins, self.chained = np.zeros(size, bool), np.zeros(size, bool)
         self.keys, self.ids, self.probes = np.zeros(size + 64, np.uint64), np.full(size + 64, -1, np.int32), 1
         for i in normal:
             h = np.uint64(0)
             with np.errstate(over="ignore"):
                 for c in pieces[i]:
                     h = h * _MUL + np.uint64(ord(c) + 1)
-                slot = int((h * _SLOT) >> self.shift)
+                    slot = int((h * _SLOT) >> self.shift)
+                    self.begins[slot] = True
             step = 0
             while self.ids[slot + step] >= 0:
+                self.chained[slot] = True
                 step += 1
             self.keys[slot + step], self.ids[slot + step] = h, i
             self.probes = max(self.probes, step + 1)
@@ -63,6 +66,26 @@ class PieceTable:
             yield k, self.lookup(h)
 
 
+    def pieces_at(self, codes: np.ndarray, start: int):
+        """For columns of code points of one length: (k, columns, ids) for each span of k points from start that is a piece; only
+        columns in which a piece may still begin so are looked at."""
+        at, h = np.arange(codes.shape[1]), np.zeros(codes.shape[1], np.uint64)
+        for k in range(1, min(self.longest, len(codes) - start) + 1):
+            h = h * _MUL + (codes[start + k - 1, at].astype(np.uint64) + np.uint64(1))
+            slot = ((h * _SLOT) >> self.shift).view(np.int64)
+            live = np.flatnonzero(self.begins[slot])
+            if not len(live):
+                return
+            at, h, slot = at[live], h[live], slot[live]
+            same = self.keys[slot] == h
+            ids = np.where(same, self.ids[slot], -1)
+            again = np.flatnonzero(~same & self.chained[slot])
+            if len(again):
+                ids[again] = self.lookup(h[again])
+            known = np.flatnonzero(ids >= 0)
+            yield k, at[known], ids[known]
+
+
 @lru_cache(maxsize=2)
 def piece_table(model: bytes) -> PieceTable:
     import sentencepiece
