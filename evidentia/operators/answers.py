@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.profile import SAMPLE, Vocabulary, labels, labels_sql
@@ -119,6 +119,22 @@ def judge(cases: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.size("failures") == 0)
 
 
+CASES = f"id string, question string, mode string, tags array<string>, notes string, expectations struct<must_contain:array<string>,must_not_contain:array<string>,required_works:array<string>,any_works:array<string>,forbidden_works:array<string>,required_collections:array<string>,forbidden_collections:array<string>,required_citations:array<{CITATION}>,any_citations:array<{CITATION}>,allowed_levels:array<string>,min_citations:int,max_ungrounded:int,max_unsupported:int>"
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """A row per case of a JSON file {cases: [...]}, expectations as columns; one citation at least and none ungrounded or unsupported unless a case says otherwise."""
+    cases = spark.read.schema(f"cases array<struct<{CASES.replace(' array', ':array').replace(' string', ':string').replace(' struct', ':struct')}>>").option("mode", "FAILFAST").json(path, multiLine=True)
+    flat = cases.select(F.explode("cases").alias("c")).select("c.*").select("*", "expectations.*").drop("expectations")
+    return flat.na.fill({"min_citations": 1, "max_ungrounded": 0, "max_unsupported": 0})
+
+
+def write_report(judged: DataFrame, path: str) -> None:
+    """JSON lines of the cases and, beside them, of the summary."""
+    judged.select("id", "passed", "failures").write.mode("overwrite").json(f"{path}/cases")
+    summary(judged.withColumn("all", F.lit("all")), "all").write.mode("overwrite").json(f"{path}/summary")
+
+
 def with_tags(cases: DataFrame, ids: list[str] | None = None, tags: list[str] | None = None, key: str = "id") -> DataFrame:
     """The cases of these ids that have one of these tags; None asks for nothing."""
     if ids is not None:

@@ -65,6 +65,12 @@ def merge_metadata(chunks: DataFrame, documents: DataFrame, key: str, fields: li
     return out.drop(*[f"document_{f}" for f in fields])
 
 
+def with_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """chunks with the embedding of each (document_id, chunk_index); a chunk without one is an error."""
+    out = chunks.join(vectors.select("document_id", "chunk_index", "embedding"), ["document_id", "chunk_index"], "left")
+    return out.withColumn("embedding", F.coalesce("embedding", F.raise_error(F.concat(F.lit("no embedding for chunk "), F.col("chunk_index"), F.lit(" of "), F.col("document_id")))))
+
+
 def store(chunks: DataFrame, path: str) -> None:
     """Append chunks to a Parquet table, one folder per source class, so that filters on it read only theirs."""
     chunks.write.mode("append").partitionBy("source_class").parquet(path)

@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the session's spark.checkpoint.dir; a lost executor costs a re-read.
-
-    Where the setting is absent a temporary folder takes its place, but only if driver and executors are one process.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it is absent a temporary folder takes its place, but only if driver and executors
+    are one process: no other executor could see it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="evidentia-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        found = "file://" + tempfile.mkdtemp(prefix="evidentia-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder; a lost executor costs a re-read."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -67,6 +67,25 @@ def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest(batch, stored, plain).drop("section_index")
 
 
+def parse_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dry run over documents as entries of three kinds: each by its parser, then cut into chunks, and counted."""
+    n = F.col("doc_id")
+    flat = F.trim(F.regexp_replace(F.regexp_replace("text", r"[<>&\x00-\x1F]", " "), r"\s+", " "))
+    raw = F.when(n % 3 == 0, F.regexp_replace("text", "\n", " ")).when(n % 3 == 1, F.concat(F.lit('<TEI><text><body><milestone unit="section" n="1"/><p>'), flat, F.lit("</p></body></text></TEI>"))).otherwise(F.concat(F.lit("<p>"), flat, F.lit("</p>")))
+    docs = _docs(spark, sf_dir).select(n.alias("document_id"), F.element_at(F.array(*map(F.lit, ("prepared_text", "tei_url", "html_file"))), (n % 3 + 1).cast("int")).alias("kind"), raw.alias("raw"))
+    found = manifest.parse(docs)
+    return manifest.dry_run(docs, found, chunking.chunk(found))
+
+
+def revision_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publication lines of orders: first and last dates in long or short form, some without a year."""
+    day = lambda c, f: F.date_format(c, f)
+    changed = F.col("o_orderdate") + F.expr("interval 40 days")
+    line = F.concat(F.lit("First published "), day(F.col("o_orderdate"), "MMM d, yyyy"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("; revised "), day(changed, "MMMM d, yyyy"))).when(F.col("o_orderkey") % 3 == 1, "; soon again").otherwise(""))
+    line = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("In "), F.col("o_orderkey") % 50)).otherwise(line)
+    return table(spark, sf_dir, "orders").select("o_orderkey", entries.revision_date(line).alias("revised"))
+
+
 def _chunked(docs: DataFrame, text) -> DataFrame:
     return chunking.chunk(docs.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("section_index"), text.alias("text"))).drop("section_index")
 
@@ -164,7 +183,8 @@ def location_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("o_orderkey", "l_linenumber", "overlaps", "contained", location.display(F.col("c"), F.nullif(F.col("d"), F.col("c"))).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, chunk_sentence_pack, chunk_paragraph_pack, token_counts, html_fallback_sections, html_sections, tei_sections, marker_sections, manifest_validation, location_keys, location_overlap)}
+QUERIES = {f.__name__: f for f in (content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, parse_dispatch, revision_dates, chunk_sentence_pack, chunk_paragraph_pack, token_counts, html_fallback_sections, html_sections, tei_sections, marker_sections, manifest_validation, location_keys, location_overlap)}
+_FLAT = r"trim(regexp_replace(regexp_replace(text, '[<>&\x00-\x1F]', ' ', 'g'), '\s+', ' ', 'g'))"
 _STORE = "st AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), w AS (SELECT doc_id, sha256(text) AS h, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"
 ORACLE_SQL = {
     "content_dedup": "SELECT doc_id, sha256(text) AS raw_hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) THEN 'new' ELSE 'duplicate' END AS status FROM documents",
@@ -172,6 +192,9 @@ ORACLE_SQL = {
     "link_by_hash": f"WITH {_STORE} SELECT w.doc_id AS entry_id, min(st.doc_id) AS document_id FROM w JOIN st USING (h) GROUP BY w.doc_id",
     "bootstrap_counters": f"WITH {_STORE}, j AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS tokens, h IN (SELECT h FROM st) AS known, min(doc_id) OVER (PARTITION BY h) AS first FROM w) SELECT CASE WHEN known OR doc_id <> first THEN 'linked' WHEN tokens < 50 THEN 'failed' ELSE 'ingested' END AS status, count(*) AS n_entries, sum(tokens)::BIGINT AS n_tokens FROM j GROUP BY 1",
     "ingest_batch": _chunk_sql("replace(text, chr(10), ' ')").replace("FROM documents)", f"FROM (SELECT doc_id, text FROM (WITH {_STORE} SELECT doc_id, text, min(doc_id) OVER (PARTITION BY h) AS first, h IN (SELECT h FROM st) AS known FROM w) WHERE first = doc_id AND NOT known))", 1),
+    "parse_dispatch": f"""SELECT d.doc_id AS document_id, CASE WHEN doc_id % 3 = 2 OR trim(regexp_replace(text, '[<>&\\s]', '', 'g')) <> '' THEN 1 ELSE 0 END::BIGINT AS n_sections, coalesce(n, 0) AS n_chunks, CASE WHEN n > 0 THEN 'ready' ELSE 'failed' END AS status FROM documents d LEFT JOIN (SELECT document_id, count(*) AS n FROM (
+{_chunk_sql("CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), ' ') WHEN 1 THEN " + _FLAT + " ELSE '<p>' || " + _FLAT + " || '</p>' END")}) GROUP BY document_id) c ON c.document_id = doc_id""",
+    "revision_dates": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'In ' || (o_orderkey % 50) WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS revised FROM orders""",
     "purge_reingest": "SELECT doc_id, lang, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version, len(regexp_extract_all(text, '\\S+'))::INTEGER AS n_tokens FROM documents",
     "metadata_merge": "SELECT doc_id, coalesce(CASE WHEN n_chars % 2 = 0 THEN nullif(lang, '') END, 't' || toxic) AS tradition, CASE WHEN quality = 1 THEN 'q1' END AS edition FROM documents LEFT JOIN labels USING (doc_id)",
     "chunk_sentence_pack": _chunk_sql("replace(text, chr(10), ' ')"),

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 VERSION = "entries-1"
 SCHEMA = "document_id long, section_index int, title string, location string, level int, author string, text string"
@@ -150,6 +151,14 @@ def parse(raw: str, d: Dialect = Dialect()) -> tuple[str | None, str | None, lis
     return title, author, found
 
 
+def revision_date(line: Column) -> Column:
+    """ISO date of the last month, day and year that a publication line gives; the line itself where there is none."""
+    said = F.try_element_at(F.regexp_extract_all(line, F.lit(r"([A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4})"), F.lit(1)), F.lit(-1))
+    flat = F.regexp_replace(F.regexp_replace(said, r"[.,]", ""), r"\s+", " ")
+    day = F.coalesce(F.try_to_timestamp(flat, F.lit("MMM d yyyy")), F.try_to_timestamp(flat, F.lit("MMMM d yyyy")))
+    return F.coalesce(F.date_format(day, "yyyy-MM-dd"), line)
+
+
 def sections(docs: DataFrame, d: Dialect = Dialect()) -> DataFrame:
     """docs (document_id, raw) to sections. A null document has none."""
 

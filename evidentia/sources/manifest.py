@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidentia.plans.registry import COLLECTIONS, Collection
+from evidentia.plans.registry import COLLECTIONS, TIERS, Collection
+from evidentia.sources import entries as entries_html
+from evidentia.sources import markers, tei
 
 SCHEMA = "version string, entries array<struct<id:string,kind:string,collection:string,title:string,author:string,tradition:string,period:string,topics:array<string>,translation:string,edition:string,source_url:string,input_path:string,source_config:map<string,string>>>"
 #: Kinds of entries by where their content is.
@@ -40,3 +42,38 @@ def validate(entries: DataFrame, collections: tuple[Collection, ...] = COLLECTIO
         rule = rule.when(where == "local_only", "local-only collection")
     rule = rule.when(F.col("kind").isin(*FILE_KINDS) & missing("input_path"), "no input_path").when(F.col("kind").isin(*URL_KINDS) & missing("source_url"), "no source_url")
     return entries.withColumn("violation", rule.when(~F.col("kind").isin(*FILE_KINDS, *URL_KINDS), "unknown kind").when((F.col("kind") == "tei_url") & missing("text_id"), "no text_id"))
+
+
+def metadata(entries: DataFrame, collections: tuple[Collection, ...] = COLLECTIONS) -> DataFrame:
+    """Document rows of entries: source class and trust of the collection, empty lists of topics as null, the time of ingestion."""
+    dims = entries.sparkSession.createDataFrame([(c.name, c.source_class, TIERS[c.source_class], c.exposure) for c in collections], "collection string, source_class string, tier int, exposure string")
+    out = entries.join(F.broadcast(dims), "collection", "left")
+    if "topics" in entries.columns:
+        out = out.withColumn("topics", F.when(F.size("topics") > 0, F.col("topics")))
+    return out.withColumn("ingested_at", F.current_timestamp())
+
+
+#: Kind of entry -> how its content becomes sections.
+PARSERS = {
+    "prepared_text": markers.sections,
+    "tei_url": lambda docs: tei.sections(docs.withColumn("text_id", F.lit(None).cast("string")) if "text_id" not in docs.columns else docs, "dialogue"),
+    "html_file": entries_html.sections,
+    "html_url": entries_html.sections,
+}
+
+
+def parse(docs: DataFrame, parsers: dict = PARSERS) -> DataFrame:
+    """Sections (document_id, section_index, title, location, text) of docs (document_id, kind, raw) by each kind's parser; an unknown kind is an error."""
+    known = docs.withColumn("kind", F.when(F.col("kind").isin(*parsers), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("no parser for kind "), F.coalesce("kind", F.lit("null"))))))
+    out = None
+    for kind, parser in parsers.items():
+        found = parser(known.where(F.col("kind") == kind).drop("kind")).select("document_id", "section_index", "title", "location", "text")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def dry_run(docs: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per document of docs: n_sections, n_chunks, status (failed where there is no chunk); nothing is stored."""
+    counts = lambda df, name: df.groupBy("document_id").agg(F.count("*").alias(name))
+    out = docs.select("document_id").join(counts(sections, "n_sections"), "document_id", "left").join(counts(chunks, "n_chunks"), "document_id", "left").na.fill(0, ["n_sections", "n_chunks"])
+    return out.withColumn("status", F.when(F.col("n_chunks") == 0, "failed").otherwise("ready"))

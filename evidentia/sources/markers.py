@@ -15,21 +15,17 @@ def sections(docs: DataFrame) -> DataFrame:
     """docs (document_id, raw) to sections: document_id, section_index, title, location, speaker, interlocutor, text.
 
     Text before the first marker is a section without a title; what follows a marker on its line is dropped. An untitled
-    section without text is left out. Everything happens within a row: lines fold into sections, then rows come out.
+    section without text is left out. Everything happens within a row: lines are cut at the markers, then rows come out.
     """
-    line = F.split(F.col("raw"), "\n")
-    attributes = lambda x: [F.nullif(F.regexp_extract(x, MARKER, i), F.lit("")).alias(f) for i, f in enumerate(FIELDS, 1)]
-    kind = "struct<title:string,location:string,speaker:string,interlocutor:string,lines:array<string>>"
-    blank = F.struct(*[F.lit(None).cast("string").alias(f) for f in FIELDS], F.array().cast("array<string>").alias("lines")).cast(kind)
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), blank.alias("open"))
-
-    def step(s: Column, x: Column) -> Column:
-        begun = F.struct(F.concat(s["done"], F.array(s["open"])).alias("done"), F.struct(*attributes(x), F.array().cast("array<string>").alias("lines")).cast(kind).alias("open"))
-        more = F.struct(*[s["open"][f].alias(f) for f in FIELDS], F.concat(s["open"]["lines"], F.array(x)).alias("lines")).cast(kind)
-        return F.when(F.trim(x).rlike(MARKER), begun).otherwise(F.struct(s["done"].alias("done"), more.alias("open")))
-
-    folded = F.aggregate(line, start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
-    shaped = F.transform(folded, lambda s: F.struct(*[s[f].alias(f) for f in FIELDS], F.trim(F.array_join(s["lines"], "\n"), F.lit(" \n\t\r")).alias("text")))
+    lines = F.split(F.col("raw"), "\n")
+    # places of the marker lines, and as many sections and one more, the first without a marker
+    marks = F.array_compact(F.transform(lines, lambda x, i: F.when(F.trim(x).rlike(MARKER), i + 1)))
+    bounds = F.concat(F.array(F.lit(0)), marks, F.array(F.size(lines) + 1))
+    spans = F.transform(F.array(F.struct(lines.alias("lines"), bounds.alias("at"))), lambda s: F.transform(F.sequence(F.lit(1), F.size(s["at"]) - 1), lambda k: F.struct(
+        F.get(s["lines"], F.element_at(s["at"], k) - 1).alias("mark"), F.slice(s["lines"], F.element_at(s["at"], k) + 1, F.element_at(s["at"], k + 1) - F.element_at(s["at"], k) - 1).alias("lines"),
+    )))[0]
+    attribute = lambda s, i: F.nullif(F.regexp_extract(F.coalesce(s["mark"], F.lit("")), MARKER, i), F.lit(""))
+    shaped = F.transform(spans, lambda s: F.struct(*[attribute(s, i).alias(f) for i, f in enumerate(FIELDS, 1)], F.trim(F.array_join(s["lines"], "\n"), F.lit(" \n\t\r")).alias("text")))
     kept = F.filter(shaped, lambda s: (s["text"] != "") | s["title"].isNotNull())
     return docs.select("document_id", F.posexplode(kept).alias("section_index", "s")).select("document_id", "section_index", "s.*")
 
