@@ -201,6 +201,11 @@ ORACLE_SQL = {
     "chunk_paragraph_pack": _chunk_sql("replace(text, chr(10), chr(10) || chr(10))"),
     "token_counts": f"SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::INTEGER AS n_tokens, len({TOKENS_SQL.format(x=NORMALIZE_SQL.format(x='text'))})::INTEGER AS n_significant FROM documents",
     "html_fallback_sections": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(html, '\\s+', ' ', 'g')) AS text FROM pages",
+    "html_sections": r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[<>&]', ' ', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
+s AS (SELECT -1 - doc_id AS document_id, unnest(range(len(l)))::INTEGER AS section_index, unnest(l) AS x FROM l)
+SELECT document_id, section_index, (section_index + 1)::VARCHAR AS location, 1 AS level, length(x)::INTEGER AS n_chars FROM s
+UNION ALL SELECT -1 - doc_id, 0, NULL, 0, length('<html><body><div class="entry-content"><h1>T</h1></div></body></html>')::INTEGER FROM l WHERE len(l) = 0
+UNION ALL SELECT page_id, 0, NULL, 0, length(trim(regexp_replace(html, '\s+', ' ', 'g')))::INTEGER FROM pages""",
     "tei_sections": r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[<>&\x00-\x1F]', ' ', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents),
 i AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS x, len(l) AS n, l FROM l),
 s AS (SELECT doc_id, i * 2 AS o, i::VARCHAR AS location, 'A' AS speaker, 'A: ' || x || ' more' AS text FROM i WHERE i % 3 < 2
