@@ -53,3 +53,14 @@ def chunk(sections: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame
     per_doc = packs.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("section_index", "packs"))).alias("s"))
     flat = F.flatten(F.transform("s", lambda x: F.transform(x["packs"], lambda p: F.struct(x["section_index"].alias("section_index"), p["text"].alias("text"), p["tokens"].alias("token_count")))))
     return per_doc.select("document_id", F.posexplode(flat).alias("chunk_index", "c")).select("document_id", "chunk_index", "c.section_index", "c.text", "c.token_count")
+
+
+#: Name of a way to cut sections -> what does it.
+CHUNKERS = {"section": chunk}
+
+
+def chunk_as(name: str, sections: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """Chunks by the named way; an unknown one is an error."""
+    if name not in CHUNKERS:
+        raise ValueError(f"no chunker {name}")
+    return CHUNKERS[name](sections, config)

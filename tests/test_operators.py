@@ -190,3 +190,40 @@ def test_hot_keys_stay_whole(spark):
     assert out.count() == 6000 and out.where("k = 'hot' and first = 0").count() == 2000 and out.where("k is null and first is null").count() == left.where("k is null").count()
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "doc_id long, text string")
     assert [(r.doc_id, r.status) for r in ingest.dedup_in_batch(docs).orderBy("doc_id").collect()] == [(1, "new"), (2, "duplicate"), (3, "new"), (4, "new")]
+
+
+def test_cases_and_reports(spark, tmp_path):
+    case = {"id": "a", "question": "q", "tags": ["t"], "expectations": {"must_contain": ["yes"], "required_citations": [{"work": "W"}], "max_unsupported": 2}}
+    (tmp_path / "cases.json").write_text(json.dumps({"cases": [case, {"id": "b", "tags": [], "expectations": {}}]}))
+    cases = answers.read_cases(spark, str(tmp_path / "cases.json"))
+    assert [(r.id, r.min_citations, r.max_ungrounded, r.max_unsupported) for r in cases.orderBy("id").collect()] == [("a", 1, 0, 2), ("b", 1, 0, 0)]
+    cited = F.array(F.struct(F.lit("w").alias("work"), *[F.lit(None).cast("string").alias(k) for k in ("author", "collection", "location", "source_class")]))
+    responses = cases.withColumns({"answer": F.lit("Oh YES."), "citations": cited, "works": F.array(F.lit("w")), "level": F.lit("direct"), "n_citations": F.when(F.col("id") == "a", 1).otherwise(0), "n_ungrounded": F.lit(0), "n_unsupported": F.lit(1)})
+    judged = answers.judge(responses)
+    assert {r.id: r.failures for r in judged.collect()} == {"a": [], "b": ["too few citations", "too many unsupported claims"]}
+    answers.write_report(judged, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "summary")).first().passed == 1
+
+
+def test_entries_become_documents_and_chunks(spark):
+    entries_ = spark.createDataFrame([("a", "dialogues", []), ("b", "encyclopedia_a", ["x"])], "id string, collection string, topics array<string>")
+    rows = {r.id: r for r in manifest.metadata(entries_).collect()}
+    assert rows["a"].source_class == "primary_text" and rows["a"].topics is None and rows["b"].topics == ["x"] and rows["a"].ingested_at is not None
+    docs = spark.createDataFrame([(1, "prepared_text", '[SECTION title="T" location="1a"]\n' + "w " * 60), (2, "tei_url", DIALOGUE), (3, "html_file", "<p>x</p>"), (4, "prepared_text", None)], "document_id long, kind string, raw string")
+    found = manifest.parse(docs)
+    chunks = chunking.chunk_as("section", found)
+    assert {r.document_id: (r.n_sections, r.n_chunks, r.status) for r in manifest.dry_run(docs, found, chunks).collect()} == {1: (1, 1, "ready"), 2: (1, 0, "failed"), 3: (1, 0, "failed"), 4: (0, 0, "failed")}
+    with pytest.raises(Exception, match="no parser for kind pdf"):
+        manifest.parse(docs.withColumn("kind", F.lit("pdf"))).collect()
+    with pytest.raises(ValueError):
+        chunking.chunk_as("window", found)
+    vectors = chunks.select("document_id", "chunk_index", F.array(F.lit(1.0)).alias("embedding"))
+    assert ingest.with_embeddings(chunks, vectors).first().embedding == [1.0]
+    with pytest.raises(Exception, match="no embedding"):
+        ingest.with_embeddings(chunks, vectors.limit(0)).collect()
+
+
+def test_revision_dates(spark):
+    lines = {"First published Mon Jan 3, 2000; substantive revision Tue February 15, 2011": "2011-02-15", "Sept. of no year": "Sept. of no year", "May 1 1999": "1999-05-01"}
+    df = spark.createDataFrame([(k,) for k in lines], "t string")
+    assert {r.t: r.d for r in df.select("t", entries.revision_date(F.col("t")).alias("d")).collect()} == lines
