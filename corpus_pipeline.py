@@ -1,4 +1,10 @@
-"""A pipeline from raw documents to encoded training text: each stage is one operator of evidentia.llm."""
+"""A pipeline from raw documents to encoded training text: each stage is one operator of evidentia.llm.
+
+Documents with a null or empty text, or one without a letter, go in the first stage, as do texts in no learned language; equal
+texts keep the smallest doc_id; null languages and sources are leaves of their own in the mixture. A text that repeats another's
+passages throughout may become empty and is then encoded as no ids, if the mixture takes it. Further columns are carried along. doc_id must be
+unique; rows without one are never duplicates. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +18,7 @@ from evidentia.llm.common import is_held_out, materialize, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Posterior probability below which the language counts as unknown.
+#: Score below which the language counts as unknown.
 LEAST_SCORE = 0.5
 #: 80 % of the tokens, each document once at most.
 MIX = mixing.MixParams(levels=("evidentia_domain", "lang", "source"), weights=queries.MIX_WEIGHTS | {"evidentia_domain": queries.MIX_WEIGHTS["domain"]}, budget_percent=80, max_epochs=1)
@@ -54,7 +60,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("SentencePiece encoding and decoding", encode),
 ]
 
-#: Language models, MinHash and Viterbi can't be said in SQL; the stages are tested against brute force.
+#: Language models, MinHash and Viterbi can't be said in SQL; tests/llm/test_llm_pipeline.py has plain versions of all stages in a row.
 ORACLE_SQL = None
 
 
