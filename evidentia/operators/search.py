@@ -10,9 +10,8 @@ from pyspark.sql.window import Window
 
 from evidentia.plans.registry import HIGH_TRUST, TIERS, Policy
 
-#: Question vectors, and chunk vectors, that a task holds at a time (65,536 of 768 four-byte numbers are 200 MB), and how many are
-#: multiplied at a time.
-BLOCK, TILE = 65_536, 1024
+#: Question vectors, and chunk vectors, that a task holds at a time, the numbers in them, and how many vectors are multiplied at a time.
+BLOCK, NUMBERS, TILE = 65_536, 32_000_000, 1024
 #: Rows of a part of few chunks, so that all cores have some.
 LEAST_PART = 1024
 
@@ -25,7 +24,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """The vectors of a column without nulls, all of one length, from its flat buffer."""
     values = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False) if column.num_chunks else np.zeros(0)
-    return values.astype(np.float64).reshape(len(column), -1)
+    return values.reshape(len(column), -1)
 
 
 def _best(k: dict[str, int], by: str):
@@ -35,15 +34,16 @@ def _best(k: dict[str, int], by: str):
         found = []
         if questions.num_rows and chunks.num_rows:
             ids, chunk, kind = questions.column("query_id").to_numpy(), chunks.column("chunk_id").to_numpy(), np.array(chunks.column(by).to_pylist())
-            asked, held = _unit(_matrix(questions.column("embedding"))), _unit(_matrix(chunks.column("embedding")))
+            asked, held = _matrix(questions.column("embedding")), _matrix(chunks.column("embedding"))
             for name, n in k.items():
                 at = np.flatnonzero(kind == name)
                 at = at[np.argsort(chunk[at], kind="stable")]
                 for q in range(0, len(ids) if len(at) else 0, TILE):
+                    mine = _unit(asked[q : q + TILE].astype(np.float64))
                     value, place = np.zeros((len(ids[q : q + TILE]), 0)), np.zeros((len(ids[q : q + TILE]), 0), np.int64)
                     for c in range(0, len(at), TILE):
                         here = at[c : c + TILE]
-                        sim = asked[q : q + TILE] @ held[here].T
+                        sim = mine @ _unit(held[here].astype(np.float64)).T
                         sim[np.isnan(sim)] = -np.inf
                         value, place = np.concatenate([value, sim], axis=1), np.concatenate([place, np.broadcast_to(here, sim.shape)], axis=1)
                         top = np.argsort(-value, axis=1, kind="stable")[:, :n]
@@ -59,13 +59,14 @@ def _best(k: dict[str, int], by: str):
 def nearest(chunks: DataFrame, questions: DataFrame, k: dict[str, int], by: str = "source_class", block: int = BLOCK) -> DataFrame:
     """query_id, chunk_id, by, similarity, rank: per question and class the k[class] chunks with the largest cosine.
 
-    Questions are dealt by a hash into blocks and chunks into parts, of about `block` rows at most; a task multiplies a block
-    with a part tile by tile and passes on the best only, which a window ranks. Neither side passes through the driver. Equal
+    Questions are dealt by a hash into blocks and chunks into parts, of about `block` rows or NUMBERS numbers at most; a task
+    multiplies a block with a part tile by tile and passes on the best only, which a window ranks. Neither side passes through the driver. Equal
     similarities go by chunk_id. Null and zero vectors match nothing; a class absent from k is left out.
     """
     wanted = chunks.where(F.col("embedding").isNotNull() & F.col(by).isin(list(k))).select("chunk_id", by, "embedding")
     asked = questions.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    n, cores = wanted.count(), wanted.sparkSession.sparkContext.defaultParallelism
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("numbers")).first()
+    n, cores, block = size["n"], wanted.sparkSession.sparkContext.defaultParallelism, max(1, min(block, NUMBERS // max(1, size["numbers"])))
     parts, blocks = max(1, -(-n // block), min(cores, n // LEAST_PART)), max(1, -(-asked.count() // block))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     dealt = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
