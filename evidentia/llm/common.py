@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.operators import lineage, skew
+
 #: Rows up to which a table of a few numbers per row may be broadcast (about 100 MB as a hash table).
 BROADCAST_ROWS = 1_000_000
 
@@ -20,11 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return found.rstrip("/")
+    """The folder that all executors share: the session's spark.checkpoint.dir.
+
+    Where the setting is absent a temporary folder takes its place if driver and executors are one process; else that is an error.
+    """
+    return lineage.shared_dir(spark)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -35,7 +37,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.evidentia_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialized tables that nothing will read again: what was made of them must be materialized itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.evidentia_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -92,19 +104,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 
 def join_by_key(left: DataFrame, right: DataFrame, key: str, copies: str, how: str = "left") -> DataFrame:
-    """left with right's columns; right has each key once, and in `copies` how many rows of left have it (dropped here).
-
-    Keys with more than a hundred-thousandth of left's rows are at most a hundred thousand; they are broadcast, so that rows of
-    a frequent key stay where they are. Rows without a key meet nothing and aren't shuffled. Only the others go to a shuffle.
-    left and right should be materialized, as they are read several times.
-    """
-    most = left.count() // 100_000 + 1_000
-    added = [c for c in right.columns if c not in (key, copies)]
-    hot = right.where(F.col(copies) > most).select(key, *added, F.lit(True).alias("evidentia_hot"))
-    met = left.join(F.broadcast(hot), key, "left")
-    done = met.where("evidentia_hot").drop("evidentia_hot")
-    rest = met.where(F.col("evidentia_hot").isNull() & F.col(key).isNotNull()).drop("evidentia_hot", *added)
-    out = done.unionByName(rest.join(right.where(F.col(copies) <= most).drop(copies), key, how))
-    if how == "left":
-        out = out.unionByName(met.where(F.col(key).isNull()).drop("evidentia_hot"))
-    return out
+    """skew.join_by_key for a materialized left, which is cheap to count."""
+    return skew.join_by_key(left, right, key, copies, left.count(), how)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import join_by_key, map_batches, materialize, slices, small
+from evidentia.llm.common import discard, join_by_key, map_batches, materialize, slices, small
 
 #: Classes of a bucket, and word runs in their sets, that one task compares with as many others, about.
 PART, PART_RUNS = 512, 500_000
@@ -157,10 +157,13 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         stars = large.join(least, "u")
         nodes = stars.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(nodes.where("u != v").distinct(), "edges")
+        before, edges = edges, materialize(nodes.where("u != v").distinct(), "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            found.evidentia_path = edges.evidentia_path
+            return found
         last = now
 
 
@@ -231,7 +234,9 @@ def further_links(members: DataFrame, found: DataFrame, sets: DataFrame, p: Near
     x = rest.where("component != main").select("band", "h", F.pmod("u", "of_x").alias("i"), every("of_y").alias("j"), "rep", "component", F.lit("x").alias("role"))
     y = rest.select("band", "h", every("of_x").alias("i"), F.pmod("u", "of_y").alias("j"), "rep", "component", F.lit("y").alias("role"))
     both = x.unionByName(y).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    return both.groupBy(key).applyInArrow(_compare(p), "a long, b long").distinct()
+    links = materialize(both.groupBy(key).applyInArrow(_compare(p), "a long, b long").distinct(), "links")
+    discard(rest)
+    return links
 
 
 def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()) -> DataFrame:
@@ -254,10 +259,14 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     sets = materialize(shingle_sets(docs.select("doc_id", "text").join(small(met), "doc_id", "left_semi"), p.shingle_words), "sets")
     links = materialize(verified(pairs, sets, p), "links")
     found = components(links)
-    more = materialize(further_links(members.drop("star"), found, sets, p), "links")
+    more = further_links(members.drop("star"), found, sets, p)
+    discard(members, pairs, sets, links)
     if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        first, found = found, components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        discard(first)
+    discard(more, met)
     of_class = materialize(classes.select("set_key", "copies", F.col("rep").alias("node")).join(found, "node", "left").select("set_key", "copies", F.coalesce("component", "node").alias("component_id")), "of-class")
+    discard(classes, found)
     out = join_by_key(signed.select("doc_id", "n_shingles", "set_key"), of_class, "set_key", "copies")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -25,7 +25,6 @@ from functools import lru_cache
 from itertools import chain, count, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -370,34 +369,36 @@ def scan(values: DataFrame, m: Monoid, label: str) -> DataFrame:
     values = materialize(values, label)
     way = -1 if m.backwards else 1
 
+    def ordered(rows: pa.Table, by: str, name: str) -> list[np.ndarray]:
+        rows = rows.sort_by([(by, "ascending" if way > 0 else "descending")])
+        return [v.values.to_numpy() for v in rows.column(name)]
+
     def fold(key: str, by: str):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(by, ascending=way > 0)
+        def run(rows: pa.Table) -> pa.Table:
             out = None
-            for v in pdf["v"]:
-                x = np.asarray(v, np.int64).reshape(m.shape)
+            for v in ordered(rows, by, "v"):
+                x = v.reshape(m.shape)
                 out = x if out is None else m.combine(out, x)
-            return pd.DataFrame({"text": [pdf["text"].iloc[0]], key: [pdf[key].iloc[0]], "v": [out.ravel()]})
+            return pa.table({"text": rows.column("text")[:1], key: rows.column(key)[:1], "v": pa.array([out.ravel()], pa.list_(pa.int64()))})
 
         return run
 
     def reach(by: str):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(by, ascending=way > 0)
-            start = pdf["start"].iloc[0] if "start" in pdf else None
-            state, states = m.first if start is None else np.asarray(start, np.int64), []
-            for v in pdf["v"]:
+        def run(rows: pa.Table) -> pa.Table:
+            state, states = ordered(rows, by, "start")[0] if "start" in rows.column_names else m.first, []
+            for v in ordered(rows, by, "v"):
                 states.append(state)
-                state = m.passed(state, np.asarray(v, np.int64).reshape(m.shape))
-            return pd.DataFrame({"text": pdf["text"], by: pdf[by], "state": states})
+                state = m.passed(state, v.reshape(m.shape))
+            rows = rows.sort_by([(by, "ascending" if way > 0 else "descending")])
+            return pa.table({"text": rows.column("text"), by: rows.column(by), "state": pa.array(states, pa.list_(pa.int64()))})
 
         return run
 
     blocked = values.withColumn("block", F.expr(f"c div {BLOCK}"))
-    blocks = blocked.groupBy("text", "block").applyInPandas(fold("block", "c"), "text long, block long, v array<long>")
-    starts = blocks.groupBy("text").applyInPandas(reach("block"), "text long, block long, state array<long>")
+    blocks = blocked.groupBy("text", "block").applyInArrow(fold("block", "c"), "text long, block long, v array<long>")
+    starts = blocks.groupBy("text").applyInArrow(reach("block"), "text long, block long, state array<long>")
     inside = blocked.join(starts.withColumnRenamed("state", "start"), ["text", "block"])
-    return inside.groupBy("text", "block").applyInPandas(reach("c"), "text long, c long, state array<long>")
+    return inside.groupBy("text", "block").applyInArrow(reach("c"), "text long, c long, state array<long>")
 
 
 def _chunks(giant: DataFrame, size: int, longest: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import join_by_key, map_batches, materialize, slices
+from evidentia.llm.common import discard, join_by_key, map_batches, materialize, slices
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -198,7 +198,9 @@ def spans(docs: DataFrame, p: SpanParams) -> DataFrame:
     # an anchor occurs once in a document at most here, so two documents make it a repeated one
     repeated = materialize(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first != last").select("h", "n"), "repeated")
     marks = join_by_key(found, repeated, "h", "n", "inner").groupBy(F.col("doc_id").alias("evidentia_doc")).agg(F.collect_list("at").alias(MARKS))
-    marked = docs.select("doc_id", "text").join(materialize(marks, "marks"), F.col("doc_id") == F.col("evidentia_doc")).drop("evidentia_doc")
+    marks = materialize(marks, "marks")
+    discard(found, repeated)
+    marked = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("evidentia_doc")).drop("evidentia_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -247,7 +249,9 @@ def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) ->
     # a run occurs once in a document at most here, so two documents make it a repeated one
     repeated = materialize(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first != last").select("h", "first", "n"), "repeated")
     later = join_by_key(found, repeated, "h", "n", "inner").where("doc_id != first").groupBy(F.col("doc_id").alias("evidentia_doc")).agg(F.collect_list("at").alias(CUTS))
-    marked = docs.join(materialize(later, "cuts"), F.col("doc_id") == F.col("evidentia_doc"), "left").drop("evidentia_doc")
+    later = materialize(later, "cuts")
+    discard(found, repeated)
+    marked = docs.join(later, F.col("doc_id") == F.col("evidentia_doc"), "left").drop("evidentia_doc")
     names, counts = docs.columns, "n_chars" in docs.columns
     fields = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTED]])
 
