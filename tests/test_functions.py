@@ -13,7 +13,9 @@ def test_locations(spark):
         ("stephanus", "86b", None, "86B", True), ("stephanus", "86b", None, "86c", False), ("line", "x", None, "x", True), ("chapter", "3", None, "Chapter 3", True),
     ]
     df = spark.createDataFrame(cases, "system string, value string, range_end string, location string, hit boolean")
-    got = citations.with_location_score(df, "score").collect()
+    place = location.range_form(F.col("system"), F.col("value"), F.col("range_end"))
+    cited = location.of_system(location.cited_forms(F.col("location")), F.col("system"))
+    got = df.withColumn("place", place).withColumn("cited", cited).withColumn("score", citations.location_score(F.col("place"), F.col("cited"))).collect()
     for r in got:
         assert (r.score is not None) == r.hit, r
     exact = {r.location: r.score for r in got}
