@@ -15,17 +15,24 @@ import html
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evidentia.llm.common import slices
+from evidentia.llm.common import map_batches, slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>|<(script|style|noscript|template|textarea|select|iframe|svg|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/!][^<>]*\Z", re.S | re.I)
+#: What follows the name in a tag: quoted values (after an equals sign only) may hold a >. An unclosed quote or tag ends with the page.
+_REST = r"(?:[^>=]|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+(?:>|\Z)"
+#: Comments, elements whose inside is no text, tags, and declarations. Nothing is tried twice at a sign, so that time is linear.
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<skip>script|style|noscript|template|textarea|select|iframe|svg|title)(?=[\s/>])(?P<in>{_REST})|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>{_REST})|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: End tags of elements whose inside is no text.
+_ENDS = {x: re.compile(rf"</{x}\s*+>", re.I) for x in "script style noscript template textarea select iframe svg title".split()}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Which open elements a start tag closes, up to the given containers.
@@ -58,88 +65,87 @@ def _collapse(parts: list[str]) -> str:
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order, and the runs of text (element, text) in page order. Unclosed elements are closed as needed."""
     nodes, runs = [Node("#page", -1)], []
-    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements, inline ones with the block around them
+    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements; inline ones have -1
+    blocks: list[tuple[int, int]] = [(0, 0)]  # open block elements: node, depth in the stack
+    depths: dict[str, list[int]] = defaultdict(list)  # of each tag the depths of its open elements
     parts: list[str] = []
     link_parts: list[str] = []
-    links = 0
 
     def flush() -> None:
         nonlocal parts, link_parts
         text = _collapse(parts) if parts else ""
         if text:
-            k = stack_block[-1]
+            k = blocks[-1][0]
             runs.append((k, text))
             nodes[k].own += len(text)
             nodes[k].blocks += 1
             nodes[k].linked += min(len(text), len(_collapse(link_parts)))
         parts, link_parts = [], []
 
-    stack_block = [0]
-
     def close_to(depth: int) -> None:
-        nonlocal links
         while len(stack) > depth:
             tag, block = stack.pop()
-            if tag == "a":
-                links -= 1
+            depths[tag].pop()
             if block >= 0:
                 flush()
-                stack_block.pop()
+                blocks.pop()
+
+    def nearest(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=-1)
+
+    def say(text: str) -> None:
+        parts.append(text)
+        if depths.get("a"):
+            link_parts.append(text)
 
     at, page = 0, page or ""
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
-            parts.append(page[at : m.start()])
-            if links:
-                link_parts.append(page[at : m.start()])
+            say(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        if m["skip"]:
+            name = m["skip"].lower()
+            if name == "svg" and m["in"].endswith("/>"):
+                continue
+            end = _ENDS[name].search(page, at)
+            at = end.end() if end else len(page)
+            parts.append(" ")
+            continue
+        tag = m["tag"]
         if tag is None:
-            if m[1]:
-                parts.append(" ")
             continue
-        tag = tag.lower()
-        if m[2]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close_to(depth)
-                    break
-                if tag in _INLINE and stack[depth][1] >= 0:
-                    break
+        tag, attributes = tag.lower(), m["rest"].rstrip(">")
+        if m["end"]:
+            depth = nearest((tag,))
+            if depth > (blocks[-1][1] if tag in _INLINE else 0):
+                close_to(depth)
             continue
-        if tag == "br" or tag in _VOID:
+        if tag in _VOID:
             parts.append(" ")
             if tag == "hr":
                 flush()
             continue
         if tag in _INLINE:
-            if not m[4].endswith("/"):
+            if not attributes.endswith("/"):
+                depths[tag].append(len(stack))
                 stack.append((tag, -1))
-                links += tag == "a"
             continue
         flush()
-        for depth in range(len(stack) - 1, 0, -1):  # a block element ends an open paragraph
-            if stack[depth][0] == "p":
-                close_to(depth)
-                break
-            if stack[depth][1] >= 0 and stack[depth][0] not in ("p",):
-                break
+        node, depth = blocks[-1]
+        if nodes[node].tag == "p" and depth:  # a block element ends an open paragraph
+            close_to(depth)
         if tag in _CLOSES:
             closed, within = _CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in within:
-                    break
-                if stack[depth][0] in closed:
-                    close_to(depth)
-                    break
-        nodes.append(Node(tag, stack_block[-1], m[4]))
-        if not m[4].endswith("/"):
+            depth = nearest(closed)
+            if depth > max(0, nearest(within)):
+                close_to(depth)
+        nodes.append(Node(tag, blocks[-1][0], attributes))
+        if not attributes.endswith("/"):
+            depths[tag].append(len(stack))
+            blocks.append((len(nodes) - 1, len(stack)))
             stack.append((tag, len(nodes) - 1))
-            stack_block.append(len(nodes) - 1)
     if at < len(page):
-        parts.append(page[at:])
-        if links:
-            link_parts.append(page[at:])
+        say(page[at:])
     close_to(1)
     flush()
     for k in range(len(nodes) - 1, 0, -1):
@@ -291,6 +297,12 @@ def labelled_pages(n: int = 240, seed: int = 3) -> list[str]:
     return pages
 
 
+@lru_cache(maxsize=1)
+def default_model() -> TreeModel:
+    """The model of the generated pages; a process trains it once."""
+    return train(labelled_pages())
+
+
 def main_text(page: str | None, model: TreeModel) -> str:
     """The kept runs of text, one per line."""
     nodes, runs = parse(page)
@@ -306,11 +318,11 @@ def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     A null or empty page gives an empty text, as does one without content. Equal pages give equal texts, other columns are
     ignored, an empty table gives an empty result. The model is trained here from `labelled_pages` unless one is given.
     """
-    model = model or train(labelled_pages())
+    model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
             texts = [main_text(x, model) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_pydict({"page_id": b.column("page_id"), "url": b.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
