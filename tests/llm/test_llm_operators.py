@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -380,3 +381,51 @@ def test_tree_messages_match_enumeration():
         assert np.isclose(prob[k], sum(w for y, w in weight.items() if y[k]) / z)
         if k:
             assert np.isclose(pairs[k][1], sum(w for y, w in weight.items() if not y[parents[k]] and y[k]) / z)
+
+
+def test_rare_languages_are_judged_by_wider_bands(spark):
+    r = random.Random(3)
+    odd = lambda: " ".join("".join(r.choice("qxzjvkw") for _ in range(9)) for _ in range(200))
+    rows = [(i, _prose(r, 200), "en") for i in range(60)] + [(100, _prose(r, 200), "xx"), (101, odd(), "xx"), (102, _prose(r, 200), None), (103, odd(), None), (104, "漢字 " * 80, "yy")]
+    found = got(fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert [found[i].kept for i in range(100, 104)] == [True, False, True, False]
+    assert (found[0].band, found[100].band, found[102].band, found[104].band) == ("language en", "script Latin", "script Latin", "all")
+
+
+def test_language_needs_letters_and_a_learned_language(spark):
+    r = random.Random(8)
+    words = {"en": "the and of reading water stone light house river time".split(), "de": "der die und nicht straße schön häuser fließen zeit wasser".split()}
+    rows = [(i, " ".join(r.choice(words[x]) for _ in range(40)), x) for i, x in enumerate(["en", "de"] * 40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["½ ² ③ Ⅷ", "", None, "water and stone", "Это русский текст о погоде и о море", "漢字" * 50, "water " * 3000, "the" * 5000]
+    names, scores = language_id.score_texts(model, texts)
+    assert names[:4] == ["und", "und", "und", "en"] and names[6] == "en"
+    assert list(scores[:3]) == [0, 0, 0] and scores[3] > 0.9 and scores[4] < 0.1 and scores[5] < 0.1 and scores[6] > 0.9 and 0 <= scores[7] <= 1
+
+
+def test_expected_counts_of_words_of_any_length():
+    table = language_id.piece_table(language_id.model_bytes())
+    probs = np.random.default_rng(0).random(len(table.pieces) + 2)
+    probs /= probs.sum()
+    probs[-1] = 0
+    whole = language_id.expected_counts(table, probs, ["ab" * 1500, "ab" * 1500, "cd"], np.array([1.0, 2.0, 1.0]))
+    once = language_id.expected_counts(table, probs, ["ab" * 1500], np.array([3.0])) + language_id.expected_counts(table, probs, ["cd"], np.array([1.0]))
+    assert np.allclose(whole, once) and np.isfinite(whole).all()
+    lengths = np.array([len(p) for p in table.pieces] + [1, 0])
+    assert abs((whole * lengths).sum() - (3 * 3001 + 3)) < 1e-6  # pieces cover each sign, the mark included, once
+
+
+@pytest.mark.parametrize("rubbish", ['<a b="', "<a ", "<div>", "</x>", "<b></i>", "<script", "<svg ", "<!--", "<td><table><div><tr></tr>", "&amp"])
+def test_pages_take_linear_time(rubbish):
+    began = time.process_time()
+    nodes, _ = html_extract.parse("<p>x</p>" + rubbish * (400_000 // len(rubbish)))
+    assert nodes and time.process_time() - began < 5
+
+
+def test_giant_texts_without_spaces(spark):
+    r = random.Random(6)
+    texts = {1: "".join(r.choice("漢字かなab") for _ in range(900)), 2: "".join(r.choice("abcde") for _ in range(700)) + " end", 3: " " * 300 + "x" * 300}
+    df = spark.createDataFrame([*texts.items(), (1, texts[1]), (None, texts[2])], "doc_id long, text string")
+    found = sentencepiece_scan.encode(df, chunk=64).collect()
+    assert len(found) == 5 and all(x.restored for x in found)
+    assert all(list(x.ids) == plain_ids(texts[x.doc_id or 2]) for x in found)
