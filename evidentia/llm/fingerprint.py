@@ -14,15 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidentia.llm.common import materialize
+from evidentia.llm.common import materialize, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS = 4
 #: Bins that an empty bin tries by hashes, before all are ranked for it.
 PROBES = 8
 _PER_LONG = 64 // BITS
-#: Rows that a range of doc_ids should hold, and most ranges.
-RANGE_ROWS, MOST_RANGES = 5000, 1000
+#: Rows that a range of doc_ids should hold.
+RANGE_ROWS = 20_000
 
 
 def fingerprint(text: Column, shingle_words: int = 5, bins: int = 256) -> Column:
@@ -103,18 +103,16 @@ def likeness(a: Column, b: Column) -> Column:
 def successors(ids: DataFrame) -> DataFrame:
     """For rows (doc_id, ...): also next_id, the next smaller doc_id; the largest after the smallest.
 
-    The rows are cut into ranges of doc_id at quantiles. Within a range a window finds the next; the first of a range is the
-    next of the last of the range above it, for which one row per range (a thousand at most) is enough.
+    Spark deals the rows out by ranges of doc_id of about RANGE_ROWS, however many there are. Within a range a window finds the
+    next; the first of a range is the next of the last of the range above it, for which one row per range is enough.
     """
     n = ids.count()
-    k = min(MOST_RANGES, max(1, -(-n // RANGE_ROWS)))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)] or [0.5], 10000).alias("q")).first()["q"] or [0]
-    ranged = ids.withColumn("range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("doc_id"))))
+    ranged = materialize(ids.repartitionByRange(max(1, -(-n // RANGE_ROWS)), "doc_id").withColumn("range", F.spark_partition_id()), "ranges")
     tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top"))
     every = Window.orderBy(F.desc("range"))
     tops = tops.select("range", F.coalesce(F.lead("top").over(every), F.max("top").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("below"))
     inside = F.lead("doc_id").over(Window.partitionBy("range").orderBy(F.desc("doc_id")))
-    return ranged.withColumn("next_id", inside).join(F.broadcast(tops), "range").withColumn("next_id", F.coalesce("next_id", "below")).drop("range", "below")
+    return ranged.withColumn("next_id", inside).join(small(tops), "range").withColumn("next_id", F.coalesce("next_id", "below")).drop("range", "below")
 
 
 def edited_fingerprints(docs: DataFrame, shingle_words: int = 5, bins: int = 256) -> DataFrame:
