@@ -2,11 +2,13 @@
 
 Trusted positives and unlabelled text train a logistic model on figures of the text's form, bent at one deviation to either side.
 The risk is the non-negative unbiased one: with class prior pi, pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)). With logistic loss
-and a model linear in its weights it is convex where the second part is above zero; Newton steps stay there.
+and a model linear in its weights it is the larger of two convex functions: pi * R_p(+), and that plus the negatives' part. So it
+has one minimum, often on the edge at which the two are equal; steps solve the larger of the two quadratic models.
 
-The prior is estimated from the same rows: a first classifier, fitted on a half of them, tells positives from unlabelled text. On
-the other half, the share of unlabelled rows above a threshold is at least pi times that of positives; the threshold with the
-smallest upper confidence bound of their ratio gives the estimate.
+The prior is estimated from the same rows: a classifier fitted on each half of them tells positives from unlabelled text in the
+other half. There the share of unlabelled rows above a threshold is at least pi times that of positives; the threshold with the
+smallest upper confidence bound of their ratio gives an estimate. The mean of both, less its standard error, is taken: a prior
+above the truth calls all rows positive, one somewhat below it costs little.
 
 All rows take part: whole texts are measured once, and each step is a Spark job that sums gradient and curvature over the measures.
 """
@@ -34,11 +36,11 @@ FEATURES = ("log_words", "word_chars", "symbols", "digits", "upper", "exclaims",
 
 @dataclass(frozen=True)
 class PuParams:
-    """rounds: most Newton steps. penalty: of squared weights, and shrinkage / rows of them besides. confidence: that a ratio of shares is below its bound."""
+    """rounds: most steps. penalty: of squared weights, halved. tolerance: of the risk, by which the last step's model would still lower it. confidence: that a ratio of shares is below its bound."""
 
-    rounds: int = 15
-    penalty: float = 1e-4
-    shrinkage: float = 5.0
+    rounds: int = 40
+    penalty: float = 0.01
+    tolerance: float = 1e-7
     confidence: float = 0.9
 
 
@@ -125,62 +127,87 @@ def risk_terms(phi: np.ndarray, positive: np.ndarray, w: np.ndarray) -> np.ndarr
     return np.concatenate([np.ravel(x) for x in parts])
 
 
-def _risk(s: np.ndarray, d: int, prior: float | None) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """The risk, its part of negatives, gradient and curvature. Without a prior: of telling positives from unlabelled rows."""
+def _pieces(s: np.ndarray, d: int, prior: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, gradients and curvatures of the convex functions of which the risk is the largest: that of positives, and that with
+    the negatives' part. Without a prior there is one: of telling positives from unlabelled rows."""
     n_u, n_p, minus_u, plus_p, minus_p = s[:5]
     g_u, g_p, sum_p = s[5 : 5 + 3 * d].reshape(3, d)
     h_u, h_p = s[5 + 3 * d :].reshape(2, d, d)
     if prior is None:
-        return minus_u / n_u + plus_p / n_p, 1.0, g_u / n_u + g_p / n_p, h_u / n_u + h_p / n_p
-    negative = minus_u / n_u - prior * minus_p / n_p
+        return np.array([minus_u / n_u + plus_p / n_p]), (g_u / n_u + g_p / n_p)[None], (h_u / n_u + h_p / n_p)[None]
+    only = prior * plus_p / n_p
     # l(+) - l(-) of a positive is -z
-    return prior * plus_p / n_p + max(0.0, negative), negative, g_u / n_u - prior * sum_p / n_p, h_u / n_u
+    return np.array([only, only + minus_u / n_u - prior * minus_p / n_p]), np.array([prior * g_p / n_p, g_u / n_u - prior * sum_p / n_p]), np.array([prior * h_p / n_p, h_u / n_u])
 
 
-def minimise(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, prior: float | None, p: PuParams) -> np.ndarray:
-    """Weights of the least risk, by Newton steps; a step that doesn't lower it, or makes the negatives' risk negative, is halved."""
-    d = 1 + 3 * len(FEATURES)
-
-    def at(w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
-        sums = total(rows, lambda x, y: risk_terms(bent(x, mean, scale), y, w))
-        ridge = np.full(d, p.penalty + p.shrinkage / sums[0])
-        ridge[0] = 1e-8
-        value, negative, g, h = _risk(sums, d, prior)
-        return value + (ridge * w * w).sum() / 2, negative, g + ridge * w, h + np.diag(ridge)
-
-    w = np.zeros(d)
-    value, _, g, h = at(w)
+def _step(value: np.ndarray, g: np.ndarray, h: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The step to the least of the larger linear model plus curvature, the shares of both pieces in it, and how far it lowers it.
+
+    share: of the pieces in the curvature. Two linear pieces have a dual of one number, a parabola's top within 0 and 1.
+    """
+    for _ in range(2):  # once more with the curvature of the shares found
+        curve = np.tensordot(share, h, 1)
+        if len(value) == 2:
+            apart = g[0] - g[1]
+            solved = np.linalg.solve(curve, apart)
+            bent = apart @ solved
+            first = float(np.clip((value[0] - value[1] - solved @ g[1]) / bent, 0, 1)) if bent > 1e-300 else 0.0
+            before, share = share, np.array([first, 1 - first])
+    curve = np.tensordot(before, h, 1) if len(value) == 2 else curve
+    step = np.linalg.solve(curve, share @ g)
+    return step, share, float(value.max() - (value - g @ step).max() - step @ curve @ step / 2)
+
+
+def descend(pieces: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], ridge: np.ndarray, p: PuParams) -> np.ndarray:
+    """Weights of the least of the largest piece plus the penalty. A step that doesn't lower it as far as its model tells is halved."""
+
+    def at(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        value, g, h = pieces(w)
+        return value + (ridge * w * w).sum() / 2, g + ridge * w, h + np.diag(ridge)
+
+    w = np.zeros(len(ridge))
+    here = at(w)
+    share = np.eye(len(here[0]))[-1]
     for _ in range(p.rounds):
-        step, share = np.linalg.solve(h, g), 1.0
-        while share > 0.1:
-            here = at(w - share * step)
-            if here[1] >= 0 and here[0] < value:
-                break
-            share /= 2
-        else:
+        step, share, gain = _step(*here, share)
+        value = here[0].max()
+        if gain < p.tolerance * value:
             break
-        gain = value - here[0]
-        w, (value, _, g, h) = w - share * step, here
-        if gain < 1e-5 * value:
+        part = 1.0
+        while part > 1e-3 and (there := at(w - part * step))[0].max() > value - 1e-3 * part * gain:
+            part /= 2
+        if part <= 1e-3:
             break
+        w, here = w - part * step, there
     return w
 
 
+def minimise(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, prior: float | None, p: PuParams) -> np.ndarray:
+    """Weights of the least risk of the rows; each trial of weights is a Spark job."""
+    ridge = np.full(1 + 3 * len(FEATURES), p.penalty)
+    ridge[0] = 1e-8
+    return descend(lambda w: _pieces(total(rows, lambda x, y: risk_terms(bent(x, mean, scale), y, w)), len(ridge), prior), ridge, p)
+
+
 #: Steps of a log odds, from -30 to 30, at which shares of rows are compared.
 _STEPS = 1200
 
 
-def estimate_prior(unlabelled: np.ndarray, positive: np.ndarray, confidence: float = 0.9) -> float:
-    """Share of positives in unlabelled rows, from counts of both per step of the first classifier's score, lowest first.
+def estimate_prior(unlabelled: np.ndarray, positive: np.ndarray, confidence: float = 0.9) -> tuple[float, float]:
+    """Share of positives in unlabelled rows and its standard error, from counts of both per step of the first classifier's score, lowest first.
 
     At a threshold that a share q of positives and a share u of unlabelled rows pass, the prior is at most u / q but for chance;
-    the threshold is that of the least bound (u + e) / q, where e is how far shares of so many rows stray.
+    the threshold is that of the least bound (u + e) / q, where e is how far shares of so many rows stray. Without any rows: a half.
     """
-    up, pp = (np.cumsum(x[::-1]) / max(1, x.sum()) for x in (unlabelled, positive))
-    e = sum(math.sqrt(math.log(4 / (1 - confidence)) / (2 * max(1, x.sum()))) for x in (unlabelled, positive))
+    n_u, n_p = max(1, unlabelled.sum()), max(1, positive.sum())
+    up, pp = np.cumsum(unlabelled[::-1]) / n_u, np.cumsum(positive[::-1]) / n_p
+    e = sum(math.sqrt(math.log(4 / (1 - confidence)) / (2 * n)) for n in (n_u, n_p))
     some = pp > 0
-    at = np.flatnonzero(some)[np.argmin((up[some] + e) / pp[some])] if some.any() else 0
-    return float(np.clip(up[at] / pp[at], 0.01, 0.99)) if some.any() else 0.5
+    if not some.any() or not up[some].any():
+        return 0.5, 0.0
+    at = np.flatnonzero(some)[np.argmin((up[some] + e) / pp[some])]
+    u, q = up[at], pp[at]
+    return float(u / q), float(u / q * math.sqrt(max(0.0, (1 - u) / max(u, 1 / n_u) / n_u + (1 - q) / q / n_p)))
 
 
 def fit(rows: DataFrame, params: PuParams = PuParams()) -> PuModel:
@@ -192,15 +219,23 @@ def fit(rows: DataFrame, params: PuParams = PuParams()) -> PuModel:
     mean = first[2 : 2 + d] / first[0]
     scale = np.sqrt(np.maximum(0, first[2 + d :] / first[0] - mean * mean)) + 1e-6
     half = F.pmod(F.xxhash64("x", F.lit("half")), F.lit(2)) == 0
-    apart = PuModel(mean, scale, minimise(rows.where(half), mean, scale, None, p), 0.5)
-
-    def counts(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
-        z = np.clip(bent(x, mean, scale) @ apart.weights, -30, 30)
-        step = np.minimum(((z + 30) * (_STEPS / 60)).astype(np.int64), _STEPS - 1)
-        return np.concatenate([np.bincount(step, minlength=_STEPS), np.bincount(step[positive], minlength=_STEPS)]).astype(float)
-
-    seen = total(rows.where(~half), counts)
-    prior = estimate_prior(seen[:_STEPS], seen[_STEPS:], p.confidence) if len(seen) and seen[_STEPS:].any() else 0.5
+    found = []
+    for learned, judged in ((half, ~half), (~half, half)):
+        if not rows.where(learned & F.col("positive")).isEmpty():
+            weights = minimise(rows.where(learned), mean, scale, None, p)
+
+            def counts(x: np.ndarray, positive: np.ndarray, weights: np.ndarray = weights) -> np.ndarray:
+                z = np.clip(bent(x, mean, scale) @ weights, -30, 30)
+                step = np.minimum(((z + 30) * (_STEPS / 60)).astype(np.int64), _STEPS - 1)
+                return np.concatenate([np.bincount(step, minlength=_STEPS), np.bincount(step[positive], minlength=_STEPS)]).astype(float)
+
+            seen = total(rows.where(judged), counts)
+            if len(seen) and seen[_STEPS:].any():
+                found.append(estimate_prior(seen[:_STEPS], seen[_STEPS:], p.confidence))
+    prior = 0.5
+    if found:
+        share, error = np.array(found).T
+        prior = float(np.clip(share.mean() - np.sqrt((error**2).sum()) / len(found), 0.01, 0.99))
     return PuModel(mean, scale, minimise(rows, mean, scale, prior, p), prior)
 
 

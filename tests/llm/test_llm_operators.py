@@ -313,33 +313,73 @@ def test_quality(spark, empty, docs):
     assert {x.score for x in pu_quality.classify(d, labels.limit(0)).collect()} == {0.5}
 
 
+def _plain_risk(phi, y, w, prior):
+    z = [sum(a * b for a, b in zip(row, w)) for row in phi]
+    loss = lambda t: math.log1p(math.exp(-t))
+    u, plus, minus = (sum(v) / len(v) for v in ([loss(-t) for t in z], [loss(t) for t, k in zip(z, y) if k], [loss(-t) for t, k in zip(z, y) if k]))
+    return u + plus if prior is None else prior * plus + max(0, u - prior * minus)
+
+
 def test_pu_risk_matches_a_plain_version():
     r = np.random.default_rng(4)
     x, y = r.normal(size=(50, 19)), r.random(50) < 0.4
     phi = pu_quality.bent(x, np.zeros(19), np.ones(19))
-    for prior in (None, 0.2, 0.6):
-
-        def plain(w):
-            z = [sum(a * b for a, b in zip(row, w)) for row in phi]
-            loss = lambda t: math.log1p(math.exp(-t))
-            u, plus, minus = (sum(v) / len(v) for v in ([loss(-t) for t in z], [loss(t) for t, k in zip(z, y) if k], [loss(-t) for t, k in zip(z, y) if k]))
-            return u + plus if prior is None else prior * plus + max(0, u - prior * minus)
-
-        w = r.normal(0, 0.1, phi.shape[1])
-        value, negative, gradient, curvature = pu_quality._risk(pu_quality.risk_terms(phi, y, w), phi.shape[1], prior)
-        assert abs(value - plain(w)) < 1e-9 and negative > 0
+    for prior in (None, 0.2, 0.6, 0.99):
+        w = r.normal(0, 0.3, phi.shape[1])
+        value, gradient, curvature = pu_quality._pieces(pu_quality.risk_terms(phi, y, w), phi.shape[1], prior)
+        top, plain = int(value.argmax()), lambda w: _plain_risk(phi, y, w, prior)
+        assert abs(value[top] - plain(w)) < 1e-9
         for k in (0, 3, 25, 57):
             e = np.zeros(len(w))
             e[k] = 1e-4
-            assert abs((plain(w + e) - plain(w - e)) / 2e-4 - gradient[k]) < 1e-5
-            assert abs((plain(w + e) + plain(w - e) - 2 * plain(w)) / 1e-8 - curvature[k, k]) < 1e-3
+            assert abs((plain(w + e) - plain(w - e)) / 2e-4 - gradient[top][k]) < 1e-5
+            assert abs((plain(w + e) + plain(w - e) - 2 * plain(w)) / 1e-8 - curvature[top][k, k]) < 1e-3
+
+
+@pytest.mark.parametrize("rows", [150, 750, 7500])
+@pytest.mark.parametrize("prior", [0.5, 0.8, 0.87, 0.95])
+def test_pu_optimum_is_the_least_risk(rows, prior):
+    """Against a plain subgradient method, and against the duality gap: no mix of both pieces is lower."""
+    r = np.random.default_rng(rows)
+    good = r.random(rows) < 0.85
+    x = r.normal(size=(rows, 19)) + np.where(good, 0.8, -0.8)[:, None] * (np.arange(19) < 4)
+    y = good & (r.random(rows) < 0.4)
+    phi, p = pu_quality.bent(x, np.zeros(19), np.ones(19)), pu_quality.PuParams()
+    ridge = np.full(phi.shape[1], p.penalty)
+    ridge[0] = 1e-8
+    pieces = lambda w: pu_quality._pieces(pu_quality.risk_terms(phi, y, w), len(ridge), prior)
+    value = lambda w: pieces(w)[0].max() + (ridge * w * w).sum() / 2
+    w = pu_quality.descend(pieces, ridge, p)
+    v, best, low = np.zeros(len(ridge)), np.inf, value(w)
+    for _ in range(1200):  # aims a little below what is to be the least
+        f, g, _ = pieces(v)
+        here, slope = f.max() + (ridge * v * v).sum() / 2, g[f.argmax()] + ridge * v
+        best = min(best, here)
+        v = v - (here - low + 1e-3) / (slope @ slope) * slope
+    assert low <= best + 1e-6 and best < low + 5e-3
+    f, g, _ = pieces(w)
+    mixes = [np.linalg.norm(a * g[0] + (1 - a) * g[1] + ridge * w) for a in np.linspace(0, 1, 2001)]
+    on_edge = abs(f[0] - f[1]) < 1e-4
+    assert (min(mixes) if on_edge else mixes[-1] if f[0] > f[1] else mixes[0]) < 5e-3
+    again = [pu_quality.descend(lambda w, q=q: pu_quality._pieces(pu_quality.risk_terms(phi, y, w), len(ridge), q), ridge, p) for q in (prior, min(0.99, prior + 1e-4))]
+    assert np.abs(phi @ (again[0] - again[1])).max() < 0.1  # stable
 
 
 def test_prior_is_the_share_of_positives():
     r = np.random.default_rng(0)
     counts = lambda x: np.histogram(x, np.linspace(-30, 30, pu_quality._STEPS + 1))[0].astype(float)
     u = np.concatenate([r.normal(2, 1, 14000), r.normal(-2, 1, 6000)])
-    assert abs(pu_quality.estimate_prior(counts(u), counts(r.normal(2, 1, 20000))) - 0.7) < 0.03
+    share, error = pu_quality.estimate_prior(counts(u), counts(r.normal(2, 1, 20000)))
+    assert abs(share - 0.7) < 0.03 and 0 < error < 0.02
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_quality_of_held_out_rows(spark, sf):
+    folder = f"/root/testdata/sf{sf}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = pu_quality.classify(spark.read.parquet(f"{folder}/documents.parquet"), labels)
+    right, n = found.where("held_out").join(labels, "doc_id").agg(F.avg((F.col("predicted") == F.col("quality")).cast("double")), F.count("*")).first()
+    assert right >= 0.97 and n > 20
 
 
 PAGE = """<html><head><title>t</title><script>var x="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav>
