@@ -39,4 +39,28 @@ r AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT r.d, u.b FROM
 c AS (SELECT d, min(r) AS c FROM r GROUP BY d)
 SELECT d AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d = c AS kept FROM c LEFT JOIN n ON n.doc_id = d"""
 
-ORACLE_SQL = {"op2_source_mixture": OP2, "op10_minhash_near_dedup": OP10}
+#: A list of the 256 remainders of a byte, and a text's CRC32 from it.
+_CRC_TABLE = "tab AS (SELECT list(v ORDER BY b) AS crcs FROM (SELECT b, list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) x(b)))"
+
+
+def _crc32(text: str) -> str:
+    """Over a row with the column crcs."""
+    data = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {data}), lambda c, x: xor(c >> 8, crcs[xor(c & 255, x) + 1])), 4294967295)"
+
+
+OP13 = f"""WITH {_CRC_TABLE},
+t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, list(struct_pack(role := role, txt := txt) ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || txt)) AS s FROM t GROUP BY c),
+h AS (SELECT c, c - (c % 20 + 20) % 20 AS base, {_crc32("c::VARCHAR")} % 4 AS h FROM s, tab),
+r AS (SELECT h.c, list_concat(coalesce(b.s, [])[1:h.h], o.s[h.h + 1:]) AS s FROM h JOIN s o ON o.c = h.c LEFT JOIN s b ON b.c = h.base),
+m AS (SELECT c, s, d, s[1:d] AS p FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM r)),
+n AS (SELECT p, d, min(c) AS c, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(s) = d), '') AS ends FROM m GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(kids, 0) AS kids, (n - 1) * CASE WHEN d > 0 THEN len(regexp_extract_all(p[d].txt, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM n LEFT JOIN k USING (p, d)),
+u AS (SELECT p[1:e] AS p, e AS d, saved, kids FROM (SELECT p, saved, kids, unnest(range(d + 1)) AS e FROM w)),
+v AS (SELECT p, d, count(*) FILTER (kids = 0) AS leaves, sum(saved)::BIGINT AS saved FROM u GROUP BY p, d)
+SELECT w.c AS conv_id, w.d AS depth, a.c AS parent_conv_id, w.n AS n_convs, w.kids AS n_children, leaves AS n_leaves, v.saved AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN v ON v.p = w.p AND v.d = w.d LEFT JOIN n a ON w.d > 0 AND a.d = w.d - 1 AND a.p = w.p[1:w.d - 1]"""
+
+ORACLE_SQL = {"op2_source_mixture": OP2, "op10_minhash_near_dedup": OP10, "op13_prefix_trie": OP13}

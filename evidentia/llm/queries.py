@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import fertility, fingerprint, html_extract, language_id, license_scan, mixing, near_dedup, pu_quality, sentencepiece_scan, substring_dedup
+from evidentia.llm import fertility, fingerprint, html_extract, language_id, license_scan, mixing, near_dedup, prefix_trie, pu_quality, sentencepiece_scan, substring_dedup
 from evidentia.llm.common import read_table
 from evidentia.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -56,6 +56,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_fertility": op1_token_fertility,
     "op4_sentencepiece_scan": op4_sentencepiece_scan,
@@ -67,4 +71,5 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op9_pu_quality": op9_pu_quality,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }

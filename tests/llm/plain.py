@@ -3,7 +3,8 @@
 import hashlib
 import itertools
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -150,3 +151,36 @@ def plain_fingerprint(text, bins=256):
             at = min(order, key=lambda x: signed(chain([eight(b), eight(signed(x << 56) >> 56 & 255)]) & ~255))
         out.append(smallest[at] & 15)
     return out
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_trie(rows, period=20, heads=4):
+    """Of (conv_id, turn, role, text): the trie's rows, by walking over all prefixes."""
+    turns = defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            r, x = r or "", x or ""
+            turns[c].append((t is not None, t or 0, hashlib.md5(f"{len(r)}:{r}{x}".encode()).hexdigest(), (r, x)))
+    turns = {c: [x[3] for x in sorted(v, key=lambda x: x[:3])] for c, v in turns.items()}
+    built = {}
+    for c, s in turns.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        built[c] = turns.get(c - c % period, [])[:h] + s[h:]
+    members, end, kids, leaves, saved = (defaultdict(list), defaultdict(list), defaultdict(list), Counter(), Counter())
+    for c in sorted(built):
+        for d in range(len(built[c]) + 1):
+            members[tuple(built[c][:d])].append(c)
+        end[tuple(built[c])].append(c)
+    for p in members:
+        if p:
+            kids[p[:-1]].append(p)
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] += not kids[p]
+        saved[p] += (len(members[p]) - 1) * (len(_WORD.findall(p[-1][1])) if p else 0)
+        if p:
+            leaves[p[:-1]] += leaves[p]
+            saved[p[:-1]] += saved[p]
+    sha = lambda p: hashlib.sha256(",".join(map(str, end[p])).encode()).hexdigest()
+    return sorted((members[p][0], len(p), members[p[:-1]][0] if p else None, len(members[p]), len(kids[p]), leaves[p], saved[p], sha(p)) for p in members)
