@@ -49,6 +49,19 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {data}), lambda c, x: xor(c >> 8, crcs[xor(c & 255, x) + 1])), 4294967295)"
 
 
+OP11 = f"""WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS i, unnest(regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[A-Za-z\u00c0-\u00ff]+')) AS r FROM documents),
+g AS (SELECT i || ':' || r AS x, r, count(*) AS m FROM r GROUP BY i, r),
+h AS (SELECT r, m, {_crc32("x")} AS h FROM g, tab),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, sum(m)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(m) >= 3),
+k AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word AS u, b.word AS v FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT k.word, w.word FROM k JOIN w ON w.word = k.rest UNION SELECT w.word, k.word FROM k JOIN w ON w.word = k.rest),
+b AS (SELECT u, count(*) AS n_near, max(n) AS n FROM e JOIN w ON w.word = v GROUP BY u),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 2 * w.n THEN b.n END AS form_n, CASE WHEN b.n >= 2 * w.n THEN (SELECT min(v) FROM e JOIN w o ON o.word = v WHERE e.u = w.word AND o.n = b.n) END AS form FROM w LEFT JOIN b ON b.u = w.word),
+s AS (SELECT word, word AS root FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL),
+t AS (SELECT s.word, s.root FROM s JOIN f ON f.word = s.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN t USING (word)"""
+
 OP13 = f"""WITH {_CRC_TABLE},
 t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations WHERE conv_id IS NOT NULL),
 s AS (SELECT c, list(struct_pack(role := role, txt := txt) ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || txt)) AS s FROM t GROUP BY c),
@@ -63,4 +76,4 @@ v AS (SELECT p, d, count(*) FILTER (kids = 0) AS leaves, sum(saved)::BIGINT AS s
 SELECT w.c AS conv_id, w.d AS depth, a.c AS parent_conv_id, w.n AS n_convs, w.kids AS n_children, leaves AS n_leaves, v.saved AS saved_tokens, sha256(w.ends) AS ends_sha256
 FROM w JOIN v ON v.p = w.p AND v.d = w.d LEFT JOIN n a ON w.d > 0 AND a.d = w.d - 1 AND a.p = w.p[1:w.d - 1]"""
 
-ORACLE_SQL = {"op2_source_mixture": OP2, "op10_minhash_near_dedup": OP10, "op13_prefix_trie": OP13}
+ORACLE_SQL = {"op2_source_mixture": OP2, "op10_minhash_near_dedup": OP10, "op11_spelling_variants": OP11, "op13_prefix_trie": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import fertility, fingerprint, html_extract, language_id, license_scan, mixing, near_dedup, prefix_trie, pu_quality, sentencepiece_scan, substring_dedup
+from evidentia.llm import fertility, fingerprint, html_extract, language_id, license_scan, mixing, near_dedup, personal_data, prefix_trie, pu_quality, sentencepiece_scan, spelling, substring_dedup
 from evidentia.llm.common import read_table
 from evidentia.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -56,6 +56,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(read_table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
 
@@ -71,5 +79,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op9_pu_quality": op9_pu_quality,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_personal_data": op12_personal_data,
     "op13_prefix_trie": op13_prefix_trie,
 }
