@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,9 +27,15 @@ def parts_of(text: Column) -> Column:
     return F.when(F.size(paragraphs) > 1, paragraphs).otherwise(sentences)
 
 
-def pack(parts: Column, config: ChunkConfig = ChunkConfig()) -> Column:
-    """Array of (text, tokens): parts in order, as many as fit; a part above the bound stands alone, a small last pack is dropped."""
-    sized = F.transform(parts, lambda p: F.struct(p.alias("text"), word_count(p).cast("int").alias("tokens")))
+def pack(parts: Column, config: ChunkConfig = ChunkConfig(), sizes: Column | None = None) -> Column:
+    """Array of (text, tokens): parts in order, as many as fit; a part above the bound stands alone, a small last pack is dropped.
+
+    sizes: tokens of each part, in place of words between white space.
+    """
+    if sizes is None:
+        sized = F.transform(parts, lambda p: F.struct(p.alias("text"), word_count(p).cast("int").alias("tokens")))
+    else:
+        sized = F.zip_with(parts, sizes, lambda p, n: F.struct(p.alias("text"), n.cast("int").alias("tokens")))
     empty = F.struct(F.array().cast("array<struct<text:string,tokens:int>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("tokens"))
 
     def closed(s: Column) -> Column:
@@ -41,15 +48,23 @@ def pack(parts: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     return F.aggregate(sized, empty, step, lambda s: F.when((F.size(s["open"]) > 0) & (s["tokens"] >= config.least), closed(s)).otherwise(s["done"]))
 
 
-def chunk(sections: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+def chunk(sections: DataFrame, config: ChunkConfig = ChunkConfig(), counts: Callable[[Column], Column] | None = None) -> DataFrame:
     """sections (document_id, section_index, text) to chunks (document_id, chunk_index, section_index, text, token_count).
 
     A section within the bound is one chunk, or none if it is small; a longer one is packed. Indexes run over a document.
+    counts: from an array of texts to one of their tokens, as `bpe.counter` gives; without it, words between white space.
     """
     text = F.trim(F.coalesce("text", F.lit("")), F.lit(" \n\t\r"))
-    tokens = word_count(text).cast("int")
+    if counts is None:
+        tokens, sizes = word_count(text).cast("int"), None
+    else:
+        # the text and its parts through the counter at once
+        cut = sections.select("document_id", "section_index", text.alias("text")).select("*", parts_of(F.col("text")).alias("parts"))
+        sections = cut.select("*", counts(F.concat(F.array("text"), "parts")).alias("counted"))
+        text, tokens, sizes = F.col("text"), F.get("counted", F.lit(0)), F.slice("counted", F.lit(2), F.size("parts"))
+    parts = parts_of(text) if counts is None else F.col("parts")
     whole = F.when(tokens >= config.least, F.array(F.struct(text.alias("text"), tokens.alias("tokens")))).otherwise(F.array().cast("array<struct<text:string,tokens:int>>"))
-    packs = sections.select("document_id", "section_index", F.when(tokens > config.most, pack(parts_of(text), config)).otherwise(whole).alias("packs"))
+    packs = sections.select("document_id", "section_index", F.when(tokens > config.most, pack(parts, config, sizes)).otherwise(whole).alias("packs"))
     per_doc = packs.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("section_index", "packs"))).alias("s"))
     flat = F.flatten(F.transform("s", lambda x: F.transform(x["packs"], lambda p: F.struct(x["section_index"].alias("section_index"), p["text"].alias("text"), p["tokens"].alias("token_count")))))
     return per_doc.select("document_id", F.posexplode(flat).alias("chunk_index", "c")).select("document_id", "chunk_index", "c.section_index", "c.text", "c.token_count")

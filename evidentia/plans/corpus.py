@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions import location
+from evidentia.functions import bpe, location
 from evidentia.functions.text import NORMALIZE_SQL, TOKENS_SQL, normalize, significant_tokens, word_count
-from evidentia.operators import chunking, ingest
+from evidentia.operators import chunking, ingest, intervals
 from evidentia.plans.adapter import table
 from evidentia.sources import entries, manifest, markers, tei
 
@@ -118,6 +118,17 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", word_count(F.col("text")).alias("n_tokens"), F.size(tokens).alias("n_significant"))
 
 
+def token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-pair tokens of each document."""
+    return _docs(spark, sf_dir).select("doc_id", bpe.token_count(F.col("text")).alias("n_tokens"))
+
+
+def chunk_bpe_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents by sentences, bounded in byte-pair tokens."""
+    sections = _docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit(0).alias("section_index"), F.regexp_replace("text", "\n", " ").alias("text"))
+    return chunking.chunk(sections, counts=bpe.counter()).drop("section_index")
+
+
 def html_fallback_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.trim(F.regexp_replace("html", r"\s+", " ")).alias("text"))
@@ -183,10 +194,41 @@ def location_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("o_orderkey", "l_linenumber", "overlaps", "contained", location.display(F.col("c"), F.nullif(F.col("d"), F.col("c"))).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, parse_dispatch, revision_dates, chunk_sentence_pack, chunk_paragraph_pack, token_counts, html_fallback_sections, html_sections, tei_sections, marker_sections, manifest_validation, location_keys, location_overlap)}
+def _located(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line items as citations, and orders as ranges of chunks, of seven works by four kinds of location; some aren't in order or of no form."""
+
+    def shaped(kind, at, n):
+        letter = F.char(97 + at % 5)
+        value = F.when(kind == 0, F.concat(at.cast("string"), letter)).when(kind == 1, F.concat(F.lit("p. "), at.cast("string"))).when(kind == 2, F.concat(at.cast("string"), F.lit("."), n.cast("string"))).otherwise(F.concat(F.lit("fr. "), (at % 9999).cast("string")))
+        end = F.when(kind == 0, F.concat((at + n).cast("string"), letter)).when(kind == 1, (at + n).cast("string")).when(kind == 2, F.concat(at.cast("string"), F.lit("."), (n + 2).cast("string"))).otherwise(F.lit(None))
+        # one in eleven from back to front
+        back = (at % 11 == 0) & (kind == 1)
+        return F.element_at(F.array(*map(F.lit, ("stephanus", "page", "section", "other"))), kind + 1).alias("system"), F.when(back, F.concat(F.lit("p. "), (at + n).cast("string"))).otherwise(value).alias("value"), F.when(back, at.cast("string")).otherwise(end).alias("range_end")
+
+    k = F.col("l_partkey") * 31 + F.col("l_suppkey") * 17
+    cited = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 7).alias("work"), *shaped((F.col("l_partkey") % 4).cast("int"), k % 20011, F.col("l_suppkey") % 3))
+    k = F.col("o_orderkey") * 13 + F.col("o_custkey")
+    held = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("work"), *shaped((F.col("o_orderkey") % 4).cast("int"), k % 20011, F.col("o_custkey") % 4))
+    return cited, held
+
+
+def citation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per citation with any: how many ranges of its work it overlaps, in how many it begins, and the first of them."""
+    cited, held = _located(spark, sf_dir)
+    pairs = intervals.overlapping(cited, held, ["work"])
+    return pairs.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_ranges"), F.count_if("contained").alias("n_containing"), F.min("o_orderkey").alias("first_range"))
+
+
+QUERIES = {f.__name__: f for f in (citation_ranges, content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, parse_dispatch, revision_dates, chunk_sentence_pack, chunk_paragraph_pack, token_counts, token_counts_bpe, chunk_bpe_pack, html_fallback_sections, html_sections, tei_sections, marker_sections, manifest_validation, location_keys, location_overlap)}
 _FLAT = r"trim(regexp_replace(regexp_replace(text, '[<>&\x00-\x1F]', ' ', 'g'), '\s+', ' ', 'g'))"
 _STORE = "st AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), w AS (SELECT doc_id, sha256(text) AS h, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"
+_SHAPED = "CASE {k} WHEN 0 THEN ({at} * 5 + {at} % 5) WHEN 1 THEN CASE WHEN {at} % 11 = 0 THEN {at} + {n} ELSE {at} END WHEN 2 THEN {at} * 100 + {n} END AS s{i}, CASE {k} WHEN 0 THEN (({at} + {n}) * 5 + {at} % 5) WHEN 1 THEN CASE WHEN {at} % 11 = 0 THEN {at} ELSE {at} + {n} END WHEN 2 THEN {at} * 100 + {n} + 2 END AS e{i}, {at} % 9999 AS f{i}"
 ORACLE_SQL = {
+    "citation_ranges": f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey % 7 AS work, l_partkey % 4 AS k, (l_partkey * 31 + l_suppkey * 17) % 20011 AS x, l_suppkey % 3 AS n FROM lineitem),
+o AS (SELECT o_orderkey, o_custkey % 7 AS work, o_orderkey % 4 AS k, (o_orderkey * 13 + o_custkey) % 20011 AS x, o_custkey % 4 AS n FROM orders),
+a AS (SELECT *, {_SHAPED.format(k="k", at="x", n="n", i=1)} FROM l), b AS (SELECT o_orderkey, work, k, {_SHAPED.format(k="k", at="x", n="n", i=2)} FROM o),
+p AS (SELECT l_orderkey, l_linenumber, o_orderkey, s2 <= s1 AND s1 <= e2 AS contained FROM a JOIN b ON a.work = b.work AND a.k = b.k AND s1 <= e2 AND s2 <= e1 WHERE a.k < 3 UNION ALL SELECT l_orderkey, l_linenumber, o_orderkey, true FROM a JOIN b ON a.work = b.work AND a.k = b.k AND f1 = f2 WHERE a.k = 3)
+SELECT l_orderkey, l_linenumber, count(*) AS n_ranges, count(*) FILTER (contained) AS n_containing, min(o_orderkey) AS first_range FROM p GROUP BY ALL""",
     "content_dedup": "SELECT doc_id, sha256(text) AS raw_hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) THEN 'new' ELSE 'duplicate' END AS status FROM documents",
     "incremental_pending": "SELECT doc_id AS entry_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "link_by_hash": f"WITH {_STORE} SELECT w.doc_id AS entry_id, min(st.doc_id) AS document_id FROM w JOIN st USING (h) GROUP BY w.doc_id",

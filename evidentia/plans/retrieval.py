@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from evidentia.functions.profile import KINDS, SAMPLE, labels_sql, with_profile
 from evidentia.functions.text import NORMALIZE_SQL, TOKENS_SQL
-from evidentia.operators import rerank, search
+from evidentia.operators import pruned, rerank, search
 from evidentia.operators.answers import mode_sql, question_mode
 from evidentia.operators.guard import leaks, resolve_allowed
 from evidentia.plans.adapter import EVERY, SIM_SQL, questions, table, texts, vectors
@@ -49,6 +49,16 @@ def knn_topk_batch_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", "source_class", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+#: Nearest chunks of each class, of a stage without filters.
+_KINDS = {"primary_text": 10, "reference_encyclopedia": 10, "peer_reviewed": 5}
+
+
+def knn_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest chunks of three classes, by clusters and their bounds: exact, without comparing all with all."""
+    found, _ = pruned.nearest(vectors(spark, sf_dir), questions(spark, sf_dir), _KINDS)
+    return found.select("query_id", "chunk_id", "source_class", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def _staged(spark: SparkSession, sf_dir: str, p: Policy) -> DataFrame:
     return search.staged(vectors(spark, sf_dir), questions(spark, sf_dir), p)
 
@@ -172,10 +182,11 @@ def allowlist_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _plain = lambda p, tail: f"WITH {_staged_sql(p)} {tail}"
-QUERIES = {f.__name__: f for f in (knn_topk_single, knn_topk_batch_filtered, staged_retrieval, tier_rerank, quota_select, grounding_levels, response_assembly, discipline_rerank, full_rerank, filtered_retrieval, source_coverage, corpus_health, visible_sources, allowlist_leaks)}
+QUERIES = {f.__name__: f for f in (knn_topk_single, knn_topk_batch_filtered, knn_topk_pruned, staged_retrieval, tier_rerank, quota_select, grounding_levels, response_assembly, discipline_rerank, full_rerank, filtered_retrieval, source_coverage, corpus_health, visible_sources, allowlist_leaks)}
 ORACLE_SQL = {
     "knn_topk_single": f"WITH {SIM_SQL} SELECT chunk_id, collection, round(similarity, 6) AS similarity FROM sim WHERE query_id = 0 ORDER BY sim.similarity DESC, chunk_id LIMIT 10",
     "knn_topk_batch_filtered": f"WITH {SIM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_class ORDER BY similarity DESC, chunk_id) AS rank FROM sim WHERE collection IN ('dialogues', 'letters', 'journals_a')) SELECT query_id, chunk_id, source_class, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= CASE source_class WHEN 'primary_text' THEN 10 ELSE 5 END",
+    "knn_topk_pruned": f"WITH {SIM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_class ORDER BY similarity DESC, chunk_id) AS rank FROM sim WHERE source_class <> 'curated_bibliography') SELECT query_id, chunk_id, source_class, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= CASE source_class WHEN 'peer_reviewed' THEN 5 ELSE 10 END",
     "staged_retrieval": _plain(LOOSE, "SELECT query_id, chunk_id, stage, rank::INTEGER AS rank, round(similarity, 6) AS similarity, above, returned FROM staged"),
     "tier_rerank": _plain(POLICY, "SELECT query_id, chunk_id, tier, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY scored.score DESC, stage, rank, chunk_id)::INTEGER AS place FROM scored"),
     "quota_select": _plain(POLICY, "SELECT query_id, position::INTEGER AS position, chunk_id, source_class, round(score, 6) AS score FROM selected"),
