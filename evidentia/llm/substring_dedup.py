@@ -1,17 +1,20 @@
 """Repeated passages: runs of consecutive sentences that occur more than once in the corpus.
 
-Each text is cut into sentences; nothing is lost, white space stays with the sentence before it. Sentences end at full stops and
-line ends and, whatever their length, after each word whose hash is the least of some `window` consecutive words. So no
-sentence is longer than `window` words, and two texts that share a passage are cut alike in it but for fewer than `window`
-words at its borders, whatever stands around it.
-
-At every sentence begins a run, and at every one a run ends: the shortest one of at least `sentences` sentences and `words`
-words. Runs of the same sentences, lower-cased, are alike. The first occurrence of a run is that in the smallest doc_id, and there
-the earliest; all sentences that any other occurrence covers are removed, but for those in the same document that overlap the
+Sentences end at full stops and line ends; nothing is lost, white space stays with the sentence before it. At every sentence begins a
+run, and at every one a run ends: the shortest of at least `sentences` sentences and `words` words. Longer runs that repeat consist of
+these.
+
+A passage may stand in the midst of sentences, or have no full stops at all. So there are runs of pieces too: besides at sentence ends,
+texts are cut after each word whose hash is the least of some `window` consecutive words, which depends on these words alone. Texts
+that share a passage are cut alike in it but for fewer than `window` words at its borders. Runs of pieces have at least `long` words.
+
+Runs of the same words, lower-cased, are alike; their keys have 128 bits. The first occurrence of a run is that in the smallest doc_id,
+and there the earliest; all words that any other occurrence covers are removed, but for those in the same document that overlap the
 first one (a word that goes on and on is no repeated passage until it fills two runs).
 
-Runs are found in two steps. Anchors, six-word strings whose hash is the least of those in `words` consecutive words, stand in
-every run, and in all occurrences of it alike. Only runs with an anchor that several documents have are joined globally.
+Runs are found in two steps. Only those of sentences that have a hash, and those of pieces that hold an anchor, which several documents
+have, get keys and are joined globally. Anchors are six-word strings whose hash is the least of those in `long` consecutive words, so
+that all occurrences of a run hold the same.
 """
 
 from __future__ import annotations
@@ -36,49 +39,64 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Words of an anchor.
 _ANCHOR = 6
-CUTS, COUNTED, MARKS = "evidentia_cuts", ("n_sentences", "n_removed"), "evidentia_marks"
+CUTS, COUNTED, MARKS, KEY = "evidentia_cuts", ("n_sentences", "n_removed"), "evidentia_marks", ["evidentia_doc", "evidentia_text"]
+#: A mark of documents in which something repeats; others are even for anchors and odd for runs of sentences.
+_AGAIN = -1
 
 
 @dataclass(frozen=True)
 class SpanParams:
-    """A run has at least so many sentences and words. A passage of 51 words anywhere in a text has 36 or more in whole sentences."""
+    """Least sentences and words of a run of sentences, and words of a run of pieces. A passage of 51 words anywhere in a text has 36 or more in whole pieces."""
 
-    sentences: int = 1
-    words: int = 30
+    sentences: int = 2
+    words: int = 15
+    long: int = 30
     window: int = 4
 
 
 class _Hashes(dict):
     """Hash of each word; those of some words are kept."""
 
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 200_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
 
-_HASHES = _Hashes()
+_HASHES, _OTHERS = _Hashes(0), _Hashes(1)
+
+
+def _clear() -> None:
+    _HASHES.clear()
+    _OTHERS.clear()
 
 
-def word_hashes(data: bytes) -> np.ndarray:
+def word_hashes(data: bytes, hashes: _Hashes = _HASHES) -> np.ndarray:
     words = data.lower().split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
 def least(h: np.ndarray, window: int) -> np.ndarray:
     """Places that are the least of some window of consecutive ones, the last of equal ones."""
-    n = len(h) - window + 1
-    if n <= 0:
+    if len(h) < window:
         return np.zeros(0, np.int64)
-    low, at = h[:n].copy(), np.zeros(n, np.int64)
-    for k in range(1, window):
-        here = h[k : k + n]
-        less = here <= low
-        low[less] = here[less]
-        at[less] = k
+
+    def later(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(h[y] <= h[x], y, x)
+
+    at, wide = np.arange(len(h)), 1
+    while wide * 2 <= window:  # the least of twice as many
+        at = later(at[:-wide], at[wide:])
+        wide *= 2
+    if wide < window:
+        at = later(at[: len(h) - window + 1], at[window - wide :])
     found = np.zeros(len(h), bool)
-    found[at + np.arange(n)] = True
+    found[at] = True
     return np.flatnonzero(found)
 
 
@@ -94,58 +112,61 @@ def _string_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def sentence_ends(data: bytes, h: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
-    """For each sentence, the number of words up to its end, and where it ends in the bytes."""
-    n = len(h)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def borders(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins in the bytes (the first one at 0, and after the last the end), and the number of words up to each sentence's end."""
     codes = np.frombuffer(data, np.uint8)
     space = np.concatenate([[True], _SPACE[codes], [True]])
     turns = np.flatnonzero(space[1:] != space[:-1])
     begin, end = turns[::2], turns[1::2]
+    if not len(begin):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64)
     lines = np.concatenate([[0], np.cumsum(codes == 10)])
     after = np.append(begin[1:], len(data))
     last = _STOP[codes[end - 1]] | (lines[after] > lines[end])
-    last[least(h, p.window)] = True
     last[-1] = True
-    at = np.flatnonzero(last)
-    return at + 1, after[at]
+    return np.concatenate([[0], after]), np.flatnonzero(last) + 1
+
 
+def piece_ends(h: np.ndarray, ends: np.ndarray, p: SpanParams) -> np.ndarray:
+    """The number of words up to each piece's end."""
+    last = np.zeros(len(h) + 1, bool)
+    last[ends] = True
+    last[least(h, p.window) + 1] = True
+    return np.flatnonzero(last)
 
-def split_sentences(text: str, p: SpanParams) -> list[str]:
+
+def split_sentences(text: str) -> list[str]:
     """Sentences that joined give the text. A text without a word is one."""
     data = text.encode("utf-8", "surrogatepass")
-    ends = sentence_ends(data, word_hashes(data), p)[1].tolist() or [len(data)] * bool(data)
-    return [data[i:j].decode("utf-8", "surrogatepass") for i, j in zip([0, *ends], ends, strict=False)]
+    at, ends = borders(data)
+    places = at[ends].tolist() or [len(data)] * bool(data)
+    return [data[i:j].decode("utf-8", "surrogatepass") for i, j in zip([0, *places], places, strict=False)]
 
 
-def run_bounds(ends: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end (exclusive) of each run in sentences, by start and end; ends counts the words up to each sentence's end."""
+def run_bounds(ends: np.ndarray, parts: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end (exclusive) of each run of at least so many parts and words, by start and end; ends counts the words up to each part's end."""
     n = len(ends)
     words = np.concatenate([[0], ends]).astype(np.int64)
     every = np.arange(n)
-    onward = np.maximum(every + p.sentences, np.searchsorted(words, words[:n] + p.words))
-    back = np.minimum(every + 1 - p.sentences, np.searchsorted(words, words[1:] - p.words, side="right") - 1)
+    onward = np.maximum(every + parts, np.searchsorted(words, words[:n] + least_words))
+    back = np.minimum(every + 1 - parts, np.searchsorted(words, words[1:] - least_words, side="right") - 1)
     starts, stops = np.concatenate([every[onward <= n], back[back >= 0]]), np.concatenate([onward[onward <= n], every[back >= 0] + 1])
     key = np.unique(starts * (n + 1) + stops)
-    return key // (n + 1), key % (n + 1)
+    return words[key // (n + 1)], words[key % (n + 1)]
 
 
-def run_hashes(h: np.ndarray, ends: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end (exclusive) of each run, by start and end."""
-    starts, stops = run_bounds(ends, p)
-    words = np.concatenate([[0], ends]).astype(np.int64)
-    h = h.copy()
-    h[words[1:] - 1] ^= np.uint64(_INVERSE)  # so that the hash tells where sentences end
-    return _string_hashes(h, words[starts], words[stops]), starts, stops
+def runs(h: np.ndarray, ends: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray, int]:
+    """First word and end of each run, those of sentences first, of which there are so many."""
+    one, two = run_bounds(ends, p.sentences, p.words), run_bounds(piece_ends(h, ends, p), 1, p.long)
+    return np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]]), len(one[0])
 
 
 def anchors(h: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hash and first word of each anchor, and how many words it has: each `words` consecutive words hold one."""
-    size = min(_ANCHOR, p.words)
+    """Hash and first word of each anchor, and how many words it has: each `long` consecutive words hold one."""
+    size = min(_ANCHOR, p.long)
     every = np.arange(max(len(h) - size + 1, 0))
     x = _string_hashes(h, every, every + size)
-    at = least(x, p.words - size + 1)
+    at = least(x, p.long - size + 1)
     return x[at], at, size
 
 
@@ -154,106 +175,141 @@ def _firsts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first.astype(np.int32), kept
 
 
-def _exploded(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.explode(F.arrays_zip("ats", "hs")).alias("s")).select("doc_id", F.col("s.ats").alias("at"), F.col("s.hs").alias("h"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key: rows of the same doc_id and text are one document."""
+    return docs.withColumn(KEY[0], F.col("doc_id")).withColumn(KEY[1], F.xxhash64("text"))
 
 
-def _rows(ids: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"doc_id": ids, "ats": pa.array([a for a, _ in found], pa.list_(pa.int32())), "hs": pa.array([h for _, h in found], pa.list_(pa.int64()))})
+def _exploded(df: DataFrame) -> DataFrame:
+    return df.select(*KEY, F.explode(F.arrays_zip("ats", "hs")).alias("s")).select(*KEY, F.col("s.ats").alias("at"), F.col("s.hs").alias("h"))
 
 
-_FOUND = "doc_id long, ats array<int>, hs array<long>"
+def marks_of(text: str, p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
+    """Marks and hashes of the text's anchors and runs of sentences, each at its earliest, and the mark of a text in which one of them repeats."""
+    data = text.encode("utf-8", "surrogatepass")
+    h = word_hashes(data)
+    x = anchors(h, p)[0]
+    y = _string_hashes(h, *run_bounds(borders(data)[1], p.sentences, p.words))
+    (at, x_kept), (run, y_kept) = _firsts(x), _firsts(y)
+    again = len(x_kept) < len(x) or len(y_kept) < len(y)
+    return np.concatenate([2 * at, 2 * run + 1, np.full(int(again), _AGAIN, np.int32)]).astype(np.int32), np.concatenate([x_kept, y_kept, np.zeros(int(again), np.int64)])
 
 
-def anchor_rows(docs: DataFrame, p: SpanParams) -> DataFrame:
-    """doc_id, at, h: the earliest occurrence of each anchor within each document; at is its place among the anchors."""
+def mark_rows(docs: DataFrame, p: SpanParams) -> DataFrame:
+    """The key, at, h: see `marks_of`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield _rows(b.column("doc_id"), [_firsts(anchors(word_hashes((t or "").encode("utf-8", "surrogatepass")), p)[0]) for t in b.column("text").to_pylist()])
-        _HASHES.clear()
+            found = [marks_of(t or "", p) for t in b.column("text").to_pylist()]
+            cols = {c: b.column(c) for c in KEY}
+            yield pa.RecordBatch.from_pydict(cols | {"ats": pa.array([a for a, _ in found], pa.list_(pa.int32())), "hs": pa.array([h for _, h in found], pa.list_(pa.int64()))})
+        _clear()
 
-    return _exploded(map_batches(docs.select("doc_id", "text"), run, _FOUND))
+    return _exploded(map_batches(docs.select(*KEY, "text"), run, "evidentia_doc long, evidentia_text long, ats array<int>, hs array<long>"))
 
 
-def marked_runs(text: str, marks: list[int], p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
-    """Place among the runs and hash of those runs, each at its earliest, that hold an anchor equal to a marked one."""
+def marked_runs(text: str, marks: list[int], p: SpanParams) -> tuple[np.ndarray, list[bytes]]:
+    """Place among the runs and key of those runs, each at its earliest, that are marked or hold an anchor equal to a marked one."""
     data = text.encode("utf-8", "surrogatepass")
     h = word_hashes(data)
-    ends = sentence_ends(data, h, p)[0]
-    hashes, starts, stops = run_hashes(h, ends, p)
+    starts, stops, n = runs(h, borders(data)[1], p)
+    hashes = _string_hashes(h, starts, stops)
+    m = np.array(marks, np.int64)
+    m = m[m >= 0]
+    chosen = np.zeros(len(hashes), bool)
+    chosen[m[m % 2 == 1] // 2] = True
     x, at, size = anchors(h, p)
-    at = np.append(at[np.isin(x, x[marks])], len(h))
-    words = np.concatenate([[0], ends]).astype(np.int64)
-    holds = at[np.searchsorted(at, words[starts])] + size <= words[stops]
-    first, kept = _firsts(hashes)
+    at = np.append(at[np.isin(x, x[m[m % 2 == 0] // 2])], len(h))
     # all occurrences of a run hold the same anchors
-    return first[holds[first]], kept[holds[first]]
-
-
-def spans(docs: DataFrame, p: SpanParams) -> DataFrame:
-    """doc_id, at, h: the earliest occurrence within each document of each run that several documents may have; at is its place
-    among the runs."""
-    found = materialize(anchor_rows(docs.where("doc_id is not null"), p), "anchors")
-    # an anchor occurs once in a document at most here, so two documents make it a repeated one
-    repeated = materialize(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first != last").select("h", "n"), "repeated")
-    marks = join_by_key(found, repeated, "h", "n", "inner").groupBy(F.col("doc_id").alias("evidentia_doc")).agg(F.collect_list("at").alias(MARKS))
+    chosen[n:] = at[np.searchsorted(at, starts[n:])] + size <= stops[n:]
+    first, _ = _firsts(hashes)
+    first = np.sort(first[np.isin(hashes[first], hashes[chosen])])
+    other = _string_hashes(word_hashes(data, _OTHERS), starts[first], stops[first])
+    both = np.stack([hashes[first], other], axis=1).tobytes()
+    return first, [both[i : i + 16] for i in range(0, len(both), 16)]
+
+
+def spans(docs: DataFrame, p: SpanParams) -> tuple[DataFrame, DataFrame]:
+    """The key, at, h: the earliest occurrence within each document of each run that several documents may have; at is its place among
+    the runs. And the keys of documents in which something repeats."""
+    found = materialize(mark_rows(docs.where("doc_id is not null"), p), "marks-found")
+    again = materialize(found.where(F.col("at") == _AGAIN).select(*KEY).distinct(), "again")
+    found_in = found.where(F.col("at") != _AGAIN)
+    # a mark occurs once in a document at most here, so two documents make it a repeated one
+    who = F.struct(*KEY)
+    repeated = materialize(found_in.groupBy("h").agg(F.min(who).alias("first"), F.max(who).alias("last"), F.count("*").alias("n")).where("first != last").select("h", "n"), "repeated")
+    marks = join_by_key(found, repeated, "h", "n", "inner").where(F.col("at") != _AGAIN).groupBy(*KEY).agg(F.collect_set("at").alias(MARKS))
     marks = materialize(marks, "marks")
     discard(found, repeated)
-    marked = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("evidentia_doc")).drop("evidentia_doc")
+    marked = docs.select(*KEY, "text").join(marks, KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield _rows(b.column("doc_id"), [marked_runs(t, m, p) for t, m in zip(b.column("text").to_pylist(), b.column(MARKS).to_pylist(), strict=True)])
-        _HASHES.clear()
+            done = [marked_runs(t, m, p) for t, m in zip(b.column("text").to_pylist(), b.column(MARKS).to_pylist(), strict=True)]
+            cols = {c: b.column(c) for c in KEY}
+            yield pa.RecordBatch.from_pydict(cols | {"ats": pa.array([a for a, _ in done], pa.list_(pa.int32())), "hs": pa.array([h for _, h in done], pa.list_(pa.binary()))})
+        _clear()
+
+    return _exploded(map_batches(marked, run, "evidentia_doc long, evidentia_text long, ats array<int>, hs array<binary>")), again
 
-    return _exploded(map_batches(marked, run, _FOUND))
 
+def cut(text: str | None, found: list[int] | None, p: SpanParams) -> tuple[str | None, int, int]:
+    """The text without the given runs, wherever they stand, and without runs that stood wholly before in it; sentences, and how many of them lost a word.
 
-def cut(text: str | None, runs: list[int] | None, p: SpanParams) -> tuple[str | None, int, int]:
-    """The text without the given runs, wherever they stand, and without runs that stood wholly before in it; sentences, removed ones."""
+    found None: no run of the text repeats.
+    """
     if not text:
         return text, 0, 0
     data = text.encode("utf-8", "surrogatepass")
+    at, ends = borders(data)
+    if found is None or not len(ends):
+        return text, max(1, len(ends)), 0
     words = word_hashes(data)
-    ends, places = sentence_ends(data, words, p)
-    if not len(ends):
-        return text, 1, 0
-    h, starts, stops = run_hashes(words, ends, p)
-    gone = np.zeros(len(ends) + 1, np.int64)
-    _, first, of = np.unique(h, return_index=True, return_inverse=True)
-    earlier = np.zeros(len(first), bool)
-    earlier[of[list(runs or ())]] = True
-    at = np.flatnonzero(earlier[of] | (starts >= stops[first[of]]))
-    np.add.at(gone, starts[at], 1)
-    np.add.at(gone, stops[at], -1)
+    starts, stops, _ = runs(words, ends, p)
+    h = _string_hashes(words, starts, stops)
+    gone = np.zeros(len(words) + 1, np.int64)
+    order = np.argsort(starts, kind="stable")
+    kept, first, of = np.unique(h[order], return_index=True, return_inverse=True)
+    place = np.empty(len(order), np.int64)
+    place[order] = of  # of each run, the place of its hash
+    earlier = np.zeros(len(kept), bool)
+    earlier[place[[k for k in found if k >= 0]]] = True
+    end = stops[order][first]
+    at_once = np.flatnonzero(earlier[place] | (starts >= end[place]))
+    np.add.at(gone, starts[at_once], 1)
+    np.add.at(gone, stops[at_once], -1)
     covered = np.cumsum(gone)[:-1] > 0
     if not covered.any():
         return text, len(ends), 0
-    bounds = np.concatenate([[0], places])
     turns = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]]).astype(np.int8)))
-    left = b"".join(data[bounds[i] : bounds[j]] for i, j in zip(turns[::2], turns[1::2], strict=True))
-    return left.decode("utf-8", "surrogatepass"), len(ends), int(covered.sum())
+    left = b"".join(data[at[i] : at[j]] for i, j in zip(turns[::2], turns[1::2], strict=True))
+    lost = np.add.reduceat(covered.astype(np.int64), np.concatenate([[0], ends[:-1]]))
+    return left.decode("utf-8", "surrogatepass"), len(ends), int((lost > 0).sum())
 
 
 def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
-    """The rows of docs with repeated spans cut from text, and n_sentences, n_removed (long).
+    """The rows of docs with repeated spans cut from text, and n_sentences, n_removed (long): sentences, and those that lost words.
 
-    n_chars, where there is one, is that of the new text where something was removed, else as it was. A null text stays null and an empty one empty, with 0 sentences; a text all
-    of whose sentences are repeated becomes empty. Repeated rows are repeats like others: the one with the smallest doc_id
-    keeps its text. doc_id must not repeat; a row without one loses only what it repeats itself. Columns of docs named n_sentences or n_removed are replaced.
+    n_chars, where there is one, is that of the new text where something was removed, else as it was. A null text stays null and an empty
+    one empty, with 0 sentences; a text all of whose sentences are repeated becomes empty. Of documents that repeat each other, the one
+    with the smallest doc_id keeps its text. Rows of one doc_id and text are one document, and stay both or lose the same; rows of one
+    doc_id and several texts are documents of their own, the order of which goes by a hash of the text. A row without doc_id loses
+    only what it repeats itself. An empty table gives an empty result. Columns of docs named n_sentences or n_removed are replaced.
     """
     p = params
-    docs = docs.drop(*COUNTED)
-    found = materialize(spans(docs, p), "spans")
+    names, counts = docs.drop(*COUNTED).columns, "n_chars" in docs.columns
+    fields = T.StructType([*docs.drop(*COUNTED).schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTED]])
+    docs = _keyed(docs.drop(*COUNTED))
+    found, again = spans(docs, p)
+    found = materialize(found, "spans")
     # a run occurs once in a document at most here, so two documents make it a repeated one
-    repeated = materialize(found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first != last").select("h", "first", "n"), "repeated")
-    later = join_by_key(found, repeated, "h", "n", "inner").where("doc_id != first").groupBy(F.col("doc_id").alias("evidentia_doc")).agg(F.collect_list("at").alias(CUTS))
-    later = materialize(later, "cuts")
-    discard(found, repeated)
-    marked = docs.join(later, F.col("doc_id") == F.col("evidentia_doc"), "left").drop("evidentia_doc")
-    names, counts = docs.columns, "n_chars" in docs.columns
-    fields = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTED]])
+    who = F.struct(*KEY)
+    repeated = materialize(found.groupBy("h").agg(F.min(who).alias("first"), F.max(who).alias("last"), F.count("*").alias("n")).where("first != last").select("h", "first", "n"), "repeated")
+    later = join_by_key(found, repeated, "h", "n", "inner").where(who != F.col("first")).select(*KEY, "at").unionByName(again.select(*KEY, F.lit(_AGAIN).alias("at")))
+    later = materialize(later.groupBy(*KEY).agg(F.collect_set("at").alias(CUTS)), "cuts")
+    discard(found, repeated, again)
+    alone = F.when(F.col("doc_id").isNull(), F.array(F.lit(_AGAIN)))
+    marked = docs.join(later, KEY, "left").withColumn(CUTS, F.coalesce(CUTS, alone)).drop(*KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -266,6 +322,6 @@ def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) ->
             for k, c in enumerate(COUNTED, 1):
                 cols[c] = pa.array([x[k] for x in done], pa.int64())
             yield pa.RecordBatch.from_pydict(cols)
-        _HASHES.clear()
+        _clear()
 
     return map_batches(marked, run, fields)

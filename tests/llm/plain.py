@@ -11,36 +11,53 @@ import xxhash
 from evidentia.llm import fingerprint, sentencepiece_scan
 
 
-def plain_sentences(text, window):
-    """Sentences by the rule of the docstring, word by word."""
+def plain_cuts(text, window):
+    """Words with the white space after them (before the first one, too), places after sentences, and after pieces, by the rule of the docstring, word by word."""
     data = text.encode()
     words = list(re.finditer(rb"[^\t\n\x0b\x0c\r ]+", data))
     h = [xxhash.xxh3_64_intdigest(w[0].lower()) for w in words]
     cuts = {max(j for j in range(i, i + window) if h[j] == min(h[i : i + window])) for i in range(len(h) - window + 1)}
-    out, start = [], 0
+    parts, sentences, pieces, start = [], [], [], 0
     for k, w in enumerate(words):
         after = words[k + 1].start() if k + 1 < len(words) else len(data)
-        if k in cuts or w[0][-1:] in (b".", b"!", b"?") or b"\n" in data[w.end() : after] or k + 1 == len(words):
-            out.append(data[start:after].decode())
-            start = after
-    return out or [text] * bool(text)
+        ends = w[0][-1:] in (b".", b"!", b"?") or b"\n" in data[w.end() : after] or k + 1 == len(words)
+        sentences += [k + 1] * ends
+        pieces += [k + 1] * (ends or k in cuts)
+        parts.append(data[start:after].decode())
+        start = after
+    return parts, sentences, pieces
+
+
+def plain_sentences(text):
+    parts, ends, _ = plain_cuts(text, 4)
+    return ["".join(parts[i:j]) for i, j in zip([0, *ends], ends)] or [text] * bool(text)
+
+
+def plain_runs(ends, parts, words):
+    """First word and end of the shortest runs from each place on, and to each place."""
+    at, found = [0, *ends], set()
+    for i in range(len(at)):
+        onward = next((j for j in range(i + parts, len(at)) if at[j] - at[i] >= words), None)
+        back = next((j for j in range(i - parts, -1, -1) if at[i] - at[j] >= words), None)
+        found |= {(at[i], at[onward])} if onward is not None else set()
+        found |= {(at[back], at[i])} if back is not None else set()
+    return found
 
 
 def plain_spans(rows, p):
-    """Per (doc_id, text), in order of doc_id: the text left, sentences and removed ones."""
+    """Per (doc_id, text), in order of doc_id: the text left, sentences and those that lost a word."""
     out, seen = {}, {}
     for i, text in rows:
-        s = plain_sentences(text or "", p.window)
-        n = [len(x.encode().split()) for x in s]
-        gone, enough = set(), lambda a, b, n=n: b - a >= p.sentences and sum(n[a:b]) >= p.words
-        onward = {(a, next((b for b in range(a, len(s) + 1) if enough(a, b)), None)) for a in range(len(s))}
-        back = {(next((a for a in range(b, -1, -1) if enough(a, b)), None), b) for b in range(1, len(s) + 1)}
-        for a, b in sorted(x for x in onward | back if None not in x):
-            k = tuple(b" ".join(x.encode().lower().split()) for x in s[a:b])
-            doc, end = seen.setdefault(k, (i, b))
+        parts, sentences, pieces = plain_cuts(text or "", p.window)
+        words = [x.encode().lower().split()[0] for x in parts]
+        gone = set()
+        for a, b in sorted(plain_runs(sentences, p.sentences, p.words) | plain_runs(pieces, 1, p.long)):
+            doc, end = seen.setdefault(tuple(words[a:b]), (i, b))
             if doc != i or a >= end:
                 gone |= set(range(a, b))
-        out[i] = None if text is None else "".join(x for k, x in enumerate(s) if k not in gone), len(s), len(gone)
+        lost = sum(any(k in gone for k in range(a, b)) for a, b in zip([0, *sentences], sentences))
+        left = "".join(x for k, x in enumerate(parts) if k not in gone) if parts else text
+        out[i] = None if text is None else left, len(sentences) or int(bool(text)), lost
     return out
 
 

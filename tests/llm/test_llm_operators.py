@@ -156,8 +156,8 @@ def test_substring_dedup(docs, empty, rows):
     p = substring_dedup.SpanParams()
     found = got(substring_dedup.remove_repeated_spans(docs))
     for i, text, *_ in rows:
-        s = substring_dedup.split_sentences(text or "", p)
-        assert s == plain_sentences(text or "", p.window) and "".join(s) == (text or "")
+        s = substring_dedup.split_sentences(text or "")
+        assert s == plain_sentences(text or "") and "".join(s) == (text or "")
     for i, (text, n, removed) in plain_spans([r[:2] for r in rows], p).items():
         assert (found[i].text, found[i].n_sentences, found[i].n_removed, found[i].n_chars) == (text, n, removed, len(text or "")), i
     assert found[9].text == "" and found[10].text == ""
@@ -176,6 +176,34 @@ def test_passages_are_found_anywhere(spark):
     assert len(left) < 10
 
 
+@pytest.mark.parametrize("lengths", [(5, 5, 5), (7, 7, 7), (8, 8, 8), (9, 9, 9), (8, 8, 8, 8), (3, 4, 9), (14, 14)])
+def test_short_runs_of_sentences_go(spark, lengths):
+    """Passages of a few sentences, 15 to 32 words, each in two documents; what stands around stays."""
+    r = random.Random(sum(lengths))
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7)))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + ". "
+    passages = ["".join(sentence(n) for n in lengths) for _ in range(40)]
+    rows = [(2 * i + d, "".join(sentence(r.randint(4, 20)) for _ in range(r.randint(1, 6))) + x + "".join(sentence(r.randint(4, 20)) for _ in range(r.randint(1, 6)))) for i, x in enumerate(passages) for d in (0, 1)]
+    rows += [(1000 + i, "".join(sentence(r.randint(4, 20)) for _ in range(8))) for i in range(40)]
+    found = got(substring_dedup.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    texts = dict(rows)
+    for i, x in enumerate(passages):
+        assert found[2 * i].text == texts[2 * i] and found[2 * i + 1].text == texts[2 * i + 1].replace(x, "")
+        assert found[2 * i + 1].n_removed == len(lengths)
+    assert all(found[1000 + i].n_removed == 0 for i in range(40))
+
+
+def test_repeated_ids_and_rows(spark):
+    """Rows of one doc_id: the same text is one document, other texts are others."""
+    r = random.Random(3)
+    a, b, c = (_prose(r, 90).replace("stone", f"stone{k}") for k in range(3))
+    df = spark.createDataFrame([(1, a), (1, a), (1, b), (2, a), (2, f"{c} {b}"), (None, b), (None, f"{c}. {c}.")], "doc_id long, text string")
+    found = [(x.doc_id, x.text) for x in substring_dedup.remove_repeated_spans(df).collect()]
+    assert len(found) == 7 and found.count((1, a)) == 2 and (1, b) in found and (None, b) in found
+    assert [len(t.split()) < 10 for i, t in found if i == 2].count(True) == 1
+    assert all(len(t.split()) < 110 for i, t in found if i is None and t != b)
+
+
 def test_a_word_that_goes_on_is_left_alone(spark):
     docs = spark.createDataFrame([(1, "at " * 45), (2, "on " * 200), (3, "at " * 45)], "doc_id long, text string")
     found = got(substring_dedup.remove_repeated_spans(docs))
