@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +47,55 @@ def normalize(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(strip_marks(x), r"[^\p{L}\p{N}_\s-]", " "), r"\s+", " "))
 
 
+@lru_cache(maxsize=1)
+def _beyond() -> str:
+    """A character class of what `strip_marks` leaves as it is or folds in another way: what becomes several signs, Hangul, the astral plane."""
+    one, plain, gone, several = _folds()
+    table = dict(zip(one, plain, strict=True)) | dict.fromkeys(gone, "") | dict(several)
+    # signs that one side's tables don't know yet go with the others
+    told = lambda c: unicodedata.category(c) != "Cn" and "".join(table.get(x, x) for x in c.lower()) == _plain(c)
+    odd = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and not told(chr(c))]
+    ranges: list[list[int]] = []
+    for c in odd:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+class _Folded(dict):
+    """What each character becomes, found when it is first met."""
+
+    def __missing__(self, c: int) -> str:
+        found = self[c] = _plain(chr(c))
+        return found
+
+
+_FOLDED = _Folded()
+
+
+def fold(text: str | None) -> str | None:
+    """The whole text's compatibility decomposition without combining marks, folded. Signs are folded one by one, as marks go anyhow."""
+    return None if text is None else text.translate(_FOLDED)
+
+
+def strip_marks_whole(x: Column) -> Column:
+    """strip_marks for all of Unicode. Only texts with signs that it doesn't cover are sent to Python, in Arrow batches."""
+
+    @F.arrow_udf(returnType="string")
+    def folded(texts: pa.Array) -> pa.Array:
+        return pa.array([fold(t) for t in texts.to_pylist()], pa.string())
+
+    odd = F.coalesce(x.rlike(_beyond()), F.lit(False))
+    return F.when(odd, folded(F.when(odd, x))).otherwise(strip_marks(x))
+
+
+def normalize_whole(x: Column) -> Column:
+    """normalize for all of Unicode."""
+    return F.trim(F.regexp_replace(F.regexp_replace(strip_marks_whole(x), r"[^\p{L}\p{N}_\s-]", " "), r"\s+", " "))
+
+
 NORMALIZE_SQL = r"trim(regexp_replace(regexp_replace(replace(strip_accents(lower({x})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import bpe, location
-from evidentia.functions.text import NORMALIZE_SQL, TOKENS_SQL, normalize, significant_tokens, word_count
+from evidentia.functions.text import NORMALIZE_SQL, TOKENS_SQL, normalize, normalize_whole, significant_tokens, word_count
 from evidentia.operators import chunking, ingest, intervals
 from evidentia.plans.adapter import table
 from evidentia.sources import entries, manifest, markers, tei
@@ -118,6 +118,11 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", word_count(F.col("text")).alias("n_tokens"), F.size(tokens).alias("n_significant"))
 
 
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash of the whole text's normal form, all of Unicode."""
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(normalize_whole(F.col("text")), 256).alias("normal_sha256"))
+
+
 def token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-pair tokens of each document."""
     return _docs(spark, sf_dir).select("doc_id", bpe.token_count(F.col("text")).alias("n_tokens"))
@@ -152,12 +157,24 @@ def tei_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tei.sections(raw, "dialogue").select("document_id", "section_index", "title", "location", "speaker", "text")
 
 
-def marker_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with a marker after its first line."""
     first, rest = F.substring_index("text", "\n", 1), F.expr("substr(text, length(substring_index(text, '\\n', 1)) + 2)")
     marker = F.concat(F.lit('[SECTION title="'), "source", F.lit('" location="'), F.col("doc_id") % 500, F.lit('a" speaker="'), "lang", F.lit('"] dropped'))
-    raw = _docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.concat_ws("\n", first, marker, rest).alias("raw"))
-    found = markers.sections(raw)
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.concat_ws("\n", first, marker, rest).alias("raw"))
+
+
+def marker_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(markers.sections(_marked(spark, sf_dir)))
+
+
+def marker_sections_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sections from single lines, with the markers carried from range to range of them."""
+    lines = _marked(spark, sf_dir).select("document_id", F.posexplode(F.split("raw", "\n")).alias("number", "line"))
+    return _shown(markers.sections_of_lines(lines, ["number"]))
+
+
+def _shown(found: DataFrame) -> DataFrame:
     ref = markers.location_ref(F.col("location"), F.lit("stephanus"))
     return found.select("document_id", "section_index", "title", ref["value"].alias("location"), "speaker", "text")
 
@@ -219,7 +236,7 @@ def citation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_ranges"), F.count_if("contained").alias("n_containing"), F.min("o_orderkey").alias("first_range"))
 
 
-QUERIES = {f.__name__: f for f in (citation_ranges, content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, parse_dispatch, revision_dates, chunk_sentence_pack, chunk_paragraph_pack, token_counts, token_counts_bpe, chunk_bpe_pack, html_fallback_sections, html_sections, tei_sections, marker_sections, manifest_validation, location_keys, location_overlap)}
+QUERIES = {f.__name__: f for f in (citation_ranges, content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, parse_dispatch, revision_dates, chunk_sentence_pack, chunk_paragraph_pack, normal_forms, token_counts, token_counts_bpe, chunk_bpe_pack, html_fallback_sections, html_sections, tei_sections, marker_sections, marker_sections_split, manifest_validation, location_keys, location_overlap)}
 _FLAT = r"trim(regexp_replace(regexp_replace(text, '[<>&\x00-\x1F]', ' ', 'g'), '\s+', ' ', 'g'))"
 _STORE = "st AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), w AS (SELECT doc_id, sha256(text) AS h, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"
 _SHAPED = "CASE {k} WHEN 0 THEN ({at} * 5 + {at} % 5) WHEN 1 THEN CASE WHEN {at} % 11 = 0 THEN {at} + {n} ELSE {at} END WHEN 2 THEN {at} * 100 + {n} END AS s{i}, CASE {k} WHEN 0 THEN (({at} + {n}) * 5 + {at} % 5) WHEN 1 THEN CASE WHEN {at} % 11 = 0 THEN {at} ELSE {at} + {n} END WHEN 2 THEN {at} * 100 + {n} + 2 END AS e{i}, {at} % 9999 AS f{i}"
@@ -241,6 +258,7 @@ SELECT l_orderkey, l_linenumber, count(*) AS n_ranges, count(*) FILTER (containe
     "metadata_merge": "SELECT doc_id, coalesce(CASE WHEN n_chars % 2 = 0 THEN nullif(lang, '') END, 't' || toxic) AS tradition, CASE WHEN quality = 1 THEN 'q1' END AS edition FROM documents LEFT JOIN labels USING (doc_id)",
     "chunk_sentence_pack": _chunk_sql("replace(text, chr(10), ' ')"),
     "chunk_paragraph_pack": _chunk_sql("replace(text, chr(10), chr(10) || chr(10))"),
+    "normal_forms": f"SELECT doc_id, sha256({NORMALIZE_SQL.format(x='text')}) AS normal_sha256 FROM documents",
     "token_counts": f"SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::INTEGER AS n_tokens, len({TOKENS_SQL.format(x=NORMALIZE_SQL.format(x='text'))})::INTEGER AS n_significant FROM documents",
     "html_fallback_sections": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(html, '\\s+', ' ', 'g')) AS text FROM pages",
     "html_sections": r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[<>&]', ' ', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
@@ -264,3 +282,4 @@ CASE k % 5 WHEN 0 THEN (k % 500) || '.' || (k % 2) WHEN 1 THEN (k % 1400) || '.'
 CASE k % 5 WHEN 0 THEN (k % 500 + 2) || '.' || (k % 2) WHEN 1 THEN (k % 1400) || '.' || (k % 2) || '.' || (k % 37) WHEN 2 THEN '0.' || (k % 9) || '.1.' || (k % 2 + 1) WHEN 3 THEN (k % 300 + k % 7)::VARCHAR ELSE (k % 60)::VARCHAR END AS end_key FROM r""",
     "location_overlap": "WITH b AS (SELECT o_orderkey, l_linenumber, o_custkey % 100 AS a, o_custkey % 100 + 20 AS b, l_partkey % 100 AS c, l_partkey % 100 + l_suppkey % 5 AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT o_orderkey, l_linenumber, a <= d AND c <= b AS overlaps, a <= c AND c <= b AS contained, CASE WHEN c = d THEN c::VARCHAR ELSE c || '–' || d END AS shown FROM b",
 }
+ORACLE_SQL["marker_sections_split"] = ORACLE_SQL["marker_sections"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.operators import scan
+
 VERSION = "markers-1"
 # The marker line, with attributes in this order only.
 MARKER = r'^\[SECTION(?:\s+title="([^"]*)")?(?:\s+location="([^"]*)")?(?:\s+speaker="([^"]*)")?(?:\s+interlocutor="([^"]*)")?\s*\]'
@@ -30,6 +32,31 @@ def sections(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.posexplode(kept).alias("section_index", "s")).select("document_id", "section_index", "s.*")
 
 
+def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """document_id (the file's path), block, place, line of text files, however large: Spark reads a large file in blocks, side by side."""
+    files = spark.read.option("lineSep", "\n").text(paths)
+    return files.select(F.col("_metadata.file_path").alias("document_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+
+
+def sections_of_lines(lines: DataFrame, order: list[str]) -> DataFrame:
+    """`sections` for files as lines (document_id, order columns, line), so that a file need not be one row or one task.
+
+    The number of markers so far, and the last one, are carried over ranges of lines (see scan); a section's lines come together only
+    to be its text. A null line is an empty one.
+    """
+    line = F.coalesce("line", F.lit(""))
+    marked = F.trim(line).rlike(MARKER)
+    rows = lines.select("document_id", *order, F.when(~marked, line).alias("line"), marked.cast("long").alias("is_mark"), F.when(marked, line).alias("mark"))
+    placed = scan.running(rows, ["document_id"], order, {"part": scan.total("is_mark"), "under": scan.latest("mark")})
+    held = placed.groupBy("document_id", "part").agg(F.max("under").alias("under"), F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct(*order, "line")))).alias("held"))
+    attribute = lambda i: F.nullif(F.regexp_extract(F.coalesce("under", F.lit("")), MARKER, i), F.lit(""))
+    text = F.trim(F.array_join(F.transform("held", lambda x: x["line"]), "\n"), F.lit(" \n\t\r"))
+    shaped = held.select("document_id", "part", *[attribute(i).alias(f) for i, f in enumerate(FIELDS, 1)], text.alias("text"))
+    kept = shaped.where((F.col("text") != "") | F.col("title").isNotNull())
+    numbered = scan.running(kept, ["document_id"], ["part"], {"section_index": scan.COUNT})
+    return numbered.select("document_id", (F.col("section_index") - 1).cast("int").alias("section_index"), *FIELDS, "text")
+
+
 def location_ref(raw: Column, system: Column) -> Column:
     """struct(system, value, range_end) of a location literal; null where there is none."""
     parts = F.split(F.trim(raw), "\\s*[-\u2013]\\s*", 2)
