@@ -48,15 +48,24 @@ def normalize(x: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _beyond() -> str:
-    """A character class of what `strip_marks` leaves as it is or folds in another way: what becomes several signs, Hangul, the astral plane."""
+def _beyond() -> tuple[str, str]:
+    """Character classes of what `strip_marks` leaves as it is or folds in another way: what becomes several signs, Hangul,
+    the astral plane; and of that and all signs that aren't Latin."""
     one, plain, gone, several = _folds()
     table = dict(zip(one, plain, strict=True)) | dict.fromkeys(gone, "") | dict(several)
     # signs that one side's tables don't know yet go with the others
     told = lambda c: unicodedata.category(c) != "Cn" and "".join(table.get(x, x) for x in c.lower()) == _plain(c)
     odd = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and not told(chr(c))]
+    return _class(odd), _class([c for c in odd if c < _LATIN] + list(range(_LATIN, 0x110000)))
+
+
+#: Signs below are tested one by one, and those above only in texts that have any: a class of many ranges is slow.
+_LATIN = 0x250
+
+
+def _class(codes: list[int]) -> str:
     ranges: list[list[int]] = []
-    for c in odd:
+    for c in codes:
         if ranges and c == ranges[-1][1] + 1:
             ranges[-1][1] = c
         else:
@@ -87,7 +96,8 @@ def strip_marks_whole(x: Column) -> Column:
     def folded(texts: pa.Array) -> pa.Array:
         return pa.array([fold(t) for t in texts.to_pylist()], pa.string())
 
-    odd = F.coalesce(x.rlike(_beyond()), F.lit(False))
+    beyond, quick = _beyond()
+    odd = F.coalesce(x.rlike(quick) & x.rlike(beyond), F.lit(False))
     return F.when(odd, folded(F.when(odd, x))).otherwise(strip_marks(x))
 
 

@@ -9,7 +9,7 @@ from evidentia.functions import bpe, location
 from evidentia.functions.text import NORMALIZE_SQL, TOKENS_SQL, normalize, normalize_whole, significant_tokens, word_count
 from evidentia.operators import chunking, ingest, intervals
 from evidentia.plans.adapter import table
-from evidentia.sources import entries, manifest, markers, tei
+from evidentia.sources import entries, manifest, markers, numbered, tei
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,38 @@ def parse_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.dry_run(docs, found, chunking.chunk(found))
 
 
+def _entry_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries of five kinds: marked text, a dialogue and a treatise in TEI, and HTML in both dialects."""
+    n = F.col("doc_id")
+    flat = F.trim(F.regexp_replace(F.regexp_replace("text", r"[<>&\x00-\x1F]", " "), r"\s+", " "))
+    words = F.split(flat, " ")
+    half = F.floor((F.size(words) + 1) / 2).cast("int")
+    one, two = F.array_join(F.slice(words, 1, half), " "), F.array_join(F.slice(words, half + 1, F.greatest(F.size(words) - half, F.lit(0))), " ")
+    raw = (
+        F.when(n % 5 == 0, F.concat(F.lit('[SECTION title="Marked" location="'), n.cast("string"), F.lit('a"]\n'), flat))
+        .when(n % 5 == 1, F.concat(F.lit('<TEI><text><body><milestone unit="section" n="1"/><p>'), flat, F.lit("</p></body></text></TEI>")))
+        .when(n % 5 == 2, F.concat(F.lit('<TEI><text n="work"><body><div1 type="book" n="2"><milestone unit="chapter" n="3"/><milestone unit="page" n="980"/><milestone unit="line" n="a21"/><p>'), one, F.lit('</p><p><milestone unit="line" n="a30"/>x '), two, F.lit(' <milestone unit="page" n="981"/>y</p></div1></body></text></TEI>')))
+        .when(n % 5 == 3, F.concat(F.lit('<html><body><div class="entry-content"><h1>T</h1><h2>1. First</h2><p>x '), one, F.lit("</p><h3>a. Under</h3><p>y "), two, F.lit("</p></div></body></html>")))
+        .otherwise(F.concat(
+            F.lit('<html><head><meta property="citation_title" content="T"/><meta name="citation_author" content="Last, First"/></head><body><p>no</p><div id="aueditable"><h1>T</h1><div id="pubinfo"><em>First published Mon Jun 9, 2003; substantive revision Mon Jul 14, 2014</em></div><div id="preamble"><p>x '), one,
+            F.lit('</p></div><div id="toc"><ul><li>1. Part<ul><li><div>deep</div></li></ul></li></ul><p>no</p></div><h2><a name="1">1. Part</a></h2><h3 id="1.2">1.2 Under</h3><p>y '), two, F.lit('</p><h2><a name="Bib">Bibliography</a></h2><p>no</p></div></body></html>'),
+        ))
+    )
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (n % 5 + 1).cast("int"))
+    kinds, collections = pick("prepared_text", "tei_url", "tei_url", "html_file", "html_url"), pick("letters", "dialogues", "treatises", "encyclopedia_a", "encyclopedia_b")
+    return _docs(spark, sf_dir).select(n.alias("document_id"), kinds.alias("kind"), collections.alias("collection"), raw.alias("raw"))
+
+
+def parse_by_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.parse_entries(_entry_kinds(spark, sf_dir))
+
+
+def entry_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, author and revision of the entries of the second dialect."""
+    docs = _entry_kinds(spark, sf_dir).where("collection = 'encyclopedia_b'")
+    return numbered.sections(docs).groupBy("document_id").agg(F.first("entry_title").alias("title"), F.first("author").alias("author"), F.first("updated").alias("updated"), F.count("*").alias("n_sections"))
+
+
 def revision_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publication lines of orders: first and last dates in long or short form, some without a year."""
     day = lambda c, f: F.date_format(c, f)
@@ -236,7 +268,7 @@ def citation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_ranges"), F.count_if("contained").alias("n_containing"), F.min("o_orderkey").alias("first_range"))
 
 
-QUERIES = {f.__name__: f for f in (citation_ranges, content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, parse_dispatch, revision_dates, chunk_sentence_pack, chunk_paragraph_pack, normal_forms, token_counts, token_counts_bpe, chunk_bpe_pack, html_fallback_sections, html_sections, tei_sections, marker_sections, marker_sections_split, manifest_validation, location_keys, location_overlap)}
+QUERIES = {f.__name__: f for f in (citation_ranges, content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, parse_dispatch, parse_by_collection, entry_metadata, revision_dates, chunk_sentence_pack, chunk_paragraph_pack, normal_forms, token_counts, token_counts_bpe, chunk_bpe_pack, html_fallback_sections, html_sections, tei_sections, marker_sections, marker_sections_split, manifest_validation, location_keys, location_overlap)}
 _FLAT = r"trim(regexp_replace(regexp_replace(text, '[<>&\x00-\x1F]', ' ', 'g'), '\s+', ' ', 'g'))"
 _STORE = "st AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), w AS (SELECT doc_id, sha256(text) AS h, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"
 _SHAPED = "CASE {k} WHEN 0 THEN ({at} * 5 + {at} % 5) WHEN 1 THEN CASE WHEN {at} % 11 = 0 THEN {at} + {n} ELSE {at} END WHEN 2 THEN {at} * 100 + {n} END AS s{i}, CASE {k} WHEN 0 THEN (({at} + {n}) * 5 + {at} % 5) WHEN 1 THEN CASE WHEN {at} % 11 = 0 THEN {at} ELSE {at} + {n} END WHEN 2 THEN {at} * 100 + {n} + 2 END AS e{i}, {at} % 9999 AS f{i}"
@@ -253,6 +285,17 @@ SELECT l_orderkey, l_linenumber, count(*) AS n_ranges, count(*) FILTER (containe
     "ingest_batch": _chunk_sql("replace(text, chr(10), ' ')").replace("FROM documents)", f"FROM (SELECT doc_id, text FROM (WITH {_STORE} SELECT doc_id, text, min(doc_id) OVER (PARTITION BY h) AS first, h IN (SELECT h FROM st) AS known FROM w) WHERE first = doc_id AND NOT known))", 1),
     "parse_dispatch": f"""SELECT d.doc_id AS document_id, CASE WHEN doc_id % 3 = 2 OR trim(regexp_replace(text, '[<>&\\s]', '', 'g')) <> '' THEN 1 ELSE 0 END::BIGINT AS n_sections, coalesce(n, 0) AS n_chunks, CASE WHEN n > 0 THEN 'ready' ELSE 'failed' END AS status FROM documents d LEFT JOIN (SELECT document_id, count(*) AS n FROM (
 {_chunk_sql("CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), ' ') WHEN 1 THEN " + _FLAT + " ELSE '<p>' || " + _FLAT + " || '</p>' END")}) GROUP BY document_id) c ON c.document_id = doc_id""",
+    "parse_by_collection": f"""WITH d AS (SELECT doc_id, {_FLAT} AS flat FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, flat, string_split(flat, ' ') AS w FROM d),
+h AS (SELECT *, trim(array_to_string(w[1:(len(w) + 1) // 2], ' ')) AS one, trim(array_to_string(w[(len(w) + 1) // 2 + 1:], ' ')) AS two FROM w)
+SELECT doc_id AS document_id, 0 AS section_index, 'Marked' AS title, doc_id || 'a' AS location, flat AS text, 'markers-1' AS parser_version FROM h WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, 0, '1', '1', flat, 'tei-2' FROM h WHERE doc_id % 5 = 1 AND flat <> ''
+UNION ALL SELECT doc_id, 0, 'Book 2, Chapter 3', '980a21', one, 'tei-2' FROM h WHERE doc_id % 5 = 2 AND one <> ''
+UNION ALL SELECT doc_id, CASE WHEN one <> '' THEN 1 ELSE 0 END, 'Book 2, Chapter 3', '980a30', trim('x ' || two) || ' y', 'tei-2' FROM h WHERE doc_id % 5 = 2
+UNION ALL SELECT doc_id, 0, 'First', '1', trim('x ' || one), 'entries-1' FROM h WHERE doc_id % 5 = 3
+UNION ALL SELECT doc_id, 1, 'Under', '1.a', trim('y ' || two), 'entries-1' FROM h WHERE doc_id % 5 = 3
+UNION ALL SELECT doc_id, 0, 'Preamble', NULL, trim('x ' || one), 'numbered-1' FROM h WHERE doc_id % 5 = 4
+UNION ALL SELECT doc_id, 1, 'Under', '1.2', trim('y ' || two), 'numbered-1' FROM h WHERE doc_id % 5 = 4""",
+    "entry_metadata": "SELECT doc_id AS document_id, 'T' AS title, 'First Last' AS author, '2014-07-14' AS updated, 2 AS n_sections FROM documents WHERE doc_id % 5 = 4 AND text IS NOT NULL",
     "revision_dates": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'In ' || (o_orderkey % 50) WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS revised FROM orders""",
     "purge_reingest": "SELECT doc_id, lang, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version, len(regexp_extract_all(text, '\\S+'))::INTEGER AS n_tokens FROM documents",
     "metadata_merge": "SELECT doc_id, coalesce(CASE WHEN n_chars % 2 = 0 THEN nullif(lang, '') END, 't' || toxic) AS tradition, CASE WHEN quality = 1 THEN 'q1' END AS edition FROM documents LEFT JOIN labels USING (doc_id)",

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from evidentia.plans.registry import COLLECTIONS, TIERS, Collection
 from evidentia.sources import entries as entries_html
-from evidentia.sources import markers, tei
+from evidentia.sources import markers, numbered, tei
 
 SCHEMA = "version string, entries array<struct<id:string,kind:string,collection:string,title:string,author:string,tradition:string,period:string,topics:array<string>,translation:string,edition:string,source_url:string,input_path:string,source_config:map<string,string>>>"
 #: Kinds of entries by where their content is.
@@ -72,6 +72,42 @@ def parse(docs: DataFrame, parsers: dict = PARSERS) -> DataFrame:
     return out
 
 
+def _tei(mode: str):
+    return lambda docs: tei.sections(docs if "text_id" in docs.columns else docs.withColumn("text_id", F.lit(None).cast("string")), mode)
+
+
+#: Name of a parser -> its version and what it does.
+VERSIONED = {
+    "markers": (markers.VERSION, markers.sections),
+    "tei_dialogue": (tei.VERSION, _tei("dialogue")),
+    "tei_treatise": (tei.VERSION, _tei("treatise")),
+    "entries": (entries_html.VERSION, entries_html.sections),
+    "numbered": (numbered.VERSION, numbered.sections),
+}
+#: What a collection's entries are: TEI comes in two modes, HTML in two dialects, and all else is marked text.
+TEI_MODES = {"dialogues": "tei_dialogue", "treatises": "tei_treatise"}
+DIALECTS = {"encyclopedia_a": "entries", "encyclopedia_b": "numbered"}
+
+
+def parser_of(kind, collection, tei_modes: dict[str, str] = TEI_MODES, dialects: dict[str, str] = DIALECTS, collections: tuple[Collection, ...] = COLLECTIONS):
+    """The parser's name by kind and collection; null where there is none: TEI of another collection, or an unknown collection."""
+    chosen = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), collection)
+    return F.when(kind == "tei_url", chosen(tei_modes)).otherwise(F.coalesce(chosen(dialects), F.when(collection.isin(*[c.name for c in collections]), F.lit("markers"))))
+
+
+def parse_entries(docs: DataFrame, parsers: dict = VERSIONED, **tables) -> DataFrame:
+    """Sections of docs (document_id, kind, collection, raw, perhaps text_id), each by the parser of its kind and collection, with
+    parser_version. An entry for which there is no parser is an error that names it. A null raw has no sections."""
+    name = parser_of(F.col("kind"), F.col("collection"), **tables)
+    missing = F.raise_error(F.concat(F.lit("no parser for kind "), F.coalesce("kind", F.lit("null")), F.lit(" of collection "), F.coalesce("collection", F.lit("null")))).cast("string")
+    named = docs.withColumn("parser", F.coalesce(name, missing)).drop("kind", "collection")
+    out = None
+    for parser, (version, run) in parsers.items():
+        found = run(named.where(F.col("parser") == parser).drop("parser")).select("document_id", "section_index", "title", "location", "text").withColumn("parser_version", F.lit(version))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def dry_run(docs: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per document of docs: n_sections, n_chunks, status (failed where there is no chunk); nothing is stored."""
     counts = lambda df, name: df.groupBy("document_id").agg(F.count("*").alias(name))

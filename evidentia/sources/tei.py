@@ -1,4 +1,4 @@
-"""TEI XML: dialogues (a section per milestone) and treatises (a section per paragraph with carried page and line)."""
+"""TEI XML: dialogues (a section per milestone) and treatises (a section per paragraph, chapter or book, with carried page and line)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-VERSION = "tei-1"
+VERSION = "tei-2"
 SCHEMA = "document_id long, section_index int, title string, location string, range_end string, speaker string, text string"
 
 
@@ -111,54 +111,67 @@ def dialogue_sections(work: ET.Element) -> Iterator[dict]:
 
 
 def treatise_sections(work: ET.Element) -> Iterator[dict]:
-    """A section per paragraph, titled by book and chapter, from the page and line where it begins to those where it ends."""
-    book = chapter = page = line = None
-
-    def place() -> str | None:
-        return f"{page}{line or ''}" if page else None
-
-    def note(e: ET.Element) -> None:
-        nonlocal page, line, chapter
-        unit = (e.get("unit") or e.get("type") or "").lower()
-        if "page" in unit:
-            page, line = e.get("n"), None
-        elif "line" in unit:
-            line = e.get("n")
-        elif "chapter" in unit:
-            chapter = e.get("n")
-
-    def text_of(e: ET.Element) -> str:
-        if _name(e) == "note":
-            return ""
-        if _name(e) == "milestone":
-            note(e)
-        return (e.text or "") + "".join(text_of(x) + (x.tail or "") for x in e)
-
-    def walk(e: ET.Element) -> Iterator[dict]:
-        nonlocal book, chapter
-        if _name(e) in ("div1", "div") and (e.get("type") or "book").lower() == "book":
-            book, chapter = e.get("n"), None
-        if _name(e) == "milestone":
-            note(e)
-        if _name(e) == "p":
-            if not (e.text or "").strip():
-                for x in e:  # milestones before the first word
-                    if _name(x) != "milestone":
-                        break
-                    note(x)
-                    if (x.tail or "").strip():
-                        break
-            start = place()
-            text = re.sub(r"\s+", " ", text_of(e)).strip()
-            end = place()
-            title = ", ".join(f"{k} {v}" for k, v in (("Book", book), ("Chapter", chapter)) if v)
-            if text:
-                yield {"title": title or None, "location": start or end, "range_end": end if start and end != start else None, "speaker": None, "text": text}
-            return
-        for x in e:
-            yield from walk(x)
+    """Sections titled by book and chapter, each from the page and line of its first word to those of its last.
 
-    yield from walk(next((x for x in work.iter() if _name(x) == "body"), work))
+    A paragraph, a new book and a new chapter each begin one, a chapter in the midst of a paragraph too. A chapter that repeats its book's
+    number is shown without it. Notes, heads and lists are left out; text outside of paragraphs counts.
+    """
+    marks: dict[str, str | None] = dict.fromkeys(("book", "chapter", "page", "line"))
+    parts: list[str] = []
+    places: list[str | None] = []
+
+    def ended() -> Iterator[dict]:
+        text = " ".join("".join(parts).split())
+        if text:
+            book, chapter = marks["book"], marks["chapter"]
+            if book and chapter:
+                chapter = chapter.removeprefix(f"{book}.")
+            title = ", ".join(f"{k} {v}" for k, v in (("Book", book), ("Chapter", chapter)) if v)
+            known = [p for p in places if p]
+            first, last = (known[0], known[-1]) if known else (None, None)
+            yield {"title": title or None, "location": first, "range_end": last if last != first else None, "speaker": None, "text": text}
+        parts.clear()
+        places.clear()
+
+    def add(text: str | None) -> None:
+        if text and text.strip():
+            places.append(f"{marks['page']}{marks['line'] or ''}" if marks["page"] else None)
+        if text:
+            parts.append(text)
+
+    todo: list[tuple[str, ET.Element | None]] = [("enter", next((x for x in work.iter() if _name(x) == "body"), work))]
+    while todo:
+        kind, e = todo.pop()
+        if kind == "tail":
+            add(e.tail)
+            continue
+        if kind == "end":
+            yield from ended()
+            continue
+        name = _name(e)
+        if name in _ASIDE or not name:
+            continue
+        if name == "milestone":
+            unit, n = (e.get("unit") or e.get("type") or "").lower(), " ".join((e.get("n") or "").split())
+            mark = next((m for m, w in (("page", "page"), ("line", "line"), ("chapter", "chap")) if w in unit), None)
+            if mark and n:
+                if mark == "chapter":
+                    yield from ended()
+                marks[mark] = n
+                if mark == "page":
+                    marks["line"] = None
+            continue
+        n = " ".join((e.get("n") or "").split())
+        if name in ("div1", "div") and (e.get("type") or "book").lower() == "book" and n:
+            yield from ended()
+            marks["book"], marks["chapter"] = n, None
+        if name == "p":
+            yield from ended()
+            todo.append(("end", None))
+        add(e.text)
+        for x in reversed(e):
+            todo += [("tail", x), ("enter", x)]
+    yield from ended()
 
 
 def parse(raw: str, mode: str, text_id: str | None = None) -> list[dict]:
