@@ -57,59 +57,85 @@ class SpanParams:
 class _Hashes(dict):
     """Hash of each word; those of some words are kept."""
 
-    def __init__(self, seed: int):
-        super().__init__()
-        self.seed = seed
-
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 200_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_HASHES, _OTHERS = _Hashes(0), _Hashes(1)
+_HASHES = _Hashes()
 
 
-def _clear() -> None:
-    _HASHES.clear()
-    _OTHERS.clear()
+def word_hashes(data: bytes) -> np.ndarray:
+    words = data.lower().split()
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def word_hashes(data: bytes, hashes: _Hashes = _HASHES) -> np.ndarray:
-    words = data.lower().split()
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+#: Low bits of a packed hash, which hold the place, and words of a text that are packed at a time.
+_PLACE = np.uint64((1 << 20) - 1)
 
 
-def least(h: np.ndarray, window: int) -> np.ndarray:
-    """Places that are the least of some window of consecutive ones, the last of equal ones."""
-    if len(h) < window:
+def window_least(h: np.ndarray, window: int) -> np.ndarray:
+    """For each window of consecutive places, the place of its least hash (by 44 bits), the last of equal ones."""
+    n = len(h) - window + 1
+    if n <= 0:
         return np.zeros(0, np.int64)
+    out, most = np.empty(n, np.int64), int(_PLACE)
+    for i in range(0, n, most - window):
+        part = h[i : i + most]
+        # later places are less
+        v = (part & ~_PLACE) | (_PLACE - np.arange(len(part), dtype=np.uint64))
+        wide = 1
+        while wide * 2 <= window:
+            v = np.minimum(v[:-wide], v[wide:])
+            wide *= 2
+        if wide < window:
+            v = np.minimum(v[: len(part) - window + 1], v[window - wide :])
+        out[i : i + len(v)] = i + (_PLACE - (v & _PLACE)).astype(np.int64)
+    return out
 
-    def later(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.where(h[y] <= h[x], y, x)
 
-    at, wide = np.arange(len(h)), 1
-    while wide * 2 <= window:  # the least of twice as many
-        at = later(at[:-wide], at[wide:])
-        wide *= 2
-    if wide < window:
-        at = later(at[: len(h) - window + 1], at[window - wide :])
+def least(h: np.ndarray, window: int) -> np.ndarray:
+    """Places that are the least of some window."""
     found = np.zeros(len(h), bool)
-    found[at] = True
+    found[window_least(h, window)] = True
     return np.flatnonzero(found)
 
 
-def _powers(factor: int, n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, factor, np.uint64))])
+class _Powers:
+    """Powers of both factors, as many as the longest text so far needed."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-def _string_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the strings of words from starts to ends."""
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h))[:-1], dtype=np.uint64)])
-    x = ((prefix[ends] - prefix[starts]) * _powers(_INVERSE, len(h))[starts]) ^ (ends - starts).astype(np.uint64)
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= n:
+            size = min(max(2 * n, 1 << 12), max(n, 1 << 22)) + 1
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, f, np.uint64))]) for f in (_BASE, _INVERSE))
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def prefixes(h: np.ndarray) -> np.ndarray:
+    """Sums of hash * base ** place over each prefix, from which hashes of strings of words follow."""
+    out = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _POWERS.of(len(h))[0][: len(h)], dtype=np.uint64, out=out[1:])
+    return out
+
+
+def _string_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the strings of words from starts to ends."""
+    x = ((prefix[ends] - prefix[starts]) * _POWERS.of(len(prefix))[1][starts]) ^ (ends - starts).astype(np.uint64)
+    return _mixed(x).view(np.int64)
 
 
 def borders(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +146,10 @@ def borders(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     begin, end = turns[::2], turns[1::2]
     if not len(begin):
         return np.zeros(1, np.int64), np.zeros(0, np.int64)
-    lines = np.concatenate([[0], np.cumsum(codes == 10)])
     after = np.append(begin[1:], len(data))
-    last = _STOP[codes[end - 1]] | (lines[after] > lines[end])
+    last = _STOP[codes[end - 1]]
+    # line ends, each after the word that ends before it
+    last[np.maximum(np.searchsorted(end, np.flatnonzero(codes == 10), side="right") - 1, 0)] = True
     last[-1] = True
     return np.concatenate([[0], after]), np.flatnonzero(last) + 1
 
@@ -161,13 +188,12 @@ def runs(h: np.ndarray, ends: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np
     return np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]]), len(one[0])
 
 
-def anchors(h: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hash and first word of each anchor, and how many words it has: each `long` consecutive words hold one."""
+def anchors(h: np.ndarray, prefix: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the string of an anchor's length at each word, and for each `long` consecutive words, the place of their anchor."""
     size = min(_ANCHOR, p.long)
     every = np.arange(max(len(h) - size + 1, 0))
-    x = _string_hashes(h, every, every + size)
-    at = least(x, p.long - size + 1)
-    return x[at], at, size
+    x = _string_hashes(prefix, every, every + size)
+    return x, window_least(x.view(np.uint64), p.long - size + 1)
 
 
 def _firsts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +202,7 @@ def _firsts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key: rows of the same doc_id and text are one document."""
+    """docs with a key: places in a text hold for the rows of the same doc_id and text."""
     return docs.withColumn(KEY[0], F.col("doc_id")).withColumn(KEY[1], F.xxhash64("text"))
 
 
@@ -184,12 +210,24 @@ def _exploded(df: DataFrame) -> DataFrame:
     return df.select(*KEY, F.explode(F.arrays_zip("ats", "hs")).alias("s")).select(*KEY, F.col("s.ats").alias("at"), F.col("s.hs").alias("h"))
 
 
+def _lists(parts: list[np.ndarray], values: pa.Array) -> pa.Array:
+    """A list per part, of so many of the values."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)), values)
+
+
+def _rows(b: pa.RecordBatch, ats: list[np.ndarray], hs: pa.Array) -> pa.RecordBatch:
+    flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ats]).astype(np.int32))
+    return pa.RecordBatch.from_pydict({c: b.column(c) for c in KEY} | {"ats": _lists(ats, flat), "hs": _lists(ats, hs)})
+
+
 def marks_of(text: str, p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
     """Marks and hashes of the text's anchors and runs of sentences, each at its earliest, and the mark of a text in which one of them repeats."""
     data = text.encode("utf-8", "surrogatepass")
     h = word_hashes(data)
-    x = anchors(h, p)[0]
-    y = _string_hashes(h, *run_bounds(borders(data)[1], p.sentences, p.words))
+    prefix = prefixes(h)
+    x, at = anchors(h, prefix, p)
+    x = x[np.flatnonzero(np.bincount(at, minlength=len(x)))] if len(at) else x[:0]
+    y = _string_hashes(prefix, *run_bounds(borders(data)[1], p.sentences, p.words))
     (at, x_kept), (run, y_kept) = _firsts(x), _firsts(y)
     again = len(x_kept) < len(x) or len(y_kept) < len(y)
     return np.concatenate([2 * at, 2 * run + 1, np.full(int(again), _AGAIN, np.int32)]).astype(np.int32), np.concatenate([x_kept, y_kept, np.zeros(int(again), np.int64)])
@@ -201,32 +239,33 @@ def mark_rows(docs: DataFrame, p: SpanParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             found = [marks_of(t or "", p) for t in b.column("text").to_pylist()]
-            cols = {c: b.column(c) for c in KEY}
-            yield pa.RecordBatch.from_pydict(cols | {"ats": pa.array([a for a, _ in found], pa.list_(pa.int32())), "hs": pa.array([h for _, h in found], pa.list_(pa.int64()))})
-        _clear()
+            yield _rows(b, [a for a, _ in found], pa.array(np.concatenate([np.zeros(0, np.int64), *[h for _, h in found]])))
+        _HASHES.clear()
 
     return _exploded(map_batches(docs.select(*KEY, "text"), run, "evidentia_doc long, evidentia_text long, ats array<int>, hs array<long>"))
 
 
-def marked_runs(text: str, marks: list[int], p: SpanParams) -> tuple[np.ndarray, list[bytes]]:
-    """Place among the runs and key of those runs, each at its earliest, that are marked or hold an anchor equal to a marked one."""
+def marked_runs(text: str, marks: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
+    """Place among the runs and key (two numbers) of those runs, each at its earliest, that are marked, or whose anchors are."""
     data = text.encode("utf-8", "surrogatepass")
     h = word_hashes(data)
+    prefix = prefixes(h)
     starts, stops, n = runs(h, borders(data)[1], p)
-    hashes = _string_hashes(h, starts, stops)
-    m = np.array(marks, np.int64)
-    m = m[m >= 0]
+    hashes = _string_hashes(prefix, starts, stops)
+    m = marks[marks >= 0]
     chosen = np.zeros(len(hashes), bool)
     chosen[m[m % 2 == 1] // 2] = True
-    x, at, size = anchors(h, p)
-    at = np.append(at[np.isin(x, x[m[m % 2 == 0] // 2])], len(h))
-    # all occurrences of a run hold the same anchors
-    chosen[n:] = at[np.searchsorted(at, starts[n:])] + size <= stops[n:]
+    x, at = anchors(h, prefix, p)
+    if len(at):
+        places = np.flatnonzero(np.bincount(at, minlength=len(x)))
+        # all occurrences of a run hold the anchors of its first and its last words
+        known = np.isin(x, x[places[m[m % 2 == 0] // 2]])
+        chosen[n:] = known[at[starts[n:]]] & known[at[stops[n:] - p.long]]
     first, _ = _firsts(hashes)
     first = np.sort(first[np.isin(hashes[first], hashes[chosen])])
-    other = _string_hashes(word_hashes(data, _OTHERS), starts[first], stops[first])
-    both = np.stack([hashes[first], other], axis=1).tobytes()
-    return first, [both[i : i + 16] for i in range(0, len(both), 16)]
+    # the other half of the key, from words hashed otherwise
+    other = _string_hashes(prefixes(_mixed(h)), starts[first], stops[first])
+    return first, np.stack([hashes[first], other], axis=1)
 
 
 def spans(docs: DataFrame, p: SpanParams) -> tuple[DataFrame, DataFrame]:
@@ -236,8 +275,7 @@ def spans(docs: DataFrame, p: SpanParams) -> tuple[DataFrame, DataFrame]:
     again = materialize(found.where(F.col("at") == _AGAIN).select(*KEY).distinct(), "again")
     found_in = found.where(F.col("at") != _AGAIN)
     # a mark occurs once in a document at most here, so two documents make it a repeated one
-    who = F.struct(*KEY)
-    repeated = materialize(found_in.groupBy("h").agg(F.min(who).alias("first"), F.max(who).alias("last"), F.count("*").alias("n")).where("first != last").select("h", "n"), "repeated")
+    repeated = materialize(found_in.groupBy("h").agg(F.min(KEY[0]).alias("first"), F.max(KEY[0]).alias("last"), F.count("*").alias("n")).where("first != last").select("h", "n"), "repeated")
     marks = join_by_key(found, repeated, "h", "n", "inner").where(F.col("at") != _AGAIN).groupBy(*KEY).agg(F.collect_set("at").alias(MARKS))
     marks = materialize(marks, "marks")
     discard(found, repeated)
@@ -245,10 +283,11 @@ def spans(docs: DataFrame, p: SpanParams) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            done = [marked_runs(t, m, p) for t, m in zip(b.column("text").to_pylist(), b.column(MARKS).to_pylist(), strict=True)]
-            cols = {c: b.column(c) for c in KEY}
-            yield pa.RecordBatch.from_pydict(cols | {"ats": pa.array([a for a, _ in done], pa.list_(pa.int32())), "hs": pa.array([h for _, h in done], pa.list_(pa.binary()))})
-        _clear()
+            done = [marked_runs(t, np.array(m, np.int64), p) for t, m in zip(b.column("text").to_pylist(), b.column(MARKS).to_pylist(), strict=True)]
+            keys = np.concatenate([np.zeros((0, 2), np.int64), *[k for _, k in done]])
+            hs = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(0, 16 * len(keys) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(keys).tobytes())])
+            yield _rows(b, [a for a, _ in done], hs)
+        _HASHES.clear()
 
     return _exploded(map_batches(marked, run, "evidentia_doc long, evidentia_text long, ats array<int>, hs array<binary>")), again
 
@@ -266,7 +305,7 @@ def cut(text: str | None, found: list[int] | None, p: SpanParams) -> tuple[str |
         return text, max(1, len(ends)), 0
     words = word_hashes(data)
     starts, stops, _ = runs(words, ends, p)
-    h = _string_hashes(words, starts, stops)
+    h = _string_hashes(prefixes(words), starts, stops)
     gone = np.zeros(len(words) + 1, np.int64)
     order = np.argsort(starts, kind="stable")
     kept, first, of = np.unique(h[order], return_index=True, return_inverse=True)
@@ -292,9 +331,8 @@ def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) ->
 
     n_chars, where there is one, is that of the new text where something was removed, else as it was. A null text stays null and an empty
     one empty, with 0 sentences; a text all of whose sentences are repeated becomes empty. Of documents that repeat each other, the one
-    with the smallest doc_id keeps its text. Rows of one doc_id and text are one document, and stay both or lose the same; rows of one
-    doc_id and several texts are documents of their own, the order of which goes by a hash of the text. A row without doc_id loses
-    only what it repeats itself. An empty table gives an empty result. Columns of docs named n_sentences or n_removed are replaced.
+    with the smallest doc_id keeps its text. Rows of one doc_id count as one document: they lose what others have or what repeats within
+    a row, and nothing for each other's sake. A row without doc_id loses only what it repeats itself. An empty table gives an empty result. Columns of docs named n_sentences or n_removed are replaced.
     """
     p = params
     names, counts = docs.drop(*COUNTED).columns, "n_chars" in docs.columns
@@ -303,9 +341,8 @@ def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) ->
     found, again = spans(docs, p)
     found = materialize(found, "spans")
     # a run occurs once in a document at most here, so two documents make it a repeated one
-    who = F.struct(*KEY)
-    repeated = materialize(found.groupBy("h").agg(F.min(who).alias("first"), F.max(who).alias("last"), F.count("*").alias("n")).where("first != last").select("h", "first", "n"), "repeated")
-    later = join_by_key(found, repeated, "h", "n", "inner").where(who != F.col("first")).select(*KEY, "at").unionByName(again.select(*KEY, F.lit(_AGAIN).alias("at")))
+    repeated = materialize(found.groupBy("h").agg(F.min(KEY[0]).alias("first"), F.max(KEY[0]).alias("last"), F.count("*").alias("n")).where("first != last").select("h", "first", "n"), "repeated")
+    later = join_by_key(found, repeated, "h", "n", "inner").where(F.col(KEY[0]) != F.col("first")).select(*KEY, "at").unionByName(again.select(*KEY, F.lit(_AGAIN).alias("at")))
     later = materialize(later.groupBy(*KEY).agg(F.collect_set("at").alias(CUTS)), "cuts")
     discard(found, repeated, again)
     alone = F.when(F.col("doc_id").isNull(), F.array(F.lit(_AGAIN)))
@@ -322,6 +359,6 @@ def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) ->
             for k, c in enumerate(COUNTED, 1):
                 cols[c] = pa.array([x[k] for x in done], pa.int64())
             yield pa.RecordBatch.from_pydict(cols)
-        _clear()
+        _HASHES.clear()
 
     return map_batches(marked, run, fields)
