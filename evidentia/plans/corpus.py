@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evidentia.functions import bpe, location
 from evidentia.functions.text import NORMALIZE_SQL, TOKENS_SQL, normalize, normalize_whole, significant_tokens, word_count
-from evidentia.operators import chunking, ingest, intervals
+from evidentia.operators import chunking, ingest, intervals, lineage, plugins
+from evidentia.operators.store import Store, bootstrap
 from evidentia.plans.adapter import table
 from evidentia.sources import entries, manifest, markers, numbered, tei
 
@@ -67,6 +72,34 @@ def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest(batch, stored, plain).drop("section_index")
 
 
+def bootstrap_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs into one store: documents with a label, then all documents, then all again; those of fewer than 50 words have no chunk and stay out."""
+    text = F.regexp_replace("text", "\n", " ")
+    entries_ = _docs(spark, sf_dir).where(word_count(F.col("text")) >= 50).select(
+        F.col("doc_id").cast("string").alias("entry_id"), F.lit("prepared_text").alias("kind"), F.lit("letters").alias("collection"), F.col("source").alias("title"), F.col("lang").alias("author"), F.array().cast("array<string>").alias("topics"), text.alias("raw"))
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("entry_id")).distinct()
+    store = Store(spark, f"{lineage.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    runs = [bootstrap(store, e).withColumn("run", F.lit(i)) for i, e in enumerate((entries_.join(labelled, "entry_id", "left_semi"), entries_, entries_), 1)]
+    return reduce(DataFrame.unionByName, runs)
+
+
+def _lines_of(raw: str):
+    """A caller's parser: each line that isn't empty is a section, titled by its first word."""
+    for line in raw.split("\n"):
+        if line.strip(" "):
+            yield {"title": line.split(" ")[0], "text": line.strip(" ")}
+
+
+def caller_plugins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through a caller's parser, reranker and extractor."""
+    plugins.register_parser(spark, "evidentia_lines", _lines_of)
+    found = plugins.parse_with(_docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("text").alias("raw")), "evidentia_lines")
+    order = Window.partitionBy("document_id").orderBy(F.desc("boosted_score"), "section_index")
+    rerank = plugins.Transform("longest first", lambda df: df.withColumn("boosted_score", F.length("text").cast("double")).withColumn("place", F.row_number().over(order)), "document_id long, section_index int, text string", "boosted_score double, place int")
+    extract = plugins.Transform("first number", lambda df: df.withColumn("number", F.nullif(F.regexp_extract("text", "[0-9]+", 0), F.lit(""))), "text string", "number string")
+    return extract(rerank(found)).select("document_id", "section_index", "title", "boosted_score", "place", "number")
+
+
 def parse_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dry run over documents as entries of three kinds: each by its parser, then cut into chunks, and counted."""
     n = F.col("doc_id")
@@ -268,7 +301,7 @@ def citation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_ranges"), F.count_if("contained").alias("n_containing"), F.min("o_orderkey").alias("first_range"))
 
 
-QUERIES = {f.__name__: f for f in (citation_ranges, content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, parse_dispatch, parse_by_collection, entry_metadata, revision_dates, chunk_sentence_pack, chunk_paragraph_pack, normal_forms, token_counts, token_counts_bpe, chunk_bpe_pack, html_fallback_sections, html_sections, tei_sections, marker_sections, marker_sections_split, manifest_validation, location_keys, location_overlap)}
+QUERIES = {f.__name__: f for f in (citation_ranges, content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, bootstrap_store, caller_plugins, parse_dispatch, parse_by_collection, entry_metadata, revision_dates, chunk_sentence_pack, chunk_paragraph_pack, normal_forms, token_counts, token_counts_bpe, chunk_bpe_pack, html_fallback_sections, html_sections, tei_sections, marker_sections, marker_sections_split, manifest_validation, location_keys, location_overlap)}
 _FLAT = r"trim(regexp_replace(regexp_replace(text, '[<>&\x00-\x1F]', ' ', 'g'), '\s+', ' ', 'g'))"
 _STORE = "st AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), w AS (SELECT doc_id, sha256(text) AS h, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"
 _SHAPED = "CASE {k} WHEN 0 THEN ({at} * 5 + {at} % 5) WHEN 1 THEN CASE WHEN {at} % 11 = 0 THEN {at} + {n} ELSE {at} END WHEN 2 THEN {at} * 100 + {n} END AS s{i}, CASE {k} WHEN 0 THEN (({at} + {n}) * 5 + {at} % 5) WHEN 1 THEN CASE WHEN {at} % 11 = 0 THEN {at} ELSE {at} + {n} END WHEN 2 THEN {at} * 100 + {n} + 2 END AS e{i}, {at} % 9999 AS f{i}"
@@ -285,6 +318,16 @@ SELECT l_orderkey, l_linenumber, count(*) AS n_ranges, count(*) FILTER (containe
     "ingest_batch": _chunk_sql("replace(text, chr(10), ' ')").replace("FROM documents)", f"FROM (SELECT doc_id, text FROM (WITH {_STORE} SELECT doc_id, text, min(doc_id) OVER (PARTITION BY h) AS first, h IN (SELECT h FROM st) AS known FROM w) WHERE first = doc_id AND NOT known))", 1),
     "parse_dispatch": f"""SELECT d.doc_id AS document_id, CASE WHEN doc_id % 3 = 2 OR trim(regexp_replace(text, '[<>&\\s]', '', 'g')) <> '' THEN 1 ELSE 0 END::BIGINT AS n_sections, coalesce(n, 0) AS n_chunks, CASE WHEN n > 0 THEN 'ready' ELSE 'failed' END AS status FROM documents d LEFT JOIN (SELECT document_id, count(*) AS n FROM (
 {_chunk_sql("CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), ' ') WHEN 1 THEN " + _FLAT + " ELSE '<p>' || " + _FLAT + " || '</p>' END")}) GROUP BY document_id) c ON c.document_id = doc_id""",
+    "bootstrap_store": f"""WITH e AS (SELECT doc_id, sha256(replace(text, chr(10), ' ')) AS h, doc_id IN (SELECT doc_id FROM labels) AS a FROM documents WHERE len(regexp_extract_all(text, '\\S+')) >= 50),
+c AS (SELECT document_id, count(*) AS n FROM ({_chunk_sql("replace(text, chr(10), ' ')")}) GROUP BY document_id),
+g AS (SELECT h, bool_or(a) AS a, any_value(n) AS n FROM e JOIN c ON c.document_id = doc_id GROUP BY h),
+t AS (SELECT (SELECT count(*) FROM e) AS n, (SELECT count(*) FROM e WHERE a) AS na, count(*) AS g, count(*) FILTER (a) AS ga, sum(n)::BIGINT AS c, coalesce(sum(n) FILTER (a), 0)::BIGINT AS ca FROM g)
+SELECT 1 AS run, CASE WHEN na > 0 THEN 'bootstrapped' ELSE 'noop' END AS status, na AS manifest_entries, 0 AS existing_entries, na AS attempted_entries, ga AS ingested_entries, na - ga AS linked_entries, 0 AS total_documents_before, ga AS total_documents_after, 0 AS total_chunks_before, ca AS total_chunks_after FROM t
+UNION ALL SELECT 2, 'bootstrapped', n, na, n - na, g - ga, (n - na) - (g - ga), ga, g, ca, c FROM t
+UNION ALL SELECT 3, 'noop', n, n, 0, 0, 0, g, g, c, c FROM t""",
+    "caller_plugins": """WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+s AS (SELECT doc_id AS document_id, unnest(range(len(l)))::INTEGER AS section_index, unnest(l) AS x FROM l)
+SELECT document_id, section_index, string_split(x, ' ')[1] AS title, length(trim(x))::DOUBLE AS boosted_score, row_number() OVER (PARTITION BY document_id ORDER BY length(trim(x)) DESC, section_index)::INTEGER AS place, nullif(regexp_extract(x, '[0-9]+', 0), '') AS number FROM s""",
     "parse_by_collection": f"""WITH d AS (SELECT doc_id, {_FLAT} AS flat FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, flat, string_split(flat, ' ') AS w FROM d),
 h AS (SELECT *, trim(array_to_string(w[1:(len(w) + 1) // 2], ' ')) AS one, trim(array_to_string(w[(len(w) + 1) // 2 + 1:], ' ')) AS two FROM w)
 SELECT doc_id AS document_id, 0 AS section_index, 'Marked' AS title, doc_id || 'a' AS location, flat AS text, 'markers-1' AS parser_version FROM h WHERE doc_id % 5 = 0
