@@ -82,7 +82,7 @@ class Busy(Exception):
     status_code = 503
 
 
-def _file_transport(folder, fail, error=Busy):
+def _file_transport(folder, fail):
     """Reads files; each url fails so many times first, counted in files beside it, as tries may be in several processes."""
 
     def transport(url):
@@ -93,7 +93,7 @@ def _file_transport(folder, fail, error=Busy):
         with open(mark, "a") as f:
             f.write("x")
         if tries < fail:
-            raise error("not now")
+            raise type("ServiceUnavailable", (Exception,), {"status_code": 503})("not now")
         with open(f"{folder}/{url}") as f:
             return f.read()
 
