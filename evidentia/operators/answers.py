@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evidentia.functions.profile import SAMPLE, Vocabulary, labels, labels_sql
 from evidentia.functions.text import NORMALIZE_SQL, TOKENS_SQL, normalize, significant_tokens
@@ -123,10 +124,18 @@ CASES = f"id string, question string, mode string, tags array<string>, notes str
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """A row per case of a JSON file {cases: [...]}, expectations as columns; one citation at least and none ungrounded or unsupported unless a case says otherwise."""
+    """A row per case of a JSON file {cases: [...]}, expectations as columns; one citation at least and none ungrounded or unsupported
+    unless a case says otherwise. Ids that repeat, expected citations without any field, and negative bounds are errors."""
     cases = spark.read.schema(f"cases array<struct<{CASES.replace(' array', ':array').replace(' string', ':string').replace(' struct', ':struct')}>>").option("mode", "FAILFAST").json(path, multiLine=True)
     flat = cases.select(F.explode("cases").alias("c")).select("c.*").select("*", "expectations.*").drop("expectations")
-    return flat.na.fill({"min_citations": 1, "max_ungrounded": 0, "max_unsupported": 0})
+    flat = flat.na.fill({"min_citations": 1, "max_ungrounded": 0, "max_unsupported": 0})
+    # what a set of cases must keep to
+    expected = F.concat(*[F.coalesce(F.col(c), F.array().cast(f"array<{CITATION}>")) for c in ("required_citations", "any_citations")])
+    loose = F.exists(expected, lambda x: F.coalesce(*[x[f] for f in ("work", "author", "collection", "location", "source_class")]).isNull())
+    fault = F.when(F.count("*").over(Window.partitionBy("id")) > 1, "its id is used twice").when(F.col("id").isNull(), "it has none")
+    fault = fault.when(loose, "an expected citation names nothing").when(F.least("min_citations", "max_ungrounded", "max_unsupported") < 0, "a bound is negative")
+    error = F.raise_error(F.concat(F.lit("case "), F.coalesce("id", F.lit("without id")), F.lit(": "), F.col("fault"))).cast("string")
+    return flat.withColumn("fault", fault).withColumn("id", F.when(F.col("fault").isNotNull(), error).otherwise(F.col("id"))).drop("fault")
 
 
 def write_report(judged: DataFrame, path: str) -> None:

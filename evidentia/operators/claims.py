@@ -143,8 +143,12 @@ def parse_envelope(raw: str) -> tuple[str, list[dict]] | None:
     return value["answer"].strip(), claims
 
 
-def parse_outputs(outputs: DataFrame) -> DataFrame:
-    """outputs (query_id, raw_output) to query_id, answer, form (json or brackets), claims. A null output counts as empty."""
+def parse_outputs(outputs: DataFrame, cited: bool = False) -> DataFrame:
+    """outputs (query_id, raw_output) to query_id, answer, form (json or brackets), claims. A null output counts as empty.
+
+    cited: with a column of that name, the claims whose citations are looked for. They are the claims, or where an answer came without any,
+    those that brackets in the raw output make; these count for citations only, not as claims that may lack support.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,7 +156,9 @@ def parse_outputs(outputs: DataFrame) -> DataFrame:
             for raw in b.column("raw_output").to_pylist():
                 found = parse_envelope(raw or "")
                 parsed.append(("json", *found) if found else ("brackets", *parse_brackets(raw or "")))
+            more = [p[2] or parse_brackets(raw or "")[1] for p, raw in zip(parsed, b.column("raw_output").to_pylist(), strict=True)] if cited else []
             kind = pa.list_(pa.struct([("claim", pa.string()), ("citations", pa.list_(pa.struct([(n, pa.string()) for n in ("work", "location", "author", "collection")])))]))
-            yield pa.RecordBatch.from_pydict({"query_id": b.column("query_id"), "answer": pa.array([p[1] for p in parsed], pa.string()), "form": pa.array([p[0] for p in parsed], pa.string()), "claims": pa.array([p[2] for p in parsed], kind)})
+            yield pa.RecordBatch.from_pydict({"query_id": b.column("query_id"), "answer": pa.array([p[1] for p in parsed], pa.string()), "form": pa.array([p[0] for p in parsed], pa.string()), "claims": pa.array([p[2] for p in parsed], kind)} | ({"cited": pa.array(more, kind)} if cited else {}))
 
-    return outputs.select("query_id", "raw_output").mapInArrow(run, SCHEMA)
+    schema = T.StructType([*SCHEMA.fields, T.StructField("cited", SCHEMA["claims"].dataType)]) if cited else SCHEMA
+    return outputs.select("query_id", "raw_output").mapInArrow(run, schema)

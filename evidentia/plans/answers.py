@@ -152,7 +152,7 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     selected = written(search.quota_select(scored, LOOSE).join(texts(spark, sf_dir), "chunk_id", "left"))
     null = F.lit(None).cast("string")
     cite = lambda place: F.array(F.struct(F.col("work_title").alias("work"), place.alias("location"), null.alias("author"), F.col("collection").alias("collection")))
-    claim = F.struct(F.coalesce(F.left("text", F.lit(100)), F.lit("none")).alias("claim"), cite(F.when(F.col("position") == 1, F.concat(F.lit("p. "), F.col("chunk_id") % 300))).alias("citations"))
+    claim = F.struct(F.coalesce("text", F.lit("none")).alias("claim"), cite(F.when(F.col("position") == 1, F.concat(F.lit("p. "), F.col("chunk_id") % 300))).alias("citations"))
     wrote = selected.where("position <= 2 and work_title is not null").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", claim.alias("c")))).alias("all"))  # two rows at most
     outputs = wrote.select("query_id", F.to_json(F.struct(F.lit("It is so.").alias("answer"), F.transform("all", lambda x: x["c"]).alias("claims"))).alias("raw_output"))
     parsed = written(claims.parse_outputs(outputs))
@@ -241,7 +241,7 @@ g AS (SELECT *, row_number() OVER b AS r, lead(score) OVER b AS next, count(*) O
 d AS (SELECT query_id, position, citation_id, chunk_id, CASE WHEN place IS NULL THEN n = 1 ELSE coalesce(next < score, true) END AS grounded FROM g WHERE r = 1)"""
 _in_claim = lambda kind: f"len(list_intersect(cp.{kind}, kp.{kind}))"
 _ANSWERED = f"""{ranked_sql(LOOSE, "exposure = 'public'")},
-k AS (SELECT query_id, chunk_id, position, collection, source, lang, text, left(text, 100) AS head FROM selected LEFT JOIN documents ON doc_id = chunk_id),
+k AS (SELECT query_id, chunk_id, position, collection, source, lang, text, text AS head FROM selected LEFT JOIN documents ON doc_id = chunk_id),
 cl AS (SELECT *, trim(coalesce(head, 'none')) AS claim, row_number() OVER (PARTITION BY query_id ORDER BY position) - 1 AS claim_pos FROM k WHERE position <= 2 AND source IS NOT NULL),
 {_profile_sql("cp", "SELECT query_id || '-' || claim_pos AS id, " + NORMALIZE_SQL.format(x="claim") + " AS n FROM cl")},
 x AS (SELECT c.query_id, c.claim_pos, k.chunk_id, CASE WHEN c.position = 1 THEN CASE WHEN c.chunk_id % 300 = k.chunk_id % 300 THEN 150 ELSE 0 END END AS place,

@@ -334,8 +334,8 @@ SELECT doc_id AS document_id, 0 AS section_index, 'Marked' AS title, doc_id || '
 UNION ALL SELECT doc_id, 0, '1', '1', flat, 'tei-2' FROM h WHERE doc_id % 5 = 1 AND flat <> ''
 UNION ALL SELECT doc_id, 0, 'Book 2, Chapter 3', '980a21', one, 'tei-2' FROM h WHERE doc_id % 5 = 2 AND one <> ''
 UNION ALL SELECT doc_id, CASE WHEN one <> '' THEN 1 ELSE 0 END, 'Book 2, Chapter 3', '980a30', trim('x ' || two) || ' y', 'tei-2' FROM h WHERE doc_id % 5 = 2
-UNION ALL SELECT doc_id, 0, 'First', '1', trim('x ' || one), 'entries-1' FROM h WHERE doc_id % 5 = 3
-UNION ALL SELECT doc_id, 1, 'Under', '1.a', trim('y ' || two), 'entries-1' FROM h WHERE doc_id % 5 = 3
+UNION ALL SELECT doc_id, 0, 'First', '1', trim('x ' || one), 'entries-2' FROM h WHERE doc_id % 5 = 3
+UNION ALL SELECT doc_id, 1, 'Under', '1.a', trim('y ' || two), 'entries-2' FROM h WHERE doc_id % 5 = 3
 UNION ALL SELECT doc_id, 0, 'Preamble', NULL, trim('x ' || one), 'numbered-1' FROM h WHERE doc_id % 5 = 4
 UNION ALL SELECT doc_id, 1, 'Under', '1.2', trim('y ' || two), 'numbered-1' FROM h WHERE doc_id % 5 = 4""",
     "entry_metadata": "SELECT doc_id AS document_id, 'T' AS title, 'First Last' AS author, '2014-07-14' AS updated, 2 AS n_sections FROM documents WHERE doc_id % 5 = 4 AND text IS NOT NULL",

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VERSION = "entries-1"
+VERSION = "entries-2"
 SCHEMA = "document_id long, section_index int, title string, location string, level int, author string, text string"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -26,12 +26,19 @@ class Dialect:
     authors: str = "author information"
 
 
-def heading_parts(text: str, top: str | None) -> tuple[str | None, str, str | None]:
-    """Location, title and current top number of `1. Title`, `1.2 Title` and `a. Title` (which is under the top number)."""
+def heading_parts(text: str, top: str | None, anchor: str | None = None) -> tuple[str | None, str, str | None]:
+    """Location, title and current top number of `1. Title`, `1.2 Title` and `a. Title` (which is under the top number, if there is one).
+
+    A heading without any is placed by its anchor: H1 is section 1, SH1a its part a.
+    """
     if m := re.match(r"^(\d+(?:\.\d+)*)\.?\s+(.*)$", text):
         return m[1], m[2], m[1].split(".")[0]
-    if (m := re.match(r"^([a-z])\.\s+(.*)$", text)) and top:
-        return f"{top}.{m[1]}", m[2], top
+    if m := re.match(r"^([a-zA-Z])\.\s+(.*)$", text):
+        return ".".join(x for x in (top, m[1].lower()) if x), m[2], top
+    if m := re.fullmatch(r"H(\d+)", anchor or ""):
+        return m[1], text, m[1]
+    if m := re.fullmatch(r"SH(\d+)([a-zA-Z])", anchor or ""):
+        return f"{m[1]}.{m[2].lower()}", text, m[1]
     return None, text, top
 
 
@@ -59,6 +66,7 @@ class _Entry(HTMLParser):
         self.sections: list[dict] = []
         self.now = {"title": None, "location": None, "level": 0, "parts": []}
         self.heading: tuple[str, list[str]] | None = None
+        self.anchor: str | None = None
         self.plain: list[str] | None = None
         self.author_lines: list[str] | None = None
 
@@ -81,7 +89,9 @@ class _Entry(HTMLParser):
         elif tag == "div" and names & {*self.d.root}:
             self.depth, self.stack = 1, ["div"]
         if tag in ("h1", "h2", "h3", "h4") and not self.skipping and (self.depth or tag == "h1"):
-            self.heading = tag, []
+            self.heading, self.anchor = (tag, []), a.get("id")
+        elif tag == "a" and self.heading:
+            self.anchor = self.anchor or a.get("name") or a.get("id")
         elif tag == "title":
             self.plain = []
         elif tag in ("p", "li", "blockquote") and self.depth:
@@ -127,7 +137,7 @@ class _Entry(HTMLParser):
         if self.done:
             return
         self._close()
-        location, title, self.top = heading_parts(text, self.top)
+        location, title, self.top = heading_parts(text, self.top, self.anchor)
         self.now = {"title": title, "location": location, "level": int(tag[1]) - 1, "parts": []}
 
     def _close(self):

@@ -15,9 +15,16 @@ SCHEMA = "version string, entries array<struct<id:string,kind:string,collection:
 FILE_KINDS, URL_KINDS = ("prepared_text", "html_file"), ("tei_url", "html_url")
 
 
+#: What every entry of a manifest has.
+REQUIRED = ("id", "kind", "collection", "title", "author")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row per entry of a JSON manifest; malformed JSON is an error."""
-    return spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path, multiLine=True).select(F.explode("entries").alias("e")).select("e.*")
+    """A row per entry of a JSON manifest; malformed JSON is an error, as is an entry that lacks one of its required fields, which the error names."""
+    found = spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path, multiLine=True).select(F.posexplode("entries").alias("at", "e")).select("at", "e.*")
+    lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in REQUIRED]))
+    error = F.raise_error(F.concat(F.lit("manifest entry "), F.col("at"), F.lit(" lacks "), F.array_join(lacking, ", "))).cast("string")
+    return found.withColumn("id", F.when(F.size(lacking) > 0, error).otherwise(F.col("id"))).drop("at")
 
 
 def select_entries(entries: DataFrame, ids: list[str] | None, key: str = "id") -> DataFrame:

@@ -1,9 +1,12 @@
 """The second dialect of HTML entries, treatises in TEI, and the dispatch by kind and collection."""
 
+import json
+
 import pytest
 from pyspark.errors import PySparkException
 
-from evidentia.sources import manifest, numbered, tei
+from evidentia.operators import answers, claims
+from evidentia.sources import entries, manifest, numbered, tei
 
 PAGE = """<!DOCTYPE html><html><head><meta property="citation_title" content="On  Forms"/><meta property="citation_author" content="Silver, Anna; Stone, Ben"/></head><body>
 <div id="header"><p>Menu</p></div><div id="aueditable"><h1>Other title</h1>
@@ -64,8 +67,48 @@ def test_dispatch(spark):
     found = manifest.parse_entries(spark.createDataFrame(rows, schema)).collect()
     count = lambda i: sum(s.document_id == i for s in found)
     assert [count(i) for i in range(1, 8)] == [1, 5, 1, 4, 1, 1, 0]
-    assert {s.document_id: s.parser_version for s in found} == {1: tei.VERSION, 2: tei.VERSION, 3: "entries-1", 4: numbered.VERSION, 5: "markers-1", 6: "markers-1"}
+    assert {s.document_id: s.parser_version for s in found} == {1: tei.VERSION, 2: tei.VERSION, 3: entries.VERSION, 4: numbered.VERSION, 5: "markers-1", 6: "markers-1"}
     for kind, collection in (("tei_url", "letters"), ("html_file", "nowhere"), (None, None)):
         with pytest.raises(PySparkException, match="no parser for kind"):
             manifest.parse_entries(spark.createDataFrame([(1, kind, collection, "x")], schema)).collect()
     assert manifest.parse_entries(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_headings_of_entries_by_number_letter_and_anchor():
+    page = (
+        '<div class="entry-content"><h2>a. Early</h2><p>x</p><h2 id="H1">First</h2><p>x</p><h3><a name="SH1B"></a>Inner</h3><p>x</p><h3>c. Lettered</h3><p>x</p><h2><a id="H2"></a>2. Second</h2><p>x</p>'
+        '<h3>A. Upper</h3><p>x</p><h3 id="other">Plain</h3><p>x</p></div>'
+    )
+    found = entries.parse(page)[2]
+    assert [(s["location"], s["title"]) for s in found] == [("a", "Early"), ("1", "First"), ("1.b", "Inner"), ("1.c", "Lettered"), ("2", "Second"), ("2.a", "Upper"), (None, "Plain")]
+
+
+def test_manifest_entries_need_their_fields(spark, tmp_path):
+    full = {"id": "a", "kind": "html_file", "collection": "letters", "title": "T", "author": "A"}
+    write = lambda *rows: (tmp_path / "m.json").write_text(json.dumps({"version": "1", "entries": rows}))
+    write(full, full | {"id": "b", "topics": ["x"]})
+    assert [r.id for r in manifest.read(spark, f"{tmp_path}/m.json").collect()] == ["a", "b"]
+    for field in manifest.REQUIRED:
+        write(full, {k: v for k, v in full.items() if k != field})
+        with pytest.raises(PySparkException, match=f"manifest entry 1 lacks {field}"):
+            manifest.read(spark, f"{tmp_path}/m.json").collect()
+
+
+def test_evaluation_cases_are_checked(spark, tmp_path):
+    case = {"id": "a", "question": "q", "expectations": {"required_citations": [{"work": "w"}]}}
+    write = lambda *rows: (tmp_path / "c.json").write_text(json.dumps({"cases": rows}))
+    write(case, case | {"id": "b"})
+    assert {r.id for r in answers.read_cases(spark, f"{tmp_path}/c.json").collect()} == {"a", "b"}
+    for other, said in (({"id": "a"}, "used twice"), ({"expectations": {"any_citations": [{"work": None}]}}, "names nothing"), ({"expectations": {"min_citations": -1}}, "negative")):
+        write(case, {**case, "id": "b", **other})
+        with pytest.raises(PySparkException, match=said):
+            answers.read_cases(spark, f"{tmp_path}/c.json").collect()
+
+
+def test_answers_without_claims_are_read_for_brackets(spark):
+    cite = {"answer": "Virtue is knowledge [Meno, 87d].", "claims": []}
+    claim = {"answer": "So.", "claims": [{"claim": "c", "citations": [{"work": "W"}]}]}
+    rows = [(1, json.dumps(cite)), (2, json.dumps(claim)), (3, "It is so [Meno 80a] and more."), (4, None), (5, json.dumps({"answer": "None at all.", "claims": []}))]
+    found = {r.query_id: r for r in claims.parse_outputs(spark.createDataFrame(rows, "query_id long, raw_output string"), cited=True).collect()}
+    assert found[1].claims == [] and [c.work for x in found[1].cited for c in x.citations] == ["Meno"] and found[1].form == "json"
+    assert all(found[i].cited == found[i].claims for i in (2, 3, 4, 5)) and found[3].cited and not found[5].cited
