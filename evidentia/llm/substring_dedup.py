@@ -24,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,22 +53,28 @@ class SpanParams:
     window: int = 4
 
 
-class _Hashes(dict):
-    """Hash of each word; those of some words are kept."""
+#: Bytes of a text whose words are hashed at a time.
+_BYTES = 1 << 20
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-
-_HASHES = _Hashes()
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    words = data.lower().split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends in the bytes."""
+    space = np.ones(len(data) + 2, bool)
+    np.take(_SPACE, np.frombuffer(data, np.uint8), out=space[1:-1])
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    return turns[::2], turns[1::2]
+
+
+def word_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word, with A-Z lower-cased: a sum of byte * base ** place within the word, mixed with its length."""
+    out, codes, i = np.empty(len(begin), np.uint64), np.frombuffer(data.lower(), np.uint8), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + _BYTES, side="right")))
+        low, high = int(begin[i]), int(end[j - 1])
+        prefix = prefixes(codes[low:high].astype(np.uint64))
+        out[i:j] = _string_hashes(prefix, begin[i:j] - low, end[i:j] - low).view(np.uint64)
+        i = j
+    return out
 
 
 #: Low bits of a packed hash, which hold the place, and words of a text that are packed at a time.
@@ -138,20 +143,16 @@ def _string_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return _mixed(x).view(np.int64)
 
 
-def borders(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word begins in the bytes (the first one at 0, and after the last the end), and the number of words up to each sentence's end."""
-    codes = np.frombuffer(data, np.uint8)
-    space = np.concatenate([[True], _SPACE[codes], [True]])
-    turns = np.flatnonzero(space[1:] != space[:-1])
-    begin, end = turns[::2], turns[1::2]
+def borders(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word's part of the bytes begins (the first one at 0, and after the last the end), and the number of words up to each sentence's end."""
     if not len(begin):
         return np.zeros(1, np.int64), np.zeros(0, np.int64)
-    after = np.append(begin[1:], len(data))
+    codes = np.frombuffer(data, np.uint8)
     last = _STOP[codes[end - 1]]
     # line ends, each after the word that ends before it
     last[np.maximum(np.searchsorted(end, np.flatnonzero(codes == 10), side="right") - 1, 0)] = True
     last[-1] = True
-    return np.concatenate([[0], after]), np.flatnonzero(last) + 1
+    return np.concatenate([[0], begin[1:], [len(data)]]), np.flatnonzero(last) + 1
 
 
 def piece_ends(h: np.ndarray, ends: np.ndarray, p: SpanParams) -> np.ndarray:
@@ -165,21 +166,21 @@ def piece_ends(h: np.ndarray, ends: np.ndarray, p: SpanParams) -> np.ndarray:
 def split_sentences(text: str) -> list[str]:
     """Sentences that joined give the text. A text without a word is one."""
     data = text.encode("utf-8", "surrogatepass")
-    at, ends = borders(data)
+    at, ends = borders(data, *word_places(data))
     places = at[ends].tolist() or [len(data)] * bool(data)
     return [data[i:j].decode("utf-8", "surrogatepass") for i, j in zip([0, *places], places, strict=False)]
 
 
 def run_bounds(ends: np.ndarray, parts: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and end (exclusive) of each run of at least so many parts and words, by start and end; ends counts the words up to each part's end."""
+    """First word and end (exclusive) of each run of at least so many parts and words: those from each part on, then others to each part; ends counts the words up to each part's end."""
     n = len(ends)
     words = np.concatenate([[0], ends]).astype(np.int64)
     every = np.arange(n)
     onward = np.maximum(every + parts, np.searchsorted(words, words[:n] + least_words))
     back = np.minimum(every + 1 - parts, np.searchsorted(words, words[1:] - least_words, side="right") - 1)
-    starts, stops = np.concatenate([every[onward <= n], back[back >= 0]]), np.concatenate([onward[onward <= n], every[back >= 0] + 1])
-    key = np.unique(starts * (n + 1) + stops)
-    return words[key // (n + 1)], words[key % (n + 1)]
+    from_here, to_here = np.flatnonzero(onward <= n), np.flatnonzero(back >= 0)
+    to_here = to_here[onward[back[to_here]] != to_here + 1]
+    return np.concatenate([words[from_here], words[back[to_here]]]), np.concatenate([words[onward[from_here]], words[to_here + 1]])
 
 
 def runs(h: np.ndarray, ends: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray, int]:
@@ -223,11 +224,12 @@ def _rows(b: pa.RecordBatch, ats: list[np.ndarray], hs: pa.Array) -> pa.RecordBa
 def marks_of(text: str, p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
     """Marks and hashes of the text's anchors and runs of sentences, each at its earliest, and the mark of a text in which one of them repeats."""
     data = text.encode("utf-8", "surrogatepass")
-    h = word_hashes(data)
+    places = word_places(data)
+    h = word_hashes(data, *places)
     prefix = prefixes(h)
     x, at = anchors(h, prefix, p)
     x = x[np.flatnonzero(np.bincount(at, minlength=len(x)))] if len(at) else x[:0]
-    y = _string_hashes(prefix, *run_bounds(borders(data)[1], p.sentences, p.words))
+    y = _string_hashes(prefix, *run_bounds(borders(data, *places)[1], p.sentences, p.words))
     (at, x_kept), (run, y_kept) = _firsts(x), _firsts(y)
     again = len(x_kept) < len(x) or len(y_kept) < len(y)
     return np.concatenate([2 * at, 2 * run + 1, np.full(int(again), _AGAIN, np.int32)]).astype(np.int32), np.concatenate([x_kept, y_kept, np.zeros(int(again), np.int64)])
@@ -240,32 +242,32 @@ def mark_rows(docs: DataFrame, p: SpanParams) -> DataFrame:
         for b in slices(batches):
             found = [marks_of(t or "", p) for t in b.column("text").to_pylist()]
             yield _rows(b, [a for a, _ in found], pa.array(np.concatenate([np.zeros(0, np.int64), *[h for _, h in found]])))
-        _HASHES.clear()
 
     return _exploded(map_batches(docs.select(*KEY, "text"), run, "evidentia_doc long, evidentia_text long, ats array<int>, hs array<long>"))
 
 
 def marked_runs(text: str, marks: np.ndarray, p: SpanParams) -> tuple[np.ndarray, np.ndarray]:
-    """Place among the runs and key (two numbers) of those runs, each at its earliest, that are marked, or whose anchors are."""
+    """Place among the runs and key (two numbers) of those runs, each once, that are marked, or whose anchors are."""
     data = text.encode("utf-8", "surrogatepass")
-    h = word_hashes(data)
+    places = word_places(data)
+    h = word_hashes(data, *places)
     prefix = prefixes(h)
-    starts, stops, n = runs(h, borders(data)[1], p)
-    hashes = _string_hashes(prefix, starts, stops)
+    starts, stops, n = runs(h, borders(data, *places)[1], p)
     m = marks[marks >= 0]
-    chosen = np.zeros(len(hashes), bool)
+    chosen = np.zeros(len(starts), bool)
     chosen[m[m % 2 == 1] // 2] = True
     x, at = anchors(h, prefix, p)
     if len(at):
-        places = np.flatnonzero(np.bincount(at, minlength=len(x)))
+        anchored = np.flatnonzero(np.bincount(at, minlength=len(x)))
+        known = np.isin(x, x[anchored[m[m % 2 == 0] // 2]])
         # all occurrences of a run hold the anchors of its first and its last words
-        known = np.isin(x, x[places[m[m % 2 == 0] // 2]])
         chosen[n:] = known[at[starts[n:]]] & known[at[stops[n:] - p.long]]
-    first, _ = _firsts(hashes)
-    first = np.sort(first[np.isin(hashes[first], hashes[chosen])])
+    place = np.flatnonzero(chosen)
+    first, hashes = _firsts(_string_hashes(prefix, starts[place], stops[place]))
+    place = place[first]
     # the other half of the key, from words hashed otherwise
-    other = _string_hashes(prefixes(_mixed(h)), starts[first], stops[first])
-    return first, np.stack([hashes[first], other], axis=1)
+    other = _string_hashes(prefixes(_mixed(h)), starts[place], stops[place])
+    return place.astype(np.int32), np.stack([hashes, other], axis=1)
 
 
 def spans(docs: DataFrame, p: SpanParams) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +289,6 @@ def spans(docs: DataFrame, p: SpanParams) -> tuple[DataFrame, DataFrame]:
             keys = np.concatenate([np.zeros((0, 2), np.int64), *[k for _, k in done]])
             hs = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(0, 16 * len(keys) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(keys).tobytes())])
             yield _rows(b, [a for a, _ in done], hs)
-        _HASHES.clear()
 
     return _exploded(map_batches(marked, run, "evidentia_doc long, evidentia_text long, ats array<int>, hs array<binary>")), again
 
@@ -300,10 +301,11 @@ def cut(text: str | None, found: list[int] | None, p: SpanParams) -> tuple[str |
     if not text:
         return text, 0, 0
     data = text.encode("utf-8", "surrogatepass")
-    at, ends = borders(data)
+    places = word_places(data)
+    at, ends = borders(data, *places)
     if found is None or not len(ends):
         return text, max(1, len(ends)), 0
-    words = word_hashes(data)
+    words = word_hashes(data, *places)
     starts, stops, _ = runs(words, ends, p)
     h = _string_hashes(prefixes(words), starts, stops)
     gone = np.zeros(len(words) + 1, np.int64)
@@ -359,6 +361,5 @@ def remove_repeated_spans(docs: DataFrame, params: SpanParams = SpanParams()) ->
             for k, c in enumerate(COUNTED, 1):
                 cols[c] = pa.array([x[k] for x in done], pa.int64())
             yield pa.RecordBatch.from_pydict(cols)
-        _HASHES.clear()
 
     return map_batches(marked, run, fields)

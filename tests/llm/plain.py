@@ -11,11 +11,19 @@ import xxhash
 from evidentia.llm import fingerprint, sentencepiece_scan
 
 
+def plain_word_hash(word):
+    base, m = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    x = sum(c * pow(base, i, 1 << 64) for i, c in enumerate(word)) & m ^ len(word)
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
 def plain_cuts(text, window):
     """Words with the white space after them (before the first one, too), places after sentences, and after pieces, by the rule of the docstring, word by word."""
     data = text.encode()
     words = list(re.finditer(rb"[^\t\n\x0b\x0c\r ]+", data))
-    h = [xxhash.xxh3_64_intdigest(w[0].lower()) for w in words]
+    h = [plain_word_hash(w[0].lower()) for w in words]
     cuts = {max(j for j in range(i, i + window) if h[j] == min(h[i : i + window])) for i in range(len(h) - window + 1)}
     parts, sentences, pieces, start = [], [], [], 0
     for k, w in enumerate(words):
