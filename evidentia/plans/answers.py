@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from evidentia.functions.profile import SAMPLE
 from evidentia.functions.text import NORMALIZE_SQL
 from evidentia.operators import answers, citations, claims, search
 from evidentia.operators.guard import leaks, resolve_allowed
-from evidentia.operators.lineage import written
+from evidentia.operators.lineage import shared_dir, written
 from evidentia.plans.adapter import EVERY, questions, table, texts, vectors
 from evidentia.plans.registry import COLLECTIONS
 from evidentia.plans.retrieval import _KP, _QP, LOOSE, _ancients, _profile_sql, _scored, _some, _staged_sql, ranked, ranked_sql
@@ -205,7 +207,18 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.summary(answers.judge(_cases(spark, sf_dir)), "lang")
 
 
-QUERIES = {f.__name__: f for f in (query_mode, prompt_context, prompt_messages, bracket_claims, bracket_answers, json_claims, citation_match, citation_disambiguate, unsupported_claims, answered_questions, eval_cases, eval_citations, eval_summary)}
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases' report as JSON files, read again: the failures of those that failed, and the summary."""
+    judged = written(answers.judge(_cases(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("id"), "passed", "failures"))
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    answers.write_report(judged, path)
+    cases = spark.read.schema("id string, passed boolean, failures array<string>").json(f"{path}/cases")
+    total = spark.read.schema("total long, passed long, failed long, pass_rate double").json(f"{path}/summary")
+    failed = cases.where("not passed").select("id", F.array_join("failures", "; ").alias("said"))
+    return failed.unionByName(total.select(F.lit("all").alias("id"), F.concat_ws(" ", "total", "passed", "failed").alias("said")))
+
+
+QUERIES = {f.__name__: f for f in (evaluation_report, query_mode, prompt_context, prompt_messages, bracket_claims, bracket_answers, json_claims, citation_match, citation_disambiguate, unsupported_claims, answered_questions, eval_cases, eval_citations, eval_summary)}
 
 _said = lambda label, cond, xs, bad: f"CASE WHEN {cond} THEN list_transform(list_filter({xs}, lambda x: {bad}), lambda x: '{label}' || x) ELSE [] END"
 _flat = r"trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))"
@@ -281,6 +294,7 @@ UNION ALL SELECT doc_id, 'json', 1, 'Seen in ' || source, '' FROM documents WHER
     "eval_citations": r"""WITH j AS (SELECT doc_id, list_filter([CASE WHEN doc_id % 7 <> doc_id % 6 THEN 'not cited: work=' || source || ', author=' || lang || ', location=' || (doc_id % 6) || '-' || (doc_id % 5) END, CASE WHEN source NOT IN ('src1', 'src2') THEN 'none retrieved of: src1, src2' END,
 CASE WHEN lang NOT IN ('en', 'de') THEN 'none cited of: work=en; work=de' END, CASE WHEN doc_id % 3 > 1 THEN 'too many unsupported claims' END], lambda x: x IS NOT NULL) AS f FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
 SELECT doc_id, len(f) = 0 AS passed, array_to_string(f, '; ') AS failures FROM j""",
+    "evaluation_report": f"WITH {_JUDGED} SELECT doc_id::VARCHAR AS id, array_to_string(f, '; ') AS said FROM j WHERE len(f) > 0 UNION ALL SELECT 'all', count(*) || ' ' || count(*) FILTER (len(f) = 0) || ' ' || count(*) FILTER (len(f) > 0) FROM j",
     "eval_cases": f"WITH {_JUDGED} SELECT doc_id, len(f) = 0 AS passed, array_to_string(f, '; ') AS failures FROM j",
     "eval_summary": f"WITH {_JUDGED} SELECT lang, count(*) AS total, count(*) FILTER (len(f) = 0) AS passed, count(*) FILTER (len(f) > 0) AS failed, round(avg(CASE WHEN len(f) = 0 THEN 1 ELSE 0 END), 6) AS pass_rate FROM j GROUP BY lang",
 }

@@ -174,6 +174,15 @@ def visible_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source_class", "tier").agg(F.array_join(F.array_sort(F.collect_list("collection")), ",").alias("collections"), F.sum("n").alias("n_chunks"))
 
 
+def access_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per scope of a deployment, with local-only collections on or off: the collections that a request may use, and their chunks."""
+    names = {kind: [c.name for c in COLLECTIONS if c.exposure == kind] for kind in ("public", "local_only")}
+    rows = [(scope, on, c) for scope in ("public", "internal", "local") for on in (False, True) for c in resolve_allowed(names["public"], names["local_only"], scope, on)]
+    allowed = spark.createDataFrame(rows, "scope string, local_only_enabled boolean, collection string")  # a row per scope and collection
+    held = vectors(spark, sf_dir).groupBy("collection").agg(F.count("*").alias("n"))
+    return allowed.join(held, "collection", "left").groupBy("scope", "local_only_enabled").agg(F.count("*").alias("n_collections"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"))
+
+
 def allowlist_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected chunks whose collection a public deployment doesn't allow."""
     allowed = resolve_allowed([c.name for c in COLLECTIONS if c.exposure == "public"], [], "public", False)
@@ -182,10 +191,11 @@ def allowlist_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _plain = lambda p, tail: f"WITH {_staged_sql(p)} {tail}"
-QUERIES = {f.__name__: f for f in (knn_topk_single, knn_topk_batch_filtered, knn_topk_pruned, staged_retrieval, tier_rerank, quota_select, grounding_levels, response_assembly, discipline_rerank, full_rerank, filtered_retrieval, source_coverage, corpus_health, visible_sources, allowlist_leaks)}
+QUERIES = {f.__name__: f for f in (knn_topk_single, knn_topk_batch_filtered, knn_topk_pruned, staged_retrieval, tier_rerank, quota_select, grounding_levels, response_assembly, discipline_rerank, full_rerank, filtered_retrieval, source_coverage, corpus_health, visible_sources, access_scopes, allowlist_leaks)}
 ORACLE_SQL = {
     "knn_topk_single": f"WITH {SIM_SQL} SELECT chunk_id, collection, round(similarity, 6) AS similarity FROM sim WHERE query_id = 0 ORDER BY sim.similarity DESC, chunk_id LIMIT 10",
     "knn_topk_batch_filtered": f"WITH {SIM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_class ORDER BY similarity DESC, chunk_id) AS rank FROM sim WHERE collection IN ('dialogues', 'letters', 'journals_a')) SELECT query_id, chunk_id, source_class, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= CASE source_class WHEN 'primary_text' THEN 10 ELSE 5 END",
+    "access_scopes": f"WITH {DIMENSION_SQL}, s AS (SELECT scope, on_ AS local_only_enabled FROM (VALUES ('public'), ('internal'), ('local')) a(scope), (VALUES (false), (true)) b(on_)), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT scope, local_only_enabled, count(*) AS n_collections, coalesce(sum(n), 0)::BIGINT AS n_chunks FROM s JOIN coll ON exposure = 'public' OR (scope <> 'public' AND local_only_enabled) LEFT JOIN n USING (label) GROUP BY ALL",
     "knn_topk_pruned": f"WITH {SIM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_class ORDER BY similarity DESC, chunk_id) AS rank FROM sim WHERE source_class <> 'curated_bibliography') SELECT query_id, chunk_id, source_class, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= CASE source_class WHEN 'peer_reviewed' THEN 5 ELSE 10 END",
     "staged_retrieval": _plain(LOOSE, "SELECT query_id, chunk_id, stage, rank::INTEGER AS rank, round(similarity, 6) AS similarity, above, returned FROM staged"),
     "tier_rerank": _plain(POLICY, "SELECT query_id, chunk_id, tier, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY scored.score DESC, stage, rank, chunk_id)::INTEGER AS place FROM scored"),
