@@ -9,12 +9,14 @@ points are dealt over parts, to which their ranges are copied.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import location
 from evidentia.operators.lineage import written
+from evidentia.operators.skew import join_by_key
 
 #: Points of a cell that one task meets with the cell's ranges.
 PART = 50_000
@@ -100,3 +102,22 @@ def overlapping(cited: DataFrame, held: DataFrame, keys: list[str], part: int =
         found = found.unionByName(pairs.where(once).drop("bound", "lbounds", "rbounds"))
     contained = location.within(F.col("rf.start"), F.col("rf.end"), F.col("lf.start"), c, d, a)
     return found.withColumn("contained", contained).drop(*[f"{p}{x}" for p in "lr" for x in ("f", "keyed", "proper")])
+
+
+def totals(cited: DataFrame, held: DataFrame, keys: list[str], first: str, part: int = PART) -> DataFrame:
+    """Rows of cited with any pair of `overlapping`, without their location: n_ranges, how many pairs; n_containing, of how many the cited
+    one begins within the held one; first_range, the least `first` of the held ones.
+
+    Rows of equal keys and location are one class on either side. Pairs are made of classes and weigh as much as they have rows, so that
+    they grow with the locations that there are and not with the product of the rows.
+    """
+    place = [*keys, "system", "value", "range_end"]
+    # a range without an end is the same whether that is null or empty
+    ended = lambda df: df.withColumn("range_end", F.coalesce("range_end", F.lit("")))
+    key = F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in place]), F.to_json(F.array(*[F.col(c).cast("string") for c in place])))
+    rows = ended(cited).withColumn("class", key).drop(*place[len(keys) :])
+    left = written(ended(cited).where(key.isNotNull()).groupBy(*place).agg(F.count("*").alias("copies")).withColumn("class", key))
+    right = ended(held).groupBy(*place).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    pairs = overlapping(left, right, keys, part)
+    found = written(pairs.groupBy("class").agg(F.first("copies").alias("copies"), F.sum("n").alias("n_ranges"), F.sum(F.when(F.col("contained"), F.col("n")).otherwise(0)).alias("n_containing"), F.min("first").alias("first_range")))
+    return join_by_key(rows.where("class is not null"), found, "class", "copies", left.agg(F.sum("copies")).first()[0] or 0, "inner").drop("class")

@@ -297,8 +297,8 @@ def _located(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def citation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per citation with any: how many ranges of its work it overlaps, in how many it begins, and the first of them."""
     cited, held = _located(spark, sf_dir)
-    pairs = intervals.overlapping(cited, held, ["work"])
-    return pairs.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_ranges"), F.count_if("contained").alias("n_containing"), F.min("o_orderkey").alias("first_range"))
+    found = intervals.totals(cited, held, ["work"], "o_orderkey")
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n_ranges").alias("n_ranges"), F.sum("n_containing").alias("n_containing"), F.min("first_range").alias("first_range"))
 
 
 QUERIES = {f.__name__: f for f in (citation_ranges, content_dedup, incremental_pending, link_by_hash, bootstrap_counters, purge_reingest, metadata_merge, ingest_batch, bootstrap_store, caller_plugins, parse_dispatch, parse_by_collection, entry_metadata, revision_dates, chunk_sentence_pack, chunk_paragraph_pack, normal_forms, token_counts, token_counts_bpe, chunk_bpe_pack, html_fallback_sections, html_sections, tei_sections, marker_sections, marker_sections_split, manifest_validation, location_keys, location_overlap)}
