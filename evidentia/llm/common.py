@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import ctypes
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.operators import lineage, skew
+from evidentia.operators.batches import BATCH_BYTES, map_batches  # noqa: F401
 
 #: Rows up to which a table of a few numbers per row may be broadcast (about 100 MB as a hash table).
 BROADCAST_ROWS = 1_000_000
@@ -63,33 +63,8 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-#: Bytes of text, about, that a Python task works on at a time, and that Spark sends it at a time.
-SLICE_BYTES, BATCH_BYTES = 2_000_000, 2_000_000
-_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864"
-
-
-def _give_back() -> None:
-    """Return freed memory to the system; Python workers live on from stage to stage."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library
-
-
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow in batches of about BATCH_BYTES, unless the session sets another size of its own."""
-    spark = df.sparkSession
-    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT).rstrip("b") == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            _give_back()
-
-    return df.mapInArrow(task, schema)
+#: Bytes of text, about, that a Python task works on at a time.
+SLICE_BYTES = 2_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
