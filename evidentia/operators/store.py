@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.operators import chunking, ingest
-from evidentia.operators.lineage import written
+from evidentia.operators.lineage import stored as kept
 from evidentia.sources import manifest
 
 DOCUMENTS = "document_id string, entry_id string, raw_hash string, kind string, collection string, title string, author string, topics array<string>, parser_version string, ingested_at timestamp"
@@ -51,14 +51,14 @@ class Store:
         that has fewer now). Of several rows of one key one is taken."""
         schema, key, by = TABLES[name]
         columns = [x.split()[0] for x in schema.split(", ")]
-        fresh = written(rows.dropDuplicates(key).select(*columns, F.pmod(F.xxhash64(by), F.lit(self.buckets)).cast("int").alias("bucket")))
+        fresh = kept(rows.dropDuplicates(key).select(*columns, F.pmod(F.xxhash64(by), F.lit(self.buckets)).cast("int").alias("bucket")))
         touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # as many as there are buckets, at most
         if not touched:
             return
         held = self.read(name).where(F.col("bucket").isin(touched))
         left = held.join(fresh.select(*(whole or key)).distinct(), whole or key, "left_anti")
         # written apart first, as a job can't overwrite what it reads
-        both = written(left.select(*columns, "bucket").unionByName(fresh))
+        both = kept(left.select(*columns, "bucket").unionByName(fresh))
         both.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def count(self, name: str) -> int:
@@ -75,20 +75,27 @@ def bootstrap(store: Store, entries: DataFrame, embed: Callable[[DataFrame], Dat
     before = {name: store.count(name) for name in TABLES}
     listed = entries.count()
     known = store.read("links").select("entry_id").distinct()
-    waiting = written(ingest.with_hash(entries.join(known, "entry_id", "left_anti"), "raw"))
+    schema = "status string, " + ", ".join(f"{c} long" for c in COUNTERS)
+    if entries.select("entry_id").join(known, "entry_id", "left_anti").isEmpty():
+        # nothing to do: no content is read
+        counts = (listed, before["links"], 0, 0, 0, before["documents"], before["documents"], before["chunks"], before["chunks"])
+        return store.spark.createDataFrame([("noop", *counts)], schema)
+    # parsers know documents by number
+    raws = kept(ingest.with_hash(entries.join(known, "entry_id", "left_anti"), "raw").withColumn("number", F.monotonically_increasing_id()))
+    # whole contents move once, to be parsed; what is judged goes without
+    waiting = raws.drop("raw")
     attempted = waiting.count()
     stored = store.read("documents").groupBy("raw_hash").agg(F.min("document_id").alias("stored_id"))
     first = waiting.where("raw_hash is not null").groupBy("raw_hash").agg(F.min("entry_id").alias("first_id"))
     judged = waiting.join(first, "raw_hash", "left").join(stored, "raw_hash", "left")
-    judged = written(judged.withColumn("fresh", F.col("stored_id").isNull() & (F.coalesce("first_id", "entry_id") == F.col("entry_id"))).withColumn("document_id", F.coalesce("stored_id", made_id(F.coalesce("raw_hash", "entry_id")))))
+    judged = kept(judged.withColumn("fresh", F.col("stored_id").isNull() & (F.coalesce("first_id", "entry_id") == F.col("entry_id"))).withColumn("document_id", F.coalesce("stored_id", made_id(F.coalesce("raw_hash", "entry_id")))))
     fresh = judged.where("fresh")
-    # parsers know documents by number
-    numbered = written(fresh.select(F.monotonically_increasing_id().alias("number"), "document_id", "entry_id", "kind", "collection", "raw"))
-    sections = manifest.parse_entries(numbered.select(F.col("number").alias("document_id"), "kind", "collection", "raw"))
-    sections = written(sections.withColumnRenamed("document_id", "number").join(numbered.select("number", "document_id"), "number"))
+    parsed = kept(raws.select("number", "kind", "collection", "raw").join(fresh.select("number"), "number", "left_semi").withColumnRenamed("number", "document_id"))
+    sections = manifest.parse_entries(parsed)
+    sections = kept(sections.withColumnRenamed("document_id", "number").join(fresh.select("number", "document_id"), "number"))
     chunks = chunking.chunk(sections, config).drop("section_index")
-    chunks = written(embed(chunks) if embed else chunks)
-    empty = [r["entry_id"] for r in numbered.join(chunks.select("document_id").distinct(), "document_id", "left_anti").select("entry_id").limit(5).collect()]
+    chunks = kept(embed(chunks) if embed else chunks)
+    empty = [r["entry_id"] for r in fresh.join(chunks.select("document_id").distinct(), "document_id", "left_anti").select("entry_id").limit(5).collect()]
     if empty:
         raise ValueError(f"entries without a chunk: {', '.join(map(str, empty))}")
     versions = sections.groupBy("document_id").agg(F.first("parser_version").alias("parser_version"))
@@ -100,5 +107,4 @@ def bootstrap(store: Store, entries: DataFrame, embed: Callable[[DataFrame], Dat
     store.upsert("links", judged.select("entry_id", "document_id"))
     ingested = fresh.count()
     counts = (listed, before["links"], attempted, ingested, attempted - ingested, before["documents"], store.count("documents"), before["chunks"], store.count("chunks"))
-    schema = "status string, " + ", ".join(f"{c} long" for c in COUNTERS)
-    return store.spark.createDataFrame([("bootstrapped" if attempted else "noop", *counts)], schema)
+    return store.spark.createDataFrame([("bootstrapped", *counts)], schema)

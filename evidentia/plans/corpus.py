@@ -75,8 +75,8 @@ def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three runs into one store: documents with a label, then all documents, then all again; those of fewer than 50 words have no chunk and stay out."""
     text = F.regexp_replace("text", "\n", " ")
-    entries_ = _docs(spark, sf_dir).where(word_count(F.col("text")) >= 50).select(
-        F.col("doc_id").cast("string").alias("entry_id"), F.lit("prepared_text").alias("kind"), F.lit("letters").alias("collection"), F.col("source").alias("title"), F.col("lang").alias("author"), F.array().cast("array<string>").alias("topics"), text.alias("raw"))
+    entries_ = lineage.stored(_docs(spark, sf_dir).where(word_count(F.col("text")) >= 50).select(
+        F.col("doc_id").cast("string").alias("entry_id"), F.lit("prepared_text").alias("kind"), F.lit("letters").alias("collection"), F.col("source").alias("title"), F.col("lang").alias("author"), F.array().cast("array<string>").alias("topics"), text.alias("raw")))
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("entry_id")).distinct()
     store = Store(spark, f"{lineage.shared_dir(spark)}/store-{uuid.uuid4().hex}")
     runs = [bootstrap(store, e).withColumn("run", F.lit(i)) for i, e in enumerate((entries_.join(labelled, "entry_id", "left_semi"), entries_, entries_), 1)]
