@@ -114,7 +114,8 @@ def _entry_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as entries of five kinds: marked text, a dialogue and a treatise in TEI, and HTML in both dialects."""
     n = F.col("doc_id")
     flat = F.trim(F.regexp_replace(F.regexp_replace("text", r"[<>&\x00-\x1F]", " "), r"\s+", " "))
-    words = F.split(flat, " ")
+    docs = _docs(spark, sf_dir).select(n, flat.alias("flat")).select("*", F.split("flat", " ").alias("words"))
+    flat, words = F.col("flat"), F.col("words")
     half = F.floor((F.size(words) + 1) / 2).cast("int")
     one, two = F.array_join(F.slice(words, 1, half), " "), F.array_join(F.slice(words, half + 1, F.greatest(F.size(words) - half, F.lit(0))), " ")
     raw = (
@@ -129,7 +130,7 @@ def _entry_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (n % 5 + 1).cast("int"))
     kinds, collections = pick("prepared_text", "tei_url", "tei_url", "html_file", "html_url"), pick("letters", "dialogues", "treatises", "encyclopedia_a", "encyclopedia_b")
-    return _docs(spark, sf_dir).select(n.alias("document_id"), kinds.alias("kind"), collections.alias("collection"), raw.alias("raw"))
+    return docs.select(n.alias("document_id"), kinds.alias("kind"), collections.alias("collection"), raw.alias("raw"))
 
 
 def parse_by_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
