@@ -128,6 +128,12 @@ def neighbourhoods(reduced: list[str], k: int) -> Iterator[tuple[np.ndarray, np.
                 yield own[row], _mix(start + np.uint64(c + 1) * powers[i + col] + (whole[row] - start) * np.uint64(_BASE), length + 1)
 
 
+def _meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join in which both sides are shuffled. They grow with the vocabulary, the neighbourhoods a hundredfold, and Spark takes the latter for no
+    larger than the words they are made of: left alone it collects either on the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def near_words(words: DataFrame, p: SpellingParams = SpellingParams()) -> DataFrame:
     """word, n, other, other_n: all pairs of words, either way, that differ by exactly one inserted, deleted or replaced letter."""
     reduced = words.select("word", "n", F.translate("word", LETTERS, symbols(p)).alias("reduced"))
@@ -143,10 +149,10 @@ def near_words(words: DataFrame, p: SpellingParams = SpellingParams()) -> DataFr
 
     held = materialize(map_batches(reduced, named, "word string, n long, of long"), "spelling-words")
     made = map_batches(reduced.select("reduced").distinct(), around, "of long, near long")
-    pairs = materialize(made.join(held.select(F.col("of").alias("near")).distinct(), "near"), "spelling-pairs")
-    left = held.join(pairs, "of").drop("of")
+    pairs = materialize(_meet(made, held.select(F.col("of").alias("near")).distinct(), "near"), "spelling-pairs")
+    left = _meet(held, pairs, "of").drop("of")
     right = held.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("of").alias("near"))
-    return left.join(right, (left["near"] == right["near"]) & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
+    return _meet(left, right, (left["near"] == right["near"]) & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
 
 
 def variants(docs: DataFrame, params: SpellingParams = SpellingParams()) -> DataFrame:
@@ -159,7 +165,7 @@ def variants(docs: DataFrame, params: SpellingParams = SpellingParams()) -> Data
     p = params
     words = materialize(vocabulary(docs, p), "spelling-vocabulary")
     best = near_words(words, p).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("n"), "other")).alias("best"))
-    found = words.join(best, "word", "left")
+    found = _meet(words, best, "word", "left")
     form = F.col("best.n") * -1 >= F.col("n") * p.times
     found = materialize(found.select("word", F.when(form, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(form, -F.col("best.n")).alias("form_n")), "spelling-forms")
     way = materialize(found.where("form is not null").select("word", F.col("form").alias("root")), "spelling-way")
@@ -167,7 +173,7 @@ def variants(docs: DataFrame, params: SpellingParams = SpellingParams()) -> Data
     # n grows by `times` with each step along forms, so the way has at most so many steps
     for _ in range(math.ceil(math.log2(max(2.0, math.log(most, p.times) + 1)))):
         on = way.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        longer = materialize(way.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "spelling-way")
+        longer = materialize(_meet(way, on, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "spelling-way")
         discard(way)
         way = longer
-    return found.join(way, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _meet(found, way, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
